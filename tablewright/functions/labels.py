@@ -37,7 +37,7 @@ def strength_band(r: Column) -> Column:
 
 
 def effect_label(d: Column) -> Column:
-    return banded(F.abs(d), [(0.2, "negligible"), (0.5, "small"), (0.8, "medium")], "large")
+    return banded(F.abs(d), [(0.2, "small"), (0.5, "medium"), (0.8, "large")], "very_large")
 
 
 def effect_label_short(d: Column) -> Column:

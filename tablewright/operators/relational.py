@@ -191,9 +191,10 @@ def similar_entities(
     The profile is a single row, read as a scalar subquery; ranking keeps a
     bounded top list per task. ``threshold`` filters instead of ranking.
     """
-    from tablewright.session import scalars
+    from tablewright.session import attach
 
-    p = scalars(profile).getField("profile")
+    df = attach(df, profile, "_p")
+    p = F.col("_p.profile")
     dot = F.aggregate(F.zip_with(quoted(vector), p, lambda a, b: a.cast("double") * b), F.lit(0.0), lambda x, y: x + y)
     norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda x, y: x + y.cast("double") * y.cast("double")))
     scored = df.select(quoted(key), F.try_divide(dot, norm(quoted(vector)) * norm(p)).alias("similarity"))
