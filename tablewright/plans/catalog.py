@@ -1,3 +1,3 @@
 """Imports every query module, which fills the registry."""
 
-from tablewright.plans import queries_relational, queries_stats  # noqa: F401
+from tablewright.plans import queries_relational, queries_stats, queries_tests  # noqa: F401
