@@ -1,3 +1,9 @@
 """Imports every query module, which fills the registry."""
 
-from tablewright.plans import queries_relational, queries_stats, queries_tests  # noqa: F401
+from tablewright.plans import (  # noqa: F401
+    queries_quality,
+    queries_relational,
+    queries_stats,
+    queries_tests,
+    queries_timeseries,
+)
