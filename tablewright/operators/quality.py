@@ -321,8 +321,8 @@ def find_alerts(alerts: DataFrame, now: Column, severity: str | None = None, ack
     if acknowledged is not None:
         alerts = alerts.filter(F.col("acknowledged") == acknowledged)
     if hours is not None:
-        alerts = alerts.filter(F.col("at") >= now - F.expr(f"INTERVAL {int(hours)} HOURS"))
-    return alerts.orderBy(F.desc("at"), "alert_id")
+        alerts = alerts.filter(F.col("checked_at") >= now - F.expr(f"INTERVAL {int(hours)} HOURS"))
+    return alerts.orderBy(F.desc("checked_at"), "alert_id")
 
 
 def acknowledge(alerts: DataFrame, seen: DataFrame) -> DataFrame:

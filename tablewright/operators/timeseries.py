@@ -496,9 +496,10 @@ def arima(s: DataFrame, p: int = 1, d: int = 1, q: int = 1, steps: int = 10, by:
         def diff(k: int, lag: int) -> Column:
             return F.lag("y", lag).over(w) if k == 0 else diff(k - 1, lag) - diff(k - 1, lag + 1)
 
-        return {f"z{j}": diff(d, j) for j in range(long + max(p, q) + 1)}
+        out = {f"z{j}": diff(d, j) for j in range(long + max(p, q) + 1)}
+        return out | {f"y{j}": F.lag("y", j).over(w) for j in range(1, d)}
 
-    rows = framed(base, differenced, reach, 0, one).filter(F.col("idx") >= d)
+    rows = stage(framed(base, differenced, reach, 0, one).filter(F.col("idx") >= d))
     if q:
         stage1 = least_squares(rows, "z0", [f"z{j}" for j in range(1, long + 1)], one).select(
             *one, F.col("intercept").alias("_c"), F.col("coefficients").alias("_a")
@@ -516,12 +517,9 @@ def arima(s: DataFrame, p: int = 1, d: int = 1, q: int = 1, steps: int = 10, by:
     ends = rows.groupBy(*one).agg(
         F.max_by(F.array(*keep), "idx").alias("recent"),
         F.max_by(F.array(*([F.col(f"e{j}") for j in range(q)] or [F.lit(0.0)])), "idx").alias("shocks"),
+        F.max_by(F.array("y", *[F.col(f"y{j}") for j in range(1, d)]), "idx").alias("tail"),
     )
-    levels = base.groupBy(*one).agg(F.max("idx").alias("last"))
-    tail = base.join(levels, one).filter(F.col("idx") > F.col("last") - max(d, 1)).groupBy(*one).agg(
-        F.reverse(F.array_sort(F.collect_list(F.struct("idx", "y")))).alias("tail")
-    )
-    model = fit.join(ends, one).join(tail, one)
+    model = fit.join(ends, one)
     n, k = F.col("n").cast("double"), p + q + 1
     model = model.withColumns(
         {
@@ -532,13 +530,15 @@ def arima(s: DataFrame, p: int = 1, d: int = 1, q: int = 1, steps: int = 10, by:
         }
     )
 
-    def ahead(intercept, coefficients, recent, shocks, tail, sigma2) -> pd.DataFrame:
+    def ahead(
+        intercept: pd.Series, coefficients: pd.Series, recent: pd.Series, shocks: pd.Series, tail: pd.Series, sigma2: pd.Series
+    ) -> pd.DataFrame:
         out = []
         for c, beta, z, e, last, s2 in zip(intercept, coefficients, recent, shocks, tail, sigma2):
             beta = np.asarray(beta, dtype=float)
             z, e = list(map(float, z)), [float(v) if v is not None else 0.0 for v in e]
             phi, theta = beta[:p], beta[p:]
-            ys = [float(v["y"]) for v in last]
+            ys = [float(v) for v in last]
             values = []
             for _ in range(steps):
                 nxt = c + sum(phi[i] * z[i] for i in range(p)) + sum(theta[i] * e[i] for i in range(q))

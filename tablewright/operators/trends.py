@@ -1,6 +1,6 @@
 """Quality over time: snapshots, their trend, forecast and alerts.
 
-A snapshot table has ``dataset``, ``at`` and one column per metric; windows run
+A snapshot table has ``dataset``, ``checked_at`` and one column per metric; windows run
 within a dataset, whose history is short (one row per check).
 """
 
@@ -28,21 +28,21 @@ def strength(slope: Column) -> Column:
 
 
 def _numbered(snapshots: DataFrame) -> DataFrame:
-    w = Window.partitionBy("dataset").orderBy("at")
+    w = Window.partitionBy("dataset").orderBy("checked_at")
     return snapshots.withColumn("i", F.row_number().over(w) - 1)
 
 
 def snapshot_trend(snapshots: DataFrame, score: str = "overall_score") -> DataFrame:
     """Direction at each snapshot from the three snapshots before it."""
-    before = Window.partitionBy("dataset").orderBy("at").rowsBetween(-3, -1)
+    before = Window.partitionBy("dataset").orderBy("checked_at").rowsBetween(-3, -1)
     slope = F.when(F.count(score).over(before) >= 2, F.regr_slope(F.col(score), F.col("i")).over(before))
     out = _numbered(snapshots).withColumn("slope", F.coalesce(slope, F.lit(0.0)))
-    return out.select("dataset", "at", score, direction(F.col("slope")).alias("direction"), strength(F.col("slope")).alias("trend_score"))
+    return out.select("dataset", "checked_at", score, direction(F.col("slope")).alias("direction"), strength(F.col("slope")).alias("trend_score"))
 
 
 def overall_trend(snapshots: DataFrame, since: Column | None = None, metrics: Sequence[str] = METRICS) -> DataFrame:
     """Mean slope of the metrics over the recent history of each dataset."""
-    recent = snapshots.filter(F.col("at") >= since) if since is not None else snapshots
+    recent = snapshots.filter(F.col("checked_at") >= since) if since is not None else snapshots
     slopes = [F.regr_slope(F.col(m), F.col("i")) for m in metrics]
     row = _numbered(recent).groupBy("dataset").agg(F.count(F.lit(1)).alias("snapshots"), (sum(slopes[1:], slopes[0]) / len(slopes)).alias("slope"))
     enough = F.col("snapshots") >= 2
@@ -67,9 +67,9 @@ def forecast(snapshots: DataFrame, steps: int = 7, metrics: Sequence[str] = METR
 
 def trend_alerts(snapshots: DataFrame, score: str = "overall_score", threshold: float = 0.8) -> DataFrame:
     """Sharp drop, steady decline and lasting low quality, judged on the last five."""
-    back = Window.partitionBy("dataset").orderBy(F.desc("at"))
+    back = Window.partitionBy("dataset").orderBy(F.desc("checked_at"))
     last = snapshots.withColumn("r", F.row_number().over(back)).filter("r <= 5")
-    w = Window.partitionBy("dataset").orderBy("at")
+    w = Window.partitionBy("dataset").orderBy("checked_at")
     steps = last.withColumn("change", F.col(score) - F.lag(score).over(w))
     row = steps.groupBy("dataset").agg(
         F.count(F.lit(1)).alias("n"),
@@ -92,8 +92,8 @@ def dashboard(snapshots: DataFrame, score: str = "overall_score") -> DataFrame:
     """Latest score, mean, best, worst and count per dataset."""
     return snapshots.groupBy("dataset").agg(
         F.count(F.lit(1)).alias("snapshots"),
-        F.max_by(score, "at").alias("latest"),
-        F.max("at").alias("latest_at"),
+        F.max_by(score, "checked_at").alias("latest"),
+        F.max("checked_at").alias("latest_at"),
         F.avg(score).alias("mean"),
         F.max(score).alias("best"),
         F.min(score).alias("worst"),
@@ -102,5 +102,5 @@ def dashboard(snapshots: DataFrame, score: str = "overall_score") -> DataFrame:
 
 def trend_advice(snapshots: DataFrame, metrics: Sequence[str] = METRICS, threshold: float = 0.8) -> DataFrame:
     """Metrics of each dataset's latest snapshot that are below the threshold."""
-    latest = snapshots.groupBy("dataset").agg(F.max_by(F.struct(*metrics), "at").alias("m")).select("dataset", "m.*")
+    latest = snapshots.groupBy("dataset").agg(F.max_by(F.struct(*metrics), "checked_at").alias("m")).select("dataset", "m.*")
     return rows_of(latest, [{"metric": F.lit(m), "value": F.col(m)} for m in metrics], ["dataset"]).filter(F.col("value") < threshold)

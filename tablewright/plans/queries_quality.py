@@ -237,15 +237,15 @@ def _(t: Tables):
 # --- quality over time: one snapshot per day of the event log --------------------------------
 
 _SNAPS = """
-    with d as (select cast(ts as date) as at, count(*) as n, count(*) filter (where value >= 20) / count(*) as completeness, count(distinct user_id) / count(*) as accuracy,
+    with d as (select cast(ts as date) as checked_at, count(*) as n, count(*) filter (where value >= 20) / count(*) as completeness, count(distinct user_id) / count(*) as accuracy,
         count(*) filter (where event_type <> 'error') / count(*) as consistency, count(*) filter (where value < 80) / count(*) as validity, 1 - count(*) filter (where value >= 20) / count(*) as missing_ratio from events group by 1),
-    s as (select 'events' as dataset, at, completeness, accuracy, consistency, validity, completeness * 0.3 + accuracy * 0.3 + consistency * 0.2 + validity * 0.2 as overall_score, missing_ratio, (row_number() over (order by at) - 1)::double as i from d)
+    s as (select 'events' as dataset, checked_at, completeness, accuracy, consistency, validity, completeness * 0.3 + accuracy * 0.3 + consistency * 0.2 + validity * 0.2 as overall_score, missing_ratio, (row_number() over (order by checked_at) - 1)::double as i from d)
 """
 
 
 def snapshots(t: Tables):
     n = F.count(F.lit(1))
-    daily = t.events.groupBy(F.to_date("ts").alias("at")).agg(
+    daily = t.events.groupBy(F.to_date("ts").alias("checked_at")).agg(
         (F.count_if(F.col("value") >= 20) / n).alias("completeness"),
         (F.count_distinct("user_id") / n).alias("accuracy"),
         (F.count_if(F.col("event_type") != "error") / n).alias("consistency"),
@@ -258,8 +258,8 @@ def snapshots(t: Tables):
 
 @query(
     "quality_snapshot_trend",
-    _SNAPS + """, w as (select *, count(*) over b as k, regr_slope(overall_score, i) over b as sl from s window b as (order by at rows between 3 preceding and 1 preceding)), x as (select *, case when k >= 2 then coalesce(sl, 0) else 0 end as slope from w)
-    select dataset, at, round(overall_score, 6) as overall_score, case when slope > 0.01 then 'improving' when slope < -0.01 then 'declining' else 'stable' end as direction,
+    _SNAPS + """, w as (select *, count(*) over b as k, regr_slope(overall_score, i) over b as sl from s window b as (order by checked_at rows between 3 preceding and 1 preceding)), x as (select *, case when k >= 2 then coalesce(sl, 0) else 0 end as slope from w)
+    select dataset, checked_at, round(overall_score, 6) as overall_score, case when slope > 0.01 then 'improving' when slope < -0.01 then 'declining' else 'stable' end as direction,
     round(case when abs(slope) > 0.01 then greatest(-1, least(1, slope * 10)) else 0 end, 6) as trend_score from x""",
 )
 def _(t: Tables):
@@ -271,7 +271,7 @@ _SLOPE = "(regr_slope(completeness, i) + regr_slope(accuracy, i) + regr_slope(co
 
 @query(
     "quality_overall_trend",
-    _SNAPS + f""", r as (select dataset, at, completeness, accuracy, consistency, validity, overall_score, (row_number() over (order by at) - 1)::double as i from s where at >= date '2024-01-10'), g as (select dataset, count(*) as snapshots, {_SLOPE} as sl from r group by 1)
+    _SNAPS + f""", r as (select dataset, checked_at, completeness, accuracy, consistency, validity, overall_score, (row_number() over (order by checked_at) - 1)::double as i from s where checked_at >= date '2024-01-10'), g as (select dataset, count(*) as snapshots, {_SLOPE} as sl from r group by 1)
     select dataset, snapshots, case when sl > 0.01 then 'improving' when sl < -0.01 then 'declining' else 'stable' end as direction, round(case when abs(sl) > 0.01 then greatest(-1, least(1, sl * 10)) else 0 end, 6) as trend_strength from g""",
 )
 def _(t: Tables):
@@ -302,7 +302,7 @@ def _(t: Tables):
 
 @query(
     "quality_trend_alerts",
-    _SNAPS + """, l as (select *, row_number() over (order by at desc) as r from s), f as (select *, overall_score - lag(overall_score) over (order by at) as ch from l where r <= 5),
+    _SNAPS + """, l as (select *, row_number() over (order by checked_at desc) as r from s), f as (select *, overall_score - lag(overall_score) over (order by checked_at) as ch from l where r <= 5),
     g as (select count(*) as n, max(ch) filter (where r = 1) as lc, max(ch) as mc, count(*) filter (where overall_score < 0.8) as low from f)
     select 'events' as dataset, 'sharp_drop' as alert from g where lc < -0.1 union all select 'events', 'steady_decline' from g where n >= 3 and mc < 0 union all select 'events', 'lasting_low' from g where low >= 3""",
 )
@@ -310,64 +310,64 @@ def _(t: Tables):
     return trends.trend_alerts(snapshots(t))
 
 
-@query("quality_dashboard", _SNAPS + "select dataset, count(*) as snapshots, round(arg_max(overall_score, at), 6) as latest, max(at) as latest_at, round(avg(overall_score), 6) as mean, round(max(overall_score), 6) as best, round(min(overall_score), 6) as worst from s group by 1")
+@query("quality_dashboard", _SNAPS + "select dataset, count(*) as snapshots, round(arg_max(overall_score, checked_at), 6) as latest, max(checked_at) as latest_at, round(avg(overall_score), 6) as mean, round(max(overall_score), 6) as best, round(min(overall_score), 6) as worst from s group by 1")
 def _(t: Tables):
     return rounded(trends.dashboard(snapshots(t)))
 
 
 @query(
     "quality_trend_advice",
-    _SNAPS + ", z as (select * from s order by at desc limit 1), m as (" + " union all ".join(f"select '{m}' as metric, {m} as value from z" for m in trends.METRICS) + ") select 'events' as dataset, metric, round(value, 6) as value from m where value < 0.8",
+    _SNAPS + ", z as (select * from s order by checked_at desc limit 1), m as (" + " union all ".join(f"select '{m}' as metric, {m} as value from z" for m in trends.METRICS) + ") select 'events' as dataset, metric, round(value, 6) as value from m where value < 0.8",
 )
 def _(t: Tables):
     return rounded(trends.trend_advice(snapshots(t)))
 
 
-_ALERTS = _SNAPS + ", m as (" + " union all ".join(f"select at, '{m}' as metric, {m} as value from s" for m in [*trends.METRICS, "missing_ratio"]) + ")"
+_ALERTS = _SNAPS + ", m as (" + " union all ".join(f"select checked_at, '{m}' as metric, {m} as value from s" for m in [*trends.METRICS, "missing_ratio"]) + ")"
 
 
 @query(
     "quality_threshold_alerts",
-    _ALERTS + """select dataset, at, metric, round(value, 6) as value, op, round("limit", 6) as "limit" from (select 'events' as dataset, at, metric, value, case when metric = 'missing_ratio' then 'gt' else 'lt' end as op, case when metric = 'missing_ratio' then 0.5 else 0.8 end::double as "limit" from m)
+    _ALERTS + """select dataset, checked_at, metric, round(value, 6) as value, op, round("limit", 6) as "limit" from (select 'events' as dataset, checked_at, metric, value, case when metric = 'missing_ratio' then 'gt' else 'lt' end as op, case when metric = 'missing_ratio' then 0.5 else 0.8 end::double as "limit" from m)
     where (op = 'lt' and value < "limit") or (op = 'gt' and value > "limit")""",
 )
 def _(t: Tables):
-    rows = quality.metric_rows(snapshots(t), ["dataset", "at"], [*trends.METRICS, "missing_ratio"])
+    rows = quality.metric_rows(snapshots(t), ["dataset", "checked_at"], [*trends.METRICS, "missing_ratio"])
     return rounded(quality.threshold_alerts(rows))
 
 
-_LIMITS = """, l as (select event_type as metric, case when event_type in ('click', 'view') then 'gte' else 'lt' end as op, avg(value) as "limit" from events group by 1), v as (select cast(ts as date) as at, event_type as metric, avg(value) as value from events group by 1, 2)"""
+_LIMITS = """, l as (select event_type as metric, case when event_type in ('click', 'view') then 'gte' else 'lt' end as op, avg(value) as "limit" from events group by 1), v as (select cast(ts as date) as checked_at, event_type as metric, avg(value) as value from events group by 1, 2)"""
 
 
 @query(
     "quality_table_thresholds",
-    "with x as (select 1)" + _LIMITS + """select metric, at, round(value, 6) as value, op, round("limit", 6) as "limit" from v join l using (metric) where (op = 'gte' and value >= "limit") or (op = 'lt' and value < "limit")""",
+    "with x as (select 1)" + _LIMITS + """select metric, checked_at, round(value, 6) as value, op, round("limit", 6) as "limit" from v join l using (metric) where (op = 'gte' and value >= "limit") or (op = 'lt' and value < "limit")""",
 )
 def _(t: Tables):
     limits = t.events.groupBy(F.col("event_type").alias("metric")).agg(F.avg("value").alias("limit")).select(
         "metric", F.when(F.col("metric").isin("click", "view"), "gte").otherwise("lt").alias("op"), "limit"
     )
-    rows = t.events.groupBy(F.to_date("ts").alias("at"), F.col("event_type").alias("metric")).agg(F.avg("value").alias("value"))
+    rows = t.events.groupBy(F.to_date("ts").alias("checked_at"), F.col("event_type").alias("metric")).agg(F.avg("value").alias("value"))
     return rounded(quality.threshold_alerts(rows, limits))
 
 
-_ALERT_LOG = "(select event_id as alert_id, ts as at, case when value > 150 then 'high' else 'low' end as severity, event_id % 5 = 0 as acknowledged from events where event_type = 'error')"
+_ALERT_LOG = "(select event_id as alert_id, ts as checked_at, case when value > 150 then 'high' else 'low' end as severity, event_id % 5 = 0 as acknowledged from events where event_type = 'error')"
 
 
 def _alert_log(t: Tables):
     return t.events.filter("event_type = 'error'").select(
-        F.col("event_id").alias("alert_id"), F.col("ts").alias("at"),
+        F.col("event_id").alias("alert_id"), F.col("ts").alias("checked_at"),
         F.when(F.col("value") > 150, "high").otherwise("low").alias("severity"), (F.col("event_id") % 5 == 0).alias("acknowledged"),
     )
 
 
-@query("find_alerts", f"select * from {_ALERT_LOG} where severity = 'high' and not acknowledged and at >= timestamp '2024-01-29 12:00:00' - interval 48 hours order by at desc, alert_id")
+@query("find_alerts", f"select * from {_ALERT_LOG} where severity = 'high' and not acknowledged and checked_at >= timestamp '2024-01-29 12:00:00' - interval 48 hours order by checked_at desc, alert_id")
 def _(t: Tables):
     now = F.lit("2024-01-29 12:00:00").cast("timestamp_ntz")
     return quality.find_alerts(_alert_log(t), now, "high", False, 48)
 
 
-@query("acknowledge_alerts", f"select alert_id, at, severity, acknowledged or alert_id % 3 = 0 as acknowledged from {_ALERT_LOG}")
+@query("acknowledge_alerts", f"select alert_id, checked_at, severity, acknowledged or alert_id % 3 = 0 as acknowledged from {_ALERT_LOG}")
 def _(t: Tables):
     log = _alert_log(t)
     return quality.acknowledge(log, log.filter("alert_id % 3 = 0"))
