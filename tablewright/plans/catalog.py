@@ -4,6 +4,7 @@ from tablewright.plans import (  # noqa: F401
     queries_business,
     queries_charts,
     queries_governance,
+    queries_learning,
     queries_quality,
     queries_relational,
     queries_stats,
