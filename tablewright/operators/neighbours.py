@@ -22,14 +22,20 @@ from tablewright.operators.features import arrays, matrix, scaled, width
 from tablewright.session import attach, stage
 
 MAX_PIVOTS = 20_000
-BLOCK = 512
+BLOCK_CELLS = 4_000_000
+
+
+def _rows_per_block(b: np.ndarray) -> int:
+    return max(1, BLOCK_CELLS // max(1, b.size))
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distances of all rows of ``a`` to all of ``b``, in blocks of bounded memory."""
     out = np.empty((len(a), len(b)))
-    for lo in range(0, len(a), BLOCK):
-        part = a[lo : lo + BLOCK]
-        out[lo : lo + BLOCK] = np.sqrt(((part[:, None, :] - b[None, :, :]) ** 2).sum(axis=2))
+    step = _rows_per_block(b)
+    for lo in range(0, len(a), step):
+        part = a[lo : lo + step]
+        out[lo : lo + step] = np.sqrt(((part[:, None, :] - b[None, :, :]) ** 2).sum(axis=2))
     return out
 
 
@@ -121,15 +127,16 @@ def knn(queries: DataFrame, donors: DataFrame, k: int, same: bool = False) -> Da
             take = min(len(b), wanted)
             qids = left["id"].to_numpy()
             a = matrix(left["x"])
-            for lo in range(0, len(a), BLOCK):
-                d = _distances(a[lo : lo + BLOCK], b)
+            step = _rows_per_block(b)
+            for lo in range(0, len(a), step):
+                d = _distances(a[lo : lo + step], b)
                 part = np.argpartition(d, take - 1, axis=1)[:, :take]
                 dist = np.take_along_axis(d, part, axis=1)
                 order = np.argsort(dist, axis=1, kind="stable")
                 part, dist = np.take_along_axis(part, order, axis=1), np.take_along_axis(dist, order, axis=1)
                 size = w[part]
                 if same:
-                    size = size - (ids[part] == qids[lo : lo + BLOCK, None])
+                    size = size - (ids[part] == qids[lo : lo + step, None])
                 before = np.cumsum(size, axis=1) - size
                 used = np.clip(k - before, 0, size)
                 i, j = np.nonzero(used)

@@ -10,6 +10,8 @@ from tablewright.operators import stats
 from tablewright.plans import analyze
 from tablewright.plans.queries_stats import rounded, summary_sql
 from tablewright.plans.registry import Tables, query
+from tablewright.session import fresh_folder
+from tablewright.sources import sinks
 from tablewright.streaming import chunks, events
 
 # --- batch functions ---------------------------------------------------------------------
@@ -61,14 +63,30 @@ def _plain(df):
     return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c, k in df.dtypes if k == "timestamp"})
 
 
-@query(
-    "window_tumbling",
-    "select time_bucket(interval '6 hours', ts, timestamp '2024-01-01 00:00:00') as window_start, time_bucket(interval '6 hours', ts, timestamp '2024-01-01 00:00:00') + interval 6 hours as window_end, event_type, count(*) as n, round(sum(value), 2) as total, min(value) as low, max(value) as high from events group by 1, 2, 3",
+_TUMBLING = (
+    "select time_bucket(interval '6 hours', ts, timestamp '2024-01-01 00:00:00') as window_start, time_bucket(interval '6 hours', ts, timestamp '2024-01-01 00:00:00') + interval 6 hours as window_end, event_type, count(*) as n, round(sum(value), 2) as total, min(value) as low, max(value) as high from events group by 1, 2, 3"
 )
+
+
+@query("window_tumbling", _TUMBLING)
 def _(t: Tables):
     return _plain(rounded(events.window_counts(stamped(t), "ts", "value", "6 hours", keys=["event_type"]), 2))
 
 
+def arriving(t: Tables):
+    """The event file as a stream."""
+    return events.read_stream(t.spark, t.sf_dir, t.events.schema, pattern="events.parquet")
+
+
+@query("stream_windows", _TUMBLING)
+def _(t: Tables):
+    # Files may arrive in any order, so the delay spans the whole log and nothing is dropped.
+    late = events.late_tolerant(arriving(t), "ts", "40 days")
+    counts = events.window_counts(late, "ts", "value", "6 hours", keys=["event_type"])
+    done = events.drain(counts, "update", ["window_start", "window_end", "event_type"])
+    return _plain(rounded(done, 2))
+
+
 @query(
     "window_sliding",
     "select w - o * interval 1 hour as window_start, w - o * interval 1 hour + interval 3 hours as window_end, count(*) as n, round(sum(value), 2) as total, min(value) as low, max(value) as high from (select date_trunc('hour', ts)::timestamp as w, value from events), range(3) r(o) group by 1, 2",
@@ -96,16 +114,46 @@ def _(t: Tables):
     return _plain(rounded(events.quality_windows(stamped(t), "ts", "1 day", checks)))
 
 
-@query(
-    "alert_cooldown",
+_COOLDOWN = (
     """with recursive h as (select event_type as rule_id, event_id as alert_id, ts from events where value > 100), o as (select *, row_number() over (partition by rule_id order by ts, alert_id) as i from h),
     n as (select a.rule_id, a.i, a.ts, a.alert_id, (select min(b.i) from o b where b.rule_id = a.rule_id and b.ts >= a.ts + interval 60 minutes) as nx from o a),
     w as (select rule_id, i, ts, alert_id, nx from n where i = 1 union all select n.rule_id, n.i, n.ts, n.alert_id, n.nx from w join n on n.rule_id = w.rule_id and n.i = w.nx)
-    select rule_id, ts, alert_id from w""",
+    select rule_id, ts, alert_id from w"""
+)
+
+
+def _raised(rows):
+    return rows.filter("value > 100").select(F.col("event_type").alias("rule_id"), "ts", F.col("event_id").alias("alert_id"))
+
+
+@query("alert_cooldown", _COOLDOWN)
+def _(t: Tables):
+    return _plain(events.cooldown_batch(_raised(stamped(t)), 60))
+
+
+@query("stream_cooldown", _COOLDOWN)
+def _(t: Tables):
+    return _plain(events.drain(events.cooldown_stream(_raised(arriving(t)), 60)))
+
+
+@query(
+    "stream_quality",
+    """with m as (select count(*) as n, 1 - count(*) filter (where value > 150) / (count(*) * 3) as validity from events)
+    select 'validity' as metric, round(validity, 6) as value, 'lt' as op, 0.999::double as "limit" from m where validity < 0.999""",
 )
 def _(t: Tables):
-    alerts = stamped(t).filter("value > 100").select(F.col("event_type").alias("rule_id"), "ts", F.col("event_id").alias("alert_id"))
-    return _plain(events.cooldown_batch(alerts, 60))
+    folder = fresh_folder(t.spark, "alerts")
+    rows = arriving(t).select("event_type", "value", "props")
+    run = events.monitor(
+        rows,
+        lambda alerts, epoch: sinks.append_alerts(alerts, folder),
+        fresh_folder(t.spark, "progress"),
+        [("validity", "lt", 0.999), ("completeness", "lt", 0.9)],
+        {"value": {"max": 150}},
+    )
+    run.awaitTermination()
+    found = sinks.load_document(t.spark, folder, "epoch int, metric string, value double, op string, `limit` double")
+    return rounded(found.drop("epoch"))
 
 
 # --- one-call analysis ------------------------------------------------------------------------------

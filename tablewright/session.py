@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,13 +42,8 @@ def is_small(df: DataFrame) -> bool:
     return plan_bytes(df) <= int(limit)
 
 
-def stage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read on from there.
-
-    Used where a result must be identical for every later reader (numbered
-    partitions) or where an iteration would otherwise grow its lineage.
-    """
-    spark = df.sparkSession
+def _shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share for intermediate tables."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -56,9 +52,24 @@ def stage(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder all executors share")
             folder = tempfile.mkdtemp(prefix="tablewright-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def stage(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and read on from there.
+
+    Used where a result must be identical for every later reader (numbered
+    partitions) or where an iteration would otherwise grow its lineage.
+    """
+    _shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def fresh_folder(spark: SparkSession, purpose: str) -> str:
+    """A new path in the shared folder, for a stream's output or progress."""
+    return f"{_shared_dir(spark)}/{purpose}-{uuid.uuid4().hex}"
+
+
 def scalars(row: DataFrame) -> Column:
     """A one-row frame as a struct-valued scalar subquery.
 

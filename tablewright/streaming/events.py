@@ -17,16 +17,46 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tablewright.operators.quality import quality_metrics, threshold_alerts
-from tablewright.session import stage
+from tablewright.session import fresh_folder, stage
 
 
-def read_stream(spark: SparkSession, path: str, schema: T.StructType | str, files_per_trigger: int = 16) -> DataFrame:
+def read_stream(spark: SparkSession, path: str, schema: T.StructType | str, files_per_trigger: int = 16, pattern: str | None = None) -> DataFrame:
     """Parquet files as they arrive; event times become timestamps for watermarks."""
-    raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
+    raw = (reader.option("pathGlobFilter", pattern) if pattern else reader).parquet(path)
     casts = {f.name: F.col(f.name).cast("timestamp") for f in raw.schema.fields if isinstance(f.dataType, T.TimestampNTZType)}
     return raw.withColumns(casts) if casts else raw
 
 
+def drain(stream: DataFrame, mode: str = "append", keys: Sequence[str] = (), folder: str | None = None) -> DataFrame:
+    """Run a stream over the input there is and return what it wrote.
+
+    ``append`` output is final as it comes. ``update`` output repeats a key
+    whenever its value changes, so the last version of each key is kept.
+    """
+    spark = stream.sparkSession
+    out = folder or fresh_folder(spark, "stream")
+    schema = T.StructType([*stream.schema.fields, T.StructField("_epoch", T.LongType())])
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        # A repeated epoch after a failure overwrites its own folder: exactly once.
+        batch.withColumn("_epoch", F.lit(epoch).cast("long")).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+
+    query = (
+        stream.writeStream.outputMode(mode)
+        .foreachBatch(write)
+        .option("checkpointLocation", fresh_folder(spark, "progress"))
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    written = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(out)
+    if mode == "append":
+        return written.drop("_epoch")
+    rest = [c for c in written.columns if c not in keys and c != "_epoch"]
+    return written.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_epoch").alias("_r")).select(*keys, "_r.*")
+
+
 # --- windows -----------------------------------------------------------------------------
 
 
