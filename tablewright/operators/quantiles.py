@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewright.operators.columns import present_double, quoted, tall
-from tablewright.session import attach, is_small, scalars
+from tablewright.session import is_small, scalars
 
 SKETCH_ACCURACY = 50_000
 
@@ -52,12 +52,8 @@ def _bracketed(long: DataFrame, probabilities: Sequence[float], by: Sequence[str
         ).alias("_t"),
     ).select(*keys, "_t.*")
     spots = targets.groupBy(*keys).agg(F.collect_list(F.struct("probability", "_lo", "_hi", "_h")).alias("_ts"))
-    if by:
-        placed = long.join(spots, keys)
-    else:
-        # A handful of columns: looked up in a one-row map, so the rows never move.
-        row = spots.agg(F.map_from_entries(F.collect_list(F.struct("column", "_ts"))).alias("m"))
-        placed = attach(long, row).withColumn("_ts", F.col("_s.m")[F.col("column")])
+    # Without groups there is one row per column, so its size is bounded and the rows never move.
+    placed = long.join(spots if by else F.broadcast(spots), keys)
     placed = placed.select(*keys, "value", F.explode("_ts").alias("_t"))
     side = F.when(F.col("value") < F.col("_t._lo"), 0).when(F.col("value") > F.col("_t._hi"), 2).otherwise(1)
     pieces = (
