@@ -15,8 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablewright.operators.columns import present_double, quoted, tall
-from tablewright.session import is_small, scalars
+from tablewright.operators.columns import present_double, quoted
+from tablewright.session import is_small, scalars, stage
 
 SKETCH_ACCURACY = 50_000
 
@@ -25,74 +25,93 @@ def percentile_of(value: Column, probabilities: Sequence[float]) -> Column:
     return F.percentile(value, F.array(*[F.lit(float(p)) for p in probabilities]))
 
 
-def _bracketed(long: DataFrame, probabilities: Sequence[float], by: Sequence[str], accuracy: int) -> DataFrame:
-    """``(by..., column, probability, value)`` from a tall frame, two bounded passes."""
-    keys = [*by, "column"]
-    eps = 2.0 / accuracy
-    edges: list[float] = []
-    for p in probabilities:
-        edges += [max(0.0, p - eps), min(1.0, p + eps)]
-    sketch = long.groupBy(*keys).agg(
-        F.percentile_approx("value", edges, accuracy).alias("_e"), F.count(F.lit(1)).alias("_n")
+def _sketch(df: DataFrame, columns: Sequence[str], edges: Sequence[float], by: Sequence[str], accuracy: int) -> DataFrame:
+    """``(by..., _ci, _e)``: approximate edges per column number."""
+    if by:
+        return _tall(df, columns, by).groupBy(*by, "_ci").agg(F.percentile_approx("_v", list(edges), accuracy).alias("_e"))
+    row = df.agg(*[F.percentile_approx(present_double(df, c), list(edges), accuracy).alias(f"e{i}") for i, c in enumerate(columns)])
+    return row.select(
+        F.inline(F.array(*[F.struct(F.lit(i).alias("_ci"), F.col(f"e{i}").alias("_e")) for i in range(len(columns))]))
+    ).filter("_e IS NOT NULL")
+
+
+def _tall(df: DataFrame, columns: Sequence[str], by: Sequence[str]) -> DataFrame:
+    """One row per non-missing cell, columns by number."""
+    cells = F.inline(
+        F.array(*[F.struct(F.lit(i).alias("_ci"), present_double(df, c).alias("_v")) for i, c in enumerate(columns)])
     )
-    targets = sketch.select(
-        *keys,
-        F.explode(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(float(p)).alias("probability"),
-                        F.col("_e")[2 * i].alias("_lo"),
-                        F.col("_e")[2 * i + 1].alias("_hi"),
-                        ((F.col("_n") - 1) * F.lit(float(p))).alias("_h"),
-                    )
-                    for i, p in enumerate(probabilities)
-                ]
-            )
-        ).alias("_t"),
-    ).select(*keys, "_t.*")
-    spots = targets.groupBy(*keys).agg(F.collect_list(F.struct("probability", "_lo", "_hi", "_h")).alias("_ts"))
+    return df.select(*[quoted(k) for k in by], cells).filter("_v IS NOT NULL")
+
+
+def _bracketed(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], by: Sequence[str], accuracy: int) -> DataFrame:
+    """``(by..., _ci, q)`` in two scans whose shuffles do not grow with the rows.
+
+    The sketch gives a bracket for every probability. The second scan puts each
+    value into a segment between brackets; segments outside keep a count and
+    their ends, segments inside a bracket their distinct values. These pieces, a
+    sliver of the rows, are checkpointed: the steps after them read one and the
+    same version, and neither scan is repeated.
+    """
+    keys = [*by, "_ci"]
+    eps = 2.0 / accuracy
+    ps = sorted(set(map(float, probabilities)))
+    edges = [e for p in ps for e in (max(0.0, p - eps), min(1.0, p + eps))]
+    sketch = _sketch(df, columns, edges, by, accuracy)
     # Without groups there is one row per column, so its size is bounded and the rows never move.
-    placed = long.join(spots if by else F.broadcast(spots), keys)
-    placed = placed.select(*keys, "value", F.explode("_ts").alias("_t"))
-    side = F.when(F.col("value") < F.col("_t._lo"), 0).when(F.col("value") > F.col("_t._hi"), 2).otherwise(1)
-    pieces = (
-        placed.select(
-            *keys,
-            F.col("_t.probability").alias("probability"),
-            F.col("_t._h").alias("_h"),
-            side.alias("_side"),
-            F.when(side == 1, F.col("value")).alias("_v"),
-            "value",
-        )
-        .groupBy(*keys, "probability", "_h", "_side", "_v")
-        .agg(F.count(F.lit(1)).alias("_c"), F.min("value").alias("_min"), F.max("value").alias("_max"))
+    side = sketch if by else F.broadcast(sketch)
+    cells = _tall(df, columns, by).join(side, keys)
+    v = F.col("_v")
+    begun = sum(((F.col("_e")[2 * j] <= v).cast("int") for j in range(len(ps))), F.lit(0))
+    over = sum(((F.col("_e")[2 * j + 1] < v).cast("int") for j in range(len(ps))), F.lit(0))
+    pieces = stage(
+        cells.select(*keys, "_v", begun.alias("_b"), over.alias("_o"))
+        .select(*keys, "_v", (F.col("_b") + F.col("_o")).alias("_seg"), F.when(F.col("_b") > F.col("_o"), F.col("_v")).alias("_in"))
+        .groupBy(*keys, "_seg", "_in")
+        .agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_min"), F.max("_v").alias("_max"))
+    )
+    totals = pieces.groupBy(*keys, "_seg").agg(F.sum("_c").alias("_t"))
+    earlier = Window.partitionBy(*[quoted(k) for k in keys]).orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*[quoted(k) for k in keys])
+    offsets = totals.select(
+        *keys, "_seg", F.coalesce(F.sum("_t").over(earlier), F.lit(0)).alias("_off"), F.sum("_t").over(whole).alias("_n")
+    )
+    inside = Window.partitionBy(*[quoted(k) for k in keys], "_seg").orderBy("_in").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    spans = (
+        pieces.withColumn("_run", F.sum("_c").over(inside))
+        .join(offsets if by else F.broadcast(offsets), [*keys, "_seg"])
+        .withColumn("_end", F.col("_off") + F.col("_run"))
+        .withColumn("_start", F.col("_end") - F.col("_c"))
     )
-    order = Window.partitionBy(*[quoted(k) for k in keys], "probability").orderBy("_side", "_v")
-    upto = F.sum("_c").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    spans = pieces.withColumn("_end", upto).withColumn("_start", F.col("_end") - F.col("_c"))
 
     def at(rank: Column) -> Column:
         here = (F.col("_start") <= rank) & (rank < F.col("_end"))
         exact = (
-            F.when(F.col("_side") == 1, F.col("_v"))
-            .when((F.col("_side") == 0) & (rank == F.col("_end") - 1), F.col("_max"))
-            .when((F.col("_side") == 2) & (rank == F.col("_start")), F.col("_min"))
+            F.when(F.col("_in").isNotNull(), F.col("_in"))
+            .when(rank == F.col("_end") - 1, F.col("_max"))
+            .when(rank == F.col("_start"), F.col("_min"))
             .otherwise(F.raise_error(F.lit("quantile bracket missed its rank")).cast("double"))
         )
         return F.max(F.when(here, exact))
 
-    low = F.floor("_h")
-    return (
-        spans.groupBy(*keys, "probability")
-        .agg(at(low).alias("_a"), at(F.ceil("_h")).alias("_b"), F.max(F.col("_h") - low).alias("_f"))
-        .select(
-            *keys,
-            "probability",
-            (F.col("_a") + F.col("_f") * (F.col("_b") - F.col("_a"))).alias("value"),
-        )
+    place = lambda p: (F.col("_n") - 1) * F.lit(p)
+    found = spans.groupBy(*keys).agg(
+        F.max("_n").alias("_n"),
+        *[at(F.floor(place(p))).alias(f"a{j}") for j, p in enumerate(ps)],
+        *[at(F.ceil(place(p))).alias(f"b{j}") for j, p in enumerate(ps)],
     )
 
+    def value(p: float) -> Column:
+        j = ps.index(float(p))
+        part = place(float(p)) - F.floor(place(float(p)))
+        return F.col(f"a{j}") + part * (F.col(f"b{j}") - F.col(f"a{j}"))
+
+    return found.select(*keys, F.array(*[value(p) for p in probabilities]).alias("q"))
+
+
+def _in_one_task(df: DataFrame, columns: Sequence[str], by: Sequence[str]) -> bool:
+    """Whether Spark's value-to-count map stays small enough for one reducer."""
+    return is_small(df.select(*[quoted(c) for c in dict.fromkeys([*by, *columns])]), 1 / 16)
+
 
 def quantiles(
     df: DataFrame,
@@ -103,27 +122,15 @@ def quantiles(
     accuracy: int = SKETCH_ACCURACY,
 ) -> DataFrame:
     """One row per ``(by..., column)`` with the array ``q`` in probability order."""
-    keys = [*by, "column"]
-    if not force_distributed and is_small(df.select(*[quoted(c) for c in [*by, *columns]])):
+    if not force_distributed and _in_one_task(df, columns, by):
         wide = df.groupBy(*by).agg(
             *[percentile_of(present_double(df, c), probabilities).alias(f"q{i}") for i, c in enumerate(columns)]
         )
-        return wide.select(
-            *by,
-            F.explode(
-                F.array(
-                    *[
-                        F.struct(F.lit(c).alias("column"), F.col(f"q{i}").alias("q"))
-                        for i, c in enumerate(columns)
-                    ]
-                )
-            ).alias("r"),
-        ).select(*by, "r.*")
-    found = _bracketed(tall(df, columns, by), sorted(set(map(float, probabilities))), by, accuracy)
-    gathered = found.groupBy(*keys).agg(
-        F.map_from_entries(F.collect_list(F.struct("probability", "value"))).alias("_m")
-    )
-    return gathered.select(*keys, F.array(*[F.col("_m")[F.lit(float(p))] for p in probabilities]).alias("q"))
+        cells = [F.struct(F.lit(c).alias("column"), F.col(f"q{i}").alias("q")) for i, c in enumerate(columns)]
+        return wide.select(*by, F.inline(F.array(*cells)))
+    found = _bracketed(df, columns, probabilities, by, accuracy)
+    names = F.array(*[F.lit(c) for c in columns])
+    return found.select(*by, names[F.col("_ci")].alias("column"), "q")
 
 
 def with_quantiles(
@@ -136,25 +143,26 @@ def with_quantiles(
 ) -> DataFrame:
     """Aggregates and quantile arrays in one row per group.
 
-    Output: ``by...``, the given aggregates, and ``q_<column>`` arrays. Small
-    inputs take a single pass; large ones join the two results on ``by``.
+    Output: ``by...``, the given aggregates, and ``q_<column>`` arrays. The
+    aggregates run apart from the quantiles: beside a value-to-count map they
+    would lose their generated code.
     """
-    if not force_distributed and is_small(df.select(*[quoted(c) for c in [*by, *columns]])):
-        return df.groupBy(*by).agg(
-            *aggregates,
-            *[percentile_of(present_double(df, c), probabilities).alias(f"q_{c}") for c in columns],
+    if not force_distributed and _in_one_task(df, columns, by):
+        wide = df.groupBy(*by).agg(
+            *[percentile_of(present_double(df, c), probabilities).alias(f"q_{c}") for c in columns]
+        )
+    else:
+        found = _bracketed(df, columns, probabilities, by, SKETCH_ACCURACY)
+        wide = found.groupBy(*by).agg(
+            *[F.max(F.when(F.col("_ci") == i, F.struct("q"))).getField("q").alias(f"q_{c}") for i, c in enumerate(columns)]
         )
-    tidy = quantiles(df, columns, probabilities, by, True)
-    wide = tidy.groupBy(*by).agg(
-        *[F.max(F.when(F.col("column") == c, F.struct("q"))).getField("q").alias(f"q_{c}") for c in columns]
-    )
     if not aggregates:
         return wide
     base = df.groupBy(*by).agg(*aggregates)
     if not by:
         s = scalars(wide)
         return base.select("*", *[s.getField(f"q_{c}").alias(f"q_{c}") for c in columns])
-    renamed = wide.select(*[quoted(b).alias(f"_k_{b}") for b in by], *[f"q_{c}" for c in columns])
+    renamed = wide.select(*[quoted(b).alias(f"_k_{b}") for b in by], *[F.col(f"`q_{c}`") for c in columns])
     match = None
     for b in by:
         one = quoted(b).eqNullSafe(F.col(f"`_k_{b}`"))

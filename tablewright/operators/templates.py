@@ -30,8 +30,8 @@ def customer_facts(df: DataFrame, customer: str = "customer_id", amount: str = "
 
 
 def _whole_days(later: Column, earlier: Column) -> Column:
-    seconds = F.unix_micros(later.cast("timestamp")) - F.unix_micros(earlier.cast("timestamp"))
-    return F.floor(seconds / 86_400_000_000)
+    """Full days between two times, whatever the session's time zone."""
+    return F.extract(F.lit("DAY"), later - earlier).cast("long")
 
 
 def quintile(value: Column, edges: Column, reverse: bool = False) -> Column:

@@ -32,14 +32,14 @@ def plan_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def is_small(df: DataFrame) -> bool:
-    """True when the plan's estimated output fits one task comfortably.
+def is_small(df: DataFrame, share: float = 1.0) -> bool:
+    """True when the plan's estimated output fits (a share of) one task's limit.
 
     Operators use it to choose between a one-task form and a distributed form
     of the same exact result; an unknown size counts as large.
     """
     limit = df.sparkSession.conf.get(SMALL_BYTES_KEY, str(SMALL_BYTES_DEFAULT))
-    return plan_bytes(df) <= int(limit)
+    return plan_bytes(df) <= int(limit) * share
 
 
 def _shared_dir(spark: SparkSession) -> str:
