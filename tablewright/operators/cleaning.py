@@ -15,7 +15,7 @@ from tablewright.operators.quantiles import with_quantiles
 from tablewright.operators.ranks import running_total
 from tablewright.operators.relational import keep_one
 from tablewright.operators.stats import duplicate_count
-from tablewright.session import attach, is_small
+from tablewright.session import attach, beside, is_small
 
 
 def remove_duplicates(df: DataFrame, subset: Sequence[str] | None = None, keep: str | bool = "first", order: Sequence[str] | None = None) -> DataFrame:
@@ -147,8 +147,8 @@ def encode_onehot(df: DataFrame, columns: Sequence[str] | None = None, max_value
 def cleanliness(df: DataFrame) -> DataFrame:
     """One row: rows, columns and 1 - missing share - duplicate share, within 0..1."""
     gaps = sum([F.count_if(absent(df, c)) for c in df.columns[1:]], F.count_if(absent(df, df.columns[0])))
-    missing = attach(duplicate_count(df), df.agg(gaps.alias("gaps")))
-    score = 1 - F.try_divide(F.col("_s.gaps"), F.col("row_count") * len(df.columns)) - F.try_divide("duplicate_rows", "row_count")
+    missing = beside(duplicate_count(df), df.agg(gaps.alias("gaps")))
+    score = 1 - F.try_divide(F.col("gaps"), F.col("row_count") * len(df.columns)) - F.try_divide("duplicate_rows", "row_count")
     return missing.select(
         "row_count",
         F.lit(len(df.columns)).alias("column_count"),

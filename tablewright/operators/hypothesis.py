@@ -16,7 +16,7 @@ from tablewright.operators.columns import present_double, quoted
 from tablewright.operators.quantiles import with_quantiles
 from tablewright.operators.ranks import average_ranks
 from tablewright.operators.stats import spearman_pair
-from tablewright.session import scalars
+from tablewright.session import beside, scalars
 
 ALPHA = 0.05
 
@@ -349,8 +349,7 @@ def ab_test(df: DataFrame, group: str, metric: str, test: str = "t_test", level:
     if test == "t_test":
         row = _t_judged(row, 1 - level)
     elif test == "mann_whitney":
-        u = scalars(mann_whitney(df, metric, group, 1 - level).select("statistic", "z", "p_value", "significant"))
-        row = row.withColumns({k: u.getField(k) for k in ("statistic", "p_value", "significant")})
+        row = beside(row.drop("statistic"), mann_whitney(df, metric, group, 1 - level).select("statistic", "p_value", "significant"))
     else:
         raise ValueError(f"unknown test: {test}")
     margin = probability.t_quantile_of(F.lit(1 - (1 - level) / 2), F.col("df")) * F.col("pooled_std") * F.sqrt(

@@ -14,7 +14,7 @@ from tablewright.operators.columns import absent, numeric_columns, present_doubl
 from tablewright.operators.outliers import outlier_stats
 from tablewright.operators.quantiles import with_quantiles
 from tablewright.operators.stats import duplicate_count, missing_counts
-from tablewright.session import attach, scalars
+from tablewright.session import attach, beside
 
 # Fixed patterns of the format checks.
 NUMBER_TEXT = r"^-?\d+\.?\d*$"
@@ -51,13 +51,13 @@ def consistency(df: DataFrame) -> DataFrame:
         for c in names
     ]
     issues = df.agg((sum(mixed[1:], mixed[0]) if mixed else F.lit(0)).cast("long").alias("mixed_columns"))
-    return duplicate_count(df).select(
+    return beside(duplicate_count(df), issues).select(
         "row_count",
         "duplicate_rows",
         _ratio(F.col("duplicate_rows"), F.col("row_count")).alias("duplicate_ratio"),
         "unique_rows",
         _ratio(F.col("unique_rows"), F.col("row_count")).alias("unique_ratio"),
-        scalars(issues).getField("mixed_columns").alias("mixed_columns"),
+        "mixed_columns",
     )
 
 
@@ -67,17 +67,18 @@ def component_scores(df: DataFrame, columns: Sequence[str] | None = None) -> Dat
     A declared column type cannot hold values of another type, so only mixed
     text columns cost points (10 each).
     """
-    missing = missing_counts(df, columns).agg((F.avg("complete_ratio") * 100).alias("v"))
+    missing = missing_counts(df, columns).agg((F.avg("complete_ratio") * 100).alias("missing_score"))
     numbers = numeric_columns(df, columns)
     dup = consistency(df)
     score = F.greatest(F.lit(0.0), 100.0 - F.col("duplicate_ratio") * 20 - F.col("mixed_columns") * 10)
-    out_score = F.lit(100.0)
     if numbers:
-        spread = outlier_stats(df, numbers).agg(F.greatest(F.lit(0.0), 100.0 - F.avg("outlier_ratio") * 100).alias("v"))
-        out_score = scalars(spread).getField("v")
-    row = dup.select(
-        scalars(missing).getField("v").alias("missing_score"),
-        out_score.alias("outlier_score"),
+        spread = outlier_stats(df, numbers).agg(F.greatest(F.lit(0.0), 100.0 - F.avg("outlier_ratio") * 100).alias("outlier_score"))
+        row = beside(dup, missing, spread)
+    else:
+        row = beside(dup, missing).withColumn("outlier_score", F.lit(100.0))
+    row = row.select(
+        "missing_score",
+        "outlier_score",
         score.alias("consistency_score"),
         "duplicate_ratio",
         "mixed_columns",
@@ -232,13 +233,12 @@ def quality_metrics(df: DataFrame, constraints: Mapping[str, Mapping[str, Any]]
         (sum(bounds[1:], bounds[0]) if bounds else zero).alias("constraint_violations"),
         (sum(formats[1:], formats[0]) if formats else zero).alias("format_violations"),
     )
-    values = scalars(value_consistency(df).agg(F.coalesce(F.avg("score"), F.lit(1.0)).alias("v"))).getField("v")
-    ranges = scalars(range_violations(df)).getField("violation_ratio")
-    copies = scalars(duplicate_count(df)).getField("duplicate_rows")
+    values = value_consistency(df).agg(F.coalesce(F.avg("score"), F.lit(1.0)).alias("value_consistency"))
+    ranges = range_violations(df).select(F.col("violation_ratio").alias("range_violation_ratio"))
+    copies = duplicate_count(df).select("duplicate_rows")
     n, width = F.col("row_count"), len(df.columns)
-    row = cells.withColumns(
-        {"value_consistency": values, "range_violation_ratio": ranges, "duplicate_ratio": _ratio(copies, n)}
-    )
+    row = beside(cells, values, ranges, copies)
+    row = row.withColumn("duplicate_ratio", _ratio(F.col("duplicate_rows"), n)).drop("duplicate_rows")
     row = row.withColumn("range_violations", F.floor(F.col("range_violation_ratio") * n))
     row = row.withColumns(
         {

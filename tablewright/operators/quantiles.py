@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewright.operators.columns import present_double, quoted
-from tablewright.session import is_small, scalars, stage
+from tablewright.session import beside, is_small, stage
 
 SKETCH_ACCURACY = 50_000
 
@@ -160,8 +160,7 @@ def with_quantiles(
         return wide
     base = df.groupBy(*by).agg(*aggregates)
     if not by:
-        s = scalars(wide)
-        return base.select("*", *[s.getField(f"q_{c}").alias(f"q_{c}") for c in columns])
+        return beside(base, wide)
     renamed = wide.select(*[quoted(b).alias(f"_k_{b}") for b in by], *[F.col(f"`q_{c}`") for c in columns])
     match = None
     for b in by:

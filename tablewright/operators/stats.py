@@ -13,7 +13,7 @@ from tablewright.functions import labels
 from tablewright.operators.columns import absent, numeric_columns, present_double, quoted, rows_of, string_columns, tall
 from tablewright.operators.quantiles import modes, with_quantiles
 from tablewright.operators.ranks import average_ranks, running_total
-from tablewright.session import attach, scalars
+from tablewright.session import attach, beside, scalars
 
 PAIRS_PER_PASS = 200
 
@@ -423,12 +423,12 @@ def table_summary(df: DataFrame) -> DataFrame:
     missing = df.agg(
         sum([F.count_if(absent(df, c)) for c in df.columns[1:]], F.count_if(absent(df, df.columns[0]))).alias("missing_cells")
     )
-    return duplicate_count(df).select(
+    return beside(duplicate_count(df), missing).select(
         "row_count",
         F.lit(len(df.columns)).alias("column_count"),
         F.lit(len(numeric_columns(df))).alias("numeric_columns"),
         F.lit(len(string_columns(df))).alias("text_columns"),
-        scalars(missing).getField("missing_cells").alias("missing_cells"),
+        "missing_cells",
         "duplicate_rows",
     )
 

@@ -14,7 +14,7 @@ from tablewright.operators.columns import require
 from tablewright.operators.hypothesis import _pooled, group_statistics, two_groups
 from tablewright.operators.quantiles import with_quantiles
 from tablewright.operators.stats import descriptive
-from tablewright.session import attach, scalars
+from tablewright.session import attach, beside, scalars
 
 # --- customers -----------------------------------------------------------------------
 
@@ -113,7 +113,7 @@ def customer_advice(scored: DataFrame, segmented: DataFrame) -> DataFrame:
     many = segmented.agg(
         (F.count_if(F.col("segment") == "low_value") > F.count_if(F.col("segment") == "vip")).alias("many_low")
     )
-    row = few.withColumn("many_low", scalars(many).getField("many_low"))
+    row = beside(few, many)
     codes = F.filter(
         F.array(F.when(F.col("few_valuable"), F.lit("strengthen_retention")), F.when(F.col("many_low"), F.lit("raise_customer_value"))),
         lambda c: c.isNotNull(),
@@ -165,14 +165,14 @@ def sales_advice(df: DataFrame, date: str = "sales_date", amount: str = "sales_a
         F.max_by("period", F.struct("seasonal_index", -F.col("period"))).alias("peak"),
         F.min_by("period", F.struct("seasonal_index", "period")).alias("low"),
     )
-    row = sales_trend(df, date, amount).withColumn("_e", scalars(ends))
+    row = beside(sales_trend(df, date, amount), ends)
     none = F.lit(None).cast("int")
     codes = F.filter(
         F.array(
             F.when(F.col("direction") == "down", F.struct(F.lit("review_marketing").alias("advice"), none.alias("month")))
             .when(F.col("direction") == "up", F.struct(F.lit("keep_strategy").alias("advice"), none.alias("month"))),
-            F.struct(F.lit("stock_up").alias("advice"), F.col("_e.peak").alias("month")),
-            F.struct(F.lit("promote").alias("advice"), F.col("_e.low").alias("month")),
+            F.struct(F.lit("stock_up").alias("advice"), F.col("peak").alias("month")),
+            F.struct(F.lit("promote").alias("advice"), F.col("low").alias("month")),
         ),
         lambda c: c.isNotNull(),
     )

@@ -79,6 +79,18 @@ def scalars(row: DataFrame) -> Column:
     return row.select(F.struct(*[F.col(f"`{c}`") for c in row.columns]).alias("s")).scalar()
 
 
+def beside(first: DataFrame, *others: DataFrame) -> DataFrame:
+    """One-row frames side by side as one row.
+
+    Aggregates that already contain scalar subqueries are combined this way:
+    Catalyst's merging of nested scalar subqueries is not dependable.
+    """
+    out = first
+    for other in others:
+        out = out.join(F.broadcast(other))
+    return out
+
+
 def attach(df: DataFrame, row: DataFrame, name: str = "_s") -> DataFrame:
     """Add the one-row frame ``row`` to every row of ``df`` as struct ``name``."""
     return df.withColumn(name, scalars(row))
