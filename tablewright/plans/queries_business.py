@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tablewright.operators import templates as tp
-from tablewright.plans.queries_stats import rounded
+from tablewright.plans.queries_stats import describe_sql, rounded
 from tablewright.plans.queries_tests import AB, ab
 from tablewright.plans.registry import Tables, query
 
@@ -137,6 +137,6 @@ def _(t: Tables):
     return tp.ab_advice(ab(t).toDF("group", "metric"))
 
 
-@query("template_customer_stats")
+@query("template_customer_stats", _RFM + ", z as (" + describe_sql(["recency", "frequency", "monetary"], "r") + ") select * from z")
 def _(t: Tables):
-    return tp.execute("customer_analysis", purchases(t))["rfm_stats"]
+    return rounded(tp.execute("customer_analysis", purchases(t))["rfm_stats"], 4)

@@ -133,6 +133,15 @@ def _(t: Tables):
     return charts.qq(t.orders, "o_totalprice", 100)
 
 
+@query(
+    "chart_qq_sample",
+    "select i::int as i, round((i + 0.5) / 100.0, 6)::double as probability, round(quantile_cont(o_totalprice, [" + ", ".join(str((i + 0.5) / 100) for i in range(100)) + "])[i + 1], 6) as sample from orders, range(100) r(i) group by i",
+)
+def _(t: Tables):
+    out = charts.qq(t.orders, "o_totalprice", 100).drop("theoretical")
+    return out.select("i", F.round("probability", 6).alias("probability"), F.round("sample", 6).alias("sample"))
+
+
 @query("chart_ecdf", "select value, n, round((sum(n) over (order by value)) / (sum(n) over ()), 9) as ecdf from (select value, count(*) as n from events group by 1)")
 def _(t: Tables):
     return rounded(charts.ecdf(t.events, "value"), 9)
@@ -161,6 +170,7 @@ def _(t: Tables):
     return board.groupBy("chart").agg(F.count(F.lit(1)).alias("rows"))
 
 
-@query("chart_dashboard")
+@query("chart_dashboard", _box_sql("", "o_totalprice", "orders"))
 def _(t: Tables):
-    return charts.dashboard(t.orders.select("o_totalprice", "o_orderstatus"))["box"]
+    box = charts.dashboard(t.orders.select("o_totalprice", "o_orderstatus"))["box"]
+    return box.withColumns({c: F.round(c, 4) for c in ("q1", "median", "q3")})

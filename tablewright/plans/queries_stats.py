@@ -200,6 +200,21 @@ def _(t: Tables):
     return stats.regression(t.lineitem, "l_extendedprice", ["l_quantity", "l_discount", "l_tax"])
 
 
+@query(
+    "regression_two",
+    """with s as (select count(*) as n, avg(l_extendedprice) as my, avg(l_quantity) as m1, avg(l_discount) as m2, covar_pop(l_quantity, l_quantity) as s11, covar_pop(l_discount, l_discount) as s22, covar_pop(l_quantity, l_discount) as s12,
+      covar_pop(l_quantity, l_extendedprice) as s1y, covar_pop(l_discount, l_extendedprice) as s2y, covar_pop(l_extendedprice, l_extendedprice) as syy from lineitem),
+    b as (select *, (s1y * s22 - s2y * s12) / (s11 * s22 - s12 * s12) as b1, (s2y * s11 - s1y * s12) / (s11 * s22 - s12 * s12) as b2 from s), r as (select *, (b1 * s1y + b2 * s2y) / syy as r2 from b)
+    select 'coefficient' as kind, 'l_quantity' as name, round(b1, 4) as value from r union all select 'coefficient', 'l_discount', round(b2, 2) from r union all select 'metric', 'intercept', round(my - b1 * m1 - b2 * m2, 2) from r
+    union all select 'metric', 'r2', round(r2, 6) from r union all select 'metric', 'adjusted_r2', round(1 - (1 - r2) * (n - 1) / (n - 3), 6) from r union all select 'metric', 'residual_std', round(sqrt(n * syy * (1 - r2) / (n - 1)), 2) from r""",
+)
+def _(t: Tables):
+    out = stats.regression(t.lineitem, "l_extendedprice", ["l_quantity", "l_discount"])
+    kept = out.filter("kind = 'coefficient' OR name IN ('intercept', 'r2', 'adjusted_r2', 'residual_std')")
+    digits = F.when(F.col("name") == "l_quantity", F.round("value", 4)).when(F.col("name").contains("r2"), F.round("value", 6)).otherwise(F.round("value", 2))
+    return kept.withColumn("value", digits)
+
+
 @query("regression_interactions")
 def _(t: Tables):
     return stats.regression(t.lineitem, "l_extendedprice", ["l_quantity", "l_discount"], interactions=True)

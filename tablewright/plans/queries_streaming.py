@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tablewright.operators import stats
 from tablewright.plans import analyze
-from tablewright.plans.queries_stats import rounded, summary_sql
+from tablewright.plans.queries_stats import _column_sql, rounded, summary_sql
 from tablewright.plans.registry import Tables, query
 from tablewright.session import fresh_folder
 from tablewright.sources import sinks
@@ -164,9 +164,12 @@ def _(t: Tables):
     return analyze.flat_report(t.orders)
 
 
-@query("analyze_quick")
+@query(
+    "analyze_quick",
+    " union all ".join(_column_sql(c, "customer", c in ("c_custkey", "c_nationkey", "c_acctbal")) for c in ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")),
+)
 def _(t: Tables):
-    return analyze.analyze(t.customer, "quick")["columns"]
+    return rounded(analyze.analyze(t.customer, "quick")["columns"], 4)
 
 
 @query("analyze_sources", "select count(*) as row_count from (select c_custkey from customer union all select s_suppkey from supplier)")
