@@ -13,7 +13,7 @@ from tablewright.operators import stats
 from tablewright.operators.columns import numeric_columns, present_double, quoted, string_columns
 from tablewright.operators.quantiles import quantiles, with_quantiles
 from tablewright.operators.ranks import running_total
-from tablewright.session import attach, scalars
+from tablewright.session import attach, join_groups, scalars
 
 
 def bar(df: DataFrame, x: str, y: str | None = None) -> DataFrame:
@@ -93,8 +93,7 @@ def box(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     q = with_quantiles(rows, ["v"], (0.25, 0.5, 0.75), [F.count(F.lit(1)).alias("n")], keys)
     iqr = F.col("q_v")[2] - F.col("q_v")[0]
     fences = q.select(*keys, "n", F.col("q_v").alias("q"), (F.col("q_v")[0] - 1.5 * iqr).alias("lo"), (F.col("q_v")[2] + 1.5 * iqr).alias("hi"))
-    # One fence row per group; Spark picks the join and splits hot groups at run time.
-    joined = rows.join(fences, keys) if keys else attach(rows, fences).select("v", "_s.*")
+    joined = join_groups(rows, fences, keys) if keys else attach(rows, fences).select("v", "_s.*")
     inside = (F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi"))
     return joined.groupBy(*keys).agg(
         F.max("n").alias("n"),

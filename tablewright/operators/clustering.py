@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.operators.features import arrays, scaled, width
-from tablewright.session import stage
+from tablewright.session import join_groups, scalars, stage
 
 SEED = 42
 
@@ -97,10 +97,8 @@ def cluster_stats(labelled: DataFrame, columns: Sequence[str], label: str = "clu
     means = labelled.groupBy(label).agg(F.count(F.lit(1)).alias("size"), *[F.avg(c).alias(f"_m{i}") for i, c in enumerate(columns)])
     total = means.agg(F.sum("size").alias("t"))
     far = F.sqrt(sum((F.pow(F.col(c) - F.col(f"_m{i}"), 2) for i, c in enumerate(columns)), F.lit(0.0)))
-    from tablewright.session import scalars
-
     return (
-        labelled.join(means, label)
+        join_groups(labelled, means, [label])
         .groupBy(label)
         .agg(F.max("size").alias("size"), F.avg(far).alias("mean_distance"), F.max(far).alias("max_distance"), F.min(far).alias("min_distance"))
         .withColumn("percent", F.col("size") * 100 / scalars(total).getField("t"))

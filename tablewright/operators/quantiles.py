@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewright.operators.columns import present_double, quoted
-from tablewright.session import beside, is_small, stage
+from tablewright.session import beside, is_small, join_groups, stage
 
 SKETCH_ACCURACY = 50_000
 
@@ -57,9 +57,9 @@ def _bracketed(df: DataFrame, columns: Sequence[str], probabilities: Sequence[fl
     ps = sorted(set(map(float, probabilities)))
     edges = [e for p in ps for e in (max(0.0, p - eps), min(1.0, p + eps))]
     sketch = _sketch(df, columns, edges, by, accuracy)
+    cells = _tall(df, columns, by)
     # Without groups there is one row per column, so its size is bounded and the rows never move.
-    side = sketch if by else F.broadcast(sketch)
-    cells = _tall(df, columns, by).join(side, keys)
+    cells = join_groups(cells, sketch, keys) if by else cells.join(F.broadcast(sketch), keys)
     v = F.col("_v")
     begun = sum(((F.col("_e")[2 * j] <= v).cast("int") for j in range(len(ps))), F.lit(0))
     over = sum(((F.col("_e")[2 * j + 1] < v).cast("int") for j in range(len(ps))), F.lit(0))

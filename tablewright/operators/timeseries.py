@@ -21,7 +21,7 @@ from tablewright.functions import probability
 from tablewright.operators.columns import present_double, quoted
 from tablewright.operators.outliers import flag
 from tablewright.operators.ranks import row_index
-from tablewright.session import attach, scalars, stage
+from tablewright.session import attach, join_groups, stage
 
 BLOCK_ROWS = 65_536
 
@@ -72,10 +72,6 @@ def moving_average(s: DataFrame, window: int, by: Sequence[str] = (), name: str
     return framed(s, lambda w: {name: _over_frame(F.avg("y"), w, -back, ahead, window)}, back, ahead, by)
 
 
-def _join_groups(rows: DataFrame, groups: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return rows.join(groups, list(keys), "left")
-
-
 def decompose(s: DataFrame, period: int, model: str = "additive", by: Sequence[str] = ()) -> DataFrame:
     """``trend``, ``seasonal`` and ``residual`` of every row.
 
@@ -100,7 +96,7 @@ def decompose(s: DataFrame, period: int, model: str = "additive", by: Sequence[s
     if by:
         centre = means.groupBy(*by).agg(F.avg("m").alias("c"))
         means = means.join(centre, list(by))
-        rows = _join_groups(rows, means, [*by, "phase"])
+        rows = join_groups(rows, means, [*by, "phase"], "left")
         m, c = F.col("m"), F.col("c")
     else:
         table = means.agg(F.map_from_entries(F.collect_list(F.struct("phase", "m"))).alias("by_phase"), F.avg("m").alias("c"))
@@ -159,7 +155,7 @@ def trend_significance(fit: DataFrame, alpha: float = 0.05) -> DataFrame:
 
 def trend_line(s: DataFrame, fit: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     if by:
-        rows = s.join(fit.select(*by, "slope", "intercept"), list(by))
+        rows = join_groups(s, fit.select(*by, "slope", "intercept"), list(by))
         return rows.select(*by, "t", "idx", (F.col("slope") * F.col("idx") + F.col("intercept")).alias("trend"))
     rows = attach(s, fit.select("slope", "intercept"))
     return rows.select("t", "idx", (F.col("_s.slope") * F.col("idx") + F.col("_s.intercept")).alias("trend"))
@@ -214,7 +210,7 @@ def moving_average_trend(s: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
     rows = framed(s, averages, 3, 3, by)
     if by:
-        rows = rows.join(sizes, list(by))
+        rows = join_groups(rows, sizes, list(by))
         n, k = F.col("n"), F.col("window")
     else:
         rows = attach(rows, sizes)
@@ -239,7 +235,7 @@ def autocorrelation(s: DataFrame, max_lag: int = 12, by: Sequence[str] = ()) ->
     """``(by..., lag, acf)`` for lags 0..min(max_lag, n // 2)."""
     means = s.groupBy(*by).agg(F.avg("y").alias("m"), F.count(F.lit(1)).alias("n"))
     if by:
-        centred = s.join(means, list(by)).withColumn("y", F.col("y") - F.col("m"))
+        centred = join_groups(s, means, list(by)).withColumn("y", F.col("y") - F.col("m"))
     else:
         centred = attach(s, means).withColumn("y", F.col("y") - F.col("_s.m")).withColumn("n", F.col("_s.n")).drop("_s")
     shifted = framed(centred, lambda w: {f"l{k}": F.lag("y", k).over(w) for k in range(1, max_lag + 1)}, max_lag, 0, by)
@@ -504,7 +500,7 @@ def arima(s: DataFrame, p: int = 1, d: int = 1, q: int = 1, steps: int = 10, by:
         stage1 = least_squares(rows, "z0", [f"z{j}" for j in range(1, long + 1)], one).select(
             *one, F.col("intercept").alias("_c"), F.col("coefficients").alias("_a")
         )
-        rows = rows.join(stage1, one)
+        rows = join_groups(rows, stage1, one)
 
         def shock(j: int) -> Column:
             fit = sum((F.col("_a")[i] * F.col(f"z{i + 1 + j}") for i in range(long)), F.col("_c"))
@@ -596,7 +592,7 @@ def seasonal_regression(s: DataFrame, steps: int = 30, by: Sequence[str] = (), w
     table = table.withColumns(dict(zip(names, design(F.col("day")))))
     fit = least_squares(table, "y", names, keys).select(*keys, "intercept", "coefficients")
     predict = lambda cols: sum((F.col("coefficients")[i] * c for i, c in enumerate(cols)), F.col("intercept"))
-    fitted = table.join(fit, keys).withColumn("fitted", predict([F.col(n) for n in names]))
+    fitted = join_groups(table, fit, keys).withColumn("fitted", predict([F.col(n) for n in names]))
     miss = F.col("y") - F.col("fitted")
     errors = fitted.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),

@@ -65,6 +65,19 @@ def stage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join per-group values to the rows of each group.
+
+    The groups are computed once and counted. If they are few, they are
+    broadcast and the rows, hot groups included, stay where they are; otherwise
+    Spark joins on the keys and splits hot ones at run time.
+    """
+    fixed = stage(groups)
+    limit = int(rows.sparkSession.conf.get(SMALL_BYTES_KEY, str(SMALL_BYTES_DEFAULT)))
+    roughly = fixed.count() * 64 * len(fixed.columns)
+    return rows.join(F.broadcast(fixed) if roughly <= limit else fixed, keys, how)
+
+
 def fresh_folder(spark: SparkSession, purpose: str) -> str:
     """A new path in the shared folder, for a stream's output or progress."""
     return f"{_shared_dir(spark)}/{purpose}-{uuid.uuid4().hex}"
