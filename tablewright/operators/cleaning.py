@@ -15,7 +15,7 @@ from tablewright.operators.quantiles import with_quantiles
 from tablewright.operators.ranks import running_total
 from tablewright.operators.relational import keep_one
 from tablewright.operators.stats import duplicate_count
-from tablewright.session import attach, beside, is_small
+from tablewright.session import attach, beside, is_small, stage
 
 
 def remove_duplicates(df: DataFrame, subset: Sequence[str] | None = None, keep: str | bool = "first", order: Sequence[str] | None = None) -> DataFrame:
@@ -54,7 +54,7 @@ def impute(df: DataFrame, strategy: str = "mean", columns: Sequence[str] | None
         found = modes(df, columns).groupBy().agg(
             *[F.max(F.when(F.col("column") == c, F.col("mode"))).alias(f"v{i}") for i, c in enumerate(columns)]
         )
-        out = attach(df, found)
+        out = attach(df, stage(found))
         for i, c in enumerate(columns):
             fills[c] = F.when(absent(df, c), F.col(f"_s.v{i}").try_cast(df.schema[c].dataType)).otherwise(quoted(c))
         return out.withColumns(fills).drop("_s")
@@ -67,7 +67,7 @@ def impute(df: DataFrame, strategy: str = "mean", columns: Sequence[str] | None
         row = with_quantiles(df, columns, (0.5,)).select(*[F.col(f"`q_{c}`")[0].alias(f"v{i}") for i, c in enumerate(columns)])
     else:
         raise ValueError(f"unknown strategy: {strategy}")
-    out = attach(df, row)
+    out = attach(df, stage(row))
     return out.withColumns(
         {c: F.coalesce(present_double(df, c), F.col(f"_s.v{i}")) for i, c in enumerate(columns)}
     ).drop("_s")
@@ -76,16 +76,18 @@ def impute(df: DataFrame, strategy: str = "mean", columns: Sequence[str] | None
 def remove_outliers(df: DataFrame, method: str = "iqr", columns: Sequence[str] | None = None) -> DataFrame:
     """Column after column: bounds of the rows left so far, then the cut.
 
-    Missing values go with the outliers. z-scores must be strictly below 3.
+    Missing values go with the outliers. z-scores must be strictly below 3. The
+    one-row bounds are checkpointed, so a later column's plan reads them instead
+    of containing the plans of all columns before it.
     """
     for c in numeric_columns(df, columns):
         v = present_double(df, c)
         if method == "iqr":
-            limit = attach(df, bounds(df, [c], "iqr"), "_b")
+            limit = attach(df, stage(bounds(df, [c], "iqr")), "_b")
             df = limit.filter((v >= F.col("_b.lo0")) & (v <= F.col("_b.hi0"))).drop("_b")
         elif method == "zscore":
             row = df.agg(F.avg(v).alias("m"), F.stddev_samp(v).alias("s"))
-            df = attach(df, row, "_b").filter(F.abs(F.try_divide(v - F.col("_b.m"), F.col("_b.s"))) < 3).drop("_b")
+            df = attach(df, stage(row), "_b").filter(F.abs(F.try_divide(v - F.col("_b.m"), F.col("_b.s"))) < 3).drop("_b")
         else:
             raise ValueError(f"unknown method: {method}")
     return df
@@ -105,7 +107,7 @@ def standardise(df: DataFrame, columns: Sequence[str] | None = None, method: str
         *[scale(present_double(df, c)).alias(f"b{i}") for i, c in enumerate(columns)],
     )
     return (
-        attach(df, row)
+        attach(df, stage(row))
         .withColumns(
             {c: F.try_divide(present_double(df, c) - F.col(f"_s.a{i}"), F.col(f"_s.b{i}")) for i, c in enumerate(columns)}
         )
