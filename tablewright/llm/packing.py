@@ -12,7 +12,9 @@ within their length, and each number looks up its place in the list.
 
 from __future__ import annotations
 
+import functools
 import re
+import unicodedata
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -29,11 +31,16 @@ CAPACITY, END_ID = 4096, 1
 #: Pieces of one length are numbered in so many buckets at once.
 BUCKETS = 1024
 
-#: A worker remembers the ids of so many different words.
-REMEMBERED = 400_000
+#: A worker remembers the ids of about so many different words.
+REMEMBERED = 800_000
 
 
 _SPACE = re.compile(r"[ \t\n\x0b\x0c\r]+")
+# ASCII punctuation without the apostrophe, which starts tokens of its own.
+_PUNCTUATED = re.compile(r"([!-&(-/:-@\[-`{-~]*)(.*?)([!-&(-/:-@\[-`{-~]*)", re.DOTALL)
+
+#: Stands between words given to the tokenizer together: one token, and no word's.
+MARK = "\x01"
 
 
 def _tokeniser_path() -> str:
@@ -45,42 +52,98 @@ def _tokeniser_path() -> str:
 class WordIds:
     """Token ids of texts by a tokenizer that never joins across white space.
 
-    Each distinct word goes through the tokenizer once; texts are the words'
-    ids in a row, which is what the tokenizer gives for the whole text.
+    A text is its words' ids in a row, and a word mostly a core in lower case
+    with ASCII punctuation before and after it, which this tokenizer never
+    joins with letters or digits. Words and cores are remembered, so the
+    tokenizer sees each new core once. It gets many in one text: runs of letters
+    end where their last token says so, others have a mark between them.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokeniser = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-
-    def __call__(self, text: str) -> bytes:
+        self.words: dict[str, bytes] = {}
+        self.cores: dict[str, bytes] = {"": b""}
+        names = self.tokeniser.get_vocab()
+        self.closes = np.zeros(max(names.values()) + 1, dtype=bool)
+        self.closes[[i for name, i in names.items() if name.endswith("</w>")]] = True
+        (self.mark_id,) = self.tokeniser.encode(MARK, add_special_tokens=False).ids
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
         # str.split also cuts at the four separators below, which the tokenizer does not take for white space.
-        words = _SPACE.split(text) if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
-        known = self.known
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            pass
-        if len(known) > REMEMBERED:
-            known.clear()
-        new = list({w for w in words if w not in known})
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            for w, e in zip(part, self.tokeniser.encode_batch(part, add_special_tokens=False)):
-                known[w] = np.array(e.ids, dtype="<u4").tobytes()
-        return b"".join([known[w] for w in words])
+        split = [_SPACE.split(t) if any(c in t for c in "\x1c\x1d\x1e\x1f") else t.split() for t in texts]
+        new: set[str] = set()
+        for words in split:
+            new.update(words)
+        if len(self.words) > REMEMBERED:
+            self.words = {}
+        if len(self.cores) > REMEMBERED:
+            self.cores = {"": b""}
+        known, cores = self.words, self.cores
+        new.difference_update(known)
+        parts = {w: _parted(w) for w in new}
+        self._learn({c for p in parts.values() for c in p if c not in cores})
+        for w, (x, y, z) in parts.items():
+            known[w] = cores[x] + cores[y] + cores[z]
+        return [b"".join([known[w] for w in words]) for words in split]
+
+    def _learn(self, cores: set[str]) -> None:
+        marked = [c for c in cores if MARK in c or "<|" in c]
+        for c in marked:
+            self.cores[c] = np.array(self.tokeniser.encode(c, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        others = sorted(c for c in cores.difference(marked) if not c.isalpha())
+        self._learn_marked(others)
+        letters = sorted(c for c in cores.difference(marked) if c.isalpha())
+        for at in range(0, len(letters), 2000):
+            part = letters[at : at + 2000]
+            ids = self._ids(" ".join(part))
+            ends = np.flatnonzero(self.closes[ids]) + 1  # a run of letters ends where a word-end token stands
+            if len(ends) == len(part):
+                self._keep(part, ids, np.concatenate([[0], ends[:-1]]), ends)
+            else:
+                self._learn_marked(part)
+
+    def _learn_marked(self, cores: list[str]) -> None:
+        for at in range(0, len(cores), 2000):
+            part = cores[at : at + 2000]
+            ids = self._ids(f" {MARK} ".join(part))
+            marks = np.flatnonzero(ids == self.mark_id)
+            self._keep(part, ids, np.concatenate([[0], marks + 1]), np.concatenate([marks, [len(ids)]]))
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokeniser.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+
+    def _keep(self, cores: list[str], ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        data = ids.tobytes()
+        for c, s, e in zip(cores, (4 * starts).tolist(), (4 * ends).tolist(), strict=True):
+            self.cores[c] = data[s:e]
+
+
+def _parted(word: str) -> tuple[str, str, str]:
+    """Punctuation, core, punctuation; the word as it is where cutting or lower-casing might change its ids."""
+    before, core, after = _PUNCTUATED.fullmatch(word).groups()
+    if not core or not (core[0].isalnum() and core[-1].isalnum()) or "<|" in word:
+        return word, "", ""
+    if not core.isascii() and ("\u03a3" in core or "\u0130" in core or not unicodedata.is_normalized("NFC", core)):
+        return word, "", ""
+    return before, core.lower(), after
+
+
+@functools.lru_cache(maxsize=2)
+def _ids_of(path: str) -> WordIds:
+    """One memory for all tasks of a worker."""
+    return WordIds(path)
 
 
 def _piece_maker(path: str, capacity: int):
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = WordIds(path)
+        ids = _ids_of(path)
         end = np.array([END_ID], dtype="<u4").tobytes()
         for batch in slices(batches, "text"):
             rows, piece, start, length, crc = [], [], [], [], []
-            for row, text in enumerate(batch.column(1).to_pylist()):
-                data = ids(text or "") + end
+            for row, data in enumerate(ids([t or "" for t in batch.column(1).to_pylist()])):
+                data += end
                 for k, at in enumerate(range(0, len(data), 4 * capacity)):
                     part = data[at : at + 4 * capacity]
                     rows.append(row)

@@ -5,9 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from tablewright.llm import exact_dedup, mixing, packing, simhash
+from tablewright.llm import exact_dedup, mixing, packing, pii, quality_crf, quality_rules, secret_scan, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -32,6 +31,28 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
 
+@query("op3_disclosure_pii")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.private_spans(documents(spark, sf_dir))
+
+
+@query("op4_line_crf")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = quality_crf.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality_crf.quality_scores(docs, model)
+
+
+@query("op5_adaptive_rules")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judged(documents(spark, sf_dir))
+
+
+@query("op6_token_secrets")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secret_spans(documents(spark, sf_dir))
+
+
 @query("op8_best_fit_packing")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
