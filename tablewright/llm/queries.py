@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablewright.llm import exact_dedup, mixing, packing, pii, quality_crf, quality_rules, secret_scan, simhash
+from tablewright.llm import exact_dedup, mixing, packing, pii, quality_crf, quality_rules, secret_scan, simhash, substring_windows, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -31,6 +31,11 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
 
+@query("op2_suffix_array")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(documents(spark, sf_dir))
+
+
 @query("op3_disclosure_pii")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.private_spans(documents(spark, sf_dir))
@@ -53,6 +58,11 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_spans(documents(spark, sf_dir))
 
 
+@query("op7_compact_windows")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_windows.near_passages(documents(spark, sf_dir))
+
+
 @query("op8_best_fit_packing")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
