@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewright.llm.common import flat_bytes, group_join, mixed, release, slices, staged
@@ -136,8 +136,6 @@ def exact_duplicates(docs: DataFrame, digest_bytes: int = 16) -> DataFrame:
         group_size=(F.count(F.lit(1)), F.sum),
     )
     # Rows that repeat the kept doc_id stand next to each other; the first of them stays.
-    from pyspark.sql import Window
-
     same = Window.partitionBy("recipe", "doc_id").orderBy("text_sha256")
     return grouped.withColumn("_n", F.row_number().over(same)).select(
         "doc_id",
@@ -150,8 +148,8 @@ def exact_duplicates(docs: DataFrame, digest_bytes: int = 16) -> DataFrame:
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that :func:`exact_duplicates` keeps, all columns as they were."""
-    kept = exact_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    marked = docs.withColumn("_sha_", F.sha2(F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").cast("binary"), 256))
-    same = marked["doc_id"].eqNullSafe(kept["_id"]) & (marked["_sha_"] == kept["_sha"])
+    kept = exact_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_llm_id"), F.col("text_sha256").alias("_llm_sha"))
+    marked = docs.withColumn("_llm_sha_", F.sha2(F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").cast("binary"), 256))
+    same = marked["doc_id"].eqNullSafe(kept["_llm_id"]) & (marked["_llm_sha_"] == kept["_llm_sha"])
     rows = marked.join(kept, same, "left_semi")
-    return rows.dropDuplicates(["doc_id", "_sha_"]).drop("_sha_")
+    return rows.dropDuplicates(["doc_id", "_llm_sha_"]).drop("_llm_sha_")

@@ -128,9 +128,9 @@ def repeat_to_mix(docs: DataFrame, **options) -> DataFrame:
     Documents without words are not part of a mix and go. Of rows that repeat a
     doc_id, equal ones count as one row that the mix takes for all of them.
     """
-    plan = mix(docs, **options).filter("size > 0").withColumn("_copies", F.floor(F.col("taken") / F.col("size")).cast("int"))
-    wanted = plan.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_s"), F.col("size").alias("_z")).agg(F.max("_copies").alias("_copies")).filter("_copies > 0")
-    sized = docs.withColumn("_size", word_count(F.col("text")))
-    same = sized["doc_id"].eqNullSafe(wanted["_id"]) & sized["source"].eqNullSafe(wanted["_s"]) & (sized["_size"] == wanted["_z"])
+    plan = mix(docs, **options).filter("size > 0").withColumn("_llm_copies", F.floor(F.col("taken") / F.col("size")).cast("int"))
+    wanted = plan.groupBy(F.col("doc_id").alias("_llm_id"), F.col("source").alias("_llm_s"), F.col("size").alias("_llm_z")).agg(F.max("_llm_copies").alias("_llm_copies")).filter("_llm_copies > 0")
+    sized = docs.withColumn("_llm_size", word_count(F.col("text")))
+    same = sized["doc_id"].eqNullSafe(wanted["_llm_id"]) & sized["source"].eqNullSafe(wanted["_llm_s"]) & (sized["_llm_size"] == wanted["_llm_z"])
     names = [f"`{c}`" for c in docs.columns]
-    return sized.join(wanted, same).select(*names, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).select(*names)
+    return sized.join(wanted, same).select(*names, F.explode(F.sequence(F.lit(1), F.col("_llm_copies"))).alias("_llm_copy")).select(*names)

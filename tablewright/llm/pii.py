@@ -211,7 +211,7 @@ def sanitised(docs: DataFrame, spans: DataFrame) -> DataFrame:
     parsed = F.sort_array(
         F.transform(pieces, lambda x: F.struct(F.split(x, ":")[1].cast("int").alias("s"), F.split(x, ":")[2].cast("int").alias("e"), F.split(x, ":")[0].alias("k")))
     )
-    marked = docs.join(spans.select(F.col("doc_id").alias("_id"), parsed.alias("_spans")), docs["doc_id"].eqNullSafe(F.col("_id")), "left")
+    marked = docs.join(spans.select(F.col("doc_id").alias("_llm_id"), parsed.alias("_llm_spans")), docs["doc_id"].eqNullSafe(F.col("_llm_id")), "left")
     text = F.col("text").cast("string")
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
     step = lambda a, s: F.when(
@@ -221,5 +221,5 @@ def sanitised(docs: DataFrame, spans: DataFrame) -> DataFrame:
             F.concat(a["out"], F.array(F.substring(text, a["at"] + 1, s["s"] - a["at"]), F.when(s["k"] == "term", F.lit("")).otherwise(F.concat(F.lit("<"), s["k"], F.lit(">"))))).alias("out"),
         ),
     ).otherwise(F.struct(F.greatest(a["at"], s["e"]).alias("at"), a["out"].alias("out")))
-    clean = F.aggregate("_spans", start, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, a["at"] + 1, F.length(text))))
-    return marked.withColumn("text", F.when(F.size("_spans") > 0, clean).otherwise(text)).select(*[f"`{c}`" for c in docs.columns])
+    clean = F.aggregate("_llm_spans", start, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, a["at"] + 1, F.length(text))))
+    return marked.withColumn("text", F.when(F.size("_llm_spans") > 0, clean).otherwise(text)).select(*[f"`{c}`" for c in docs.columns])

@@ -99,7 +99,7 @@ def line_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
         twice[1:] = (code[1:] == code[:-1]) & (word_doc[1:] == word_doc[:-1])
         gram = code.copy()
         with np.errstate(over="ignore"):
-            for k in range(1, GRAM):
+            for k in range(1, min(GRAM, len(code))):
                 gram[: len(code) - k] = gram[: len(code) - k] * _BASE + code[k:]
         whole = np.zeros(len(code), dtype=bool)
         if len(code) >= GRAM:

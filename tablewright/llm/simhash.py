@@ -217,6 +217,6 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 def keep_one_per_component(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose doc_id is their component's smallest, one row each."""
     found = near_duplicates(docs)
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
+    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_llm_id")).distinct()
+    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_llm_id"]), "left_semi")
     return rows.dropDuplicates(["doc_id"])
