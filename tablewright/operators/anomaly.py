@@ -72,12 +72,20 @@ def _grow(x: np.ndarray, rng: np.random.Generator, limit: int) -> dict[str, list
 
 
 def isolation_forest(df: DataFrame, key: str, columns: Sequence[str] | None = None, contamination: float = 0.1, trees: int = TREES, sample: int = SAMPLE) -> DataFrame:
-    """Trees grown in parallel from small samples, then one scoring pass."""
-    points = _points(df, key, columns)
-    # A bounded pool by hash order, from which every tree draws its own rows.
-    pool = stage(points.withColumn("h", F.xxhash64(F.col(key), F.lit(SEED))).orderBy("h", key).limit(sample * 20))
-    draw = Window.partitionBy("tree").orderBy(F.xxhash64("h", "tree"), "h")
-    drawn = pool.select("x", "h", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")).withColumn("n", F.row_number().over(draw)).filter(F.col("n") <= sample)
+    """Trees grown in parallel, each from its own sample of the whole table, then one scoring pass.
+
+    Every row draws a number for every tree; a tree takes the ``sample`` rows
+    with the smallest numbers. Numbers above twice the expected cut never leave
+    the scan, so about two samples a tree are shuffled however long the table is.
+    """
+    points = stage(_points(df, key, columns))
+    n = points.count()
+    share = 1.0 if n <= 2 * sample else 2.0 * sample / n
+    below = F.lit(int(share * 2**62))
+    number = lambda tree: F.shiftrightunsigned(F.xxhash64(F.col(key), F.lit(SEED), tree), 2)
+    wanted = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda tree: number(tree) < below)
+    draw = Window.partitionBy("tree").orderBy("h")
+    drawn = points.select(key, "x", F.explode(wanted).alias("tree")).withColumn("h", number(F.col("tree"))).withColumn("n", F.row_number().over(draw)).filter(F.col("n") <= sample)
     limit = int(np.ceil(np.log2(max(sample, 2))))
 
     def build(key_: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -212,21 +220,15 @@ def ensemble(df: DataFrame, key: str, columns: Sequence[str] | None = None, meth
     return vote({m: DETECTORS[m](df, key, columns) for m in methods}, key, voting_threshold)
 
 
-def auto(df: DataFrame, key: str, columns: Sequence[str] | None = None) -> DataFrame:
-    """Method by table size: neighbours, then a forest, then the vote of three."""
-    n = df.count()
-    if n < 100:
-        return local_outliers(df, key, columns, min(10, max(1, n // 2))).select(key, "label")
-    if n < 1000:
-        return isolation_forest(df, key, columns).select(key, "label")
-    return ensemble(df, key, columns).select(key, "label")
+def labels(df: DataFrame, key: str, columns: Sequence[str] | None = None, method: str = "ensemble") -> DataFrame:
+    """Labels by a named method, the vote of three by default; the same one at every table size."""
+    found = ensemble(df, key, columns) if method == "ensemble" else DETECTORS[method](df, key, columns)
+    return found.select(key, "label")
 
 
-def detect(df: DataFrame, key: str, method: str = "auto", columns: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame]:
+def detect(df: DataFrame, key: str, method: str = "ensemble", columns: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """Labels and their summary by method name."""
-    if method == "auto":
-        out = auto(df, key, columns)
-    elif method == "ensemble":
+    if method == "ensemble":
         out = ensemble(df, key, columns)
         return out, vote_summary(out, 3)
     elif method in DETECTORS:
@@ -234,7 +236,6 @@ def detect(df: DataFrame, key: str, method: str = "auto", columns: Sequence[str]
         return out, anomaly_stats(out)
     else:
         raise ValueError(f"unknown method: {method}")
-    return out, compare_methods({method: out})
 
 
 def compare(df: DataFrame, key: str, columns: Sequence[str] | None = None, methods: Sequence[str] = tuple(DETECTORS)) -> DataFrame:

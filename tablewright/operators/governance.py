@@ -238,9 +238,9 @@ def find_events(
     success: bool | None = None,
     start: Column | None = None,
     end: Column | None = None,
-    limit: int = 100,
+    limit: int | None = None,
 ) -> DataFrame:
-    """Audit events by any of the filters, newest first."""
+    """Audit events by any of the filters, newest first; all of them, or the newest ``limit``."""
     if user is not None:
         events = events.filter(F.col("user_id") == user)
     if event_type is not None:
@@ -254,7 +254,8 @@ def find_events(
         events = events.filter(F.col("ts") >= start)
     if end is not None:
         events = events.filter(F.col("ts") <= end)
-    return events.orderBy(F.desc("ts"), F.desc("event_id")).limit(limit)
+    ordered = events.orderBy(F.desc("ts"), F.desc("event_id"))
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def audit_summary(events: DataFrame, start: Column | None = None) -> DataFrame:

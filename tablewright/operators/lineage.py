@@ -2,33 +2,34 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.session import stage
 
-MAX_HOPS = 11
-
 
 def _oriented(edges: DataFrame, direction: str) -> DataFrame:
     a, b = ("source", "target") if direction == "downstream" else ("target", "source")
     return edges.select(F.col(a).alias("_from"), F.col(b).alias("_to"), "transformation")
 
 
-def trace(edges: DataFrame, starts: DataFrame, direction: str = "downstream", max_hops: int = MAX_HOPS) -> DataFrame:
+def trace(edges: DataFrame, starts: DataFrame, direction: str = "downstream", max_hops: int | None = None) -> DataFrame:
     """Everything reachable from ``starts`` (column ``node``) with its smallest depth.
 
     A breadth-first walk: each hop joins the new nodes with the edges and drops
-    nodes met before, so cycles end and paths never multiply. Hops are written
-    to the shared checkpoint folder, which keeps every plan one join deep.
+    nodes met before, so cycles end and paths never multiply; it goes on until
+    a hop meets nothing new, or for ``max_hops``. Edges and hops are written to
+    the shared checkpoint folder, which keeps every plan one join deep.
     """
     if direction == "both":
         up = trace(edges, starts, "upstream", max_hops).withColumn("direction", F.lit("upstream"))
         return up.unionByName(trace(edges, starts, "downstream", max_hops).withColumn("direction", F.lit("downstream")))
-    steps = _oriented(edges, direction)
+    steps = stage(_oriented(edges, direction))
     seen = starts.select("node", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("transformation")).distinct()
     frontier = seen.select("node")
-    for hop in range(1, max_hops + 1):
+    for hop in itertools.count(1) if max_hops is None else range(1, max_hops + 1):
         found = (
             frontier.join(steps, F.col("node") == F.col("_from"))
             .groupBy(F.col("_to").alias("node"))
@@ -49,12 +50,12 @@ def direct_edges(edges: DataFrame, node: str) -> DataFrame:
     return edges.filter((F.col("source") == node) | (F.col("target") == node)).select(way.alias("direction"), "source", "target", "transformation")
 
 
-def lineage_paths(edges: DataFrame, start: str, direction: str = "downstream", max_hops: int = MAX_HOPS) -> DataFrame:
+def lineage_paths(edges: DataFrame, start: str, direction: str = "downstream", max_hops: int | None = None) -> DataFrame:
     """The full tree below a node as paths; a branch that meets itself is marked."""
-    steps = _oriented(edges, direction).drop("transformation")
+    steps = stage(_oriented(edges, direction).drop("transformation"))
     level = edges.sparkSession.createDataFrame([(start, [start])], "node string, path array<string>")
     out = None
-    for _ in range(max_hops):
+    for _ in itertools.count() if max_hops is None else range(max_hops):
         grown = stage(
             level.join(steps, F.col("node") == F.col("_from")).select(
                 F.col("_to").alias("node"),

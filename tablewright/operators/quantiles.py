@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewright.operators.columns import present_double, quoted
-from tablewright.session import beside, is_small, join_groups, stage
+from tablewright.session import beside, is_small, join_groups, match, stage
 
 SKETCH_ACCURACY = 50_000
 
@@ -77,8 +77,7 @@ def _bracketed(df: DataFrame, columns: Sequence[str], probabilities: Sequence[fl
     )
     inside = Window.partitionBy(*[quoted(k) for k in keys], "_seg").orderBy("_in").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     spans = (
-        pieces.withColumn("_run", F.sum("_c").over(inside))
-        .join(offsets if by else F.broadcast(offsets), [*keys, "_seg"])
+        match(pieces.withColumn("_run", F.sum("_c").over(inside)), offsets, [*keys, "_seg"], small=not by)
         .withColumn("_end", F.col("_off") + F.col("_run"))
         .withColumn("_start", F.col("_end") - F.col("_c"))
     )

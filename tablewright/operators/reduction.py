@@ -55,11 +55,6 @@ def pca(df: DataFrame, key: str, columns: Sequence[str] | None = None, component
     return project(rows, mean, vectors[:, : _count(values, components, variance)], [key])
 
 
-def umap(df: DataFrame, key: str, columns: Sequence[str] | None = None, components: int = 2) -> DataFrame:
-    """Two-dimensional view by principal components, the form used without a UMAP library."""
-    return pca(df, key, columns, components)
-
-
 def component_info(df: DataFrame, columns: Sequence[str] | None = None, targets: Sequence[float] = (0.8, 0.9, 0.95, 0.99)) -> DataFrame:
     """Variance share of each component, running share, and the targets it reaches first."""
     _, _, values, _ = spectrum(df, columns)
@@ -136,7 +131,7 @@ def lda(df: DataFrame, key: str, label: str, columns: Sequence[str] | None = Non
 def compare(df: DataFrame, key: str, columns: Sequence[str] | None = None, components: int = 2) -> DataFrame:
     """Variance of the projections by method."""
     parts = None
-    for name, run in (("pca", pca), ("ica", ica), ("umap", umap)):
+    for name, run in (("pca", pca), ("ica", ica)):
         out = run(df, key, columns, components)
         names = [c for c in out.columns if c != key]
         row = out.agg(F.count(F.lit(1)).alias("n"), sum((F.var_samp(c) for c in names[1:]), F.var_samp(names[0])).alias("variance"))

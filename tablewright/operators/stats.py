@@ -13,7 +13,7 @@ from tablewright.functions import labels
 from tablewright.operators.columns import absent, numeric_columns, present_double, quoted, rows_of, string_columns, tall
 from tablewright.operators.quantiles import modes, with_quantiles
 from tablewright.operators.ranks import average_ranks, running_total
-from tablewright.session import attach, beside, scalars
+from tablewright.session import attach, beside, match, scalars
 
 PAIRS_PER_PASS = 200
 
@@ -320,7 +320,7 @@ def histogram(df: DataFrame, columns: Sequence[str], bins: int = 30, by: Sequenc
     counts = cell.groupBy(*by, "column", bin_no.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     seen = counts.select(*by, "column").distinct()
     grid = seen.select(*by, "column", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
-    filled = grid.join(counts, [*by, "column", "bin"], "left")
+    filled = match(grid, counts, [*by, "column", "bin"], "left")
     out = attach(filled, edges).withColumn("e", F.col("_s.m")[F.col("column")])
     return out.select(
         *by,

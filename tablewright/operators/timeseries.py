@@ -21,7 +21,7 @@ from tablewright.functions import probability
 from tablewright.operators.columns import present_double, quoted
 from tablewright.operators.outliers import flag
 from tablewright.operators.ranks import row_index
-from tablewright.session import attach, join_groups, stage
+from tablewright.session import attach, join_groups, match, stage
 
 BLOCK_ROWS = 65_536
 
@@ -95,7 +95,7 @@ def decompose(s: DataFrame, period: int, model: str = "additive", by: Sequence[s
     means = rows.groupBy(*by, "phase").agg(F.avg(gap).alias("m"))
     if by:
         centre = means.groupBy(*by).agg(F.avg("m").alias("c"))
-        means = means.join(centre, list(by))
+        means = match(means, centre, list(by))
         rows = join_groups(rows, means, [*by, "phase"], "left")
         m, c = F.col("m"), F.col("c")
     else:
@@ -431,13 +431,18 @@ P_LARGE = (1.7339, 0.93202, -0.12745, -0.010368)
 TAU_MIN, TAU_STAR, TAU_MAX = -18.83, -1.61, 2.74
 
 
-def stationarity(s: DataFrame, lags: int | None = None, by: Sequence[str] = (), max_lags: int = 4) -> DataFrame:
+def stationarity(s: DataFrame, lags: int | None = None, by: Sequence[str] = (), max_lags: int | None = None) -> DataFrame:
     """Augmented Dickey-Fuller test of each series.
 
     The change of y is regressed on its last level and last changes; with
     ``lags`` unset the number of changes is the one with the lowest AIC among
-    0..max_lags over the rows that have them all.
+    0..max_lags over the rows that have them all; ``max_lags`` unset is 12 times
+    the fourth root of a hundredth of the series' length (the shortest series
+    decides), and at most what leaves the regression rows to spare.
     """
+    if lags is None and max_lags is None:
+        sizes = s.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.min("n")).first()[0] or 0
+        max_lags = max(0, min(math.ceil(12.0 * (sizes / 100.0) ** 0.25), sizes // 2 - 2))
     most = max_lags if lags is None else lags
 
     def shift(w):
@@ -515,7 +520,7 @@ def arima(s: DataFrame, p: int = 1, d: int = 1, q: int = 1, steps: int = 10, by:
         F.max_by(F.array(*([F.col(f"e{j}") for j in range(q)] or [F.lit(0.0)])), "idx").alias("shocks"),
         F.max_by(F.array("y", *[F.col(f"y{j}") for j in range(1, d)]), "idx").alias("tail"),
     )
-    model = fit.join(ends, one)
+    model = match(fit, ends, list(one))
     n, k = F.col("n").cast("double"), p + q + 1
     model = model.withColumns(
         {
@@ -601,7 +606,7 @@ def seasonal_regression(s: DataFrame, steps: int = 30, by: Sequence[str] = (), w
         F.sqrt(F.avg(miss * miss)).alias("rmse"),
         (F.avg(F.abs(F.try_divide(miss, F.col("y")))) * 100).alias("mape"),
     )
-    ahead = errors.join(fit, keys).withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(steps))))
+    ahead = match(errors, fit, list(keys)).withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(steps))))
     ahead = ahead.withColumn("day", F.col("last_day") + F.col("step"))
     return ahead.select(
         *by,

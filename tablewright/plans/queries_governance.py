@@ -89,9 +89,9 @@ def _(t: Tables):
     return g.apply_transforms(t.orders, steps).select("o_orderkey", "status", "period", "price_text", "gross")
 
 
-@query("catalog_dangling", "select * from labels where doc_id not in (select doc_id from documents where lang = 'en')")
+@query("catalog_dangling", "select c.* from conversations c where not exists (select 1 from labels l where l.doc_id = c.conv_id)")
 def _(t: Tables):
-    return g.dangling(t.labels, "doc_id", t.documents.filter("lang = 'en'"), "doc_id")
+    return g.dangling(t.conversations, "conv_id", t.labels, "doc_id")
 
 
 @query("catalog_search", "select p_partkey, p_name, p_type from part where contains(lower(p_name), 'ring') or contains(lower(p_type), 'ring')")
@@ -134,24 +134,24 @@ def _(t: Tables):
     return audit(t)
 
 
-@query("audit_events", _AUDIT + "select * from a where event_type = 'data_write' and ts >= timestamp '2024-01-20 00:00:00' order by ts desc, event_id desc limit 100")
+@query("audit_events", _AUDIT + "select * from a where event_type = 'data_write' and ts >= timestamp '2024-01-20 00:00:00'")
 def _(t: Tables):
     return g.find_events(audit(t), event_type="data_write", start=F.lit("2024-01-20").cast("timestamp_ntz"))
 
 
-@query("audit_user_activity", _AUDIT + "select * from a where user_id = 7 order by ts desc, event_id desc limit 100")
+@query("audit_user_activity", _AUDIT + "select * from a where user_id = 7")
 def _(t: Tables):
     return g.find_events(audit(t), user=7)
 
 
-@query("audit_failed", _AUDIT + "select * from a where not success order by ts desc, event_id desc limit 100")
+@query("audit_failed", _AUDIT + "select * from a where not success")
 def _(t: Tables):
     return g.find_events(audit(t), success=False)
 
 
-@query("audit_high_severity", _AUDIT + "select * from a where severity in ('high', 'critical') order by ts desc, event_id desc limit 50")
+@query("audit_high_severity", _AUDIT + "select * from a where severity in ('high', 'critical')")
 def _(t: Tables):
-    return g.find_events(audit(t), severity=g.HIGH_SEVERITIES, limit=50)
+    return g.find_events(audit(t), severity=g.HIGH_SEVERITIES)
 
 
 @query(
@@ -194,7 +194,7 @@ def _(t: Tables):
 _ACCESS = """
     with req as (select event_id as request_id, user_id, event_type as resource_type, 'r' || (event_id % 4) as resource_id, case when event_id % 3 = 0 then 'write' else 'read' end as action from events),
     usr as (select distinct user_id, user_id % 9 <> 0 as is_active from events), rol as (select user_id, user_id % 5 as role_id from usr),
-    per as (select distinct user_id % 5 as role_id, event_type as resource_type, case when user_id % 2 = 0 then null else 'r' || (user_id % 4) end as resource_id, case when user_id % 7 = 0 then 'admin' else 'read' end as action from events where user_id < 12)
+    per as (select distinct user_id % 5 as role_id, event_type as resource_type, case when user_id % 2 = 0 then null else 'r' || (user_id % 4) end as resource_id, case when user_id % 7 = 0 then 'admin' else 'read' end as action from events)
 """
 
 
@@ -211,7 +211,7 @@ def _(t: Tables):
     )
     users = e.select("user_id", (F.col("user_id") % 9 != 0).alias("is_active")).distinct()
     roles = users.select("user_id", (F.col("user_id") % 5).alias("role_id"))
-    permissions = e.filter("user_id < 12").select(
+    permissions = e.select(
         (F.col("user_id") % 5).alias("role_id"), F.col("event_type").alias("resource_type"),
         F.when(F.col("user_id") % 2 != 0, F.concat(F.lit("r"), F.col("user_id") % 4)).alias("resource_id"),
         F.when(F.col("user_id") % 7 == 0, "admin").otherwise("read").alias("action"),

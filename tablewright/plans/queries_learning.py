@@ -14,13 +14,17 @@ from tablewright.plans.registry import Tables, query
 
 PART = ["p_size", "p_retailprice"]
 
+#: Coordinates of an embedding.
+WIDTH = 64
+ALL = [f"e{i}" for i in range(WIDTH)]
+
 
 def parts(t: Tables):
     return t.part.select("p_partkey", *PART)
 
 
-def vectors(t: Tables, d: int = 8):
-    """The first coordinates of the embeddings as columns."""
+def vectors(t: Tables, d: int = WIDTH):
+    """The coordinates of the embeddings as columns."""
     return t.embeddings.select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(d)])
 
 
@@ -76,12 +80,12 @@ def _(t: Tables):
 
 @query(
     "cluster_stats",
-    """with v as (select label, cast(embedding[1] as double) as e0, cast(embedding[2] as double) as e1, cast(embedding[3] as double) as e2 from embeddings),
-    m as (select label, count(*) as n, avg(e0) as a, avg(e1) as b, avg(e2) as c from v group by 1), d as (select v.label, n, sqrt((e0 - a) ** 2 + (e1 - b) ** 2 + (e2 - c) ** 2) as d from v join m using (label))
-    select label, any_value(n) as size, round(avg(d), 6) as mean_distance, round(max(d), 6) as max_distance, round(min(d), 6) as min_distance, round(count(*) * 100 / (select count(*) from v), 6) as percent from d group by 1""",
+    """with v as (select vec_id, label, unnest(cast(embedding as double[])) as x, unnest(range(64)) as i from embeddings),
+    m as (select label, i, avg(x) as m, count(*) as n from v group by all), d as (select label, vec_id, any_value(n) as n, sqrt(sum((x - m) ** 2)) as d from v join m using (label, i) group by all)
+    select label, any_value(n) as size, round(avg(d), 6) as mean_distance, round(max(d), 6) as max_distance, round(min(d), 6) as min_distance, round(count(*) * 100 / (select count(*) from embeddings), 6) as percent from d group by 1""",
 )
 def _(t: Tables):
-    return rounded(clustering.cluster_stats(vectors(t, 3), ["e0", "e1", "e2"], "label"))
+    return rounded(clustering.cluster_stats(vectors(t), ALL, "label"))
 
 
 @query("reduce_pca")
@@ -91,7 +95,7 @@ def _(t: Tables):
 
 @query("reduce_ica")
 def _(t: Tables):
-    return reduction.ica(vectors(t).drop("label"), "vec_id", components=2, max_iter=50, tolerance=1e-3)
+    return reduction.ica(vectors(t).drop("label"), "vec_id", components=2)
 
 
 @query("reduce_lda")
@@ -99,11 +103,6 @@ def _(t: Tables):
     return reduction.lda(vectors(t), "vec_id", "label", components=2)
 
 
-@query("reduce_umap")
-def _(t: Tables):
-    return reduction.umap(vectors(t).drop("label"), "vec_id")
-
-
 @query("component_info")
 def _(t: Tables):
     return reduction.component_info(vectors(t).drop("vec_id", "label"))
@@ -120,7 +119,7 @@ def _(t: Tables):
 
 @query("reduce_compare")
 def _(t: Tables):
-    return reduction.compare(vectors(t, 4).drop("label"), "vec_id")
+    return reduction.compare(vectors(t).drop("label"), "vec_id")
 
 
 @query("anomaly_isolation_forest")
@@ -129,8 +128,10 @@ def _(t: Tables):
 
 
 _LOF = """
-    with u as (select vec_id as i, (e0 - avg(e0) over ()) / stddev_samp(e0) over () as x, (e1 - avg(e1) over ()) / stddev_samp(e1) over () as y from (select vec_id, cast(embedding[1] as double) as e0, cast(embedding[2] as double) as e1 from embeddings)),
-    d as (select a.i, b.i as j, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) as d from u a join u b on a.i <> b.i),
+    with w as (select vec_id, unnest(cast(embedding as double[])) as x, unnest(range(64)) as c from embeddings),
+    z as (select vec_id, c, (x - avg(x) over (partition by c)) / stddev_samp(x) over (partition by c) as x from w),
+    u as (select vec_id as i, list(x order by c) as x from z group by 1),
+    d as (select a.i, b.i as j, list_distance(a.x, b.x) as d from u a join u b on a.i <> b.i),
     n as (select * from (select i, j, d, row_number() over (partition by i order by d, j) as r from d) where r <= 20), k as (select i, max(d) as kd from n group by i),
     l as (select n.i, count(*) / sum(greatest(n.d, k.kd) + 1e-10) as lrd from n join k on n.j = k.i group by n.i)
     select n.i as vec_id, round(avg(b.lrd) / any_value(a.lrd), 6) as score from n join l a on n.i = a.i join l b on n.j = b.i group by n.i
@@ -139,17 +140,17 @@ _LOF = """
 
 @query("anomaly_local_factor", _LOF)
 def _(t: Tables):
-    return rounded(neighbours.local_outlier_factor(vectors(t, 2).drop("label"), "vec_id", k=20))
+    return rounded(neighbours.local_outlier_factor(vectors(t).drop("label"), "vec_id", k=20))
 
 
 @query("anomaly_local_labels")
 def _(t: Tables):
-    return anomaly.local_outliers(vectors(t, 2).drop("label"), "vec_id")
+    return anomaly.local_outliers(vectors(t).drop("label"), "vec_id")
 
 
 @query("anomaly_one_class")
 def _(t: Tables):
-    return anomaly.one_class_svm(vectors(t, 2).drop("label"), "vec_id", steps=20)
+    return anomaly.one_class_svm(vectors(t).drop("label"), "vec_id")
 
 
 @query("anomaly_elliptic")
@@ -168,17 +169,17 @@ def _(t: Tables):
 
 @query("anomaly_ensemble")
 def _(t: Tables):
-    return anomaly.ensemble(vectors(t, 2).drop("label"), "vec_id", methods=("isolation_forest", "lof", "elliptic_envelope"))
+    return anomaly.ensemble(vectors(t).drop("label"), "vec_id")
 
 
 @query("anomaly_auto")
 def _(t: Tables):
-    return anomaly.auto(vectors(t, 3).drop("label"), "vec_id")
+    return anomaly.labels(vectors(t).drop("label"), "vec_id")
 
 
 @query("anomaly_compare")
 def _(t: Tables):
-    return anomaly.compare(parts(t), "p_partkey", PART, ("isolation_forest", "elliptic_envelope", "zscore"))
+    return anomaly.compare(parts(t), "p_partkey", PART)
 
 
 @query("anomaly_summary")
@@ -187,16 +188,16 @@ def _(t: Tables):
 
 
 _KNN = """
-    with v as (select vec_id as i, cast(embedding[1] as double) as x, cast(embedding[2] as double) as y, case when vec_id % 7 <> 0 then cast(embedding[3] as double) end as z from embeddings),
-    d as (select a.i, b.z, row_number() over (partition by a.i order by sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), b.i) as r from v a join v b on a.z is null and b.z is not null)
+    with v as (select vec_id as i, list_concat(cast(embedding[1:2] as double[]), cast(embedding[4:] as double[])) as x, case when vec_id % 7 <> 0 then cast(embedding[3] as double) end as z from embeddings),
+    d as (select a.i, b.z, row_number() over (partition by a.i order by list_distance(a.x, b.x), b.i) as r from v a join v b on a.z is null and b.z is not null)
     select i as vec_id, round(coalesce(z, (select avg(d.z) from d where d.i = v.i and r <= 5)), 6) as e2 from v
 """
 
 
 @query("impute_neighbours", _KNN)
 def _(t: Tables):
-    df = vectors(t, 3).select("vec_id", "e0", "e1", F.when(F.col("vec_id") % 7 != 0, F.col("e2")).alias("e2"))
-    return rounded(impute(df, "knn", ["e0", "e1", "e2"]).select("vec_id", "e2"))
+    df = vectors(t).drop("label").withColumn("e2", F.when(F.col("vec_id") % 7 != 0, F.col("e2")))
+    return rounded(impute(df, "knn", ALL).select("vec_id", "e2"))
 
 
 @query("score_batch")

@@ -375,15 +375,13 @@ def _(t: Tables):
 # --- joins -------------------------------------------------------------------------
 
 _JOIN = """
-    select l.doc_id, l.quality, l.toxic, d.doc_id as doc_id_1, d.lang, d.n_chars
-    from (select * from labels where doc_id % 3 <> 0) l {kind} join (select doc_id, lang, n_chars from documents where doc_id % 2 = 0) d on l.doc_id = d.doc_id
+    select l.doc_id, l.quality, l.toxic, p.page_id, p.url
+    from labels l {kind} join (select page_id, url from pages) p on l.doc_id = p.page_id
 """
 
 
 def _doc_join(t: Tables, kind: str):
-    left = t.labels.filter("doc_id % 3 <> 0")
-    right = t.documents.filter("doc_id % 2 = 0").select("doc_id", "lang", "n_chars")
-    return relational.join_tables(("l", left), ("d", right), "l.doc_id = d.doc_id", kind)
+    return relational.join_tables(("l", t.labels), ("p", t.pages.select("page_id", "url")), "l.doc_id = p.page_id", kind)
 
 
 for _kind in relational.JOIN_TYPES:
@@ -393,15 +391,17 @@ for _kind in relational.JOIN_TYPES:
 @query(
     "join_theta",
     """
-    select s.s_suppkey, s.s_nationkey, c.c_custkey from supplier s join customer c
-    on s.s_nationkey = c.c_nationkey and s.s_acctbal > c.c_acctbal
+    with q as (select distinct date_trunc('quarter', o_orderdate) as opens from orders)
+    select o.o_orderkey, q.opens from orders o join q on o.o_orderdate >= q.opens and o.o_orderdate < q.opens + interval 3 month
     """,
 )
 def _(t: Tables):
+    # Intervals that do not overlap: every order meets one of them.
+    quarters = t.orders.select(F.date_trunc("quarter", "o_orderdate").cast("timestamp_ntz").alias("opens")).distinct()
     joined = relational.join_tables(
-        ("s", t.supplier), ("c", t.customer), "s.s_nationkey = c.c_nationkey AND s.s_acctbal > c.c_acctbal"
+        ("o", t.orders), ("q", quarters), "o.o_orderdate >= q.opens AND o.o_orderdate < q.opens + INTERVAL 3 MONTH"
     )
-    return joined.select("s_suppkey", "s_nationkey", "c_custkey")
+    return joined.select("o_orderkey", "opens")
 
 
 @query(

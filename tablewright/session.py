@@ -65,17 +65,33 @@ def stage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def match(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", small: bool = False) -> DataFrame:
+    """Join on equal keys where null equals null, with the keys of ``left``.
+
+    Groups by a null key are groups like any other; ``USING`` would lose them.
+    ``small`` broadcasts ``right``, whose size the caller has checked.
+    """
+    named = right.withColumnsRenamed({k: f"_match_{i}" for i, k in enumerate(keys)})
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(f"`{k}`").eqNullSafe(F.col(f"_match_{i}"))
+    joined = left.join(F.broadcast(named) if small else named, same, how)
+    return joined.drop(*[f"_match_{i}" for i in range(len(keys))])
+
+
 def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """Join per-group values to the rows of each group.
+    """Join per-group values to the rows of each group; a null key is a group.
 
-    The groups are computed once and counted. If they are few, they are
+    The groups are computed once and measured. If they are small, they are
     broadcast and the rows, hot groups included, stay where they are; otherwise
     Spark joins on the keys and splits hot ones at run time.
     """
     fixed = stage(groups)
     limit = int(rows.sparkSession.conf.get(SMALL_BYTES_KEY, str(SMALL_BYTES_DEFAULT)))
-    roughly = fixed.count() * 64 * len(fixed.columns)
-    return rows.join(F.broadcast(fixed) if roughly <= limit else fixed, keys, how)
+    # Arrays count with all their values: the length of the row as text, 8 bytes a value at least.
+    each = F.length(F.to_json(F.struct("*"))) + F.lit(32 * len(fixed.columns))
+    held = fixed.agg(F.coalesce(F.sum(each), F.lit(0))).first()[0]
+    return match(rows, fixed, keys, how, small=held <= limit)
 
 
 def fresh_folder(spark: SparkSession, purpose: str) -> str:

@@ -24,18 +24,25 @@ def search_body(query: str) -> dict[str, Any]:
     return body
 
 
-def paging(params: Mapping[str, Any] | None) -> tuple[str, int, int]:
-    """``(index, size, from)`` with the defaults ``_all``, 100 and 0."""
+def paging(params: Mapping[str, Any] | None) -> tuple[str, int | None, int]:
+    """``(index, size, from)`` with the defaults ``_all``, all hits and 0."""
     params = params or {}
     try:
-        return str(params.get("index", "_all")), int(params.get("size", 100)), int(params.get("from", 0))
+        return str(params.get("index", "_all")), None if params.get("size") is None else int(params["size"]), int(params.get("from", 0))
     except (TypeError, ValueError) as exc:
         raise ValueError("size and from must be whole numbers") from exc
 
 
 def read_index(spark: SparkSession, nodes: str, query: str, params: Mapping[str, Any] | None = None) -> DataFrame:
-    """Scan through the public Hadoop connector; it must be on the classpath."""
+    """Scan through the public Hadoop connector; it must be on the classpath.
+
+    All hits come, unless ``size`` or ``from`` asks for a page; pages need
+    ``sort``, a list of columns, as a scan has no order of its own.
+    """
     index, size, start = paging(params)
+    order = list((params or {}).get("sort", ()))
+    if (size is not None or start) and not order:
+        raise ValueError("a page needs the columns to sort by")
     hits = (
         spark.read.format(FORMAT)
         .option("es.nodes", nodes)
@@ -44,7 +51,10 @@ def read_index(spark: SparkSession, nodes: str, query: str, params: Mapping[str,
         .option("es.read.metadata", "true")
         .load()
     )
-    return hits.offset(start).limit(size)
+    if not order:
+        return hits
+    ordered = hits.orderBy(*order).offset(start)
+    return ordered if size is None else ordered.limit(size)
 
 
 def flatten_hits(df: DataFrame, source: Column, source_type: T.StructType, doc_id: Column, index: Column, score: Column) -> DataFrame:

@@ -39,7 +39,7 @@ def test_jdbc_options():
 def test_search_defaults():
     assert search_index.search_body("plain") == {"query": {"match": {"_all": "plain"}}}
     assert search_index.search_body('{"query": {}}') == {"query": {}}
-    assert search_index.paging(None) == ("_all", 100, 0)
+    assert search_index.paging(None) == ("_all", None, 0)
     with pytest.raises(ValueError):
         search_index.paging({"size": "many"})
 
