@@ -12,16 +12,45 @@ from tablewright.plans.queries_stats import rounded, spearman_sql
 from tablewright.plans.registry import Tables, query
 
 AB = "(select event_type as g, value as v from events where event_type in ('click', 'view'))"
-P = ["p_value", "significant"]
+
+
+#: Intervals of the integrals below.
+_GRID = 20_000
+_W = f"case when i in (0, {_GRID}) then 1 when i % 2 = 1 then 4 else 2 end"
+
+
+def _integral(f: str, low: str, high: str) -> str:
+    """Simpson's rule for f(x) from low to high, up to the factor that cancels in a ratio."""
+    return f"sum({_W} * ({f.replace('@', f'({low} + ({high} - {low}) * i / {_GRID}.0)')})) * any_value({high} - {low})"
+
+
+def tested(sql: str, kind: str, digits: int = 6, shown: int | None = None) -> str:
+    """``sql`` (one row with an exact statistic) with its p-value from the integrated density."""
+    half = "pi() / 2"
+    if kind == "t":  # x = sqrt(df) tan(a)
+        f, low, zero, high = "pow(greatest(cos(@), 0), df - 1)", "atan(abs(statistic) / sqrt(df))", "0.0", half
+    elif kind == "f":  # d1 x / (d1 x + d2) = sin(a)^2
+        f, low, zero, high = "pow(greatest(sin(@), 0), df_between - 1) * pow(greatest(cos(@), 0), df_within - 1)", "atan(sqrt(df_between * statistic / df_within))", "0.0", half
+    elif kind == "chi":  # x = u^2
+        f, low, zero, high = "pow(@, df - 1) * exp(-(@) * (@) / 2)", "sqrt(statistic)", "0.0", "(greatest(sqrt(statistic), sqrt(df)) + 14)"
+    else:
+        f, low, zero, high = "exp(-(@) * (@) / 2)", "abs(z)", "0.0", "(abs(z) + 14)"
+    tail, whole = _integral(f, low, high), _integral(f, zero, high)
+    p = "least(1.0, tail / whole)"
+    name = "z" if kind == "z" else "statistic"
+    return f"""
+    with base as ({sql}), q as (select {tail} as tail, {whole} as whole from base, range(0, {_GRID + 1}) g(i)), p as (select {p} as p from base, q)
+    select base.* replace (round({name}, {shown or digits}) as {name}), round(p, {digits}) as p_value, p < 0.05 as significant from base, p
+    """
 
 
 def ab(t: Tables):
     return t.events.filter(F.col("event_type").isin("click", "view")).select(F.col("event_type").alias("g"), F.col("value").alias("v"))
 
 
-@query("t_one_sample", "select count(value) as n, round(avg(value), 6) as mean, round(stddev_samp(value), 6) as std, round((avg(value) - 50) / (stddev_samp(value) / sqrt(count(value))), 6) as statistic, (count(value) - 1)::double as df from events")
+@query("t_one_sample", tested("select count(value) as n, round(avg(value), 6) as mean, round(stddev_samp(value), 6) as std, ((avg(value) - 50) / (stddev_samp(value) / sqrt(count(value)))) as statistic, (count(value) - 1)::double as df from events", "t"))
 def _(t: Tables):
-    return rounded(h.one_sample_t(t.events, "value", 50.0).drop(*P))
+    return rounded(h.one_sample_t(t.events, "value", 50.0))
 
 
 _TWO = f"""
@@ -33,46 +62,58 @@ _TWO = f"""
 
 @query(
     "t_two_sample",
-    _TWO + """select 'click' as group_a, 'view' as group_b, n_a, n_b, round(mean_a, 6) as mean_a, round(mean_b, 6) as mean_b, round(std_a, 6) as std_a, round(std_b, 6) as std_b, round(var_a, 4) as var_a, round(var_b, 4) as var_b,
-    round(pooled_std, 6) as pooled_std, round((mean_a - mean_b) / (pooled_std * sqrt(1 / n_a + 1 / n_b)), 6) as statistic, (n_a + n_b - 2)::double as df from j""",
+    tested(
+        _TWO + """select 'click' as group_a, 'view' as group_b, n_a, n_b, round(mean_a, 6) as mean_a, round(mean_b, 6) as mean_b, round(std_a, 6) as std_a, round(std_b, 6) as std_b, round(var_a, 4) as var_a, round(var_b, 4) as var_b,
+    round(pooled_std, 6) as pooled_std, ((mean_a - mean_b) / (pooled_std * sqrt(1 / n_a + 1 / n_b))) as statistic, (n_a + n_b - 2)::double as df from j""",
+        "t",
+    ),
 )
 def _(t: Tables):
-    out = rounded(h.two_sample_t(ab(t), "v", "g").drop(*P), 6, ("var_a", "var_b"))
+    out = rounded(h.two_sample_t(ab(t), "v", "g"), 6, ("var_a", "var_b"))
     return out.withColumns({"var_a": F.round("var_a", 4), "var_b": F.round("var_b", 4)})
 
 
 @query(
     "t_two_columns",
-    """with j as (select count(l_discount) as n_a, avg(l_discount) as m_a, var_samp(l_discount) as v_a, count(l_tax) as n_b, avg(l_tax) as m_b, var_samp(l_tax) as v_b from lineitem)
-    select round((m_a - m_b) / (sqrt(((n_a - 1) * v_a + (n_b - 1) * v_b) / (n_a + n_b - 2)) * sqrt(1 / n_a + 1 / n_b)), 5) as statistic, (n_a + n_b - 2)::double as df from j""",
+    tested(
+        """with j as (select count(l_discount) as n_a, avg(l_discount) as m_a, var_samp(l_discount) as v_a, count(l_tax) as n_b, avg(l_tax) as m_b, var_samp(l_tax) as v_b from lineitem)
+    select ((m_a - m_b) / (sqrt(((n_a - 1) * v_a + (n_b - 1) * v_b) / (n_a + n_b - 2)) * sqrt(1 / n_a + 1 / n_b))) as statistic, (n_a + n_b - 2)::double as df from j""",
+        "t", 5,
+    ),
 )
 def _(t: Tables):
-    return rounded(h.two_column_t(t.lineitem, "l_discount", "l_tax").select("statistic", "df"), 5)
+    return rounded(h.two_column_t(t.lineitem, "l_discount", "l_tax").select("statistic", "df", "p_value", "significant"), 5)
 
 
 @query(
     "t_paired",
-    """select count(d) as n, round(avg(d), 6) as mean, round(stddev_samp(d), 6) as std, round(avg(d) / (stddev_samp(d) / sqrt(count(d))), 5) as statistic, (count(d) - 1)::double as df
+    tested(
+        """select count(d) as n, round(avg(d), 6) as mean, round(stddev_samp(d), 6) as std, (avg(d) / (stddev_samp(d) / sqrt(count(d)))) as statistic, (count(d) - 1)::double as df
     from (select l_discount - l_tax as d from lineitem)""",
+        "t", 6, 5,
+    ),
 )
 def _(t: Tables):
-    out = rounded(h.paired_t(t.lineitem, "l_discount", "l_tax").drop(*P))
+    out = rounded(h.paired_t(t.lineitem, "l_discount", "l_tax"))
     return out.withColumn("statistic", F.round("statistic", 5))
 
 
 @query(
     "mann_whitney",
-    f"""
+    tested(
+        f"""
     with r as (select g, rank() over (order by v) + (count(*) over (partition by v) - 1) / 2.0 as r from {AB}),
     k as (select sum(n * n * n - n)::double as t from (select count(*)::double as n from {AB} group by v)),
     s as (select count(*) filter (where g = 'click') as n_a, count(*) filter (where g = 'view') as n_b, sum(r) filter (where g = 'click') as ra from r),
     u as (select n_a, n_b, ra - n_a * (n_a + 1) / 2.0 as u, t from s, k)
     select 'click' as group_a, 'view' as group_b, n_a, n_b, u::double as statistic,
-      round((greatest(u, n_a * n_b - u) - n_a * n_b / 2.0 - 0.5) / sqrt(n_a * n_b / 12.0 * ((n_a + n_b + 1) - t / ((n_a + n_b) * (n_a + n_b - 1.0)))), 6) as z from u
+      ((greatest(u, n_a * n_b - u) - n_a * n_b / 2.0 - 0.5) / sqrt(n_a * n_b / 12.0 * ((n_a + n_b + 1) - t / ((n_a + n_b) * (n_a + n_b - 1.0))))) as z from u
     """,
+        "z",
+    ),
 )
 def _(t: Tables):
-    return rounded(h.mann_whitney(ab(t), "v", "g").drop(*P))
+    return rounded(h.mann_whitney(ab(t), "v", "g"))
 
 
 @query(
@@ -89,30 +130,36 @@ def _(t: Tables):
 
 @query(
     "wilcoxon",
-    """
+    tested(
+        """
     with d as (select value - 100 as d from events where value <> 100),
     r as (select d, rank() over (order by abs(d)) + (count(*) over (partition by abs(d)) - 1) / 2.0 as r from d),
     k as (select sum(n * n * n - n)::double as t from (select count(*)::double as n from d group by abs(d))),
     s as (select count(*) as n, sum(r) filter (where d > 0)::double as wp, sum(r) filter (where d < 0)::double as wm from r)
-    select n, wp as w_plus, wm as w_minus, least(wp, wm) as statistic, round((least(wp, wm) - n * (n + 1) / 4.0) / sqrt((n::double * (n + 1) * (2 * n + 1) - t / 2) / 24), 6) as z from s, k
+    select n, wp as w_plus, wm as w_minus, least(wp, wm) as statistic, ((least(wp, wm) - n * (n + 1) / 4.0) / sqrt((n::double * (n + 1) * (2 * n + 1) - t / 2) / 24)) as z from s, k
     """,
+        "z",
+    ),
 )
 def _(t: Tables):
-    return rounded(h.wilcoxon(t.events, "value", 100.0).drop(*P))
+    return rounded(h.wilcoxon(t.events, "value", 100.0))
 
 
 @query(
     "kruskal_wallis",
-    """
+    tested(
+        """
     with r as (select event_type as g, value as v, rank() over (order by value) + (count(*) over (partition by value) - 1) / 2.0 as r from events),
     k as (select sum(n * n * n - n) as t from (select count(*)::double as n from events group by value)),
     s as (select g, count(*)::double as m, sum(r)::double as r from r group by g), n as (select count(*)::double as n from events)
-    select count(*) as groups, sum(m)::bigint as n, round((12 / (any_value(n.n) * (any_value(n.n) + 1)) * sum(r * r / m) - 3 * (any_value(n.n) + 1)) / (1 - any_value(t) / (any_value(n.n) ** 3 - any_value(n.n))), 5) as statistic,
+    select count(*) as groups, sum(m)::bigint as n, ((12 / (any_value(n.n) * (any_value(n.n) + 1)) * sum(r * r / m) - 3 * (any_value(n.n) + 1)) / (1 - any_value(t) / (any_value(n.n) ** 3 - any_value(n.n)))) as statistic,
       (count(*) - 1)::double as df from s, n, k
     """,
+        "chi", 5,
+    ),
 )
 def _(t: Tables):
-    return rounded(h.kruskal_wallis(t.events, "value", "event_type").drop(*P), 5)
+    return rounded(h.kruskal_wallis(t.events, "value", "event_type"), 5)
 
 
 @query("group_medians", "select event_type, count(value) as n, round(quantile_cont(value, 0.5), 4) as median from events group by 1")
@@ -122,14 +169,19 @@ def _(t: Tables):
 
 @query(
     "anova_one_way",
-    """
+    tested(
+        """
     with g as (select o_orderpriority, count(*) as n, avg(o_totalprice) as m, var_samp(o_totalprice) as v from orders group by 1), a as (select avg(o_totalprice) as m, count(*) as n from orders)
-    select count(*) as groups, sum(g.n)::bigint as n, round((sum(g.n * (g.m - a.m) ** 2) / (count(*) - 1)) / (sum((g.n - 1) * g.v) / (sum(g.n) - count(*))), 6) as statistic,
-      (count(*) - 1)::double as df_between, (sum(g.n) - count(*))::double as df_within from g, a
+    select count(*) as groups, sum(g.n)::bigint as n, ((sum(g.n * (g.m - a.m) ** 2) / (count(*) - 1)) / (sum((g.n - 1) * g.v) / (sum(g.n) - count(*)))) as statistic,
+      (count(*) - 1)::double as df_between, (sum(g.n) - count(*))::double as df_within,
+      round(sum(g.n * (g.m - a.m) ** 2) / 1e6, 4) as ss_between, round(sum((g.n - 1) * g.v) / 1e6, 4) as ss_within from g, a
     """,
+        "f",
+    ),
 )
 def _(t: Tables):
-    return rounded(h.anova(t.orders, "o_totalprice", "o_orderpriority").drop(*P, "ss_between", "ss_within"))
+    out = rounded(h.anova(t.orders, "o_totalprice", "o_orderpriority"), 6, ("ss_between", "ss_within"))
+    return out.withColumns({c: F.round(F.col(c) / 1e6, 4) for c in ("ss_between", "ss_within")})
 
 
 @query(
@@ -146,18 +198,18 @@ def _chi_sql(table, a, b):
     with c as (select {a} as a, {b} as b, count(*) as o from {table} group by 1, 2), ra as (select a, sum(o) as r from c group by a), cb as (select b, sum(o) as k from c group by b), n as (select sum(o) as n from c),
     g as (select coalesce(c.o, 0) as o, r * k / n as e from ra cross join cb cross join n left join c on c.a = ra.a and c.b = cb.b),
     d as (select ((select count(*) from ra) - 1) * ((select count(*) from cb) - 1) as d)
-    select sum(o)::bigint as n, round(sum(case when d.d = 1 then (abs(o - e) - least(0.5, abs(o - e))) ** 2 / e else (o - e) ** 2 / e end), 6) as statistic, any_value(d.d)::double as df from g, d
+    select sum(o)::bigint as n, (sum(case when d.d = 1 then (abs(o - e) - least(0.5, abs(o - e))) ** 2 / e else (o - e) ** 2 / e end)) as statistic, any_value(d.d)::double as df from g, d
     """
 
 
-@query("chi_square_independence", _chi_sql("orders", "o_orderstatus", "o_orderpriority"))
+@query("chi_square_independence", tested(_chi_sql("orders", "o_orderstatus", "o_orderpriority"), "chi"))
 def _(t: Tables):
-    return rounded(h.chi_square_independence(t.orders, "o_orderstatus", "o_orderpriority").drop(*P))
+    return rounded(h.chi_square_independence(t.orders, "o_orderstatus", "o_orderpriority"))
 
 
-@query("chi_square_two_by_two", _chi_sql("labels", "quality", "toxic"))
+@query("chi_square_two_by_two", tested(_chi_sql("labels", "quality", "toxic"), "chi"))
 def _(t: Tables):
-    return rounded(h.chi_square_independence(t.labels, "quality", "toxic").drop(*P))
+    return rounded(h.chi_square_independence(t.labels, "quality", "toxic"))
 
 
 @query(
@@ -175,17 +227,20 @@ _FIT = "(select l_linenumber as a, case when l_quantity > 10 then l_linenumber e
 
 @query(
     "chi_square_fit",
-    f"""
+    tested(
+        f"""
     with o as (select a as c, count(*) as o from {_FIT} group by 1), e as (select b as c, count(*) as e from {_FIT} group by 1), j as (select coalesce(o.o, 0) as o, coalesce(e.e, 0) as e from o full join e on o.c = e.c)
-    select sum(o)::bigint as n, round(sum((o - e * s) ** 2 / (e * s)), 6) as statistic, (count(*) - 1)::double as df from j, (select sum(o) / sum(e) as s from j)
+    select sum(o)::bigint as n, (sum((o - e * s) ** 2 / (e * s))) as statistic, (count(*) - 1)::double as df from j, (select sum(o) / sum(e) as s from j)
     """,
+        "chi",
+    ),
 )
 def _(t: Tables):
     df = t.lineitem.select(
         F.col("l_linenumber").alias("a"),
         F.when(F.col("l_quantity") > 10, F.col("l_linenumber")).otherwise(F.col("l_linenumber") % 7 + 1).alias("b"),
     )
-    return rounded(h.chi_square_fit(df, "a", "b").drop(*P))
+    return rounded(h.chi_square_fit(df, "a", "b"))
 
 
 _R = "case when abs(r) < 0.1 then 'negligible' when abs(r) < 0.3 then 'weak' when abs(r) < 0.5 then 'moderate' when abs(r) < 0.7 then 'strong' else 'very_strong' end as strength"
@@ -193,20 +248,26 @@ _R = "case when abs(r) < 0.1 then 'negligible' when abs(r) < 0.3 then 'weak' whe
 
 @query(
     "pearson_test",
-    f"select 'l_quantity' as column1, 'l_extendedprice' as column2, n, round(r, 6) as r, round(r * sqrt((n - 2) / (1 - r * r)), 4) as statistic, (n - 2)::double as df, {_R} from (select count(*) as n, corr(l_quantity, l_extendedprice) as r from lineitem)",
+    tested(
+        f"select 'l_quantity' as column1, 'l_extendedprice' as column2, n, round(r, 6) as r, (r * sqrt((n - 2) / (1 - r * r))) as statistic, (n - 2)::double as df, {_R} from (select count(*) as n, corr(l_quantity, l_extendedprice) as r from lineitem)",
+        "t", 6, 4,
+    ),
 )
 def _(t: Tables):
-    out = h.pearson_test(t.lineitem, "l_quantity", "l_extendedprice").drop(*P)
-    return out.withColumns({"r": F.round("r", 6), "statistic": F.round("statistic", 4)})
+    out = h.pearson_test(t.lineitem, "l_quantity", "l_extendedprice")
+    return out.withColumns({"r": F.round("r", 6), "statistic": F.round("statistic", 4), "p_value": F.round("p_value", 6)})
 
 
 @query(
     "spearman_test",
-    f"select column1, column2, n, round(r, 6) as r, round(r * sqrt((n - 2) / (1 - r * r)), 4) as statistic, (n - 2)::double as df, {_R} from ({spearman_sql('p_size', 'p_retailprice', 'part')})",
+    tested(
+        f"select column1, column2, n, round(r, 6) as r, (r * sqrt((n - 2) / (1 - r * r))) as statistic, (n - 2)::double as df, {_R} from ({spearman_sql('p_size', 'p_retailprice', 'part')})",
+        "t", 6, 4,
+    ),
 )
 def _(t: Tables):
-    out = h.spearman_test(t.part, "p_size", "p_retailprice").drop(*P)
-    return out.withColumns({"r": F.round("r", 6), "statistic": F.round("statistic", 4)})
+    out = h.spearman_test(t.part, "p_size", "p_retailprice")
+    return out.withColumns({"r": F.round("r", 6), "statistic": F.round("statistic", 4), "p_value": F.round("p_value", 6)})
 
 
 @query(

@@ -88,3 +88,49 @@ def test_duplicates(spark):
     assert rows(keep_one(df, ["k"], ["o"])) == [(1, 0, None), (2, 3, "z")]
     assert rows(keep_one(df, ["k"], ["o"], "last")) == [(1, 2, "y"), (2, 3, "z")]
     assert rows(keep_one(df, ["k"], ["o"], False)) == [(2, 3, "z")]
+
+
+def test_null_groups_are_groups(spark):
+    """Every grouped operator keeps the group of the null key, in both forms."""
+    from tablewright.operators import quantiles, stats
+    from tablewright.session import SMALL_BYTES_KEY
+
+    rows = [(i, float(i % 100), [None, "a"][i % 2], i) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, v double, g string, x long")
+    results = []
+    for limit in ("0", str(2**62)):
+        spark.conf.set(SMALL_BYTES_KEY, limit)
+        try:
+            q = {r.g: list(r.q) for r in quantiles.quantiles(df, ["v"], [0.25, 0.5, 0.75], ["g"]).collect()}
+            h = {(r.g, r.bin): r["count"] for r in stats.histogram(df, ["v"], 4, ["g"]).collect()}
+        finally:
+            spark.conf.unset(SMALL_BYTES_KEY)
+        assert set(q) == {None, "a"} and sum(h[k] for k in h if k[0] is None) == 200
+        results.append((q, h))
+    assert results[0] == results[1]
+
+
+def test_match_joins_null_keys(spark):
+    from tablewright.session import match
+
+    left = spark.createDataFrame([(None, 1), ("a", 2)], "k string, v int")
+    right = spark.createDataFrame([(None, 3), ("a", 4)], "k string, w int")
+    assert sorted((r.v, r.w) for r in match(left, right, ["k"]).collect()) == [(1, 3), (2, 4)]
+
+
+def test_masking_never_leaves_values_clear(spark):
+    from pyspark.sql import functions as F
+
+    from tablewright.functions.masking import mask_value
+
+    df = spark.createDataFrame([("123456789",)], "c string")
+    row = df.select(*[mask_value(F.col("c"), k).alias(k) for k in ("email", "phone", "card")]).first()
+    assert all(v != "123456789" for v in row)
+
+
+def test_lineage_has_no_hop_limit(spark):
+    from tablewright.operators import lineage
+
+    chain = spark.createDataFrame([(f"n{i}", f"n{i + 1}", "t") for i in range(20)], "source string, target string, transformation string")
+    start = spark.createDataFrame([("n0",)], "node string")
+    assert lineage.trace(chain, start).count() == 20
