@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tablewright.operators import templates as tp
 from tablewright.plans.queries_stats import describe_sql, rounded
 from tablewright.plans.queries_tests import AB, ab
+from tablewright.plans.queries_tests import tested
 from tablewright.plans.registry import Tables, query
 
 
@@ -132,7 +133,13 @@ def _(t: Tables):
     return rounded(tp.ab_effect(ab(t).toDF("group", "metric")))
 
 
-@query("ab_advice")
+_JUDGED = tested(_EFFECT + " select abs((ma - mb) / s) as d, (ma - mb) / (s * sqrt(1 / na + 1 / nb)) as statistic, (na + nb - 2)::double as df from j", "t")
+
+
+@query(
+    "ab_advice",
+    f"with r as ({_JUDGED}) select case when significant then 'choose_winner' else 'collect_more_data' end as advice from r union all select case when d < 0.2 then 'weigh_impact' when d < 0.5 then 'apply_after_review' else 'apply_now' end from r",
+)
 def _(t: Tables):
     return tp.ab_advice(ab(t).toDF("group", "metric"))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tablewright.operators import hypothesis as h
 from tablewright.plans.queries_stats import rounded, spearman_sql
-from tablewright.plans.registry import Tables, query
+from tablewright.plans.registry import ORACLES, Tables, query
 
 AB = "(select event_type as g, value as v from events where event_type in ('click', 'view'))"
 
@@ -25,7 +25,7 @@ def _integral(f: str, low: str, high: str) -> str:
 
 
 def tested(sql: str, kind: str, digits: int = 6, shown: int | None = None) -> str:
-    """``sql`` (one row with an exact statistic) with its p-value from the integrated density."""
+    """``sql`` (rows with an exact statistic) with their p-values from the integrated density."""
     half = "pi() / 2"
     if kind == "t":  # x = sqrt(df) tan(a)
         f, low, zero, high = "pow(greatest(cos(@), 0), df - 1)", "atan(abs(statistic) / sqrt(df))", "0.0", half
@@ -39,8 +39,8 @@ def tested(sql: str, kind: str, digits: int = 6, shown: int | None = None) -> st
     p = "least(1.0, tail / whole)"
     name = "z" if kind == "z" else "statistic"
     return f"""
-    with base as ({sql}), q as (select {tail} as tail, {whole} as whole from base, range(0, {_GRID + 1}) g(i)), p as (select {p} as p from base, q)
-    select base.* replace (round({name}, {shown or digits}) as {name}), round(p, {digits}) as p_value, p < 0.05 as significant from base, p
+    with base as (select *, row_number() over () as _row from ({sql})), q as (select _row, {tail} as tail, {whole} as whole from base, range(0, {_GRID + 1}) g(i) group by _row), p as (select _row, {p} as p from q)
+    select base.* exclude (_row) replace (round({name}, {shown or digits}) as {name}), round(p, {digits}) as p_value, p < 0.05 as significant from base join p using (_row)
     """
 
 
@@ -98,17 +98,20 @@ def _(t: Tables):
     return out.withColumn("statistic", F.round("statistic", 5))
 
 
-@query(
-    "mann_whitney",
-    tested(
-        f"""
+_RANKS = f"""
     with r as (select g, rank() over (order by v) + (count(*) over (partition by v) - 1) / 2.0 as r from {AB}),
     k as (select sum(n * n * n - n)::double as t from (select count(*)::double as n from {AB} group by v)),
     s as (select count(*) filter (where g = 'click') as n_a, count(*) filter (where g = 'view') as n_b, sum(r) filter (where g = 'click') as ra from r),
     u as (select n_a, n_b, ra - n_a * (n_a + 1) / 2.0 as u, t from s, k)
     select 'click' as group_a, 'view' as group_b, n_a, n_b, u::double as statistic,
       ((greatest(u, n_a * n_b - u) - n_a * n_b / 2.0 - 0.5) / sqrt(n_a * n_b / 12.0 * ((n_a + n_b + 1) - t / ((n_a + n_b) * (n_a + n_b - 1.0))))) as z from u
-    """,
+    """
+
+
+@query(
+    "mann_whitney",
+    tested(
+        _RANKS,
         "z",
     ),
 )
@@ -283,22 +286,59 @@ def _(t: Tables):
     return out.withColumns({"median_a": F.round("median_a", 4), "median_b": F.round("median_b", 4)})
 
 
-@query("ab_test_t")
+# The 0.975 quantile of t by the Cornish-Fisher expansion of the normal one.
+_Z = 1.959963984540054
+_Q = " + ".join(
+    [f"{_Z}", f"{(_Z**3 + _Z) / 4} / df", f"{(5 * _Z**5 + 16 * _Z**3 + 3 * _Z) / 96} / pow(df, 2)", f"{(3 * _Z**7 + 19 * _Z**5 + 17 * _Z**3 - 15 * _Z) / 384} / pow(df, 3)"]
+)
+_AB = f"""
+    with j as (select *, (n_a + n_b - 2)::double as df, (mean_b - mean_a) / pooled_std as cohens_d, mean_b - mean_a as mean_difference from ({_TWO} select * from j) j)
+    select n_a, n_b, round(mean_difference, 6) as mean_difference, round(cohens_d, 6) as cohens_d, abs(cohens_d) >= 0.2 as practical, df, {{statistic}} as statistic,
+      round(mean_difference - ({_Q}) * pooled_std * sqrt(1 / n_a + 1 / n_b), 5) as ci_lower, round(mean_difference + ({_Q}) * pooled_std * sqrt(1 / n_a + 1 / n_b), 5) as ci_upper{{more}} from j{{source}}
+"""
+_ADVICE = "case when significant and practical then 'apply' when significant then 'review' when practical then 'collect_more_data' else 'keep_current' end as recommendation"
+
+
+def _ab_shown(out: DataFrame) -> DataFrame:
+    keep = ["n_a", "n_b", "mean_difference", "cohens_d", "practical", "df", "statistic", "ci_lower", "ci_upper", "p_value", "significant", "recommendation"]
+    return rounded(out.select(*keep), 6, ("ci_lower", "ci_upper")).withColumns({c: F.round(c, 5) for c in ("ci_lower", "ci_upper")})
+
+
+@query("ab_test_t", f"select *, {_ADVICE} from ({tested(_AB.format(statistic='(mean_a - mean_b) / (pooled_std * sqrt(1 / n_a + 1 / n_b))', more='', source=''), 't')})")
 def _(t: Tables):
-    return h.ab_test(ab(t), "g", "v")
+    return _ab_shown(h.ab_test(ab(t), "g", "v"))
 
 
-@query("ab_test_ranks")
+@query(
+    "ab_test_ranks",
+    f"select * exclude (z), {_ADVICE} from ({tested(_AB.format(statistic='u', more=', z', source=f', (select statistic as u, z from ({_RANKS}))'), 'z')})",
+)
 def _(t: Tables):
-    return h.ab_test(ab(t), "g", "v", "mann_whitney")
+    return _ab_shown(h.ab_test(ab(t), "g", "v", "mann_whitney"))
 
 
-@query("ab_power")
+@query(
+    "ab_power",
+    f"""
+    with b as (select n_a, n_b, (mean_b - mean_a) / pooled_std as d from ({_TWO} select * from j)), r as (select *, abs(d) * sqrt(n_a * n_b / (n_a + n_b)::double) - {_Z} as x from b),
+    q as (select {_integral('exp(-(@) * (@) / 2)', '(-14.0)', 'x')} / 3 / {_GRID} / sqrt(2 * pi()) as power from r, range(0, {_GRID + 1}) g(i))
+    select 'click' as group_a, 'view' as group_b, round(d, 6) as cohens_d, round(power, 6) as power, ceil(2 * (({_Z} + 0.8416212335729143) / abs(d)) ** 2)::bigint as needed_per_group from r, q
+    """,
+)
 def _(t: Tables):
-    return h.power(h.ab_statistics(ab(t), "g", "v"))
+    return rounded(h.power(h.ab_statistics(ab(t), "g", "v")))
+
 
+_RUNS = {
+    "one_sample": "t_one_sample", "two_sample": "t_two_sample", "mann_whitney": "mann_whitney", "wilcoxon": "wilcoxon",
+    "kruskal_wallis": "kruskal_wallis", "anova": "anova_one_way", "chi_square": "chi_square_independence", "pearson": "pearson_test",
+}
 
-@query("hypothesis_p_values")
+
+@query(
+    "hypothesis_p_values",
+    " union all ".join(f"select '{n}' as test, round(statistic, 3) as statistic, round(p_value, 4) as p_value, significant from ({ORACLES[q]})" for n, q in _RUNS.items()),
+)
 def _(t: Tables):
     runs = {
         "one_sample": h.run_test("one_sample", t.events, "value", 50.0),
@@ -310,5 +350,5 @@ def _(t: Tables):
         "chi_square": h.run_test("chi_square", t.orders, "o_orderstatus", "o_orderpriority"),
         "pearson": h.run_test("pearson", t.lineitem, "l_quantity", "l_extendedprice"),
     }
-    parts = [df.select(F.lit(n).alias("test"), "statistic", "p_value", "significant") for n, df in runs.items()]
+    parts = [df.select(F.lit(n).alias("test"), F.round("statistic", 3).alias("statistic"), F.round("p_value", 4).alias("p_value"), "significant") for n, df in runs.items()]
     return reduce(DataFrame.unionByName, parts)

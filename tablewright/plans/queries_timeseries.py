@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tablewright.operators import timeseries as ts
 from tablewright.plans.queries_quality import quad_sql
 from tablewright.plans.queries_stats import rounded
+from tablewright.plans.queries_tests import tested
 from tablewright.plans.registry import Tables, query
 
 DAILY = "with d as (select date_trunc('day', ts)::timestamp as t, sum(value) as y from events group by 1), s as (select t, y, row_number() over (order by t) - 1 as idx from d)"
@@ -80,9 +81,15 @@ def _(t: Tables):
     return rounded(ts.trend_line(s, ts.linear_trend(s)), 4)
 
 
-@query("trend_significance")
+_SLOPES = TYPED + ", f as (select event_type, count(*) as n, regr_slope(y, idx) as slope, regr_r2(y, idx) as r2, (count(*) - 2)::double as df from s group by 1) select event_type, n, round(slope, 6) as slope, sign(slope) * sqrt(r2 * df / (1 - r2)) as statistic, df from f"
+
+
+@query(
+    "trend_significance",
+    f"select event_type, n, slope, p_value, case when p_value < 0.05 then case when slope > 0 then 'up' else 'down' end else 'flat' end as trend from ({tested(_SLOPES, 't')})",
+)
 def _(t: Tables):
-    return ts.trend_significance(ts.linear_trend(typed(t), ["event_type"]))
+    return rounded(ts.trend_significance(ts.linear_trend(typed(t), ["event_type"])).select("event_type", "n", "slope", "p_value", "trend"))
 
 
 @query("trend_polynomial", TYPED + ", z as (select event_type, idx::double as i, y from s) select event_type, n, round(c0, 6) as c0, round(c1, 6) as c1, round(a2, 6) as c2, round(r2, 6) as r2 from " + quad_sql("z", "event_type"))
