@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -39,7 +40,9 @@ def release(spark: SparkSession) -> None:
 
     It acts when the driver's JVM collects garbage, which a quiet driver seldom
     does; between the stages of a long operator that would keep every shuffle.
+    Python's own references to finished plans go first, as they keep the JVM's.
     """
+    gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 

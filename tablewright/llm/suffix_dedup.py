@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -212,7 +213,6 @@ def _context_maker(splitters: np.ndarray, length: int):
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.concatenate([bucket, spread]).astype(np.int32)),
-                    pa.array([c[b : b + GRAM] for b, c in keys] + [None] * m, pa.binary()),
                     pa.array([c for _, c in keys] + [None] * m, pa.binary()),
                     pa.array([b for b, _ in keys] + [None] * m, pa.int32()),
                     long(0),
@@ -220,7 +220,7 @@ def _context_maker(splitters: np.ndarray, length: int):
                     long(2),
                     pa.array([None] * n + [g[3] for g in gone], pa.int64()),
                 ],
-                ["bucket", "gram", "context", "before", "_id", "_tag", "start", "end"],
+                ["bucket", "context", "before", "_id", "_tag", "start", "end"],
             )
 
     return contexts
@@ -316,10 +316,11 @@ def _bucket_worker(length: int):
         held: list[pa.RecordBatch] = []
         size = 0
         for batch in batches:
-            done = batch.filter(batch.column(7).is_valid())
+            marked = batch.column(batch.schema.get_field_index("end")).is_valid()
+            done = batch.filter(marked)
             if done.num_rows:
                 yield done.select(["_id", "_tag", "start", "end"])
-            batch = batch.filter(batch.column(7).is_null())
+            batch = batch.filter(pc.invert(marked))
             if not batch.num_rows:
                 continue
             held.append(batch)
@@ -379,9 +380,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     splitters = _splitters(rows, 4 * parts)
     with_anchors = rows.join(per_doc, ["_id", "_tag"]).select("_id", "_tag", "_t", "_anchors")
     contexts = with_anchors.mapInArrow(
-        _context_maker(splitters, length), "bucket int, gram binary, context binary, before int, _id long, _tag long, start long, end long"
+        _context_maker(splitters, length), "bucket int, context binary, before int, _id long, _tag long, start long, end long"
     )
-    dealt = contexts.repartition(parts, "bucket").sortWithinPartitions("gram")
+    gram = F.expr(f"substring(context, before + 1, {GRAM})")
+    dealt = contexts.repartition(parts, "bucket").withColumn("gram", gram).sortWithinPartitions("gram").drop("bucket")
     out = staged(dealt.mapInArrow(_bucket_worker(length), "_id long, _tag long, start long, end long"), "repeats")
     release(spark)
     return out
