@@ -60,8 +60,8 @@ def density_grid(df: DataFrame, x: str, y: str, bins: int = 20, hue: str | None
 
 
 def scatter_matrix(df: DataFrame, columns: Sequence[str] | None = None, bins: int = 10) -> DataFrame:
-    """Density grids of every pair among the first five numeric columns, one pass."""
-    columns = numeric_columns(df, columns)[:5]
+    """Density grids of every pair of numeric columns, one pass."""
+    columns = numeric_columns(df, columns)
     edges = df.agg(*[f(present_double(df, c)).alias(f"{n}{i}") for i, c in enumerate(columns) for n, f in (("lo", F.min), ("hi", F.max))])
     s = attach(df, edges)
     binned = [_bin(present_double(df, c), F.col(f"_s.lo{i}"), F.col(f"_s.hi{i}"), bins) for i, c in enumerate(columns)]
@@ -86,14 +86,26 @@ def histogram(df: DataFrame, column: str, bins: int = 30, hue: str | None = None
     return stats.histogram(df, [column], bins, [hue] if hue else [])
 
 
-def box(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
-    """Quartiles, whiskers at the last values inside 1.5 IQR, and the flier count."""
-    keys = list(by)
+def _fenced(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
+    """The values of each group beside its count, quartiles and fences."""
     rows = df.select(*[quoted(k) for k in keys], present_double(df, value).alias("v")).filter("v IS NOT NULL")
     q = with_quantiles(rows, ["v"], (0.25, 0.5, 0.75), [F.count(F.lit(1)).alias("n")], keys)
     iqr = F.col("q_v")[2] - F.col("q_v")[0]
     fences = q.select(*keys, "n", F.col("q_v").alias("q"), (F.col("q_v")[0] - 1.5 * iqr).alias("lo"), (F.col("q_v")[2] + 1.5 * iqr).alias("hi"))
-    joined = join_groups(rows, fences, keys) if keys else attach(rows, fences).select("v", "_s.*")
+    return join_groups(rows, fences, keys) if keys else attach(rows, fences).select("v", "_s.*")
+
+
+def box_fliers(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
+    """The values beyond the fences of their group, one row each."""
+    keys = list(by)
+    outside = (F.col("v") < F.col("lo")) | (F.col("v") > F.col("hi"))
+    return _fenced(df, value, keys).filter(outside).select(*[quoted(k) for k in keys], F.col("v").alias("value"))
+
+
+def box(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
+    """Quartiles, whiskers at the last values inside 1.5 IQR, and the flier count; see ``box_fliers`` for the values."""
+    keys = list(by)
+    joined = _fenced(df, value, keys)
     inside = (F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi"))
     return joined.groupBy(*keys).agg(
         F.max("n").alias("n"),
@@ -170,17 +182,21 @@ def plot_statistics(df: DataFrame, columns: Sequence[str] | None = None) -> Data
     return d.join(stats.distribution(df, columns).select("column", "skewness", "kurtosis"), "column")
 
 
-def dashboard(df: DataFrame) -> dict[str, DataFrame]:
-    """Default charts: first numeric column, first text column, first pair."""
-    numbers, words = numeric_columns(df), string_columns(df)
+def dashboard(df: DataFrame, columns: Sequence[str] | None = None) -> dict[str, DataFrame]:
+    """Default charts of all columns, or of ``columns``.
+
+    The first of each kind has the plain name (``histogram``, ``box``, ``bar``),
+    the others their column's name behind it; all pairs share ``scatter``.
+    """
+    numbers, words = numeric_columns(df, columns), string_columns(df, columns)
     out = {"columns": stats.column_report(df), "summary": stats.table_summary(df)}
-    if numbers:
-        out["histogram"] = histogram(df, numbers[0])
-        out["box"] = box(df, numbers[0])
-    if words:
-        out["bar"] = bar(df, words[0])
+    for i, c in enumerate(numbers):
+        out["histogram" if i == 0 else f"histogram {c}"] = histogram(df, c)
+        out["box" if i == 0 else f"box {c}"] = box(df, c)
+    for i, c in enumerate(words):
+        out["bar" if i == 0 else f"bar {c}"] = bar(df, c)
     if len(numbers) > 1:
-        out["scatter"] = density_grid(df, numbers[0], numbers[1])
+        out["scatter"] = scatter_matrix(df, numbers)
         out["heatmap"] = heatmap(df, numbers)
     return out
 

@@ -146,6 +146,13 @@ def encode_onehot(df: DataFrame, columns: Sequence[str] | None = None, max_value
     return df
 
 
+def encode_onehot_long(df: DataFrame, key: str, columns: Sequence[str] | None = None) -> DataFrame:
+    """The same encoding for any number of values: rows ``(key, feature, value)`` of the ones; zeros are left out."""
+    columns = string_columns(df, [c for c in (columns or df.columns) if c != key])
+    ones = F.array(*[F.when(quoted(c).isNotNull(), F.concat(F.lit(f"{c}_"), quoted(c))) for c in columns])
+    return df.select(quoted(key), F.explode(F.filter(ones, lambda x: x.isNotNull())).alias("feature")).withColumn("value", F.lit(1))
+
+
 def cleanliness(df: DataFrame) -> DataFrame:
     """One row: rows, columns and 1 - missing share - duplicate share, within 0..1."""
     gaps = sum([F.count_if(absent(df, c)) for c in df.columns[1:]], F.count_if(absent(df, df.columns[0])))

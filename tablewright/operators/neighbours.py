@@ -182,6 +182,16 @@ def local_outlier_factor(df: DataFrame, key: str, columns: Sequence[str] | None
 def knn_impute(df: DataFrame, columns: Sequence[str] | None = None, k: int = 5) -> DataFrame:
     """Fill numeric gaps with the mean of the k nearest complete rows.
 
+    The search runs under names of its own, so any column name is allowed.
+    """
+    own = {c: f"_c{i}" for i, c in enumerate(df.columns)}
+    filled = _knn_fill(df.toDF(*own.values()), [own[c] for c in numeric_columns(df, columns)], k)
+    return filled.select(*own.values()).toDF(*own)
+
+
+def _knn_fill(df: DataFrame, columns: Sequence[str], k: int) -> DataFrame:
+    """Rows of ``df`` with gaps filled.
+
     Distances use the columns a row does have, so each pattern of gaps is one
     search in its own subspace; patterns, not rows, are looped over. Rows with
     no numeric value at all, and tables without a complete row, get the mean.

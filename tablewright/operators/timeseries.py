@@ -624,6 +624,17 @@ def seasonal_regression(s: DataFrame, steps: int = 30, by: Sequence[str] = (), w
 
 
 def anomalies(s: DataFrame, method: str = "zscore", threshold: float | None = None) -> DataFrame:
-    """Rows of one series beyond the limits; z-scores use the population deviation."""
+    """Rows of one series beyond the limits; z-scores use the population deviation.
+
+    ``isolation_forest`` takes the ``threshold`` share (0.1 by default) of rows
+    that a forest over the one column isolates soonest; rows need a key then,
+    their first column.
+    """
+    if method == "isolation_forest":
+        from tablewright.operators.anomaly import isolation_forest
+
+        key = s.columns[0]
+        strange = isolation_forest(s, key, ["y"], threshold or 0.1).filter("label = -1").select(key)
+        return s.join(strange, key, "left_semi")
     marked = flag(s, ["y"], method, threshold, sample=False)
     return marked.filter("y_outlier").drop("y_outlier")

@@ -66,13 +66,13 @@ def _(t: Tables):
 
 
 def _box_sql(keys, value, table):
-    lead = f"{keys}, " if keys else ""
-    group = f"group by {keys}" if keys else ""
-    join = f"join q using ({keys})" if keys else ", q"
-    return f"""with q as (select {lead}quantile_cont({value}, 0.25) as q1, quantile_cont({value}, 0.5) as md, quantile_cont({value}, 0.75) as q3 from {table} {group})
+    lead = f"t.{keys}, " if keys else ""
+    group = f"group by t.{keys}" if keys else ""
+    join = f"join q on t.{keys} is not distinct from q.{keys}" if keys else ", q"
+    return f"""with q as (select {lead}quantile_cont({value}, 0.25) as q1, quantile_cont({value}, 0.5) as md, quantile_cont({value}, 0.75) as q3 from {table} t {group})
     select {lead}count(*) as n, round(any_value(q1), 4) as q1, round(any_value(md), 4) as median, round(any_value(q3), 4) as q3,
       min({value}) filter (where {value} between q1 - 1.5 * (q3 - q1) and q3 + 1.5 * (q3 - q1)) as whisker_low, max({value}) filter (where {value} between q1 - 1.5 * (q3 - q1) and q3 + 1.5 * (q3 - q1)) as whisker_high,
-      count(*) filter (where not ({value} between q1 - 1.5 * (q3 - q1) and q3 + 1.5 * (q3 - q1))) as fliers from {table} {join} {group}"""
+      count(*) filter (where not ({value} between q1 - 1.5 * (q3 - q1) and q3 + 1.5 * (q3 - q1))) as fliers from {table} t {join} {group}"""
 
 
 @query("chart_box", _box_sql("", "value", "events"))
@@ -85,6 +85,27 @@ def _(t: Tables):
     return charts.box(t.events, "value", ["event_type"]).withColumns({c: F.round(c, 4) for c in ("q1", "median", "q3")})
 
 
+@query(
+    "chart_box_fliers",
+    """
+    with q as (select event_type, quantile_cont(value, 0.25) as q1, quantile_cont(value, 0.75) as q3 from events group by 1)
+    select e.event_type, e.value from events e join q on e.event_type is not distinct from q.event_type where e.value < q1 - 1.5 * (q3 - q1) or e.value > q3 + 1.5 * (q3 - q1)
+    """,
+)
+def _(t: Tables):
+    return charts.box_fliers(t.events, "value", ["event_type"])
+
+
+# Half of the labels' hue is null: documents without a label.
+_NULL_HUE = "(select d.n_chars::double as n_chars, l.quality as hue from documents d left join labels l on d.doc_id = l.doc_id)"
+
+
+@query("chart_box_null_group", _box_sql("hue", "n_chars", _NULL_HUE))
+def _(t: Tables):
+    d = t.documents.join(t.labels, "doc_id", "left").select("n_chars", F.col("quality").alias("hue"))
+    return charts.box(d, "n_chars", ["hue"]).withColumns({c: F.round(c, 4) for c in ("q1", "median", "q3")})
+
+
 @query(
     "chart_heatmap",
     " union all ".join(f"select '{a}' as row, '{b}' as \"column\", round(corr({a}, {b}), 6) as r from lineitem" if a != b else f"select '{a}' as row, '{a}' as \"column\", 1.0::double as r" for a in LINE for b in LINE),

@@ -465,6 +465,14 @@ def _(t: Tables):
     return rounded(cleaner.report(gappy(t).select("l_linenumber", "l_discount", "l_returnflag")))
 
 
+@query(
+    "encode_onehot_long",
+    "select p_partkey, 'p_name_' || p_name as feature, 1 as value from part where p_name is not null union all select p_partkey, 'p_brand_' || p_brand, 1 from part where p_brand is not null",
+)
+def _(t: Tables):
+    return cleaning.encode_onehot_long(t.part, "p_partkey", ["p_name", "p_brand"])
+
+
 @query("cleaning_default")
 def _(t: Tables):
     return cleaning.Cleaner.default().clean(gappy(t).drop("l_orderkey"))

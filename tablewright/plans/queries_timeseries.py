@@ -188,6 +188,12 @@ def _(t: Tables):
     return ts.anomalies(s, "zscore", 3.0).select("event_id", F.col("y").alias("value"))
 
 
+@query("series_anomalies_forest")
+def _(t: Tables):
+    s = t.events.select("event_id", F.col("value").alias("y"))
+    return ts.anomalies(s, "isolation_forest", 0.05).select("event_id", F.col("y").alias("value"))
+
+
 @query("series_anomalies_iqr", "select event_id, value from events, (select quantile_cont(value, 0.25) as q1, quantile_cont(value, 0.75) as q3 from events) where value < q1 - 1.5 * (q3 - q1) or value > q3 + 1.5 * (q3 - q1)")
 def _(t: Tables):
     s = t.events.select("event_id", F.col("value").alias("y"))

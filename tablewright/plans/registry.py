@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tablewright.session import ship_package
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -16,7 +18,12 @@ def query(name: str, sql: str | None = None):
     def wrap(fn: Callable[["Tables"], DataFrame]):
         if name in QUERIES:
             raise ValueError(f"query {name} exists")
-        QUERIES[name] = lambda spark, sf_dir: fn(Tables(spark, sf_dir))
+
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship_package(spark)
+            return fn(Tables(spark, sf_dir))
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = sql.strip()
         return fn

@@ -16,7 +16,8 @@ DIALECTS = {
 }
 
 
-def sql_literal(value: Any) -> str:
+def sql_literal(value: Any, dialect: str = "postgres") -> str:
+    """A value as an SQL literal; MySQL reads backslashes in strings as escapes, so they are doubled there."""
     if value is None:
         return "NULL"
     if isinstance(value, bool):
@@ -27,23 +28,35 @@ def sql_literal(value: Any) -> str:
         return f"TIMESTAMP '{value.isoformat(sep=' ')}'"
     if isinstance(value, dt.date):
         return f"DATE '{value.isoformat()}'"
-    return "'" + str(value).replace("'", "''") + "'"
+    text = str(value)
+    if "\0" in text:
+        raise ValueError("a literal cannot hold a zero byte")
+    if dialect == "mysql":
+        text = text.replace("\\", "\\\\")
+    return "'" + text.replace("'", "''") + "'"
 
 
-def bind(query: str, params: Mapping[str, Any] | Sequence[Any] | None) -> str:
-    """Replace ``$1``/``%s`` marks, in the order of ``params``, by SQL literals."""
+# Quoted text and comments, where marks are ordinary characters, or a mark.
+_TOKENS = re.compile(r"""'(?:[^'\\]|''|\\.)*'|"(?:[^"]|"")*"|`[^`]*`|--[^\n]*|/\*.*?\*/|(?P<mark>%s|\$\d+)""", re.DOTALL)
+
+
+def bind(query: str, params: Mapping[str, Any] | Sequence[Any] | None, dialect: str = "postgres") -> str:
+    """Replace ``$1``/``%s`` marks outside quotes and comments, in the order of ``params``, by SQL literals."""
     if not params:
         return query
     values = list(params.values()) if isinstance(params, Mapping) else list(params)
-    if re.search(r"\$\d+", query):
-        return re.sub(r"\$(\d+)", lambda m: sql_literal(values[int(m.group(1)) - 1]), query)
-    pieces = query.split("%s")
-    if len(pieces) - 1 != len(values):
+    marks = [m["mark"] for m in _TOKENS.finditer(query) if m["mark"]]
+    numbered = any(m != "%s" for m in marks)
+    if not numbered and len(marks) != len(values):
         raise ValueError("number of parameters differs from number of marks")
-    out = pieces[0]
-    for value, piece in zip(values, pieces[1:]):
-        out += sql_literal(value) + piece
-    return out
+    following = iter(values)
+
+    def literal(m: re.Match) -> str:
+        if not m["mark"] or numbered and m["mark"] == "%s":
+            return m[0]
+        return sql_literal(values[int(m["mark"][1:]) - 1] if numbered else next(following), dialect)
+
+    return _TOKENS.sub(literal, query)
 
 
 def jdbc_options(
@@ -71,7 +84,7 @@ def jdbc_options(
         "driver": driver,
         "fetchsize": str(fetch_size),
     }
-    text = bind(query, params).strip().rstrip(";")
+    text = bind(query, params, dialect).strip().rstrip(";")
     if partition is None:
         options["query"] = text
     else:

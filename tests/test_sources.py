@@ -155,3 +155,9 @@ def test_thresholds_and_templates(spark):
     assert templates.TEMPLATES["sales_analysis"].check(rows) == ["sales_date", "sales_amount"]
     with pytest.raises(ValueError):
         templates.execute("sales_analysis", rows)
+
+
+def test_bind_leaves_quoted_marks_alone():
+    assert jdbc.bind("select '%s', %s -- %s", ["a'b"]) == "select '%s', 'a''b' -- %s"
+    assert jdbc.bind("select $1, '$1', $2", [1, "x"]) == "select 1, '$1', 'x'"
+    assert jdbc.bind("select %s", ["a\\"], "mysql") == "select 'a\\\\'"
