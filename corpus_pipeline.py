@@ -14,6 +14,7 @@ from tablewright.llm.mixing import repeat_to_mix
 from tablewright.llm.packing import pack
 from tablewright.llm.quality_crf import keep_good, train
 from tablewright.llm.simhash import keep_one_per_component
+from tablewright.session import ship_package
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,6 +49,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = staged(stage(spark, docs, sf_dir), name)

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tablewright.llm import exact_dedup, mixing, packing, pii, quality_crf, quality_rules, secret_scan, simhash, substring_windows, suffix_dedup
+from tablewright.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -23,6 +24,7 @@ def query(name: str, sql: str | None = None):
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
