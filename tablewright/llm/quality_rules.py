@@ -23,7 +23,7 @@ MIN_GROUP = 200
 SKETCH_K = 400
 #: Bounds lie so many interquartile ranges beyond the quartiles, and at least so far from them.
 FENCE = 4.0
-METRICS = {"word_length": 1.0, "symbol_share": 0.02, "dup_line_share": 0.1, "repeat_share": 0.05}
+METRICS = {"word_length": 1.5, "symbol_share": 0.02, "dup_line_share": 0.3, "repeat_share": 0.15}
 
 
 def _let(value: Column, body) -> Column:
