@@ -32,7 +32,7 @@ CAPACITY, END_ID = 4096, 1
 BUCKETS = 1024
 
 #: A worker remembers the ids of about so many different words.
-REMEMBERED = 800_000
+REMEMBERED = 500_000
 
 
 _SPACE = re.compile(r"[ \t\n\x0b\x0c\r]+")

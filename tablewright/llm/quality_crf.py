@@ -23,6 +23,8 @@ from tablewright.llm.common import flat_bytes, mixed, slices
 #: At most so many labelled documents are learned from: those with the smallest hash of doc_id.
 TRAIN_ROWS = 3000
 FOLDS, THRESHOLD, GRAM = 5, 0.3, 5
+#: Bytes of text whose features are made at once; each takes about a hundred bytes of arrays.
+SLICE = 2 << 20
 STEPS, RATE, PENALTY = 150, 0.1, 1e-3
 
 # Byte classes: 0 white, 1 upper, 2 lower, 3 digit, 4 mark-up sign, 5 other sign, 6 start of a longer character, 7 rest of it.
@@ -243,7 +245,7 @@ def fold(doc_id: Column) -> Column:
 
 
 def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "_t"):
+    for batch in slices(batches, "_t", SLICE):
         features, weight, first = line_features(*flat_bytes(batch.column(1)))
         cut = lambda a: [a[s:e].astype("<f8").tobytes() for s, e in zip(first[:-1], first[1:])]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cut(features), pa.binary()), pa.array(cut(weight), pa.binary())], ["_row", "features", "weight"])
@@ -275,7 +277,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
 
 def _scorer(model: Model):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "_t"):
+        for batch in slices(batches, "_t", SLICE):
             p = model.score(*flat_bytes(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p)], ["doc_id", "score"])
 
@@ -301,7 +303,7 @@ def quality_scores(docs: DataFrame, model: Model, threshold: float = THRESHOLD)
 
 def _filter(model: Model, threshold: float, at: int):
     def good(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             keep = model.score(*flat_bytes(batch.column(at))) >= threshold
             yield batch.filter(pa.array(keep))
 
