@@ -128,7 +128,11 @@ def encode_labels(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
             df.select(text.alias("_v")).distinct(), ["_v"], {"_code": F.lit(1).cast("long")}
         ).select("_v", (F.col("_code") - 1).alias("_code"))
         side = F.broadcast(codes) if is_small(df.select(quoted(c))) else codes
-        df = df.withColumn("_v", text).join(side, "_v", "left").withColumn(c, F.col("_code")).drop("_v", "_code").select(*df.columns)
+        # Missing values have one code, read once; as a join key they would be one hot value.
+        none = codes.filter(F.col("_v") == "None").agg(F.max("_code").alias("n")).select("n").scalar()
+        placed = df.withColumn("_v", F.coalesce(quoted(c), F.concat(F.lit("\0"), F.xxhash64(F.struct("*")).cast("string"))))
+        code = F.when(quoted(c).isNull(), none).otherwise(F.col("_code"))
+        df = placed.join(side, "_v", "left").withColumn(c, code).drop("_v", "_code").select(*df.columns)
     return df
 
 

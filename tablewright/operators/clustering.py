@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.operators.features import arrays, scaled, width
-from tablewright.session import join_groups, scalars, stage
+from tablewright.session import beside, join_groups, scalars, stage
 
 SEED = 42
 
@@ -26,9 +26,11 @@ def _silhouette(done: DataFrame) -> float | None:
     return float(ClusteringEvaluator(featuresCol="features", predictionCol="prediction").evaluate(done))
 
 
-def kmeans(features: DataFrame, k: int = 3, max_iter: int = 300):
-    """Model, labelled rows and metrics of one k-means fit on scaled ``features``."""
-    model = KMeans(featuresCol="features", k=k, seed=SEED, maxIter=max_iter).fit(features)
+def kmeans(features: DataFrame, k: int = 3, max_iter: int = 300, starts: int = 10):
+    """Model, labelled rows and metrics of the best of ``starts`` k-means fits on scaled ``features``."""
+    features = stage(features)
+    fits = [KMeans(featuresCol="features", k=k, seed=SEED + i, maxIter=max_iter).fit(features) for i in range(starts)]
+    model = min(fits, key=lambda m: m.summary.trainingCost)
     done = model.transform(features)
     return model, done, {"k": k, "inertia": float(model.summary.trainingCost), "silhouette": _silhouette(done)}
 
@@ -63,6 +65,33 @@ def cluster(df: DataFrame, key: str, columns: Sequence[str] | None = None, metho
     return done.select(key, F.col("prediction").alias("cluster"))
 
 
+def centres(df: DataFrame, columns: Sequence[str] | None = None, method: str = "kmeans", k: int = 3) -> DataFrame:
+    """``(cluster, weight, centre)`` on the scaled columns: centres of k-means, means and weights of a mixture."""
+    model, done, _ = METHODS[method](scaled(df, columns), k)
+    if method == "gmm":
+        rows = [(i, float(w), g.mean.toArray().tolist()) for i, (w, g) in enumerate(zip(model.weights, model.gaussians))]
+    else:
+        n = {r["prediction"]: r["count"] for r in done.groupBy("prediction").count().collect()}  # k rows
+        total = sum(n.values())
+        rows = [(i, n.get(i, 0) / total, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
+    return df.sparkSession.createDataFrame(rows, "cluster int, weight double, centre array<double>")
+
+
+def kmeans_check(df: DataFrame, columns: Sequence[str] | None = None, k: int = 3) -> DataFrame:
+    """One row: rows, rows that another centre is nearer to, and centres that are not their rows' mean."""
+    model, done, _ = kmeans(scaled(df, columns), k)
+    points = done.select(vector_to_array("features").alias("x"), "prediction")
+    middle = [F.array(*[F.lit(float(v)) for v in c]) for c in model.clusterCenters()]
+    far = [F.aggregate(F.zip_with("x", m, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v) for m in middle]
+    own = F.element_at(F.array(*far), F.col("prediction") + 1)
+    misplaced = F.count_if(own > F.least(*far) + 1e-9) if k > 1 else F.lit(0).cast("long")
+    d = len(model.clusterCenters()[0])
+    means = points.groupBy("prediction").agg(F.array(*[F.avg(F.col("x")[i]) for i in range(d)]).alias("m"))
+    centre = F.element_at(F.array(*middle), F.col("prediction") + 1)
+    apart = F.aggregate(F.zip_with("m", centre, lambda a, b: F.abs(a - b)), F.lit(0.0), lambda s, v: F.greatest(s, v))
+    return beside(points.agg(F.count(F.lit(1)).alias("rows"), misplaced.alias("misplaced")), means.agg(F.count_if(apart > 1e-3).alias("off_centre")))
+
+
 def _metric_rows(spark, rows: Sequence[dict]) -> DataFrame:
     flat = [(r["method"], int(r["k"]), m, float(v)) for r in rows for m, v in r.items() if m not in ("method", "k") and v is not None]
     return spark.createDataFrame(flat, "method string, k int, metric string, value double")
@@ -70,12 +99,9 @@ def _metric_rows(spark, rows: Sequence[dict]) -> DataFrame:
 
 def optimal_k(df: DataFrame, columns: Sequence[str] | None = None, method: str = "kmeans", max_k: int = 10) -> DataFrame:
     """Metrics for every k from 2 up; ``best`` marks the highest silhouette."""
-    features = scaled(df, columns).select("features").cache()
-    try:
-        top = min(max_k, features.count() - 1)
-        rows = [{"method": method, **METHODS[method](features, k)[2]} for k in range(2, top + 1)]
-    finally:
-        features.unpersist()
+    features = stage(scaled(df, columns).select("features"))
+    top = min(max_k, features.count() - 1)
+    rows = [{"method": method, **METHODS[method](features, k)[2]} for k in range(2, top + 1)]
     out = _metric_rows(df.sparkSession, rows)
     scored = [r for r in rows if r["silhouette"] is not None]
     best = max(scored, key=lambda r: r["silhouette"])["k"] if scored else None
@@ -84,11 +110,8 @@ def optimal_k(df: DataFrame, columns: Sequence[str] | None = None, method: str =
 
 def compare(df: DataFrame, columns: Sequence[str] | None = None, k: int = 3) -> DataFrame:
     """Metrics of all methods at one k."""
-    features = scaled(df, columns).select("features").cache()
-    try:
-        rows = [{"method": m, **fit(features, k)[2]} for m, fit in METHODS.items()]
-    finally:
-        features.unpersist()
+    features = stage(scaled(df, columns).select("features"))
+    rows = [{"method": m, **fit(features, k)[2]} for m, fit in METHODS.items()]
     return _metric_rows(df.sparkSession, rows)
 
 

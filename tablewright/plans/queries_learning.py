@@ -33,6 +33,21 @@ def _(t: Tables):
     return clustering.cluster(parts(t), "p_partkey", PART, "kmeans", 3)
 
 
+@query("cluster_kmeans_check", "select count(*) as rows, 0::bigint as misplaced, 0::bigint as off_centre from embeddings")
+def _(t: Tables):
+    return clustering.kmeans_check(vectors(t), ALL, 3)
+
+
+@query("cluster_centres")
+def _(t: Tables):
+    return clustering.centres(vectors(t), ALL, "kmeans", 3)
+
+
+@query("cluster_mixture_means")
+def _(t: Tables):
+    return clustering.centres(parts(t), PART, "gmm", 3)
+
+
 @query("cluster_hierarchical")
 def _(t: Tables):
     return clustering.cluster(parts(t), "p_partkey", PART, "hierarchical", 3)
@@ -93,6 +108,26 @@ def _(t: Tables):
     return reduction.pca(vectors(t).drop("label"), "vec_id", components=3)
 
 
+@query(
+    "reduce_pca_check",
+    f"select count(*) as rows, {WIDTH}.0::double as variance, 0::bigint as correlated, 0::bigint as unordered from embeddings",
+)
+def _(t: Tables):
+    """A full projection keeps the total variance, its components do not correlate, and they fall in variance."""
+    p = reduction.pca(vectors(t).drop("label"), "vec_id", components=WIDTH)
+    names = [c for c in p.columns if c != "vec_id"]
+    pairs = [F.abs(F.corr(a, b)) > 1e-6 for a, b in zip(names, names[1:])]
+    spread = p.agg(F.count(F.lit(1)).alias("rows"), *[F.var_samp(c).alias(f"v{i}") for i, c in enumerate(names)], *[x.alias(f"c{i}") for i, x in enumerate(pairs)])
+    v = [F.col(f"v{i}") for i in range(len(names))]
+    count = lambda flags: sum((f.cast("long") for f in flags), F.lit(0).cast("long"))
+    return spread.select(
+        "rows",
+        F.round(sum(v[1:], v[0]), 6).alias("variance"),
+        count([F.col(f"c{i}") for i in range(len(pairs))]).alias("correlated"),
+        count([b > a + 1e-9 for a, b in zip(v, v[1:])]).alias("unordered"),
+    )
+
+
 @query("reduce_ica")
 def _(t: Tables):
     return reduction.ica(vectors(t).drop("label"), "vec_id", components=2)

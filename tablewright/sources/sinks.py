@@ -20,12 +20,12 @@ AUDIT_SCHEMA = T.StructType(
 )
 
 
-def export(df: DataFrame, kind: str, path: str | None = None) -> Any:
-    """Arrow and pandas come back as objects (for small results); files need a path."""
-    if kind == "arrow":
-        return df.toArrow()
-    if kind == "pandas":
-        return df.toPandas()
+def export(df: DataFrame, kind: str, path: str | None = None, max_rows: int = 1_000_000) -> Any:
+    """Arrow and pandas come back as objects, up to ``max_rows`` rows (more is an error); files need a path."""
+    if kind in ("arrow", "pandas"):
+        if df.limit(max_rows + 1).count() > max_rows:
+            raise ValueError(f"more than {max_rows} rows; export to files instead")
+        return df.toArrow() if kind == "arrow" else df.toPandas()
     if kind not in ("csv", "parquet", "json"):
         raise ValueError(f"unknown export format: {kind}")
     if path is None:
