@@ -203,6 +203,8 @@ def _context_maker(splitters: np.ndarray, length: int):
                     key = (before, raw[start:end])
                     seen = first.setdefault(key, (me, tag, start, count))
                     if (seen[0], seen[2]) < (me, start):
+                        if gone and gone[-1][:2] == (me, tag) and start <= gone[-1][3]:
+                            start = gone.pop()[2]  # anchors ascend: what overlaps is one stretch
                         gone.append((me, tag, start, end))
             keys, places = list(first), list(first.values())
             lead = np.array([int.from_bytes(c[b : b + 8], "big") for b, c in keys], dtype=np.uint64)
