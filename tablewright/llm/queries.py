@@ -28,7 +28,25 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-@query("op1_weighted_fair_mix")
+@query(
+    "op1_weighted_fair_mix",
+    r"""
+    with k as (select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size, md5('mix:' || coalesce(doc_id::varchar, 'null')) as key from documents),
+    src as (select source, sum(size)::bigint as source_size, row_number() over (order by source nulls last) - 1 as i from k group by source),
+    w as (select *, ([3.0, 1.0, 2.0])[(i % 3) + 1]::double as weight, 2.0::double * source_size as cap from src),
+    lv as (select *, row_number() over o as rk,
+        (sum(source_size) over () * 1.5::double - coalesce(sum(cap) over (order by cap / weight, i rows between unbounded preceding and 1 preceding), 0)) / sum(weight) over (order by cap / weight, i rows between current row and unbounded following) as level
+      from w window o as (order by cap / weight, i)),
+    tg as (select source, source_size, least(cap, coalesce((select arg_min(level, rk) from lv where level * weight <= cap) * weight, cap)) as target from lv),
+    q as (select k.*, source_size, target, substr(key, 1, 3) as bucket, (sum(size) over (partition by k.source order by key, doc_id, size rows unbounded preceding) - size)::bigint as before,
+        row_number() over (partition by k.source, substr(key, 1, 3) order by key, doc_id, size) as n from k join tg on k.source is not distinct from tg.source),
+    c as (select q.*, r, floor(least((before + r * source_size)::double, target))::bigint as f, floor(least((before + r * source_size + size)::double, target))::bigint as t from q, (values (0), (1)) v(r)),
+    p as (select source, bucket, n, t - f as w, (sum(t - f) over (order by t / target, source nulls last, bucket, n, r rows unbounded preceding) - (t - f))::bigint as pos from c where t > f),
+    g as (select source, bucket, n, sum(w)::bigint as taken, min(pos) as "position" from p group by all)
+    select q.doc_id, q.source, q.size, q.source_size, q.target, coalesce(g.taken, 0)::bigint as taken, g."position"
+    from q left join g on q.source is not distinct from g.source and q.bucket = g.bucket and q.n = g.n
+    """,
+)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
