@@ -117,7 +117,8 @@ def _run_links(keys: np.ndarray, fps: np.ndarray, radius: int) -> np.ndarray:
     for head, length in zip(heads[lengths > LONG_RUN].tolist(), lengths[lengths > LONG_RUN].tolist()):
         # Sorted by the first pivot's distance, only tiles within the radius of each other can hold links.
         order = head + np.argsort(table[0][head : head + length], kind="stable")
-        d0, mine = table[0][order], np.arange(length)
+        run_fps, run_table, mine = fps[order], table[:, order], np.arange(length)
+        d0 = run_table[0]
         for s in range(0, length, TILE):
             end = min(s + TILE, length)
             stop = int(np.searchsorted(d0, int(d0[end - 1]) + radius, side="right"))
@@ -126,7 +127,7 @@ def _run_links(keys: np.ndarray, fps: np.ndarray, radius: int) -> np.ndarray:
                 open_ = (x < y) & (mine[x] != mine[y])
                 x, y = x[open_], y[open_]
                 if len(x):
-                    x, y = _verified(fps[order], table[:, order], x, y, radius)
+                    x, y = _verified(run_fps, run_table, x, y, radius)
                     merged = components(length, mine[x], mine[y])
                     mine = merged[mine]
         label[order] = order[mine]
