@@ -374,3 +374,61 @@ def test_pipeline_stages_take_effect(spark):
         if name == "near_dedup":
             assert sorted(r.doc_id for r in out.collect()) == sorted({c for _, c in brute.near_components([(r.doc_id, r.text) for r in docs.collect()]).values()})
         docs = out
+
+
+def test_passages_between_unrelated_holders(spark):
+    """Two copies and an edited one, among unrelated documents that hold their least shingles."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijk") for _ in range(7))
+    passage = [word() for _ in range(60)]
+    data = np.frombuffer(" ".join(passage).encode(), np.uint8)
+    token, _ = substring_windows.tokens(data, np.array([0, len(data)]))
+    least = sorted({int(np.argmin(substring_windows.mixed(token, f + 1))) for f in range(substring_windows.FUNCTIONS)})
+
+    def unrelated():
+        out = []
+        for at in least * 3:
+            out += [word() for _ in range(24)] + passage[at : at + 5] + [word() for _ in range(24)]
+        return " ".join(out)
+
+    edited = passage[:30] + [word()] + passage[31:]
+    rows = [(i, unrelated()) for i in range(1, 40, 2)]
+    rows += [(i, " ".join([word() for _ in range(30)] + body + [word() for _ in range(30)])) for i, body in ((10, passage), (20, passage), (30, edited))]
+    got = substring_windows.near_passages(frame(spark, rows)).collect()
+    met = {(r.doc_id, r.match_doc_id) for r in got}
+    assert (20, 10) in met and met & {(30, 10), (30, 20)}
+    assert {x for pair in met for x in pair} == {10, 20, 30}
+
+
+@pytest.mark.parametrize("held", [7, 10_000])
+def test_all_classes_of_a_hash_are_linked(monkeypatch, held):
+    """In one go or in blocks, over batches that cut hashes and classes: every two classes by some pair of documents."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    h = rng.choice([1, 1, 1, 1, 2, 3, 4, 5, 6], 300)
+    rows = np.stack([h, rng.integers(0, 6, 300), np.arange(300), h, rng.integers(0, 25, 300)], axis=1)
+    rows = rows[np.lexsort((rows[:, 2], rows[:, 1], rows[:, 4], rows[:, 0]))]
+    monkeypatch.setattr(substring_windows, "BLOCK", 3)
+    monkeypatch.setattr(substring_windows, "HELD", held)
+    batches = [pa.RecordBatch.from_arrays([pa.array(x) for x in np.ascontiguousarray(rows[k : k + 5].T)], ["h", "i", "p", "q", "c"]) for k in range(0, 300, 5)]
+    out = pa.Table.from_batches(list(substring_windows._links(iter(batches)))).to_pylist()
+    links, many = [r for r in out if r["h"] is None], [r for r in out if r["h"] is not None]
+    met = []
+    for r in many:
+        for x in range(1 + max(s["block"] for s in many if s["h"] == r["h"])):
+            met.append([r["h"], min(x, r["block"]), max(x, r["block"]), r["block"], r["c"], *[r[k] for k in substring_windows._LINK[:-1]]])
+    met.sort(key=lambda r: r[:3])
+    met = pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*met)], [str(k) for k in range(11)])
+    links += pa.Table.from_batches(list(substring_windows._block_links(iter([met])))).to_pylist()
+    of = {(r[1], r[2]): (r[0], r[4]) for r in rows.tolist()}
+    got = {frozenset((of[r["a"], r["ap"]], of[r["b"], r["bp"]])) for r in links}
+    assert all(r["a"] > r["b"] for r in links)
+    docs = {}
+    for r in rows.tolist():
+        docs.setdefault((r[0], r[4]), set()).add(r[1])
+    want = {frozenset((x, y)) for x in docs for y in docs if x[0] == y[0] and len(docs[x] | docs[y]) > 1}
+    assert got == want
+    first = {k: min(v) for k, v in docs.items()}
+    own = {(of[r["a"], r["ap"]], r["a"]) for r in links if r["direct"] and of[r["a"], r["ap"]] == of[r["b"], r["bp"]]}
+    assert own >= {(k, d) for k, v in docs.items() for d in v if d != first[k]}
