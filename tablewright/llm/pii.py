@@ -4,9 +4,9 @@ The protected entities are the values that the patterns find. How strongly a
 term reveals one is read from the corpus: its disclosure is the pointwise mutual
 information of the two, estimated from the documents that hold them, as a share
 of the value's own information content (1: whoever reads the term knows the
-value). Terms beside a value whose disclosure reaches the threshold, on the
-evidence of several documents, are spans too, and are generalised or removed
-with the value.
+value). Terms whose disclosure of some value reaches the threshold, on the
+evidence of several documents, are spans too wherever they stand in any text,
+and are generalised or removed with the value.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import SALTS, salt, staged
+from tablewright.llm.common import SALTS, salt, spread_join, staged
 
 # Fixed patterns, written so that no text makes them backtrack: possessive
 # repeats, and a start only where a run starts or the last match ended.
@@ -27,9 +27,8 @@ _PART = r"0*+(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])?"
 
 KINDS = ("email", "ip", "card", "phone")
 
-#: Terms are looked for within so many characters of a value.
-REACH = 48
-TERM = r"\p{L}{4,}+"
+#: Terms are words of two letters or more, outside addresses.
+TERM = r"\p{L}{2,}+"
 #: Matches whose places are counted in one go.
 BLOCK = 128
 
@@ -90,9 +89,9 @@ def _valid(kind: str, value: Column) -> Column:
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, _key (a hash of the text), and spans array<struct<kind, start, end, value, left, right>> of each row."""
+    """_row (a number), doc_id, _t (the text), and spans array<struct<kind, start, end, value>> of each row."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select("doc_id", F.xxhash64(text).alias("_key"), text.alias("_t"))
+    rows = docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", text.alias("_t"))
     t = F.col("_t")
     digit = t.rlike("[0-9]")
     for kind, pattern, may in (("email", EMAIL, F.contains(t, F.lit("@"))), ("ip", IP, digit), ("card", CARD, digit), ("phone", PHONE, F.contains(t, F.lit("+")))):
@@ -106,60 +105,40 @@ def base_spans(docs: DataFrame) -> DataFrame:
                 m["start"].alias("start"),
                 m["end"].alias("end"),
                 m["value"].alias("value"),
-                F.substring(t, F.greatest(m["start"] - REACH, F.lit(0)) + 1, F.least(m["start"], F.lit(REACH))).alias("left"),
-                F.substring(t, m["end"] + 1, F.lit(REACH)).alias("right"),
             ),
         )
 
     parts = [spans(i, k) for i, k in enumerate(KINDS)]
-    return rows.select("doc_id", "_key", F.concat(*parts).alias("spans"))
+    return rows.select("_row", "doc_id", "_t", F.concat(*parts).alias("spans"))
 
 
-def terms_beside(base: DataFrame) -> DataFrame:
-    """doc_id, _key, value, term, start, end: the whole words beside each value."""
+def _terms(text: Column) -> Column:
+    """The different terms of a text; what stands in an address is the value's own."""
+    bare = F.when(F.contains(text, F.lit("@")), F.regexp_replace(text, EMAIL, " ")).otherwise(text)
+    return F.array_distinct(F.transform(F.regexp_extract_all(bare, F.lit(TERM), F.lit(0)), lambda w: F.lower(w)))
 
-    def words(context: Column, at: Column, cut_left: bool) -> Column:
-        # A word cut by the edge of the reach is passed over.
-        whole = F.regexp_replace(context, r"^\p{L}++" if cut_left else r"\p{L}++$", "")
-        shift = F.length(context) - F.length(whole) if cut_left else F.lit(0)
-        return F.transform(_matches(whole, TERM, F.lit(True)), lambda m: F.struct(F.lower(m["value"]).alias("term"), (at + shift + m["start"]).alias("start"), (at + shift + m["end"]).alias("end")))
 
-    span = base.select("doc_id", "_key", F.explode("spans").alias("s")).select("doc_id", "_key", "s.*")
-    found = span.select(
-        "doc_id",
-        "_key",
-        F.concat_ws(":", F.col("kind"), F.lower("value")).alias("value"),
-        F.explode(
-            F.concat(
-                words(F.col("left"), F.col("start") - F.length("left"), True),
-                words(F.col("right"), F.col("end"), False),
-            )
-        ).alias("w"),
-    )
-    return found.select("doc_id", "_key", "value", "w.*")
-
-
-def term_counts(docs: DataFrame) -> DataFrame:
+def term_counts(base: DataFrame) -> DataFrame:
     """term and the number of documents that hold it, over all words of all texts."""
-    words = F.array_distinct(F.regexp_extract_all(F.lower(F.col("text").cast("string")), F.lit(TERM), F.lit(0)))
-    return docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    return base.select(F.explode(_terms(F.col("_t"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
 
 
-def revealing(docs: DataFrame, base: DataFrame, beside: DataFrame, threshold: float = THRESHOLD, evidence: int = EVIDENCE) -> DataFrame:
+def revealing(base: DataFrame, threshold: float = THRESHOLD, evidence: int = EVIDENCE) -> DataFrame:
     """value, term, disclosure of the pairs whose disclosure reaches the threshold."""
     total = base.agg(F.count(F.lit(1)).alias("n"))
-    values = (
-        base.select(F.explode(F.array_distinct(F.transform("spans", lambda s: F.concat_ws(":", s["kind"], F.lower(s["value"]))))).alias("value"))
-        .groupBy("value")
-        .agg(F.count(F.lit(1)).alias("n_value"))
-    )
+    found = F.array_distinct(F.transform("spans", lambda s: F.concat_ws(":", s["kind"], F.lower(s["value"]))))
+    held = staged(base.filter(F.size("spans") > 0).select("_row", F.explode(found).alias("value")), "values")
+    # Pairs need documents enough: values that are in fewer meet no term.
+    values = staged(held.groupBy("value").agg(F.count(F.lit(1)).alias("n_value")).filter(F.col("n_value") >= evidence), "value-counts")
+    mine = spread_join(held, "value", "_row", values.select("value")).groupBy("_row").agg(F.collect_list("value").alias("_values"))  # one document's
+    both = base.select("_row", "_t").join(mine, "_row").select("_values", F.explode(_terms(F.col("_t"))).alias("term"))
     pairs = (
-        beside.groupBy("value", "term", "doc_id", "_key").agg(F.lit(1).alias("_one"))
+        both.select(F.explode("_values").alias("value"), "term")
         .groupBy("value", "term")
         .agg(F.count(F.lit(1)).alias("n_both"))
         .filter(F.col("n_both") >= evidence)
     )
-    joined = pairs.join(values, "value").join(term_counts(docs), "term").withColumn("n", total.select("n").scalar())
+    joined = pairs.join(values, "value").join(term_counts(base), "term").withColumn("n", total.select("n").scalar())
     information = F.log2(F.col("n") / F.col("n_value"))
     shared = F.log2(F.col("n") * F.col("n_both") / (F.col("n_value") * F.col("n_term")))
     return (
@@ -173,20 +152,22 @@ def private_spans(docs: DataFrame, threshold: float = THRESHOLD, evidence: int =
     """One row per row of ``docs``: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans.
 
     Spans are kind:start:end, by kind and then start; the revealing terms' kind
-    is ``term`` and comes last. Null texts count as empty and have none. Rows
-    that repeat have equal spans, as have rows that share doc_id and text; an
+    is ``term`` and comes last. A term is marked at every place of every text. Null texts count as empty and have none. Rows
+    that repeat have equal spans and count as documents of their own; an
     empty table gives no rows; other columns are ignored.
     """
     base = staged(base_spans(docs), "private")
-    beside = staged(terms_beside(base), "beside")
-    pairs = revealing(docs, base, beside, threshold, evidence).select("value", "term")
-    # One value may hold a large part of all rows: its pairs go to every sub-key.
-    copies = pairs.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    hits = beside.withColumn("_salt", salt("doc_id")).join(copies, ["value", "term", "_salt"])
-    more = hits.groupBy(F.col("doc_id").alias("_id"), F.col("_key").alias("_k")).agg(
-        F.sort_array(F.collect_set(F.struct("start", "end"))).alias("_more")  # one document's spans
-    )
-    rows = base.join(more, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_k")), "left")
+    terms = staged(revealing(base, threshold, evidence).select("term").distinct(), "terms")
+    # One term may stand in a large part of all rows: terms go to every sub-key.
+    copies = terms.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    each = base.select("_row", F.explode(_terms(F.col("_t"))).alias("term")).withColumn("_salt", salt("_row"))
+    hits = each.join(copies, ["term", "_salt"]).groupBy("_row").agg(F.collect_list("term").alias("_hits"))  # one document's
+    rows = base.join(hits, "_row", "left")
+    emails = F.filter("spans", lambda s: s["kind"] == 0)
+    outside = lambda m: ~F.exists(emails, lambda s: (s["start"] < m["end"]) & (m["start"] < s["end"]))
+    words = _matches(F.col("_t"), TERM, F.col("_hits").isNotNull())
+    marked = F.filter(words, lambda m: F.array_contains("_hits", F.lower(m["value"])) & outside(m))
+    rows = rows.select("doc_id", "spans", F.transform(marked, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"))).alias("_more"))
     text_of = lambda kinds: lambda s: F.concat_ws(":", F.element_at(F.array(*[F.lit(k) for k in kinds]), s["kind"] + 1), s["start"], s["end"])
     ordered = F.sort_array(F.transform("spans", lambda s: F.struct(s["kind"], s["start"], s["end"])))
     listed = F.array_join(F.transform(ordered, text_of(KINDS)), ",")

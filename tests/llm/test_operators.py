@@ -432,3 +432,20 @@ def test_all_classes_of_a_hash_are_linked(monkeypatch, held):
     first = {k: min(v) for k, v in docs.items()}
     own = {(of[r["a"], r["ap"]], r["a"]) for r in links if r["direct"] and of[r["a"], r["ap"]] == of[r["b"], r["bp"]]}
     assert own >= {(k, d) for k, v in docs.items() for d in v if d != first[k]}
+
+
+def marked_terms(spark, rows):
+    text = dict(rows)
+    return {r.doc_id: [text[r.doc_id][int(s):int(e)] for k, s, e in (x.split(":") for x in r.spans.split(",") if x) if k == "term"] for r in pii.private_spans(frame(spark, rows)).collect()}
+
+
+def test_pii_terms_anywhere(spark):
+    """Far from the value, short, in another script, again in the document, and in a document without the value."""
+    rng = random.Random(21)
+    rows = [(i, words(rng, 60)) for i in range(300)]
+    rows += [(1000 + i, "Rosalinda Ng 李明. " + words(rng, 40) + " rosa@mail.example.org " + words(rng, 40) + " then ROSALINDA") for i in range(40)]
+    rows += [(2000, words(rng, 20) + " Rosalinda " + words(rng, 20))]
+    terms = marked_terms(spark, rows)
+    assert all({"Rosalinda", "ROSALINDA", "Ng", "李明"} <= set(terms[1000 + i]) for i in range(40))
+    assert terms[2000] == ["Rosalinda"] and not any(terms[i] for i in range(300))
+    assert not {"rosa", "mail"} & set(terms[1000])
