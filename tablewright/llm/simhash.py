@@ -185,6 +185,23 @@ def link_components(links: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
+def _placed(rows: DataFrame, radius: int) -> DataFrame:
+    """fp, first (its smallest doc_id) and root (its component's smallest fingerprint) of every fingerprint in ``rows``."""
+    if radius > RADIUS:
+        raise ValueError(f"the keys find links of {RADIUS} bits at most")
+    spark = rows.sparkSession
+    each = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
+    keyed = each.select(F.explode(_keys(F.col("fp"))).alias("key"), "fp")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    links = keyed.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_linker(radius), "a long, b long")
+    roots = link_components(links)
+    release(spark)
+    return staged(
+        each.join(roots, each["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root")),
+        "placed",
+    )
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """One row per row of ``docs``: doc_id, fingerprint, component_id.
 
@@ -196,28 +213,29 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     doc_ids are passed over unless there is no other. Rows that repeat a doc_id
     are rows of their own. Other columns are ignored.
     """
-    if radius > RADIUS:
-        raise ValueError(f"the keys find links of {RADIUS} bits at most")
-    spark = docs.sparkSession
     rows = staged(fingerprints(docs), "fingerprints")
-    each = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    keyed = each.select(F.explode(_keys(F.col("fp"))).alias("key"), "fp")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    links = keyed.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_linker(radius), "a long, b long")
-    roots = link_components(links)
-    release(spark)
-    placed = staged(
-        each.join(roots, each["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root")),
-        "placed",
-    )
+    placed = _placed(rows, radius)
     named = group_join(placed, "root", "fp", component_id=(F.min("first"), F.min)).select("fp", "component_id")
     out = spread_join(rows, "fp", "doc_id", named)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one_per_component(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is their component's smallest, one row each."""
-    found = near_duplicates(docs)
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_llm_id")).distinct()
-    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_llm_id"]), "left_semi")
-    return rows.dropDuplicates(["doc_id"])
+    """One row of each component: of those with its smallest doc_id, the one whose text has the least hash.
+
+    Null doc_ids are passed over unless a component has no other. Rows that
+    share a doc_id (or have none) and lie in different components all stay for
+    theirs; rows that repeat both doc_id and text are one.
+    """
+    numbered = staged(docs.withColumn("_llm_row", F.monotonically_increasing_id()), "numbered")
+    named = numbered.select(F.col("_llm_row").alias("doc_id"), "text")
+    rows = staged(fingerprints(named).withColumnRenamed("doc_id", "_row"), "fingerprints")
+    keys = numbered.select(
+        F.col("_llm_row").alias("_row"), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.sha2(F.coalesce(F.col("text").cast("binary"), F.lit(b"")), 256).alias("sha"), F.col("_llm_row").alias("row")).alias("_k")
+    )
+    ranked = staged(rows.join(keys, "_row"), "ranked")
+    placed = _placed(ranked.select("fp", F.col("_k")["doc_id"].alias("doc_id")), RADIUS)
+    # The best row of each fingerprint, then of each component; minima combine, so a hot one is no single task.
+    best = ranked.groupBy("fp").agg(F.min("_k").alias("_k")).join(placed, "fp").groupBy("root").agg(F.min("_k").alias("_k"))
+    kept = best.select(F.col("_k")["row"].alias("_llm_id"))
+    return numbered.join(kept, numbered["_llm_row"] == kept["_llm_id"], "left_semi").select(*[f"`{c}`" for c in docs.columns])

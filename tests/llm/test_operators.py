@@ -449,3 +449,13 @@ def test_pii_terms_anywhere(spark):
     assert all({"Rosalinda", "ROSALINDA", "Ng", "李明"} <= set(terms[1000 + i]) for i in range(40))
     assert terms[2000] == ["Rosalinda"] and not any(terms[i] for i in range(300))
     assert not {"rosa", "mail"} & set(terms[1000])
+
+
+def test_near_filter_keeps_one_row_of_each_component(spark):
+    """Rows that share a doc_id or have none, in components of their own."""
+    rng = random.Random(31)
+    a, b, c, d, e = (words(rng, 80) for _ in range(5))
+    rows = [(None, a), (None, b), (None, b), (5, c), (5, d), (7, d), (3, e), (9, e), (None, e)]
+    out = simhash.keep_one_per_component(frame(spark, rows))
+    assert out.columns == frame(spark, rows).columns
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted([(None, a), (None, b), (5, c), (5, d), (3, e)], key=str)
