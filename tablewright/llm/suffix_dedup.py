@@ -26,13 +26,16 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import flat_bytes, mixed, release, slices, staged
+from tablewright.llm.common import flat_bytes, mixed, release, slices, spread_join, staged
 
 LENGTH, GRAM = 100, 36
 
 #: Documents from which the splitters are sampled (those with the smallest hashes), and suffixes taken from each.
 SPLIT_DOCS, SPLIT_SUFFIXES = 2000, 50
 
+#: Contexts of one gram that a task holds; a gram with more of them is compared string by string over many tasks.
+HELD_BYTES = 16 << 20
+
 #: Low bits of a packed anchor: windows before it and windows in all, seven bits each.
 _BITS = 7
 _NO_ID = -(2**63)
@@ -297,7 +300,7 @@ def marked_windows(contexts: list[bytes], ids: np.ndarray, starts: np.ndarray, l
                     yield int(order[owner[x]]), int(step[x]), int(step[x]) + 1
 
 
-def _bucket_worker(length: int):
+def _bucket_worker(length: int, held_bytes: int):
     def compare(rows: pa.Table) -> pa.RecordBatch | None:
         grams = rows.column("gram").to_pylist()
         contexts, before = rows.column("context").to_pylist(), rows.column("before").to_pylist()
@@ -314,20 +317,34 @@ def _bucket_worker(length: int):
             return None
         return pa.RecordBatch.from_arrays([pa.array(np.array(x, dtype=np.int64)) for x in zip(*found)], ["_id", "_tag", "start", "end"])
 
+    def spans(out: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*out.columns, pa.nulls(out.num_rows, pa.binary())], ["_id", "_tag", "start", "end", "context"])
+
+    def whole(rows: pa.RecordBatch) -> pa.RecordBatch:
+        """Contexts of a gram that has too many for one task."""
+        return rows.select(["_id", "_tag", "start", "end", "context"])
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         size = 0
+        goes_on = None  # a gram whose contexts are handed on
         for batch in batches:
             marked = batch.column(batch.schema.get_field_index("end")).is_valid()
             done = batch.filter(marked)
             if done.num_rows:
-                yield done.select(["_id", "_tag", "start", "end"])
+                yield spans(done.select(["_id", "_tag", "start", "end"]))
             batch = batch.filter(pc.invert(marked))
+            if goes_on is not None and batch.num_rows:
+                more = pc.equal(batch.column(batch.schema.get_field_index("gram")), pa.scalar(goes_on, pa.binary()))
+                if (rest := batch.filter(more)).num_rows:
+                    yield whole(rest)
+                batch = batch.filter(pc.invert(more))
+                goes_on = None if batch.num_rows else goes_on
             if not batch.num_rows:
                 continue
             held.append(batch)
             size += batch.nbytes
-            if size < 16 << 20:
+            if size < held_bytes:
                 continue
             rows = pa.Table.from_batches(held)
             last = rows.column("gram")[-1].as_py()
@@ -335,15 +352,32 @@ def _bucket_worker(length: int):
             cut = grams.index(last)  # sorted by gram: the last group may go on
             if cut:
                 if (out := compare(rows.slice(0, cut))) is not None:
-                    yield out
+                    yield spans(out)
                 held = rows.slice(cut).combine_chunks().to_batches()
                 size = sum(b.nbytes for b in held)
+            else:
+                for b in held:
+                    yield whole(b)
+                held, size, goes_on = [], 0, last
         if held and (out := compare(pa.Table.from_batches(held))) is not None:
-            yield out
+            yield spans(out)
 
     return work
 
 
+def _window_rows(length: int):
+    """Of each context every string of ``length`` bytes, and where it stands."""
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(k, 2000) for k in range(0, batch.num_rows, 2000)):
+                found = [(raw[s : s + length], i, t, at + s) for i, t, at, raw in zip(*(c.to_pylist() for c in part.columns)) for s in range(len(raw) - length + 1)]
+                w, i, t, at = zip(*found)
+                yield pa.RecordBatch.from_arrays([pa.array(w, pa.binary()), *[pa.array(x, pa.int64()) for x in (i, t, at)]], ["w", "_id", "_tag", "start"])
+
+    return windows
+
+
 def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "_t"):
         removed, spans, shas, sizes = [], [], [], []
@@ -370,7 +404,7 @@ def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = LENGTH, held_bytes: int = HELD_BYTES) -> DataFrame:
     """_id, _tag, start, end of bytes covered by a string of ``length`` that starts earlier; spans may overlap."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -386,12 +420,21 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     )
     gram = F.expr(f"substring(context, before + 1, {GRAM})")
     dealt = contexts.repartition(parts, "bucket").withColumn("gram", gram).sortWithinPartitions("gram").drop("bucket")
-    out = staged(dealt.mapInArrow(_bucket_worker(length), "_id long, _tag long, start long, end long"), "repeats")
+    out = staged(dealt.mapInArrow(_bucket_worker(length, held_bytes), "_id long, _tag long, start long, end long, context binary"), "repeats")
     release(spark)
-    return out
+    return out.filter("context is null").drop("context").union(_hot_spans(out.filter("context is not null"), length))
+
+
+def _hot_spans(contexts: DataFrame, length: int) -> DataFrame:
+    """The spans of grams with too many contexts: their strings meet by their bytes, and a string's first place is a minimum."""
+    made = contexts.select("_id", "_tag", "start", "context").mapInArrow(_window_rows(length), "w binary, _id long, _tag long, start long")
+    strings = staged(made, "strings")
+    first = strings.groupBy("w").agg(F.min(F.struct("_id", "start")).alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
+    later = spread_join(strings, "w", F.struct("_id", "start"), first).filter(F.struct("_id", "start") > F.col("_first"))
+    return later.select("_id", "_tag", "start", (F.col("start") + length).alias("end"))
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, held_bytes: int = HELD_BYTES) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
     Every byte covered by a string of ``length`` bytes that also starts earlier
@@ -402,7 +445,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """
     if not GRAM < length <= GRAM + 127:
         raise ValueError(f"length must lie between {GRAM + 1} and {GRAM + 127}")
-    spans = repeated_spans(docs, length).groupBy("_id", "_tag").agg(F.collect_list(F.struct("start", "end")).alias("_marks"))
+    spans = repeated_spans(docs, length, held_bytes).groupBy("_id", "_tag").agg(F.collect_list(F.struct("start", "end")).alias("_marks"))
     rows = _identity(docs).join(spans, ["_id", "_tag"], "left").select("_id", "_t", "_marks")
     out = rows.mapInArrow(_clean, "_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     doc_id: Column = F.when(F.col("_id") != _NO_ID, F.col("_id"))

@@ -459,3 +459,21 @@ def test_near_filter_keeps_one_row_of_each_component(spark):
     out = simhash.keep_one_per_component(frame(spark, rows))
     assert out.columns == frame(spark, rows).columns
     assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted([(None, a), (None, b), (5, c), (5, d), (3, e)], key=str)
+
+
+def test_suffix_of_a_gram_with_many_contexts(spark):
+    """A phrase in different surroundings, and the edge of a shared passage: groups above what one task holds."""
+    rng = random.Random(41)
+    phrase, passage = words(rng, 12)[:40], words(rng, 40)
+    rows = [(i, words(rng, 30) + phrase + (passage if i % 3 else words(rng, 30)) + words(rng, 30)) for i in range(60)]
+    for held_bytes in (1, 4_000):
+        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(frame(spark, rows), held_bytes=held_bytes).collect()}
+        assert got == brute.repeats(rows)
+
+
+def test_suffix_hands_on_what_one_task_cannot_hold():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pylist([{"context": bytes([k]) * 120, "before": 0, "_id": k, "_tag": 0, "start": 0, "end": None, "gram": b"g"} for k in range(200)], pa.schema([("context", pa.binary()), ("before", pa.int32()), ("_id", pa.int64()), ("_tag", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("gram", pa.binary())]))
+    out = list(suffix_dedup._bucket_worker(100, 10_000)(batch.slice(k, 20) for k in range(0, 200, 20)))
+    assert sum(b.num_rows for b in out) == 200 and max(b.num_rows for b in out) < 100
