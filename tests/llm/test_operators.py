@@ -477,3 +477,12 @@ def test_suffix_hands_on_what_one_task_cannot_hold():
     batch = pa.RecordBatch.from_pylist([{"context": bytes([k]) * 120, "before": 0, "_id": k, "_tag": 0, "start": 0, "end": None, "gram": b"g"} for k in range(200)], pa.schema([("context", pa.binary()), ("before", pa.int32()), ("_id", pa.int64()), ("_tag", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("gram", pa.binary())]))
     out = list(suffix_dedup._bucket_worker(100, 10_000)(batch.slice(k, 20) for k in range(0, 200, 20)))
     assert sum(b.num_rows for b in out) == 200 and max(b.num_rows for b in out) < 100
+
+
+def test_pii_terms_at_the_edges_of_a_text(spark):
+    rng = random.Random(51)
+    rows = [(i, words(rng, 60)) for i in range(300)]
+    rows += [(1000 + i, "Rosalinda: rosa@mail.example.org " + words(rng, 10)) for i in range(5)]
+    rows += [(2000 + i, words(rng, 10) + " odo@mail.example.org Odoacer") for i in range(5)]
+    terms = marked_terms(spark, rows)
+    assert all("Rosalinda" in terms[1000 + i] and "Odoacer" in terms[2000 + i] for i in range(5))
