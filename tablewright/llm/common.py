@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -21,6 +22,7 @@ SLICE_BYTES = 8 << 20
 #: The six white-space characters of ASCII; words are what stands between them.
 WHITE = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
+_WHITE = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def staged(df: DataFrame, purpose: str) -> DataFrame:
@@ -134,3 +136,13 @@ def components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         if (before == label).all():
             break
     return label
+
+
+def word_lists(text: bytes, piece: int = 4 << 20) -> Iterator[list[bytes]]:
+    """The words of ``text`` between ASCII white space, in lists from about ``piece`` bytes each; words stay whole."""
+    start = 0
+    while start < len(text):
+        gap = _WHITE.search(text, start + piece)
+        stop = gap.start() if gap else len(text)
+        yield text[start:stop].split()
+        start = stop

@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablewright.llm import exact_dedup, mixing, packing, pii, quality_crf, quality_rules, secret_scan, simhash, substring_windows, suffix_dedup
+from tablewright.llm import (
+    divergence,
+    embedding_tiles,
+    exact_dedup,
+    filter_audit,
+    mixing,
+    packing,
+    pii,
+    quality_crf,
+    quality_rules,
+    secret_scan,
+    simhash,
+    substring_windows,
+    suffix_dedup,
+)
 from tablewright.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,3 +120,77 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(documents(spark, sf_dir))
+
+
+@query(
+    "op11_filter_audit",
+    r"""
+    with t as (select doc_id, coalesce(source, '') as part, coalesce(text, '') as x, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+    f as (select doc_id, part, [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w), 100 * len(regexp_extract_all(x, '[A-Z]')) > 2 * length(x),
+            regexp_matches(x, '[#$%&*|]'), coalesce(min(doc_id) over (partition by x) < doc_id, false)] as fails from t),
+    l as (select doc_id, bool_or(quality = 1) as good, bool_or(toxic = 1) as toxic from labels group by doc_id),
+    m as (select part, fails, count(*) as n, count_if(l.good) as good, count_if(l.toxic) as toxic from f left join l using (doc_id) group by part, fails),
+    c(x) as (values ('A'), ('B'), ('C'), ('D'), ('E')),
+    o as (select a.x || b.x || c.x || d.x || e.x as filter_order from c a, c b, c c, c d, c e where len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+    r as (select m.*, filter_order, coalesce(list_min([case when fails[i] then strpos(filter_order, 'ABCDE'[i]) end for i in range(1, 6)]), 6) as gone from m, o),
+    s as (select part, filter_order, step::int as step, filter_order[step] as filter,
+            sum(n) filter (where gone > step) as kept, sum(n) filter (where gone = step) as removed,
+            sum(n) filter (where fails[strpos('ABCDE', filter_order[step])] and gone < step) as redundant,
+            sum(n) filter (where fails[strpos('ABCDE', filter_order[step])] and len(list_filter(fails, lambda y: y)) = 1) as unique_fails,
+            sum(good) filter (where gone = step) as good_lost, sum(toxic) filter (where gone = step) as toxic_lost
+          from r, range(1, 6) k(step) group by part, filter_order, step)
+    select part, filter_order, step, coalesce(kept, 0)::bigint as kept, coalesce(removed, 0)::bigint as removed, coalesce(redundant, 0)::bigint as redundant,
+           coalesce(unique_fails, 0)::bigint as unique_fails, coalesce(good_lost, 0)::bigint as good_lost, coalesce(toxic_lost, 0)::bigint as toxic_lost,
+           coalesce(sum(removed) over (partition by part, filter), 0)::bigint as shapley, filter
+    from s
+    """,
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+@query(
+    "op12_embedding_tiles",
+    r"""
+    with recursive u as (select vec_id, embedding::double[] as x from embeddings
+      where len(embedding) > 0 and len(list_filter(embedding, lambda y: y is null or not isfinite(y))) = 0 and len(list_filter(embedding, lambda y: y <> 0)) > 0),
+    link as (select a.vec_id as a, b.vec_id as b from u a, u b where a.vec_id <> b.vec_id and list_cosine_similarity(a.x, b.x) >= 0.95),
+    reach(a, b) as (select a, b from link union select reach.a, link.b from reach join link on reach.b = link.a),
+    n as (select a, count(*) as n from link group by a),
+    c as (select a, min(b) as c from reach group by a)
+    select vec_id, coalesce(n.n, 0)::bigint as n_links, least(vec_id, coalesce(c.c, vec_id)) as component_id, vec_id = least(vec_id, coalesce(c.c, vec_id)) as kept
+    from embeddings left join n on n.a = vec_id left join c on c.a = vec_id
+    """,
+)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return embedding_tiles.near_embeddings(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+@query(
+    "op13_source_divergence",
+    r"""
+    with t as (select doc_id, coalesce(lang, '') as lang, coalesce(source, '') as source,
+        list_transform(regexp_extract_all(coalesce(text, ''), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) as w, row_number() over () as r from documents),
+    o as (select lang, source, r, unnest(w) as term from t),
+    kept as (select lang, term, count(*) as n from o group by lang, term having count(distinct r) >= 10),
+    c as (select lang, source, term, count(*) as n from o join kept k using (lang, term) group by all),
+    g as (select distinct lang, source from t),
+    v as (select lang, count(*) as kinds, sum(n) as total from kept group by lang),
+    gn as (select lang, source, coalesce(sum(n), 0) as total from g left join c using (lang, source) group by all),
+    p as (select gn.lang, gn.source, k.term, coalesce(c.n, 0) as n, 1 + (1000000000::hugeint * (coalesce(c.n, 0) + 2)) // (gn.total + 2 * v.kinds) as p
+          from gn join v using (lang) join kept k using (lang) left join c on c.lang = gn.lang and c.source = gn.source and c.term = k.term),
+    q as (select lang, term, 1 + (1000000000::hugeint * (n + 2)) // (v.total + 2 * v.kinds) as q from kept join v using (lang)),
+    pairs as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(s.value, 0)::bigint as value
+      from g a join g b on a.lang = b.lang and a.source <> b.source
+      left join (select x.lang, x.source, y.source as item, sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)) as value from p x join p y on x.lang = y.lang and x.term = y.term group by all) s
+        on s.lang = a.lang and s.source = a.source and s.item = b.source),
+    terms as (select p.lang, p.source, 'term' as part, p.term as item, ((p.p - q.q) * (p.p - q.q) // (p.p + q.q))::bigint as value
+      from p join q on p.lang = q.lang and p.term = q.term where p.n > 0 and p.p > q.q),
+    u as (select * from pairs union all select * from terms)
+    select *, (row_number() over (partition by lang, source, part order by value desc, item))::int as rank from u
+    qualify part = 'pair' or row_number() over (partition by lang, source, part order by value desc, item) <= 10
+    """,
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(documents(spark, sf_dir))
