@@ -11,6 +11,7 @@ as soon as none of them can. Equal vectors are one weighted vector.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -86,16 +87,16 @@ def _placer(axes: np.ndarray, lead: int):
     return place
 
 
-def _tiler(rows: int, axes: np.ndarray):
-    d = len(axes)
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sorted rows of a partition with their places in it."""
+    seen = 0
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(seen, seen + batch.num_rows)), *batch.columns], ["place", *batch.schema.names])
+        seen += batch.num_rows
 
-    def tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Numbers the sorted rows of a partition into tiles."""
-        seen = 0
-        for batch in batches:
-            n = (seen + np.arange(batch.num_rows)) // rows
-            seen += batch.num_rows
-            yield pa.RecordBatch.from_arrays([pa.array(n), *batch.columns], ["part", *batch.schema.names])
+
+def _boxes(axes: np.ndarray):
+    d = len(axes)
 
     def box(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,7 +112,7 @@ def _tiler(rows: int, axes: np.ndarray):
                         ["tile", "i", "lo", "hi", "narrow", "broad"],
                     )
 
-    return tile, box
+    return box
 
 
 def _meeting(cosine: float):
@@ -269,12 +270,15 @@ def _linked(classes: DataFrame, total: int, axes: np.ndarray, cosine: float) ->
     slab = [F.size(F.filter(F.array(*[F.lit(float(e)) for e in cut]), lambda e: e < F.col(y))) if cut else F.lit(0) for y, cut in zip(ys, edges)]  # noqa: B023
     keyed = placed.withColumns({f"s{i}": s for i, s in enumerate(slab)})
     order = [F.size("v"), *[f"s{i}" for i in range(len(slab))], ys[-1], "cid"]
-    tile, box = _tiler(size, axes)
     sorted_ = keyed.repartitionByRange(tiles, *order).sortWithinPartitions(*order).select("cid", "size", "v", F.spark_partition_id().alias("p"))
-    tiled = sorted_.mapInArrow(tile, f"part long, cid long, size long, v {kind}, p int")
-    tiled = staged(tiled.select((F.col("p").cast("long") * 2**32 + F.col("part")).alias("tile"), "cid", "size", "v"), "tiles")
-
-    boxes = tiled.select("tile", "v").mapInArrow(box, "tile long, i int, lo double, hi double, narrow int, broad int")
+    sorted_ = staged(sorted_.mapInArrow(_numbered, f"place long, cid long, size long, v {kind}, p int"), "sorted")
+    # One number a partition comes to the driver: the rows before it.
+    held = {r["p"]: r["count"] for r in sorted_.groupBy("p").count().collect()}
+    before = [0, *itertools.accumulate(held.get(p, 0) for p in range(max(held)))]
+    rank = F.element_at(F.lit(before), F.col("p") + 1) + F.col("place")
+    tiled = sorted_.select(F.floor(rank / size).alias("tile"), "cid", "size", "v")
+
+    boxes = tiled.select("tile", "v").mapInArrow(_boxes(axes), "tile long, i int, lo double, hi double, narrow int, broad int")
     boxes = boxes.groupBy("tile", "i").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("narrow").alias("narrow"), F.max("broad").alias("broad"))
     in_order = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("i", c))), lambda x: x[c])
     boxes = boxes.groupBy("tile").agg(in_order("lo").alias("lo"), in_order("hi").alias("hi"), F.min("narrow").alias("narrow"), F.max("broad").alias("broad"))
