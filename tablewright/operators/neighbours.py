@@ -14,11 +14,13 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablewright.operators.columns import numeric_columns, present_double, quoted
-from tablewright.operators.features import arrays, matrix, scaled, width
+from tablewright.operators.columns import numeric_columns, present_double
+from tablewright.operators.features import arrays, matrix, scaled
+from tablewright.operators.tiles import LEAF, Boxes, box_pairs, boxes, compare, rows_of, tiled
 from tablewright.session import attach, stage
 
 MAX_PIVOTS = 20_000
@@ -70,8 +72,6 @@ def knn(queries: DataFrame, donors: DataFrame, k: int, same: bool = False) -> Da
     for r in q.groupBy("region").agg(F.max("far").alias("u")).collect():
         radius[r["region"]] = r["u"]
     weight, reach, near = np.zeros(p), np.full(p, -np.inf), np.full(p, np.inf)
-    from pyspark.sql import Window
-
     place_in = F.row_number().over(Window.partitionBy("region").orderBy("far"))
     for r in s.groupBy("region").agg(F.sum("w").alias("w"), F.max("far").alias("u")).collect():
         weight[r["region"]], reach[r["region"]] = r["w"], r["u"]
@@ -179,58 +179,195 @@ def local_outlier_factor(df: DataFrame, key: str, columns: Sequence[str] | None
     return points.join(scored, "x").select(key, "score")
 
 
-def knn_impute(df: DataFrame, columns: Sequence[str] | None = None, k: int = 5) -> DataFrame:
-    """Fill numeric gaps with the mean of the k nearest complete rows.
+# --- imputation by neighbours with gaps of their own ------------------------------------------
+
 
-    The search runs under names of its own, so any column name is allowed.
+def _least_mean(values: np.ndarray, must: np.ndarray, may: np.ndarray, sign: int = 1) -> np.ndarray:
+    """Per row: the least (``sign`` -1: largest) mean of ``values`` over the sets of columns with all of ``must`` and some of ``may``.
+
+    Infinite where no column is left.
     """
-    own = {c: f"_c{i}" for i, c in enumerate(df.columns)}
-    filled = _knn_fill(df.toDF(*own.values()), [own[c] for c in numeric_columns(df, columns)], k)
-    return filled.select(*own.values()).toDF(*own)
+    v = sign * values
+    free = np.sort(np.where(may & ~must, v, np.inf), axis=1)
+    total = np.concatenate([np.where(must, v, 0).sum(axis=1, keepdims=True), free], axis=1).cumsum(axis=1)
+    size = must.sum(axis=1, keepdims=True) + np.arange(v.shape[1] + 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        means = np.where(size > 0, total / size, np.inf)
+    return sign * np.where(np.isnan(means), np.inf, means).min(axis=1)
+
+
+def _sets(q: Boxes, i: int, d: Boxes) -> tuple[np.ndarray, np.ndarray]:
+    """Columns that all rows of both boxes share, and those that some may share."""
+    must = (q.has[i] == q.w[i]) & (d.has == d.w[:, None])
+    may = (q.has[i] > 0) & (d.has > 0)
+    return must, may
+
+
+def _homes(k: int):
+    """Donor tiles that hold ``k`` donors for every column a tile lacks, near ones by the boxes."""
+
+    def choose(q: Boxes, d: Boxes) -> tuple[np.ndarray, np.ndarray]:
+        a, b = [np.zeros(0, int)], [np.zeros(0, int)]
+        for i in range(len(q.tile)):
+            must, may = _sets(q, i, d)
+            order = np.argsort(_least_mean(q.spans(i, d), must, may, -1), kind="stable")
+            order = order[may[order].any(axis=1)]
+            chosen = np.zeros(len(d.tile), bool)
+            for c in np.flatnonzero(q.has[i] < q.w[i]):
+                donors = order[d.has[order, c] > 0]
+                enough = np.searchsorted(np.cumsum(d.has[donors, c]), k) + 1
+                chosen[donors[:enough]] = True
+            b.append(np.flatnonzero(chosen))
+            a.append(np.full(len(b[-1]), i))
+        return np.concatenate(a), np.concatenate(b)
+
+    return choose
+
+
+def _visits(width: int):
+    """Donor tiles that may hold a donor within the limit of some column that a tile lacks."""
 
+    def choose(q: Boxes, d: Boxes) -> tuple[np.ndarray, np.ndarray]:
+        a, b = [np.zeros(0, int)], [np.zeros(0, int)]
+        limits = rows_of(q.table.column("limits"))
+        for i in range(len(q.tile)):
+            must, may = _sets(q, i, d)
+            least = width * _least_mean(q.gaps(i, d), must, may)
+            wanted = (q.has[i] < q.w[i]) & (d.has > 0) & (least[:, None] <= limits[i] * (1 + 1e-9))
+            b.append(np.flatnonzero(wanted.any(axis=1) & may.any(axis=1)))
+            a.append(np.full(len(b[-1]), i))
+        return np.concatenate(a), np.concatenate(b)
 
-def _knn_fill(df: DataFrame, columns: Sequence[str], k: int) -> DataFrame:
-    """Rows of ``df`` with gaps filled.
+    return choose
 
-    Distances use the columns a row does have, so each pattern of gaps is one
-    search in its own subspace; patterns, not rows, are looped over. Rows with
-    no numeric value at all, and tables without a complete row, get the mean.
+
+_FOUND = "id long, c int, far double, n long, total double"
+
+
+def _donors(k: int, width: int, block: int = 256):
+    """For rows with gaps and a tile of donors: per row, missing column and distance, how many donors and the sum of their values.
+
+    Only the distances that the nearest ``k`` donors of the tile have, and none
+    beyond the row's limit where it has one.
     """
-    from tablewright.operators.cleaning import impute
-
-    numbers = numeric_columns(df, columns)
-    values = {c: present_double(df, c) for c in numbers}
-    base = stage(df.withColumns(values).withColumn("_id", F.monotonically_increasing_id().cast("string")))
-    pattern = F.concat(*[F.when(quoted(c).isNull(), "0").otherwise("1") for c in numbers])
-    base = base.withColumn("_pattern", pattern)
-    full = "1" * len(numbers)
-    patterns = [r[0] for r in base.select("_pattern").distinct().collect()]
-    if full not in patterns:
-        return impute(base.drop("_id", "_pattern"), "mean", numbers)
-    done = base.filter(F.col("_pattern") == full)
-    complete = done
-    for p in patterns:
-        if p == full:
-            continue
-        rows = base.filter(F.col("_pattern") == p)
-        have = [c for c, bit in zip(numbers, p) if bit == "1"]
-        gaps = [c for c, bit in zip(numbers, p) if bit == "0"]
-        if not have:
-            means = complete.agg(*[F.avg(quoted(c)).alias(f"v{i}") for i, c in enumerate(gaps)])
-            done = done.unionByName(attach(rows, means).withColumns({c: F.col(f"_s.v{i}") for i, c in enumerate(gaps)}).drop("_s"))
-            continue
-        x = F.array(*[quoted(c) for c in have])
-        # Equal donors in the subspace act as one, with the mean of their other values.
-        donors = complete.groupBy(x.alias("x")).agg(
-            F.min("_id").alias("did"), F.count(F.lit(1)).alias("w"), *[F.avg(quoted(c)).alias(f"v{i}") for i, c in enumerate(gaps)]
-        )
-        donors = stage(donors)
-        questions = rows.select(x.alias("x"), "_id").groupBy("x").agg(F.min("_id").alias("qid"))
-        found = knn(questions.select("qid", "x"), donors, k)
-        fills = found.join(donors.drop("x", "w"), "did").groupBy("qid").agg(
-            *[(F.sum(F.col("weight") * F.col(f"v{i}")) / F.sum("weight")).alias(f"v{i}") for i in range(len(gaps))]
-        )
-        by_point = questions.join(fills, "qid").drop("qid")
-        filled = rows.withColumn("x", x).join(by_point, "x").withColumns({c: F.col(f"v{i}") for i, c in enumerate(gaps)})
-        done = done.unionByName(filled.select(*base.columns))
-    return done.drop("_id", "_pattern")
+
+    def find(rows: pa.Table, held: pa.Table) -> pa.Table:
+        ids, q, y, w = rows.column("id").to_numpy(), rows_of(rows.column("x")), rows_of(held.column("x")), held.column("w").to_numpy()
+        limits = rows_of(rows.column("limits")) if "limits" in rows.column_names else np.full(q.shape, np.inf)
+        middle = np.nan_to_num(np.nanmean(np.concatenate([y, q]), axis=0)) if len(y) else 0
+        have, there = ~np.isnan(q), ~np.isnan(y)
+        u, v = np.where(have, q - middle, 0), np.where(there, y - middle, 0)
+        out = []
+        for lo in range(0, len(q), block):
+            own = slice(lo, lo + block)
+            shared = have[own].astype(float) @ there.T
+            size = (u[own] ** 2) @ there.T + have[own] @ (v**2).T
+            with np.errstate(divide="ignore", invalid="ignore"):
+                # Products tell who is near; the differences of those decide.
+                near = np.where(shared > 0, width * np.maximum(size - 2 * u[own] @ v.T, 0) / shared, np.inf)
+                slack = np.where(shared > 0, width * 1e-12 * size / shared, 0)
+            for c in np.flatnonzero(~have[own].all(axis=0)):
+                mine, donors = np.flatnonzero(~have[own][:, c]), np.flatnonzero(there[:, c])
+                if not len(donors):
+                    continue
+                d, loose = near[np.ix_(mine, donors)], slack[np.ix_(mine, donors)]
+                top = np.minimum(np.partition(d + loose, k - 1, axis=1)[:, k - 1] if len(donors) >= k else np.inf, limits[own][mine, c] * (1 + 1e-9))
+                i, j = np.nonzero((d - loose <= top[:, None]) & np.isfinite(d))
+                if not len(i):
+                    continue
+                i, j = mine[i] + lo, donors[j]
+                both = have[i] & there[j]
+                far = width * (np.where(both, q[i] - y[j], 0) ** 2).sum(axis=1) / both.sum(axis=1)
+                order = np.lexsort((far, i))
+                i, j, far = i[order], j[order], far[order]
+                heads = np.flatnonzero(np.concatenate([[True], (i[1:] != i[:-1]) | (far[1:] != far[:-1])]))
+                n, total = np.add.reduceat(w[j], heads), np.add.reduceat(w[j] * y[j, c], heads)
+                i, far = i[heads], far[heads]
+                before = np.cumsum(n) - n
+                first = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]]))
+                before -= np.repeat(before[first], np.diff(np.concatenate([first, [len(i)]])))
+                keep = (before < k) & (far <= limits[i, c])
+                out.append((ids[i[keep]], np.full(keep.sum(), c, np.int32), far[keep], n[keep], total[keep]))
+        cols = [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, t) for t in (np.int64, np.int32, float, np.int64, float)]
+        return pa.table(dict(zip(("id", "c", "far", "n", "total"), map(pa.array, cols))))
+
+    return find
+
+
+def _places(found: DataFrame, k: int) -> DataFrame:
+    """The distances of each row and column with how many of the ``k`` places they fill (``used``)."""
+    each = found.groupBy("id", "c", "far").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    order = Window.partitionBy("id", "c").orderBy("far").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("n").over(order), F.lit(0))
+    return each.withColumn("used", F.least("n", F.lit(k) - before)).filter("used > 0")
+
+
+def gap_neighbours(points: DataFrame, k: int, leaf: int = LEAF) -> DataFrame:
+    """``(id, c, value)``: for each gap of ``points`` (id, w, x) the mean of column ``c`` of the k nearest rows that have it.
+
+    The squared distance of two rows is the mean squared difference over the
+    columns both have, times all columns; rows without a common column are no
+    neighbours. Rows at the same distance share the last places equally, so the
+    result depends on no order. A gap that nobody can fill has no row.
+
+    Rows with gaps ask tiles of donors. What a tile can hold at best follows from
+    its box and from the columns all or some of its rows have, so any mix of gap
+    patterns is one search. A first round visits near tiles with ``k`` donors and
+    gives each gap a limit, a second one every other tile that may beat it.
+    """
+    if points.isEmpty():
+        return points.select("id", F.lit(0).alias("c"), F.lit(0.0).alias("value"))
+    width = points.select(F.size("x")).first()[0]
+    donors = tiled(points, leaf)
+    gappy = F.exists("x", lambda v: F.isnan(v))
+    asking = tiled(points.filter(gappy), leaf)
+    there, here = boxes(donors), boxes(asking)
+    homes = box_pairs(here, there, _homes(k))
+    first = stage(compare(asking, donors, homes, _donors(k, width), _FOUND))
+
+    # A gap's limit is the distance of its k-th donor so far.
+    limits = _places(first, k).groupBy("id", "c").agg(F.max("far").alias("far"), F.sum("used").alias("used"))
+    limits = limits.select("id", "c", F.when(F.col("used") >= k, F.col("far")).otherwise(float("inf")).alias("far"))
+    by_row = limits.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("c", "far"))).alias("m"))
+    of = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda c: F.coalesce(F.element_at("m", c), F.lit(float("inf"))))
+    # A column that a row has asks for nothing.
+    asked = F.transform(F.arrays_zip("x", of.alias("far")), lambda p: F.when(F.isnan(p["x"]), p["far"]).otherwise(-1.0))
+    asking = stage(asking.join(by_row, "id", "left").select("tile", "id", "w", "x", asked.alias("limits")))
+    whole = asking.select("tile", F.posexplode("limits").alias("c", "far")).groupBy("tile", "c").agg(F.max("far").alias("far"))
+    whole = whole.groupBy("tile").agg(F.transform(F.array_sort(F.collect_list(F.struct("c", "far"))), lambda p: p["far"]).alias("limits"))
+    rest = box_pairs(here.join(whole, "tile"), there, _visits(width)).join(homes, ["a", "b"], "left_anti")
+    found = first.unionByName(compare(asking, donors, rest, _donors(k, width), _FOUND))
+    value = F.sum(F.col("used") * F.col("total") / F.col("n")) / F.sum("used")
+    return _places(found, k).groupBy("id", "c").agg(value.alias("value"))
+
+
+def knn_impute(df: DataFrame, columns: Sequence[str] | None = None, k: int = 5, leaf: int = LEAF) -> DataFrame:
+    """Fill numeric gaps with the mean of the k nearest rows that have a value there, however gappy themselves.
+
+    Distances and ties as in :func:`gap_neighbours`. A gap of a row that shares
+    no column with any donor gets the column's mean; a column without a value
+    stays as it is. Equal rows act as one of their weight. The search runs under
+    names of its own, so any column name is allowed.
+    """
+    own = {c: f"_c{i}" for i, c in enumerate(df.columns)}
+    filled = _knn_fill(df.toDF(*own.values()), [own[c] for c in numeric_columns(df, columns)], k, leaf)
+    return filled.select(*own.values()).toDF(*own)
+
+
+def _knn_fill(df: DataFrame, numbers: Sequence[str], k: int, leaf: int) -> DataFrame:
+    if not numbers:
+        return df
+    x = F.array(*[F.coalesce(present_double(df, c), F.lit(float("nan"))) for c in numbers])
+    base = stage(df.withColumn("_x", x))
+    unique = base.groupBy(F.col("_x").alias("x")).agg(F.count(F.lit(1)).alias("w")).withColumn("id", F.monotonically_increasing_id())
+    unique = stage(unique)
+    values = gap_neighbours(unique, k, leaf).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("c", "value"))).alias("_m"))
+    # Of each different row with gaps one line; hot rows are split at run time.
+    fills = unique.filter(F.exists("x", lambda v: F.isnan(v))).join(values, "id", "left").select(F.col("x").alias("_x"), "_m")
+    means = unique.agg(*[(F.sum(F.nanvl(F.col("x")[i], F.lit(None)) * F.col("w")) / F.sum(F.when(~F.isnan(F.col("x")[i]), F.col("w")))).alias(f"m{i}") for i in range(len(numbers))])
+    gappy = F.exists("_x", lambda v: F.isnan(v))
+    joined = attach(base.filter(gappy).join(fills, "_x", "left"), means)
+    known = lambda i: F.nanvl(F.col("_x")[i], F.lit(None))
+    filled = joined.withColumns({c: F.coalesce(known(i), F.element_at("_m", F.lit(i)), F.col(f"_s.m{i}")) for i, c in enumerate(numbers)})
+    whole = base.filter(~gappy).withColumns({c: F.col("_x")[i] for i, c in enumerate(numbers)})
+    return filled.select(*whole.columns).unionByName(whole)
