@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-import itertools
 import math
 from collections.abc import Sequence
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.operators.features import arrays, scaled, width
+from tablewright.operators.features import arrays, scaled
+from tablewright.operators.tiles import LEAF, Boxes, box_pairs, boxes, compare, joined, rows_of, tiled, within
 from tablewright.session import beside, join_groups, scalars, stage
 
 SEED = 42
@@ -108,10 +109,12 @@ def optimal_k(df: DataFrame, columns: Sequence[str] | None = None, method: str =
     return out.withColumn("best", F.col("k").eqNullSafe(F.lit(best)))
 
 
-def compare(df: DataFrame, columns: Sequence[str] | None = None, k: int = 3) -> DataFrame:
-    """Metrics of all methods at one k."""
+def compare_methods(df: DataFrame, columns: Sequence[str] | None = None, k: int = 3, eps: float = 0.5, min_samples: int = 5) -> DataFrame:
+    """Metrics of all methods, at one k where a method takes one."""
     features = stage(scaled(df, columns).select("features"))
     rows = [{"method": m, **fit(features, k)[2]} for m, fit in METHODS.items()]
+    points = features.select(F.monotonically_increasing_id().alias("_id"), vector_to_array("features").alias("x"))
+    rows.append({"method": "dbscan", **density_metrics(stage(density_labels(stage(points), "_id", eps, min_samples)))})
     return _metric_rows(df.sparkSession, rows)
 
 
@@ -158,111 +161,127 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     )
 
 
-def _cell(x: str, side: float):
-    return F.transform(F.col(x), lambda v: F.floor(v / side))
+def _near(radius: float):
+    """Ordered pairs of tiles with points within ``radius``, but not only such."""
 
+    def choose(p: Boxes, q: Boxes) -> tuple[np.ndarray, np.ndarray]:
+        found = [
+            np.flatnonzero((p.gaps(i, q).sum(axis=1) <= radius * radius * (1 + 1e-12)) & (p.spans(i, q).sum(axis=1) > radius * radius * (1 - 1e-12)))
+            for i in range(len(p.tile))
+        ]
+        return np.repeat(np.arange(len(found)), [len(f) for f in found]), np.concatenate(found)
 
-def dbscan(df: DataFrame, key: str, columns: Sequence[str] | None = None, eps: float = 0.5, min_samples: int = 5, with_core: bool = False) -> DataFrame:
-    """Exact DBSCAN on scaled columns: ``(key, cluster)``, noise is -1.
+    return choose
 
-    ``with_core`` adds ``is_core``. A border point near several clusters joins
-    the one with the smallest number.
 
-    Equal points collapse to one with a weight. The plane is cut into cells in
-    which any two points are neighbours, so a cell with ``min_samples`` points is
-    all core and none of its pairs are looked at; only points of thinner cells
-    (fewer than ``min_samples`` each) count their neighbours. Whether two core
-    cells touch is settled on ever finer sub-cells, and by points only where
-    those leave it open.
+def _inside(radius: float):
+    """Ordered pairs of tiles whose boxes say that all their points lie within ``radius``."""
+
+    def choose(p: Boxes, q: Boxes) -> tuple[np.ndarray, np.ndarray]:
+        found = [np.flatnonzero(p.spans(i, q).sum(axis=1) <= radius * radius * (1 - 1e-12)) for i in range(len(p.tile))]
+        return np.repeat(np.arange(len(found)), [len(f) for f in found]), np.concatenate(found)
+
+    return choose
+
+
+def _neighbour_weight(radius: float, block: int = 512):
+    def count(left: pa.Table, right: pa.Table) -> pa.Table:
+        x, y, w = rows_of(left.column("x")), rows_of(right.column("x")), right.column("w").to_numpy()
+        n = np.concatenate([within(x[lo : lo + block], y, radius) @ w for lo in range(0, len(x), block)])
+        return pa.table({"id": left.column("id"), "n": pa.array(n)}).filter(pa.array(n > 0))
+
+    return count
+
+
+def _contacts(radius: float, block: int = 512):
+    """Of a pair of tiles: core points to the least one of their group (``core``), and other points to the core points near them."""
+
+    def link(left: pa.Table, right: pa.Table) -> pa.Table:
+        x, y = rows_of(left.column("x")), rows_of(right.column("x"))
+        ids = np.concatenate([left.column("id").to_numpy(), right.column("id").to_numpy()])
+        order = np.argsort(ids, kind="stable")
+        place = np.empty_like(order)
+        place[order] = np.arange(len(ids))  # so that the least place is the least id
+        mine, theirs = (t.column("core").to_numpy(zero_copy_only=False) for t in (left, right))
+        label, u, v = np.arange(len(ids)), [], []
+        for lo in range(0, len(x), block):
+            i, j = np.nonzero(within(x[lo : lo + block], y, radius) & theirs)
+            i += lo
+            both = mine[i]
+            label = joined(label, place[i[both]], place[j[both] + len(x)])
+            u.append(ids[i[~both]])
+            v.append(ids[j[~both] + len(x)])
+        ids = ids[order]
+        moved = np.flatnonzero((label != np.arange(len(ids))) & (ids[label] != ids))
+        core = [True] * len(moved) + [False] * sum(map(len, u))
+        return pa.table({"core": pa.array(core, pa.bool_()), "u": np.concatenate([ids[moved], *u]), "v": np.concatenate([ids[label[moved]], *v])})
+
+    return link
+
+
+def density_labels(points: DataFrame, key: str, eps: float, min_samples: int, leaf: int = LEAF) -> DataFrame:
+    """``(key, x, cluster, is_core)`` of ``points`` (key, x) by DBSCAN, in any number of columns.
+
+    Equal points are one of their weight. Tiles of points meet where their boxes
+    come within ``eps``; where boxes lie within it as a whole, nothing is
+    compared, so a crowd costs as much as its tiles. Clusters are numbered by
+    their least core key, and a border point near several joins the first of
+    them: the numbers depend on keys and points alone. Noise is -1.
     """
-    points = arrays(scaled(df, columns, [key]), [key])
-    d = width(points)
-    if d > 4:
-        raise ValueError("density clustering works on up to 4 columns; reduce them first")
-    side = eps / math.sqrt(d)
-    unique = stage(
-        points.groupBy("x").agg(F.count(F.lit(1)).alias("w")).withColumn("cell", _cell("x", side)).withColumn("id", F.monotonically_increasing_id())
-    )
-    reach = math.ceil(math.sqrt(d))
-    offsets = [o for o in itertools.product(range(-reach, reach + 1), repeat=d) if sum(max(0, abs(v) - 1) ** 2 for v in o) * side**2 <= eps**2]
-    around = lambda cell: F.transform(F.lit([list(o) for o in offsets]), lambda o: F.zip_with(cell, o, lambda a, b: a + b))
-    cells = stage(unique.groupBy("cell").agg(F.sum("w").alias("weight"), F.min("id").alias("cell_id")))
-    dense = cells.filter(F.col("weight") >= min_samples)
-    thin = unique.join(cells.filter(F.col("weight") < min_samples).select("cell"), "cell")
-    gap = F.sqrt(F.aggregate(F.zip_with("x", "y", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, b: a + b))
-    near = stage(
-        thin.select("id", F.col("x").alias("y"), F.explode(around(F.col("cell"))).alias("cell"))
-        .join(unique.select("cell", "x", "w", F.col("id").alias("other")), "cell")
-        .filter(gap <= eps)
-        .select("id", "other", "w")
-    )
-    thin_core = near.groupBy("id").agg(F.sum("w").alias("n")).filter(F.col("n") >= min_samples).select("id")
-    core = stage(
-        unique.join(dense.select("cell"), "cell", "left_semi").select("id", "x", "cell").unionByName(unique.join(thin_core, "id").select("id", "x", "cell"))
-    )
-    core_cells = stage(core.groupBy("cell").agg(F.min("id").alias("cell_id")))
-    ahead = [list(o) for o in offsets if o > tuple([0] * d)]
-    pairs = (
-        core_cells.select(F.col("cell").alias("a"), F.explode(F.transform(F.lit(ahead), lambda o: F.zip_with("cell", o, lambda p, q: p + q))).alias("b"))
-        .join(core_cells.select(F.col("cell").alias("b")), "b", "left_semi")
-        .select("a", "b")
-    )
-    pairs = stage(pairs)
-    touching = None
-    levels = max(1, 6 // d)  # at most 64 sub-cells per cell
-    for level in range(1, levels + 1):
-        fine = side / 2**level
-        sub = core.select("cell", _cell("x", fine).alias("s")).distinct()
-        span = lambda extra: F.aggregate(
-            F.zip_with("s", "t", lambda p, q: F.greatest(F.lit(0.0), (F.abs(p - q) + extra).cast("double")) * fine), F.lit(0.0), lambda z, v: z + v * v
-        )
-        seen = (
-            pairs.join(sub.select(F.col("cell").alias("a"), "s"), "a")
-            .join(sub.select(F.col("cell").alias("b"), F.col("s").alias("t")), "b")
-            .groupBy("a", "b")
-            .agg(F.max(span(1) <= eps * eps).alias("sure"), F.max(span(-1) <= eps * eps).alias("open"))
-        )
-        seen = stage(seen)
-        found = seen.filter("sure").select("a", "b")
-        touching = found if touching is None else touching.unionByName(found)
-        pairs = seen.filter("NOT sure AND open").select("a", "b")
-    # What is left: cells whose nearest points lie within a sub-cell of the limit.
-    last = side / 2**levels
-    sub = core.select("cell", _cell("x", last).alias("s"), "x")
-    slabs = (
-        pairs.join(sub.select(F.col("cell").alias("a"), "s").distinct(), "a")
-        .join(sub.select(F.col("cell").alias("b"), F.col("s").alias("t")).distinct(), "b")
-        .filter(
-            F.aggregate(F.zip_with("s", "t", lambda p, q: F.greatest(F.lit(0.0), (F.abs(p - q) - 1).cast("double")) * last), F.lit(0.0), lambda z, v: z + v * v)
-            <= eps * eps
-        )
-    )
-    found = (
-        slabs.join(sub.select(F.col("cell").alias("a"), "s", "x"), ["a", "s"])
-        .join(sub.select(F.col("cell").alias("b"), F.col("s").alias("t"), F.col("x").alias("y")), ["b", "t"])
-        .filter(gap <= eps)
-        .select("a", "b")
-        .distinct()
-    )
-    touching = touching.unionByName(found)
-    names = core_cells.select("cell", "cell_id")
-    links = touching.join(names.withColumnsRenamed({"cell": "a", "cell_id": "u"}), "a").join(names.withColumnsRenamed({"cell": "b", "cell_id": "v"}), "b").select("u", "v")
-    groups = components(links, core_cells.select(F.col("cell_id").alias("node")))
-    of_cell = core_cells.join(groups, F.col("cell_id") == F.col("node")).select("cell", "component")
-    core_label = core.join(of_cell, "cell").select("id", "component")
-    border = (
-        near.join(core_label.withColumnRenamed("id", "other"), "other")
-        .groupBy("id")
-        .agg(F.min("component").alias("component"))
-        .join(core_label.select("id"), "id", "left_anti")
-    )
-    labelled = core_label.unionByName(border)
-    roots = labelled.select("component").distinct()
+    unique = points.groupBy("x").agg(F.count(F.lit(1)).alias("w"), F.min(key).alias("first")).withColumn("id", F.monotonically_increasing_id())
+    unique = stage(unique)
+    head = unique.select(F.size("x")).first()
+    if head is None:
+        return points.select(key, "x", F.lit(-1).cast("long").alias("cluster"), F.lit(False).alias("is_core"))
+    tiles = tiled(unique, head[0], leaf)
+    around = boxes(tiles)
+    n = around.count()
+    near = box_pairs(around, around, (n, n), _near(eps))
+    inside = box_pairs(around, around, (n, n), _inside(eps))
+
+    whole = inside.join(around.select(F.col("tile").alias("b"), "w"), "b").groupBy(F.col("a").alias("tile")).agg(F.sum("w").alias("all"))
+    some = compare(tiles, tiles, near, _neighbour_weight(eps), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    size = F.coalesce("all", F.lit(0)) + F.coalesce("n", F.lit(0))
+    tiles = stage(tiles.join(whole, "tile", "left").join(some, "id", "left").select("tile", "id", "w", "x", (size >= min_samples).alias("core")))
+
+    met = stage(compare(tiles, tiles, near, _contacts(eps), "core boolean, u long, v long"))
+    core = tiles.filter("core")
+    reps = core.groupBy("tile").agg(F.min("id").alias("rep"))
+    # Of boxes wholly within reach: every core point is near all of the other tile's.
+    reached = stage(inside.join(reps.select(F.col("tile").alias("b"), "rep"), "b").select("a", "b", "rep"))
+    least = reached.groupBy(F.col("a").alias("tile")).agg(F.min("rep").alias("v"))
+    edges = (
+        met.filter("core").select("u", "v")
+        .unionByName(core.join(least, "tile").select(F.col("id").alias("u"), "v"))
+        .unionByName(reached.join(reps.select(F.col("tile").alias("a"), F.col("rep").alias("u")), "a").select("u", F.col("rep").alias("v")))
+    )
+    groups = components(edges, core.select(F.col("id").alias("node")))
+    named = groups.join(unique.select(F.col("id").alias("node"), "first"), "node")
     from tablewright.operators.ranks import row_index
 
-    numbered = row_index(roots, ["component"], name="cluster")
-    marks = labelled.join(core.select("id", F.lit(True).alias("core")), "id", "left")
-    final = unique.select("x", "id").join(marks, "id", "left").join(numbered, "component", "left")
-    out = points.join(final.select("x", "cluster", "core"), "x")
-    extra = [F.coalesce("core", F.lit(False)).alias("is_core")] if with_core else []
-    return out.select(key, F.coalesce("cluster", F.lit(-1)).alias("cluster"), *extra)
+    numbers = row_index(named.groupBy("component").agg(F.min("first").alias("_least")), ["_least", "component"], name="cluster").select("component", "cluster")
+    of_core = stage(groups.join(numbers, "component").select(F.col("node").alias("id"), "cluster"))
+    # A border point has fewer than min_samples neighbours, so these pairs are few.
+    alone = tiles.filter("NOT core").select(F.col("tile").alias("a"), F.col("id").alias("u"))
+    beside_ = alone.join(reached.select("a", "b"), "a").join(core.select(F.col("tile").alias("b"), F.col("id").alias("v")), "b").select("u", "v")
+    touch = met.filter("NOT core").select("u", "v").unionByName(beside_)
+    border = touch.join(of_core.select(F.col("id").alias("v"), "cluster"), "v").groupBy(F.col("u").alias("id")).agg(F.min("cluster").alias("cluster"))
+    labelled = of_core.select("id", "cluster", F.lit(True).alias("is_core")).unionByName(border.select("id", "cluster", F.lit(False).alias("is_core")))
+    of_point = unique.select("x", "id").join(labelled, "id", "left").select("x", F.coalesce("cluster", F.lit(-1)).alias("cluster"), F.coalesce("is_core", F.lit(False)).alias("is_core"))
+    return points.join(of_point, "x").select(key, "x", "cluster", "is_core")
+
+
+def dbscan(
+    df: DataFrame, key: str, columns: Sequence[str] | None = None, eps: float = 0.5, min_samples: int = 5, with_core: bool = False, leaf: int = LEAF
+) -> DataFrame:
+    """Exact DBSCAN on scaled columns: ``(key, cluster)`` as :func:`density_labels` numbers them; ``with_core`` adds ``is_core``."""
+    done = density_labels(arrays(scaled(df, columns, [key]), [key]), key, eps, min_samples, leaf)
+    return done.select(key, "cluster", *(["is_core"] if with_core else []))
+
+
+def density_metrics(labelled: DataFrame) -> dict:
+    """Clusters, noise rows and share, and the silhouette of the rows that are not noise (none with fewer than two clusters)."""
+    noise = F.col("cluster") < 0
+    n, lost, found = labelled.agg(F.count(F.lit(1)), F.count_if(noise), F.count_distinct(F.when(~noise, F.col("cluster")))).first()
+    kept = labelled.filter(~noise).select(array_to_vector("x").alias("features"), F.col("cluster").cast("double").alias("prediction"))
+    return {"k": found, "n_noise": lost, "noise_ratio": lost / n if n else 0.0, "silhouette": _silhouette(kept) if found > 1 else None}

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablewright.operators.columns import numeric_columns, present_double
+from tablewright.operators.columns import numeric_columns
 from tablewright.operators.features import arrays, matrix, scaled
 from tablewright.operators.tiles import LEAF, Boxes, box_pairs, boxes, compare, rows_of, tiled
 from tablewright.session import attach, stage
@@ -241,6 +241,7 @@ def _visits(width: int):
     return choose
 
 
+_NAN = "double('NaN')"
 _FOUND = "id long, c int, far double, n long, total double"
 
 
@@ -315,14 +316,15 @@ def gap_neighbours(points: DataFrame, k: int, leaf: int = LEAF) -> DataFrame:
     patterns is one search. A first round visits near tiles with ``k`` donors and
     gives each gap a limit, a second one every other tile that may beat it.
     """
-    if points.isEmpty():
+    first = points.select(F.size("x")).first()
+    if first is None:
         return points.select("id", F.lit(0).alias("c"), F.lit(0.0).alias("value"))
-    width = points.select(F.size("x")).first()[0]
-    donors = tiled(points, leaf)
-    gappy = F.exists("x", lambda v: F.isnan(v))
-    asking = tiled(points.filter(gappy), leaf)
+    width = first[0]
+    donors = tiled(points, width, leaf)
+    asking = donors.filter(F.exists("x", lambda v: F.isnan(v)))
     there, here = boxes(donors), boxes(asking)
-    homes = box_pairs(here, there, _homes(k))
+    counts = here.count(), there.count()
+    homes = box_pairs(here, there, counts, _homes(k))
     first = stage(compare(asking, donors, homes, _donors(k, width), _FOUND))
 
     # A gap's limit is the distance of its k-th donor so far.
@@ -335,7 +337,7 @@ def gap_neighbours(points: DataFrame, k: int, leaf: int = LEAF) -> DataFrame:
     asking = stage(asking.join(by_row, "id", "left").select("tile", "id", "w", "x", asked.alias("limits")))
     whole = asking.select("tile", F.posexplode("limits").alias("c", "far")).groupBy("tile", "c").agg(F.max("far").alias("far"))
     whole = whole.groupBy("tile").agg(F.transform(F.array_sort(F.collect_list(F.struct("c", "far"))), lambda p: p["far"]).alias("limits"))
-    rest = box_pairs(here.join(whole, "tile"), there, _visits(width)).join(homes, ["a", "b"], "left_anti")
+    rest = box_pairs(here.join(whole, "tile"), there, counts, _visits(width)).join(homes, ["a", "b"], "left_anti")
     found = first.unionByName(compare(asking, donors, rest, _donors(k, width), _FOUND))
     value = F.sum(F.col("used") * F.col("total") / F.col("n")) / F.sum("used")
     return _places(found, k).groupBy("id", "c").agg(value.alias("value"))
@@ -357,17 +359,18 @@ def knn_impute(df: DataFrame, columns: Sequence[str] | None = None, k: int = 5,
 def _knn_fill(df: DataFrame, numbers: Sequence[str], k: int, leaf: int) -> DataFrame:
     if not numbers:
         return df
-    x = F.array(*[F.coalesce(present_double(df, c), F.lit(float("nan"))) for c in numbers])
+    # One string a column: names are the search's own, and expressions built call by call take longer than they run.
+    x = F.expr(f"array({', '.join(f'coalesce(double({c}), {_NAN})' for c in numbers)})")
     base = stage(df.withColumn("_x", x))
     unique = base.groupBy(F.col("_x").alias("x")).agg(F.count(F.lit(1)).alias("w")).withColumn("id", F.monotonically_increasing_id())
     unique = stage(unique)
     values = gap_neighbours(unique, k, leaf).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("c", "value"))).alias("_m"))
     # Of each different row with gaps one line; hot rows are split at run time.
     fills = unique.filter(F.exists("x", lambda v: F.isnan(v))).join(values, "id", "left").select(F.col("x").alias("_x"), "_m")
-    means = unique.agg(*[(F.sum(F.nanvl(F.col("x")[i], F.lit(None)) * F.col("w")) / F.sum(F.when(~F.isnan(F.col("x")[i]), F.col("w")))).alias(f"m{i}") for i in range(len(numbers))])
+    means = unique.selectExpr(*[f"sum(nullif(x[{i}], {_NAN}) * w) / sum(if(isnan(x[{i}]), null, w)) as m{i}" for i in range(len(numbers))])
     gappy = F.exists("_x", lambda v: F.isnan(v))
     joined = attach(base.filter(gappy).join(fills, "_x", "left"), means)
-    known = lambda i: F.nanvl(F.col("_x")[i], F.lit(None))
-    filled = joined.withColumns({c: F.coalesce(known(i), F.element_at("_m", F.lit(i)), F.col(f"_s.m{i}")) for i, c in enumerate(numbers)})
-    whole = base.filter(~gappy).withColumns({c: F.col("_x")[i] for i, c in enumerate(numbers)})
-    return filled.select(*whole.columns).unionByName(whole)
+    place = {c: i for i, c in enumerate(numbers)}
+    filled = joined.selectExpr(*[f"coalesce(nullif(_x[{place[c]}], {_NAN}), _m[{place[c]}], _s.m{place[c]}) as {c}" if c in place else c for c in df.columns])
+    whole = base.filter(~gappy).selectExpr(*[f"_x[{place[c]}] as {c}" if c in place else c for c in df.columns])
+    return filled.unionByName(whole)

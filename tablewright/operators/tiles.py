@@ -64,14 +64,10 @@ def leaves(x: np.ndarray, leaf: int) -> Iterator[np.ndarray]:
         yield np.concatenate(rest)
 
 
-def tiled(points: DataFrame, leaf: int = LEAF) -> DataFrame:
-    """``(tile, id, w, x)`` of staged ``points``, tiles of at most 3/2 ``leaf`` rows; itself staged."""
-    first = points.select(F.size("x").alias("d")).first()
-    if first is None:
-        return points.select(F.lit(0).cast("long").alias("tile"), "id", "w", "x")
-    n = points.count()
-    spread = points.agg(*[F.var_pop(F.nanvl(F.col("x")[i], F.lit(None))).alias(f"v{i}") for i in range(first["d"])]).first()
-    widest = max(range(first["d"]), key=lambda i: spread[i] if spread[i] is not None and spread[i] == spread[i] else -1.0)
+def tiled(points: DataFrame, width: int, leaf: int = LEAF) -> DataFrame:
+    """``(tile, id, w, x)`` of staged ``points`` of ``width`` columns, tiles of at most 3/2 ``leaf`` rows; itself staged."""
+    n, *spread = points.selectExpr("count(*)", *[f"var_pop(nullif(x[{i}], double('NaN')))" for i in range(width)]).first()
+    widest = max(range(width), key=lambda i: spread[i] if spread[i] is not None and spread[i] == spread[i] else -1.0)
     pattern = F.array_join(F.transform("x", lambda v: F.when(F.isnan(v), "1").otherwise("0")), "")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,7 +80,7 @@ def tiled(points: DataFrame, leaf: int = LEAF) -> DataFrame:
             own = table.take(pa.array(rows)).combine_chunks()
             yield from own.add_column(0, "tile", pa.array(np.full(len(rows), part + k, np.int64))).to_batches()
 
-    near = points.select("id", "w", "x").repartitionByRange(-(-n // (CUT * leaf)), pattern, F.col("x")[widest], "id")
+    near = points.select("id", "w", "x").repartitionByRange(max(1, -(-n // (CUT * leaf))), pattern, F.col("x")[widest], "id")
     return stage(near.mapInArrow(cut, f"tile long, {_ROW}"))
 
 
@@ -120,28 +116,27 @@ class Boxes:
         return np.nan_to_num(np.maximum(self.hi[i] - other.lo, other.hi - self.lo[i])) ** 2
 
 
-def box_pairs(left: DataFrame, right: DataFrame, choose: Callable[[Boxes, Boxes], tuple[np.ndarray, ...]], extra: str = "") -> DataFrame:
-    """``(a, b)`` tiles and the ``extra`` columns that ``choose`` gives for boxes of ``left`` and ``right``.
+def box_pairs(left: DataFrame, right: DataFrame, counts: tuple[int, int], choose: Callable[[Boxes, Boxes], tuple[np.ndarray, ...]]) -> DataFrame:
+    """Pairs ``(a, b)`` of tiles that ``choose`` gives, as places in either, for boxes of ``left`` and ``right``.
 
-    Both sides are dealt into blocks of about ``BOXES`` boxes; every two blocks meet in one task.
+    Both sides, of ``counts`` boxes, are dealt into blocks of about ``BOXES``; every two blocks meet in one task.
     """
     dealt = []
-    counts = [max(1, -(-df.count() // BOXES)) for df in (left, right)]
+    counts = tuple(max(1, -(-n // BOXES)) for n in counts)
     for side, df in enumerate((left, right)):
         own = F.pmod(F.xxhash64("tile"), F.lit(counts[side])).cast("int")
         others = F.explode(F.sequence(F.lit(0), F.lit(counts[1 - side] - 1)))
         names = ("left", "right") if side == 0 else ("right", "left")
         dealt.append(df.select(own.alias(names[0]), others.alias(names[1]), F.lit(side).alias("side"), *df.columns))
-    names = ["a", "b", *[c.split()[0] for c in extra.split(", ") if c]]
 
     def meet(table: pa.Table) -> pa.Table:
         side = table.column("side").to_numpy()
         mine, theirs = (Boxes(table.filter(pa.array(side == s))) for s in (0, 1))
-        i, j, *more = choose(mine, theirs) if len(mine.tile) and len(theirs.tile) else (np.zeros(0, int), np.zeros(0, int), *[np.zeros(0) for _ in names[2:]])
-        return pa.table({k: pa.array(v) for k, v in zip(names, (mine.tile[i], theirs.tile[j], *more))})
+        i, j = choose(mine, theirs) if len(mine.tile) and len(theirs.tile) else (np.zeros(0, int), np.zeros(0, int))
+        return pa.table({"a": pa.array(mine.tile[i]), "b": pa.array(theirs.tile[j])})
 
     both = dealt[0].unionByName(dealt[1], allowMissingColumns=True)
-    return stage(both.groupBy("left", "right").applyInArrow(meet, f"a long, b long{', ' * bool(extra)}{extra}"))
+    return stage(both.groupBy("left", "right").applyInArrow(meet, "a long, b long"))
 
 
 def compare(left: DataFrame, right: DataFrame, pairs: DataFrame, fn: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
@@ -156,3 +151,32 @@ def compare(left: DataFrame, right: DataFrame, pairs: DataFrame, fn: Callable[[p
         return fn(table.filter(pa.array(side == 0)), table.filter(pa.array(side == 1)))
 
     return met[0].unionByName(met[1], allowMissingColumns=True).groupBy("a", "b").applyInArrow(both, schema)
+
+
+def within(x: np.ndarray, y: np.ndarray, radius: float) -> np.ndarray:
+    """Which rows of ``y`` lie within ``radius`` of which rows of ``x``.
+
+    Products decide all but the pairs that rounding may put on either side; those are measured directly.
+    """
+    middle = y.mean(axis=0)
+    u, v = x - middle, y - middle
+    a, b = (u * u).sum(axis=1)[:, None], (v * v).sum(axis=1)
+    over = a + b - 2 * (u @ v.T) - radius * radius
+    near = over <= 0
+    i, j = np.nonzero(np.abs(over) <= 1e-12 * (a + b))
+    near[i, j] = ((x[i] - y[j]) ** 2).sum(axis=1) <= radius * radius
+    return near
+
+
+def joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``label`` (the least member of each node's group) after the links ``a`` - ``b`` have joined groups."""
+    while True:
+        p, q = label[a], label[b]
+        apart = p != q
+        if not apart.any():
+            return label
+        a, b, p, q = a[apart], b[apart], p[apart], q[apart]
+        label = label.copy()
+        np.minimum.at(label, np.maximum(p, q), np.minimum(p, q))
+        while not np.array_equal(up := label[label], label):
+            label = up

@@ -65,7 +65,7 @@ def _(t: Tables):
 
 @query("cluster_compare")
 def _(t: Tables):
-    return clustering.compare(parts(t), PART, 3)
+    return clustering.compare_methods(parts(t), PART, 3)
 
 
 _DB = """
@@ -93,6 +93,27 @@ def _(t: Tables):
     return sizes.groupBy("core_size").agg(F.count(F.lit(1)).alias("clusters")).unionByName(noise)
 
 
+_WIDE = """
+    with recursive w as (select vec_id, unnest(cast(embedding as double[])) as x, unnest(range(64)) as c from embeddings),
+    z as (select vec_id, c, (x - avg(x) over (partition by c)) / stddev_samp(x) over (partition by c) as x from w),
+    u as (select vec_id as i, list(x order by c) as x from z group by 1),
+    n as (select a.i, b.i as j from u a join u b on list_distance(a.x, b.x) <= 9),
+    core as (select i from n group by i having count(*) >= 8),
+    e as (select n.i, n.j from n join core a on n.i = a.i join core b on n.j = b.i),
+    r as (select i, i as c from core union select e.j, r.c from r join e on e.i = r.i),
+    cc as (select i, min(c) as c from r group by i), num as (select c, dense_rank() over (order by c) - 1 as cluster from (select distinct c from cc)),
+    m as (select i, cluster, true as is_core from cc join num using (c) union all
+          select n.i, min(cluster), false from n join cc on cc.i = n.j join num using (c) where n.i not in (select i from core) group by n.i)
+    select u.i as vec_id, coalesce(m.cluster, -1) as cluster, coalesce(is_core, false) as is_core from u left join m using (i)
+"""
+
+
+@query("cluster_density_wide", _WIDE)
+def _(t: Tables):
+    """Memberships over all 64 coordinates."""
+    return clustering.dbscan(vectors(t).drop("label"), "vec_id", ALL, 9.0, 8, with_core=True)
+
+
 @query(
     "cluster_stats",
     """with v as (select vec_id, label, unnest(cast(embedding as double[])) as x, unnest(range(64)) as i from embeddings),

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tablewright.operators import neighbours, tiles
+from tablewright.operators import clustering, neighbours, tiles
 
 
 def gaps_filled(x, k):
@@ -75,10 +75,11 @@ def test_few_pairs_of_tiles_meet(spark):
     x[::4, 2] = np.nan
     rows = [(i, 1, [float(v) for v in r]) for i, r in enumerate(x)]
     points = spark.createDataFrame(rows, "id long, w long, x array<double>")
-    donors, asking = tiles.tiled(points, 16), tiles.tiled(points.filter(F.exists("x", lambda v: F.isnan(v))), 16)
+    donors = tiles.tiled(points, 3, 16)
+    asking = donors.filter(F.exists("x", lambda v: F.isnan(v)))
     there, here = tiles.boxes(donors), tiles.boxes(asking)
     limits = here.withColumn("limits", F.array(*[F.lit(1.0)] * 3))
-    met = tiles.box_pairs(limits, there, neighbours._visits(3)).count()
+    met = tiles.box_pairs(limits, there, (here.count(), there.count()), neighbours._visits(3)).count()
     assert 0 < met < 0.2 * here.count() * there.count()
 
 
@@ -93,3 +94,58 @@ def test_bounds_by_sets_of_columns():
             sets = [s for s in range(1, 32) if all(s >> c & 1 or not must[r, c] for c in range(5)) and all(may[r, c] or not s >> c & 1 for c in range(5))]
             means = [np.mean([v[r, c] for c in range(5) if s >> c & 1]) for s in sets]
             assert np.isinf(got[r]) if not sets else got[r] == pytest.approx(sign * min(sign * m for m in means))
+
+
+def density(z, eps, least):
+    """Clusters by their least core row; a border row joins the first it touches."""
+    near = np.sqrt(((z[:, None] - z) ** 2).sum(axis=2)) <= eps
+    core = near.sum(axis=1) >= least
+    label = np.full(len(z), -1)
+    for n, i in enumerate(np.flatnonzero(core)):
+        if label[i] < 0:
+            todo, label[i] = [i], label.max() + 1
+            while todo:
+                for m in np.flatnonzero(near[todo.pop()] & core & (label < 0)):
+                    label[m] = label[i]
+                    todo.append(m)
+    for i in np.flatnonzero(~core):
+        touched = label[near[i] & core]
+        label[i] = touched.min() if len(touched) else -1
+    return label, core
+
+
+@pytest.mark.parametrize("d, eps, leaf", [(1, 0.02, 8), (2, 0.3, 8), (2, 0.3, 4096), (8, 1.6, 16), (40, 7.2, 16), (40, 7.2, 4096)])
+def test_density_clusters(spark, d, eps, leaf):
+    """Tight crowds whose tiles lie wholly within reach, copies, borders between clusters, and noise; in any order of the rows."""
+    rng = np.random.default_rng(74 + d)
+    x = rng.normal(size=(150, d))
+    x = np.r_[x, rng.normal(size=(60, d)) * 0.01 + x[0] + 0.1, np.repeat(x[5:6], 30, axis=0), rng.normal(size=(60, d)) * 0.3 + 2]
+    x = x[rng.permutation(len(x))]
+    z = (x - x.mean(axis=0)) / x.std(axis=0, ddof=1)
+    names = [f"v{i}" for i in range(d)]
+    rows = [(i, *map(float, r)) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "id long, " + ", ".join(f"{c} double" for c in names))
+    want, core = density(z, eps, 6)
+    assert 0 < core.sum() < len(x) and (want < 0).any()
+    got = sorted(map(tuple, clustering.dbscan(df.orderBy(F.desc("id")).repartition(3), "id", names, eps, 6, with_core=True, leaf=leaf).collect()))
+    assert [g[1] for g in got] == want.tolist() and [g[2] for g in got] == core.tolist()
+
+
+def test_density_of_odd_tables(spark):
+    empty = spark.createDataFrame([], "id long, x array<double>")
+    assert clustering.density_labels(empty, "id", 0.5, 2).collect() == []
+    same = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(3)] + [(9, [5.0, 5.0])], "id long, x array<double>")
+    got = clustering.density_labels(same, "id", 0.5, 3)
+    assert sorted((r.id, r.cluster, r.is_core) for r in got.collect()) == [(0, 0, True), (1, 0, True), (2, 0, True), (9, -1, False)]
+    assert clustering.density_metrics(got) == {"k": 1, "n_noise": 1, "noise_ratio": 0.25, "silhouette": None}
+
+
+def test_groups_of_links():
+    rng = np.random.default_rng(75)
+    a, b = rng.integers(0, 200, (2, 120))
+    label = tiles.joined(tiles.joined(np.arange(200), a[:50], b[:50]), a[50:], b[50:])
+    want = np.arange(200)
+    for _ in range(200):
+        for i, j in zip(a, b):
+            want[i] = want[j] = min(want[i], want[j])
+    assert label.tolist() == want.tolist()
