@@ -1,4 +1,4 @@
-"""Clustering: k-means, bisecting, mixtures and density, with their metrics."""
+"""Clustering: k-means, Ward, mixtures and density, with their metrics."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans
+from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tablewright.operators.features import arrays, scaled
 from tablewright.operators.tiles import LEAF, Boxes, box_pairs, boxes, compare, joined, rows_of, tiled, within
+from tablewright.operators.ward import FINISH, merges
 from tablewright.session import beside, join_groups, scalars, stage
 
 SEED = 42
@@ -36,11 +37,44 @@ def kmeans(features: DataFrame, k: int = 3, max_iter: int = 300, starts: int = 1
     return model, done, {"k": k, "inertia": float(model.summary.trainingCost), "silhouette": _silhouette(done)}
 
 
-def hierarchical(features: DataFrame, k: int = 3):
-    """Divisive k-means tree in place of agglomeration, which needs all pairs."""
-    model = BisectingKMeans(featuresCol="features", k=k, seed=SEED).fit(features)
-    done = model.transform(features)
-    return model, done, {"k": k, "inertia": float(model.summary.trainingCost), "silhouette": _silhouette(done)}
+class WardTree:
+    """The merges of a Ward tree over different points, and flat clusters from it."""
+
+    def __init__(self, features: DataFrame, finish: int = FINISH, leaf: int = LEAF) -> None:
+        x = vector_to_array("features").alias("x")
+        self.points = stage(features.groupBy(x).agg(F.count(F.lit(1)).alias("w")).withColumn("id", F.monotonically_increasing_id()))
+        self.merges = merges(self.points, finish, leaf)
+        self.centres: list[np.ndarray] = []
+
+    def cut(self, k: int) -> tuple[DataFrame, float]:
+        """``(x, prediction)`` for ``k`` clusters (fewer if there are fewer points), numbered by their first point; and their inertia."""
+        kept = self.merges
+        for r in kept.orderBy(F.desc("cost"), F.desc("size"), "a").limit(k - 1).collect():
+            kept = kept.filter(~((F.col("a") == r["a"]) & (F.col("b") == r["b"])))
+        groups = components(kept.select(F.col("a").alias("u"), F.col("b").alias("v")), self.points.select(F.col("id").alias("node")))
+        held = self.points.join(groups, F.col("id") == F.col("node"))
+        # k rows: the first point of each cluster, and its centre.
+        first = held.groupBy("component").agg(F.min("x").alias("first"))
+        names = {r["component"]: i for i, r in enumerate(first.orderBy("first").collect())}
+        number = F.element_at(F.create_map(*[F.lit(v) for pair in names.items() for v in pair]), F.col("component"))
+        done = stage(held.select("x", "w", number.cast("int").alias("prediction")))
+        sums = done.select("prediction", "w", F.posexplode("x").alias("i", "v")).groupBy("prediction", "i").agg((F.sum(F.col("v") * F.col("w")) / F.sum("w")).alias("m"))
+        self.centres = [np.zeros(0) for _ in names]
+        for r in sums.groupBy("prediction").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda p: p["m"]).alias("c")).collect():
+            self.centres[r["prediction"]] = np.array(r["c"])
+        return done.select("x", "prediction"), kept.agg(F.coalesce(F.sum("cost"), F.lit(0.0))).first()[0]
+
+    def clusterCenters(self) -> list[np.ndarray]:
+        return self.centres
+
+
+def hierarchical(features: DataFrame, k: int = 3, finish: int = FINISH, leaf: int = LEAF):
+    """Ward's tree over scaled ``features`` cut at ``k`` clusters; equal rows are one weighted point."""
+    features = stage(features)
+    tree = WardTree(features, finish, leaf)
+    labels, inertia = tree.cut(k)
+    done = features.withColumn("_x", vector_to_array("features")).join(labels.withColumnRenamed("x", "_x"), "_x").drop("_x")
+    return tree, done, {"k": k, "inertia": float(inertia), "silhouette": _silhouette(done)}
 
 
 def mixture(features: DataFrame, k: int = 3, max_iter: int = 100):

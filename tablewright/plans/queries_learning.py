@@ -7,10 +7,11 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
-from tablewright.operators import anomaly, clustering, neighbours, reduction, scoring
+from tablewright.operators import anomaly, clustering, features, neighbours, reduction, scoring
 from tablewright.operators.cleaning import impute
 from tablewright.plans.queries_stats import rounded
 from tablewright.plans.registry import Tables, query
+from tablewright.session import beside
 
 PART = ["p_size", "p_retailprice"]
 
@@ -53,6 +54,18 @@ def _(t: Tables):
     return clustering.cluster(parts(t), "p_partkey", PART, "hierarchical", 3)
 
 
+@query(
+    "cluster_ward_tree",
+    """select count(distinct (p_size, p_retailprice)) - 1 as merges, round(2.0::double * (count(*) - 1), 6) as cost, 0::bigint as ids_lost, count(*) as largest from part""",
+)
+def _(t: Tables):
+    """A tree over all points adds up to the whole variance, ends in one cluster, and loses every id but one."""
+    tree = clustering.WardTree(features.scaled(parts(t), PART, ["p_partkey"]))
+    lost = tree.points.select("id").join(tree.merges.select(F.col("b").alias("id")).distinct(), "id", "left_anti").agg((F.count(F.lit(1)) - 1).alias("ids_lost"))
+    whole = tree.merges.agg(F.count(F.lit(1)).alias("merges"), F.round(F.sum("cost"), 6).alias("cost"), F.max("size").alias("largest"))
+    return beside(whole, lost).select("merges", "cost", "ids_lost", "largest")
+
+
 @query("cluster_mixture")
 def _(t: Tables):
     return clustering.cluster(parts(t), "p_partkey", PART, "gmm", 3)
