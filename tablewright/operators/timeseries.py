@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright.functions import probability
+from tablewright.operators import shocks
 from tablewright.operators.columns import present_double, quoted
 from tablewright.operators.outliers import flag
 from tablewright.operators.ranks import row_index
@@ -477,13 +478,15 @@ def stationarity(s: DataFrame, lags: int | None = None, by: Sequence[str] = (),
     return chosen.withColumn("p_value", p).withColumns(limits).withColumn("is_stationary", F.col("p_value") < 0.05)
 
 
-def arima(s: DataFrame, p: int = 1, d: int = 1, q: int = 1, steps: int = 10, by: Sequence[str] = ()) -> DataFrame:
-    """ARIMA(p, d, q) by two regressions (Hannan-Rissanen), with forecasts.
+def arima(s: DataFrame, p: int = 1, d: int = 1, q: int = 1, steps: int = 10, by: Sequence[str] = (), block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """ARIMA(p, d, q) by conditional likelihood, with forecasts.
 
-    A long autoregression gives the shocks; the model then regresses the
-    differenced series on its own and the shocks' lags. Both are covariance
-    aggregations over blocks, so the length of a series does not matter. Only
-    the last few values of each series enter the forecast recursion.
+    The parameters are those with the least squared shocks, given the first p
+    differenced values and zero shocks before them; :mod:`shocks` finds them over
+    blocks of rows, so a long series is many tasks. Two regressions (on a long
+    autoregression's residuals) say where to start. ``n`` counts the shocks; only
+    the last few values of each series enter the forecast recursion. A series too
+    short for the start has no forecast.
     """
     if p < 0 or d < 0 or q < 0 or p + q == 0:
         raise ValueError("p, d, q must not be negative and p + q must be positive")
@@ -500,7 +503,8 @@ def arima(s: DataFrame, p: int = 1, d: int = 1, q: int = 1, steps: int = 10, by:
         out = {f"z{j}": diff(d, j) for j in range(long + max(p, q) + 1)}
         return out | {f"y{j}": F.lag("y", j).over(w) for j in range(1, d)}
 
-    rows = stage(framed(base, differenced, reach, 0, one).filter(F.col("idx") >= d))
+    rows = stage(framed(base, differenced, reach, 0, one, block_rows).filter(F.col("idx") >= d))
+    whole = rows
     if q:
         stage1 = least_squares(rows, "z0", [f"z{j}" for j in range(1, long + 1)], one).select(
             *one, F.col("intercept").alias("_c"), F.col("coefficients").alias("_a")
@@ -513,18 +517,23 @@ def arima(s: DataFrame, p: int = 1, d: int = 1, q: int = 1, steps: int = 10, by:
 
         rows = rows.withColumns({f"e{j}": shock(j) for j in range(q + 1)}).drop("_c", "_a")
     terms = [f"z{j}" for j in range(1, p + 1)] + [f"e{j}" for j in range(1, q + 1)]
-    fit = least_squares(rows, "z0", terms, one)
-    keep = [F.col(f"z{j}") for j in range(max(p, 1))]
-    ends = rows.groupBy(*one).agg(
-        F.max_by(F.array(*keep), "idx").alias("recent"),
-        F.max_by(F.array(*([F.col(f"e{j}") for j in range(q)] or [F.lit(0.0)])), "idx").alias("shocks"),
+    # One text a series, null keys included.
+    named = F.to_json(F.struct(*[quoted(c) for c in one]), {"ignoreNullFields": "false"})
+    start = least_squares(rows, "z0", terms, one).filter("n > 0").select(*one, named.alias("s"), F.concat(F.array("intercept"), "coefficients").alias("beta"))
+    start = stage(start)
+    placed = whole.filter(F.col("idx") >= d + p).select(named.alias("s"), (F.col("idx") - d - p).alias("place"), F.array(*[F.col(f"z{j}") for j in range(p + 1)]).alias("z"))
+    found = shocks.fit(placed, start.select("s", "beta"), p, q, block_rows)
+    ends = whole.groupBy(*one).agg(
+        F.max_by(F.array(*[F.col(f"z{j}") for j in range(max(p, 1))]), "idx").alias("recent"),
         F.max_by(F.array("y", *[F.col(f"y{j}") for j in range(1, d)]), "idx").alias("tail"),
     )
-    model = match(fit, ends, list(one))
+    model = match(start.select(*one, "s").join(found.withColumnRenamed("recent", "shocks"), "s"), ends, list(one))
+    model = model.withColumns({"intercept": F.col("beta")[0], "coefficients": F.slice("beta", 2, p + q)})
     n, k = F.col("n").cast("double"), p + q + 1
     model = model.withColumns(
         {
             "sigma2": F.col("sse") / n,
+            "log_likelihood": -n / 2 * (F.log(F.lit(2 * math.pi) * F.col("sse") / n) + 1),
             "aic": n * (F.log(F.lit(2 * math.pi) * F.col("sse") / n) + 1) + 2.0 * (k + 1),
             "bic": n * (F.log(F.lit(2 * math.pi) * F.col("sse") / n) + 1) + F.log(n) * (k + 1),
             "rmse": F.sqrt(F.col("sse") / n),
@@ -568,11 +577,12 @@ def arima(s: DataFrame, p: int = 1, d: int = 1, q: int = 1, steps: int = 10, by:
         "n",
         "intercept",
         "coefficients",
+        "log_likelihood",
         "aic",
         "bic",
         "rmse",
         F.posexplode(F.arrays_zip("f.forecast", "f.lower", "f.upper")).alias("step", "v"),
-    ).select(*by, "n", "intercept", "coefficients", "aic", "bic", "rmse", (F.col("step") + 1).alias("step"), "v.*")
+    ).select(*by, "n", "intercept", "coefficients", "log_likelihood", "aic", "bic", "rmse", (F.col("step") + 1).alias("step"), "v.*")
 
 
 def seasonal_regression(s: DataFrame, steps: int = 30, by: Sequence[str] = (), weekly: int = 3, yearly: int = 3) -> DataFrame:

@@ -172,6 +172,19 @@ def _(t: Tables):
     return ts.arima(typed(t), 1, 1, 1, 7, ["event_type"])
 
 
+@query(
+    "forecast_autoregressive",
+    TYPED + """, z as (select event_type, idx, y - lag(y) over w as z, y from s window w as (partition by event_type order by idx)), l as (select *, lag(z) over (partition by event_type order by idx) as l from z),
+    f as (select event_type, count(*) as n, regr_slope(z, l) as phi, regr_intercept(z, l) as c, sqrt((regr_syy(z, l) - regr_sxy(z, l) ** 2 / regr_sxx(z, l)) / count(*)) as rmse, arg_max(z, idx) as z, arg_max(y, idx) as y from l where l is not null group by 1),
+    a as (select event_type, n, c, phi, rmse, [y + c + phi * z, c + phi * z] as v from f)
+    select event_type, n, round(c, 6) as intercept, round(phi, 6) as coefficient, round(n * (ln(2 * pi() * rmse ** 2) + 1) + 6, 6) as aic, round(rmse, 6) as rmse, round(v[1], 6) as forecast from a""",
+)
+def _(t: Tables):
+    """Without a moving-average part the conditional likelihood is a regression."""
+    out = ts.arima(typed(t), 1, 1, 0, 1, ["event_type"])
+    return rounded(out.select("event_type", "n", "intercept", F.col("coefficients")[0].alias("coefficient"), "aic", "rmse", "forecast"))
+
+
 @query("stationarity")
 def _(t: Tables):
     return ts.stationarity(typed(t), by=["event_type"])
