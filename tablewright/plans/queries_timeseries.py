@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tablewright.operators import breaks
 from tablewright.operators import timeseries as ts
 from tablewright.plans.queries_quality import quad_sql
 from tablewright.plans.queries_stats import rounded
@@ -192,7 +193,18 @@ def _(t: Tables):
 
 @query("forecast_seasonal")
 def _(t: Tables):
-    return ts.seasonal_regression(typed(t), 14, ["event_type"], weekly=2, yearly=1)
+    return ts.seasonal_regression(typed(t), 14, ["event_type"])
+
+
+@query("forecast_breaks")
+def _(t: Tables):
+    return breaks.forecast(t.orders.select("o_orderstatus", F.col("o_orderdate").alias("t"), F.col("o_totalprice").alias("y")), 14, ["o_orderstatus"])
+
+
+@query("forecast_breaks_optimum", "select o_orderstatus, count(*) as n, 0::bigint as violated from orders group by 1")
+def _(t: Tables):
+    """The fit of every series meets the conditions of the optimum, counted over all its rows."""
+    return breaks.optimality(t.orders.select("o_orderstatus", F.col("o_orderdate").alias("t"), F.col("o_totalprice").alias("y")), ["o_orderstatus"])
 
 
 @query("series_anomalies_zscore", "select event_id, value from events, (select avg(value) as m, stddev_pop(value) as s from events) where abs((value - m) / s) > 3")
