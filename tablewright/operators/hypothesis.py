@@ -104,6 +104,9 @@ def paired_t(df: DataFrame, a: str, b: str, alpha: float = ALPHA) -> DataFrame:
     return one_sample_t(df.select((present_double(df, a) - present_double(df, b)).alias("difference")), "difference", 0.0, alpha)
 
 
+#: Sizes up to which rank tests are exact where there are no ties.
+EXACT_GROUP, EXACT_CELLS, EXACT_PAIRS = 8, 100_000, 50
+
 # --- rank tests ------------------------------------------------------------------------
 
 
@@ -113,7 +116,12 @@ def _ties(n: Column) -> Column:
 
 
 def mann_whitney(df: DataFrame, column: str, group: str, alpha: float = ALPHA) -> DataFrame:
-    """Two-sided U test, normal approximation with tie and continuity correction."""
+    """Two-sided U test.
+
+    Without ties and with a group of at most ``EXACT_GROUP`` rows the p-value is
+    exact (up to ``EXACT_CELLS`` pairs of rows, where the normal one is as good);
+    else the normal approximation with tie and continuity correction.
+    """
     counts = (
         df.select(quoted(group).alias("g"), present_double(df, column).alias("value"))
         .filter("g IS NOT NULL AND value IS NOT NULL")
@@ -144,8 +152,11 @@ def mann_whitney(df: DataFrame, column: str, group: str, alpha: float = ALPHA) -
     n = n_a + n_b
     spread = F.sqrt(n_a * n_b / 12.0 * ((n + 1) - F.try_divide(F.col("t"), n * (n - 1))))
     larger = F.greatest(F.col("statistic"), n_a * n_b - F.col("statistic"))
-    row = row.withColumn("z", F.try_divide(larger - n_a * n_b / 2.0 - 0.5, spread)).drop("t")
-    return _judged(row, F.least(F.lit(1.0), probability.normal_p_value(F.greatest(F.col("z"), F.lit(0.0)))), alpha)
+    small = (F.col("t") == 0) & (F.least(n_a, n_b) <= EXACT_GROUP) & (n_a * n_b <= EXACT_CELLS)
+    exact = probability.u_p_value(F.when(small, F.col("statistic")), n_a, n_b)
+    row = row.withColumn("z", F.try_divide(larger - n_a * n_b / 2.0 - 0.5, spread)).withColumn("_exact", exact).drop("t")
+    near = F.least(F.lit(1.0), probability.normal_p_value(F.greatest(F.col("z"), F.lit(0.0))))
+    return _judged(row, F.coalesce("_exact", near), alpha).drop("_exact")
 
 
 def mann_whitney_columns(df: DataFrame, a: str, b: str, alpha: float = ALPHA) -> DataFrame:
@@ -162,7 +173,10 @@ def mann_whitney_columns(df: DataFrame, a: str, b: str, alpha: float = ALPHA) ->
 
 
 def wilcoxon(df: DataFrame, column: str, value: float = 0.0, alpha: float = ALPHA) -> DataFrame:
-    """Signed-rank test against a value; zero differences are dropped."""
+    """Signed-rank test against a value; zero differences are dropped.
+
+    Exact for up to ``EXACT_PAIRS`` differences without ties, else the normal approximation.
+    """
     d = df.select((present_double(df, column) - value).alias("d")).filter("d IS NOT NULL AND d <> 0")
     counts = d.groupBy(F.abs("d").alias("value")).agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("d") > 0).alias("up")
@@ -182,8 +196,10 @@ def wilcoxon(df: DataFrame, column: str, value: float = 0.0, alpha: float = ALPH
         "t",
     )
     spread = F.sqrt((n * (n + 1) * (2 * n + 1) - F.col("t") / 2.0) / 24.0)
-    row = row.withColumn("z", F.try_divide(F.col("statistic") - n * (n + 1) / 4.0, spread)).drop("t")
-    return _judged(row, probability.normal_p_value(F.col("z")), alpha)
+    small = (F.col("t") == 0) & (n <= EXACT_PAIRS) & (n > 0)
+    row = row.withColumn("z", F.try_divide(F.col("statistic") - n * (n + 1) / 4.0, spread))
+    row = row.withColumn("_exact", probability.signed_rank_p_value(F.when(small, F.col("w_plus")), n)).drop("t")
+    return _judged(row, F.coalesce("_exact", probability.normal_p_value(F.col("z"))), alpha).drop("_exact")
 
 
 def kruskal_wallis(df: DataFrame, column: str, group: str, alpha: float = ALPHA) -> DataFrame:
@@ -364,17 +380,18 @@ def ab_test(df: DataFrame, group: str, metric: str, test: str = "t_test", level:
 
 
 def power(row: DataFrame, alpha: float = ALPHA, wanted: float = 0.8) -> DataFrame:
-    """Power reached and sample size needed per group, from A/B statistics rows."""
+    """Power of the two-sided t test and sample size needed per group, from A/B statistics rows.
+
+    Both by the noncentral t distribution; without an effect no size is enough (null).
+    """
     d = F.abs("cohens_d")
     reach = d * F.sqrt(F.col("n_a") * F.col("n_b") / (F.col("n_a") + F.col("n_b")))
-    z_alpha = probability.normal_quantile(1 - alpha / 2)
-    z_power = probability.normal_quantile(wanted)
     return row.select(
         "group_a",
         "group_b",
         "cohens_d",
-        probability.normal_cdf_of(reach - z_alpha).alias("power"),
-        F.ceil(2 * F.pow(F.try_divide(F.lit(z_alpha + z_power), d), 2)).alias("needed_per_group"),
+        probability.t_power_of(reach, (F.col("n_a") + F.col("n_b") - 2).cast("double"), F.lit(alpha)).alias("power"),
+        F.nanvl(probability.t_needed_of(d, F.lit(alpha), F.lit(wanted)), F.lit(None)).cast("long").alias("needed_per_group"),
     )
 
 

@@ -317,18 +317,46 @@ def _(t: Tables):
     return _ab_shown(h.ab_test(ab(t), "g", "v", "mann_whitney"))
 
 
+# Power at (n_a, n_b): the chance that a normal variable around the noncentrality exceeds the limit times the pooled deviation, over that deviation's density.
+_PHI = "(0.5 + ({x}) * sum(case when j in (0, 200) then 1 when j % 2 = 1 then 4 else 2 end * exp(-0.5 * pow(({x}) * j / 200.0, 2))) / 600 / sqrt(2 * pi()))"
+_POWER = f"""
+    with b as (select n_a, n_b, (mean_b - mean_a) / pooled_std as d from ({_TWO} select * from j)),
+    sizes as (select 0 as given, n_a::double as m, n_b::double as n, d from b union all select 1, k, k, d from (select ceil(2 * (({_Z} + 0.8416212335729143) / d) ** 2) + step as k, d from b, range(-2, 5) r(step)) where k >= 2),
+    p as (select *, m + n - 2 as df, abs(d) * sqrt(m * n / (m + n)) as shift from sizes), c as (select *, {_Q} as lim from p),
+    s as (select *, case when i in (0, 200) then 1 when i % 2 = 1 then 4 else 2 end as w, 1 + (i - 100) * 0.09 / sqrt(2 * df) as s from c, range(0, 201) g(i)),
+    h as (select given, m, n, d, w * exp((df - 1) * ln(s) - df * (s * s - 1) / 2) as f, {_PHI.format(x='shift - lim * s')} + {_PHI.format(x='-shift - lim * s')} as reject from s, range(0, 201) g(j) group by given, m, n, d, df, w, s, shift, lim),
+    r as (select given, m, n, d, sum(f * reject) / sum(f) as power from h group by given, m, n, d)
+"""
+
+
 @query(
     "ab_power",
-    f"""
-    with b as (select n_a, n_b, (mean_b - mean_a) / pooled_std as d from ({_TWO} select * from j)), r as (select *, abs(d) * sqrt(n_a * n_b / (n_a + n_b)::double) - {_Z} as x from b),
-    q as (select {_integral('exp(-(@) * (@) / 2)', '(-14.0)', 'x')} / 3 / {_GRID} / sqrt(2 * pi()) as power from r, range(0, {_GRID + 1}) g(i))
-    select 'click' as group_a, 'view' as group_b, round(d, 6) as cohens_d, round(power, 6) as power, ceil(2 * (({_Z} + 0.8416212335729143) / abs(d)) ** 2)::bigint as needed_per_group from r, q
-    """,
+    _POWER + """select 'click' as group_a, 'view' as group_b, round(d, 6) as cohens_d, round(power, 6) as power, (select min(m) from r where given = 1 and power >= 0.8)::bigint as needed_per_group from r where given = 0""",
 )
 def _(t: Tables):
     return rounded(h.power(h.ab_statistics(ab(t), "g", "v")))
 
 
+@query(
+    "rank_tests_exact",
+    """
+    with v as (select n_nationkey, any_value(n_regionkey) = 0 as first, avg(c_acctbal) as v from customer join nation on c_nationkey = n_nationkey group by 1), x as (select *, row_number() over (order by v) as r from v),
+    one as (select sum(r) filter (where first) - 15 as stat, count(*) filter (where first) * count(*) filter (where not first) as most, count(*) as n from x), i as (select unnest(range(1, n + 1)) as r from one),
+    all_u as (select a.r + b.r + c.r + d.r + e.r - 15 as stat from i a join i b on b.r > a.r join i c on c.r > b.r join i d on d.r > c.r join i e on e.r > d.r),
+    m as (select event_type, avg(value) - 245 as d from events group by 1), d as (select d, row_number() over (order by abs(d)) as r from m), two as (select coalesce(sum(r) filter (where d > 0), 0) as stat, count(*) as n from d),
+    all_w as (select coalesce(list_sum(list_filter(range(1, n + 1), lambda k: ((s >> (k - 1)::int) & 1) = 1)), 0) as stat from two, range(0, 1024) b(s) where s < 1 << n::int)
+    select 'mann_whitney' as test, round(least(1, 2 * avg((all_u.stat <= least(one.stat, most - one.stat))::int)), 9) as p_value from all_u, one
+    union all select 'wilcoxon', round(least(1, 2 * avg((all_w.stat <= least(two.stat, n * (n + 1) / 2 - two.stat))::int)), 9) from all_w, two
+    """,
+)
+def _(t: Tables):
+    """Means of whole tables are few values without ties: the nations of one region against the others, and event types against a value."""
+    nations = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_nationkey", "n_regionkey").agg(F.avg("c_acctbal").alias("v"))
+    types = t.events.groupBy("event_type").agg(F.avg("value").alias("v"))
+    both = {"mann_whitney": h.mann_whitney(nations.withColumn("g", F.col("n_regionkey") == 0), "v", "g"), "wilcoxon": h.wilcoxon(types, "v", 245.0)}
+    return reduce(DataFrame.unionByName, [df.select(F.lit(n).alias("test"), F.round("p_value", 9).alias("p_value")) for n, df in both.items()])
+
+
 _RUNS = {
     "one_sample": "t_one_sample", "two_sample": "t_two_sample", "mann_whitney": "mann_whitney", "wilcoxon": "wilcoxon",
     "kruskal_wallis": "kruskal_wallis", "anova": "anova_one_way", "chi_square": "chi_square_independence", "pearson": "pearson_test",
