@@ -8,6 +8,7 @@ fitted from bounded samples or summed statistics; scoring is one pass.
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -15,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tablewright.functions.probability import gamma_tail
 from tablewright.operators.columns import numeric_columns
 from tablewright.operators.features import arrays, batch_sums, covariance, matrix, scaled, width
 from tablewright.operators.outliers import anomaly_stats, compare_methods, row_zscore, vote, vote_summary
@@ -120,16 +122,99 @@ def isolation_forest(df: DataFrame, key: str, columns: Sequence[str] | None = No
 # --- robust covariance -----------------------------------------------------------------------
 
 
-def elliptic_envelope(df: DataFrame, key: str, columns: Sequence[str] | None = None, contamination: float = 0.1, steps: int = 5) -> DataFrame:
-    """Mahalanobis distance from a centre and covariance of the closest half.
+def _local_ellipses(x: np.ndarray, share: float, starts: int, tries: int = 200) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Centres and covariances of the best concentrated random starts on a sample."""
+    rng, (n, d) = np.random.default_rng(SEED), x.shape
+    held = min(n, max(d + 1, math.ceil(share * n)))
 
-    Each concentration step keeps the rows nearest to the current ellipse and
-    fits it again: one quantile and one moment pass per step.
+    def concentrated(mean: np.ndarray, cov: np.ndarray, steps: int) -> tuple[float, np.ndarray, np.ndarray]:
+        for _ in range(steps):
+            diff = x - mean
+            near = x[np.argsort(np.einsum("ij,jk,ik->i", diff, np.linalg.pinv(cov, hermitian=True), diff), kind="stable")[:held]]
+            mean, cov = near.mean(axis=0), np.cov(near.T, bias=True).reshape(d, d)
+        return np.linalg.slogdet(cov)[1], mean, cov
+
+    found = []
+    for _ in range(tries if n > d + 1 else 0):
+        few = x[rng.choice(n, d + 1, replace=False)]
+        found.append(concentrated(few.mean(axis=0), np.cov(few.T, bias=True).reshape(d, d), 2))
+    best = sorted(found, key=lambda f: f[0])[:starts]
+    return [concentrated(mean, cov, 20)[1:] for _, mean, cov in best]
+
+
+def robust_ellipse(points: DataFrame, d: int, starts: int = 10, steps: int = 30, sample: int = 600) -> tuple[np.ndarray, np.ndarray, float]:
+    """Centre, covariance and its log determinant of the half of staged ``points`` (x) that lies closest together.
+
+    Starts come from a sample of ``sample`` rows by hash, and one is the ellipse
+    of all rows. All of them concentrate together: one scan measures every row
+    from every start, one exact quantile pass finds each start's closest half,
+    and one sums their moments. A step never enlarges a determinant; after two of
+    them the two best starts go on until nothing moves, beside the one of all rows.
     """
-    points = stage(_points(df, key, columns))
-    d = width(points)
     n, mean, cov = covariance(points, d)
     share = min(1.0, max((n + d + 1) / 2 / n, 0.5))
+    rows = matrix(pd.Series([r["x"] for r in points.select("x").orderBy(F.xxhash64("x"), "x").limit(sample).collect()]))
+    now = [(mean, cov), *_local_ellipses(rows, share, starts)]
+    last = [math.inf] * len(now)
+    size = 1 + d + d * d
+    for step in range(steps):
+        inverses = [np.linalg.pinv(c, hermitian=True) for _, c in now]
+        centres = [m for m, _ in now]
+
+        @F.pandas_udf("array<double>")
+        def far(x: pd.Series) -> pd.Series:
+            if not len(x):
+                return pd.Series([], dtype=object)
+            data = matrix(x)
+            return pd.Series(list(np.stack([np.einsum("ij,jk,ik->i", data - m, i, data - m) for m, i in zip(centres, inverses)], axis=1)))  # noqa: B023
+
+        names = [f"d{k}" for k in range(len(now))]
+        seen = stage(points.select("x", far("x").alias("far")).select("x", *[F.col("far")[k].alias(c) for k, c in enumerate(names)]))
+        row = with_quantiles(seen, names, (share,)).first()
+        limits = np.array([row[f"q_{c}"][0] for c in names])
+
+        def moments(frame: pd.DataFrame) -> np.ndarray:
+            data, out = matrix(frame["x"]), []
+            for c, limit in zip(names, limits):  # noqa: B023
+                own = data[frame[c].to_numpy() <= limit]
+                out.append(np.concatenate([[len(own)], own.sum(axis=0), (own.T @ own).ravel()]))
+            return np.concatenate(out)
+
+        total = batch_sums(seen, moments, size * len(now)).reshape(len(now), size)
+        now, found = [], []
+        for sums in total:
+            mean = sums[1 : 1 + d] / sums[0]
+            cov = sums[1 + d :].reshape(d, d) / sums[0] - np.outer(mean, mean)
+            now.append((mean, cov))
+            found.append(float(np.linalg.slogdet(cov)[1]))
+        if step == 1:
+            keep = [0, *sorted(range(1, len(now)), key=lambda k: found[k])[:2]]
+            now, found, last = [now[k] for k in keep], [found[k] for k in keep], [last[k] for k in keep]
+        if all(not math.isfinite(f) or p - f < 1e-9 for p, f in zip(last, found)):
+            break
+        last = found
+    best = min(range(len(now)), key=lambda k: found[k])
+    return *now[best], found[best]
+
+
+def _chi2_upper(tail: float, df: float) -> float:
+    low, high = 0.0, df + 200.0
+    for _ in range(200):
+        middle = (low + high) / 2
+        low, high = (middle, high) if gamma_tail(df / 2, middle / 2) > tail else (low, middle)
+    return low
+
+
+def elliptic_envelope(df: DataFrame, key: str, columns: Sequence[str] | None = None, contamination: float = 0.1, steps: int = 30) -> DataFrame:
+    """Mahalanobis distance from a centre and covariance that strange rows do not pull.
+
+    The closest half by :func:`robust_ellipse`, widened so that its median
+    distance is that of a normal distribution, tells which rows are regular (all
+    but 2.5 % of a normal one); the ellipse of those rows measures all. With no
+    ``steps`` it is the ellipse of all rows.
+    """
+    points = stage(_points(df, key, columns))
+    d = width(points)
 
     def distances(mean: np.ndarray, cov: np.ndarray) -> DataFrame:
         inverse = np.linalg.pinv(cov, hermitian=True)
@@ -141,14 +226,16 @@ def elliptic_envelope(df: DataFrame, key: str, columns: Sequence[str] | None = N
 
         return points.select(key, "x", far("x").alias("score"))
 
-    for _ in range(steps):
-        ranked = stage(distances(mean, cov))
-        limit = with_quantiles(ranked.select("score"), ["score"], (share,))
-        closest = attach(ranked, limit).filter(F.col("score") <= F.col("_s.q_score")[0])
-        before = np.linalg.slogdet(cov)[1]
-        _, mean, cov = covariance(closest.select("x"), d)
-        if abs(before - np.linalg.slogdet(cov)[1]) < 1e-9:
-            break
+    if steps:
+        mean, cov, _ = robust_ellipse(points.select("x"), d, steps=steps)
+        seen = stage(distances(mean, cov))
+        middle = with_quantiles(seen.select("score"), ["score"], (0.5,)).first()["q_score"][0]
+        widened = middle / _chi2_upper(0.5, d)
+        regular = seen.filter(F.col("score") < _chi2_upper(0.025, d) * widened)
+        if widened > 0:
+            _, mean, cov = covariance(regular.select("x"), d)
+    else:
+        _, mean, cov = covariance(points, d)
     return cut(stage(distances(mean, cov).select(key, "score")), key, contamination)
 
 
