@@ -438,13 +438,14 @@ def stationarity(s: DataFrame, lags: int | None = None, by: Sequence[str] = (),
     The change of y is regressed on its last level and last changes; with
     ``lags`` unset the number of changes is the one with the lowest AIC among
     0..max_lags over the rows that have them all; ``max_lags`` unset is 12 times
-    the fourth root of a hundredth of the series' length (the shortest series
-    decides), and at most what leaves the regression rows to spare.
+    the fourth root of a hundredth of the series' own length, and at most what
+    leaves the regression rows to spare.
     """
-    if lags is None and max_lags is None:
-        sizes = s.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.min("n")).first()[0] or 0
-        max_lags = max(0, min(math.ceil(12.0 * (sizes / 100.0) ** 0.25), sizes // 2 - 2))
-    most = max_lags if lags is None else lags
+    n = F.count(F.lit(1))
+    own = F.greatest(F.lit(0), F.least(F.ceil(12.0 * F.pow(n / 100.0, 0.25)), F.floor(n / 2) - 2))
+    fixed = max_lags if lags is None else lags
+    limits = stage(s.groupBy(*by).agg((own if fixed is None else F.lit(fixed)).cast("int").alias("_most")))
+    most = limits.agg(F.max("_most")).first()[0] or 0
 
     def shift(w):
         out = {"dy": F.col("y") - F.lag("y", 1).over(w), "level": F.lag("y", 1).over(w)}
@@ -453,10 +454,11 @@ def stationarity(s: DataFrame, lags: int | None = None, by: Sequence[str] = (),
         return out
 
     rows = framed(s, shift, most + 1, 0, by)
-    rows = rows.dropna(subset=["dy", "level", *[f"d{j}" for j in range(1, most + 1)]])
+    rows = join_groups(rows, limits, list(by)) if by else rows.withColumn("_most", F.lit(most))
+    rows = rows.filter(F.col("idx") > F.col("_most"))
     best = None
     for j in [lags] if lags is not None else range(most + 1):
-        fit = least_squares(rows, "dy", ["level", *[f"d{i}" for i in range(1, j + 1)]], by)
+        fit = least_squares(rows.filter(F.col("_most") >= j), "dy", ["level", *[f"d{i}" for i in range(1, j + 1)]], by)
         n = F.col("n").cast("double")
         part = fit.select(
             *by,

@@ -110,6 +110,16 @@ def test_stationarity_tells_noise_from_walk(spark):
     assert got == {"noise": True, "walk": False}
 
 
+def test_lags_of_a_series_are_its_own(spark):
+    """A short series beside a long one does not change the long one's lags or rows."""
+    rng = np.random.default_rng(4)
+    rows = [("long", i, i, float(v)) for i, v in enumerate(rng.normal(size=200))]
+    short = [("short", i, i, float(v)) for i, v in enumerate(rng.normal(size=8))]
+    pick = lambda rows: [tuple(r) for r in ts.stationarity(spark.createDataFrame(rows, "k string, t long, idx long, y double"), by=["k"]).filter("k = 'long'").select("n", "lags", "statistic").collect()]
+    alone, beside = pick(rows), pick(rows + short)
+    assert alone[0][:2] == beside[0][:2] and alone[0][2] == pytest.approx(beside[0][2]) and alone[0][0] == 200 - 15 - 1
+
+
 @pytest.mark.parametrize("minutes", [0.5, 3, 200])
 def test_cooldown_across_partitions(spark, minutes):
     rng = np.random.default_rng(9)
