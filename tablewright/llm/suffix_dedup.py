@@ -2,13 +2,17 @@
 
 A string of ``length`` bytes is judged by its anchor: of its grams of ``GRAM``
 bytes the one with the least hash. Equal strings have equal grams at equal
-places, so only suffixes that start at anchors (about one byte in 33) need to be
+places, so only suffixes around anchors (about one byte in 33) need to be
 compared, and of these only those whose gram occurs more than once. Their
-contexts are dealt by sampled splitters over the leading bytes of the suffix, so
-that equal grams meet. Each bucket is sorted by multikey quicksort (eight bytes
-a digit); neighbours that share their gram compare the strings around it, and
-all but the first occurrence of a string are marked. A bucket's last group is
-carried over from batch to batch, so no border falls between equal grams.
+contexts are dealt by sampled splitters over the leading bytes of the anchored
+suffix, so that equal grams meet.
+
+A bucket arrives sorted by gram and context; equal contexts collapse to their
+first place as they stream by, across batches too. What is left of a gram is
+sorted, for each distance of a string's start from its anchor, by multikey
+quicksort (eight bytes a digit). Suffixes that are tied after ``length`` bytes
+are equal strings, and all of them but the earliest are marked; nothing is
+matched by hash in a bucket.
 
 Texts move twice: to hand out the contexts of repeated grams, and to take the
 marked bytes out. Equal contexts within a worker's slice collapse beforehand, so
@@ -39,6 +43,8 @@ HELD_BYTES = 16 << 20
 #: Low bits of a packed anchor: windows before it and windows in all, seven bits each.
 _BITS = 7
 _NO_ID = -(2**63)
+_PLACE = ("_id", "_row", "_tag", "start")
+_SPAN = "_row long, _tag long, start long, end long"
 _POWER = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_POWER, -1, 2**64)
 
@@ -62,10 +68,6 @@ class RollingHash:
             np.cumsum(spread[data] * _powers(n, _INVERSE), out=self.total[1:])
             self.power = _powers(n, _POWER)
 
-    def at(self, starts: np.ndarray, length: int) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            return mixed((self.total[starts + length] - self.total[starts]) * self.power[starts])
-
     def all(self, length: int) -> np.ndarray:
         n = len(self.total) - length
         with np.errstate(over="ignore"):
@@ -109,22 +111,24 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tupl
 
 
 def _identity(docs: DataFrame) -> DataFrame:
-    """_id (doc_id, null below all), _tag (18 bits of the text's hash) and _t (bytes) of each row."""
+    """_id (doc_id, null below all), _row and _tag (82 bits of doc_id and text, the row's key) and _t (bytes) of each row."""
     text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
+    known = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID))
     return docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("_id"),
-        F.pmod(F.xxhash64(text), F.lit(2**18)).alias("_tag"),
+        known.alias("_id"),
+        F.xxhash64(known, text).alias("_row"),
+        F.pmod(F.hash(text), F.lit(2**18)).cast("long").alias("_tag"),
         text.alias("_t"),
     )
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "_t", 4 << 20):
-        h, d, first, at, count = anchors(*flat_bytes(batch.column(2)))
-        tag = batch.column(1).to_numpy(zero_copy_only=False)[d]
+        h, d, first, at, count = anchors(*flat_bytes(batch.column(3)))
+        tag = batch.column(2).to_numpy(zero_copy_only=False)[d]
         packed = ((tag << 31 | at) << _BITS | (at - first)) << _BITS | (count - 1)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(h.view(np.int64)), batch.column(0).take(pa.array(d)), pa.array(packed)], ["h", "_id", "packed"]
+            [pa.array(h.view(np.int64)), batch.column(1).take(pa.array(d)), pa.array(packed)], ["h", "_row", "packed"]
         )
 
 
@@ -155,10 +159,10 @@ def repeated_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def repeated_anchors(rows: DataFrame) -> DataFrame:
-    """_id and packed of the anchors whose gram hash occurs more than once."""
+    """_row and packed of the anchors whose gram hash occurs more than once."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartition(parts, "h").sortWithinPartitions("h")
-    return dealt.mapInArrow(repeated_runs, "_id long, packed long")
+    return dealt.mapInArrow(repeated_runs, "_row long, packed long")
 
 
 def _splitters(docs: DataFrame, buckets: int) -> np.ndarray:
@@ -166,7 +170,7 @@ def _splitters(docs: DataFrame, buckets: int) -> np.ndarray:
 
     def leads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_t"):
-            data, offsets = flat_bytes(batch.column(2))
+            data, offsets = flat_bytes(batch.column(3))
             h, d, _, at, _ = anchors(data, offsets)
             order = np.lexsort((h, d))  # the least hashes of each text: a sample that depends on content only
             rank = np.arange(len(d)) - np.searchsorted(d[order], d[order])
@@ -174,16 +178,16 @@ def _splitters(docs: DataFrame, buckets: int) -> np.ndarray:
             lead = _leads(data, offsets[d[pick]] + at[pick])
             yield pa.RecordBatch.from_arrays([pa.array((lead >> np.uint64(1)).astype(np.int64))], ["lead"])
 
-    sample = docs.orderBy(F.xxhash64("_id", "_tag"), "_id").limit(SPLIT_DOCS)
+    sample = docs.orderBy("_row", "_tag").limit(SPLIT_DOCS)
     found = np.sort(np.array([r[0] for r in sample.mapInArrow(leads, "lead long").collect()], dtype=np.uint64))
     if not len(found):
         return np.zeros(0, dtype=np.uint64)
     return np.unique(found[(np.arange(1, buckets) * len(found)) // buckets])
 
 
-def _leads(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+def _leads(data: np.ndarray, at: np.ndarray, width: int = 8) -> np.ndarray:
     out = np.zeros(len(at), dtype=np.uint64)
-    for k in range(8):
+    for k in range(width):
         out = out << np.uint64(8) | data[at + k].astype(np.uint64)
     return out
 
@@ -191,25 +195,30 @@ def _leads(data: np.ndarray, at: np.ndarray) -> np.ndarray:
 def _context_maker(splitters: np.ndarray, length: int):
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_t"):
-            ids, tags = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            raws = [t.as_buffer().to_pybytes() for t in batch.column(2)]
+            ids, rows, tags = (batch.column(c).to_pylist() for c in range(3))
+            raws = [t.as_buffer().to_pybytes() for t in batch.column(3)]
             first: dict[tuple[int, bytes], tuple[int, int, int, int]] = {}
-            gone: list[tuple[int, int, int, int]] = []
+            level: list[tuple[tuple[int, bytes], tuple[int, int, int, int]]] = []  # other rows at the first one's place
+            gone: list[tuple[int, int, int, int, int]] = []
             for doc in sorted(range(len(ids)), key=ids.__getitem__):
-                raw, me, tag = raws[doc], ids[doc], tags[doc]
-                for packed in sorted(set(batch.column(3)[doc].as_py())):
+                raw, me, row, tag = raws[doc], ids[doc], rows[doc], tags[doc]
+                for packed in sorted(set(batch.column(4)[doc].as_py())):
                     count = (packed & 127) + 1
                     before = packed >> _BITS & 127
                     at = packed >> 2 * _BITS & (2**31 - 1)
                     start = at - before
                     end = start + count - 1 + length
                     key = (before, raw[start:end])
-                    seen = first.setdefault(key, (me, tag, start, count))
-                    if (seen[0], seen[2]) < (me, start):
-                        if gone and gone[-1][:2] == (me, tag) and start <= gone[-1][3]:
-                            start = gone.pop()[2]  # anchors ascend: what overlaps is one stretch
-                        gone.append((me, tag, start, end))
-            keys, places = list(first), list(first.values())
+                    place = (me, row, tag, start)
+                    seen = first.setdefault(key, place)
+                    if (seen[0], seen[3]) < (me, start):
+                        if gone and gone[-1][:3] == (me, row, tag) and gone[-1][3] <= start <= gone[-1][4]:
+                            start = gone.pop()[3]  # anchors ascend: what overlaps is one stretch
+                        gone.append((me, row, tag, start, end))
+                    elif seen != place:
+                        level.append((key, place))
+            keys = [*first, *(k for k, _ in level)]
+            places = [*first.values(), *(p for _, p in level)]
             lead = np.array([int.from_bytes(c[b : b + 8], "big") for b, c in keys], dtype=np.uint64)
             bucket = np.searchsorted(splitters, lead >> np.uint64(1), side="right")
             n, m = len(keys), len(gone)
@@ -220,122 +229,147 @@ def _context_maker(splitters: np.ndarray, length: int):
                     pa.array(np.concatenate([bucket, spread]).astype(np.int32)),
                     pa.array([c for _, c in keys] + [None] * m, pa.binary()),
                     pa.array([b for b, _ in keys] + [None] * m, pa.int32()),
-                    long(0),
-                    long(1),
-                    long(2),
-                    pa.array([None] * n + [g[3] for g in gone], pa.int64()),
+                    *(long(i) for i in range(4)),
+                    pa.array([None] * n + [g[4] for g in gone], pa.int64()),
                 ],
-                ["bucket", "context", "before", "_id", "_tag", "start", "end"],
+                ["bucket", "context", "before", *_PLACE, "end"],
             )
 
     return contexts
 
 
-def multikey_sort(strings: list[bytes]) -> np.ndarray:
-    """Order of the strings, digit by digit: only what is still tied looks at the next eight bytes."""
-    n = len(strings)
-    width = max(map(len, strings), default=0)
-    width += -width % 8
-    table = np.frombuffer(b"".join(s.ljust(width, b"\0") for s in strings), dtype=">u8").reshape(n, -1).astype(np.uint64)
-    order, group = np.arange(n), np.zeros(n, dtype=np.int64)
-    tied = np.arange(n)  # positions in ``order`` whose place is still open
-    for digit in range(table.shape[1]):
-        if len(tied) < 2:
+def multikey_sort(data: np.ndarray, at: np.ndarray, group: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the suffixes data[at:] within each group, and for each place the first place it is tied with.
+
+    ``group`` ascends. Digit by digit, only what is still tied looks at the next
+    eight bytes, and only groups that differ there are moved; after ``length``
+    bytes tied suffixes are equal strings.
+    """
+    n = len(at)
+    order, head = np.arange(n), np.arange(n)
+    if not n:
+        return order, head
+    new = np.ones(n, dtype=bool)
+    new[1:] = group[1:] != group[:-1]
+    head = np.maximum.accumulate(np.where(new, head, 0))
+    tied = np.flatnonzero(~(new & np.append(new[1:], True)))
+    for digit in range(0, length, 8):
+        if not len(tied):
             break
-        value = table[order[tied], digit]
-        inner = np.lexsort((value, group[tied]))
-        order[tied] = order[tied][inner]
-        value, g = value[inner], group[tied]
-        new = np.ones(len(tied), dtype=bool)
-        new[1:] = (g[1:] != g[:-1]) | (value[1:] != value[:-1])
-        group[tied] = tied[np.maximum.accumulate(np.where(new, np.arange(len(tied)), 0))]
-        last = np.concatenate([new[1:], [True]])
-        tied = tied[~(new & last)]
-    return order
-
-
-def marked_windows(contexts: list[bytes], ids: np.ndarray, starts: np.ndarray, length: int) -> Iterator[tuple[int, int, int]]:
-    """(context, first window, one past the last) of the strings that occur earlier among the contexts.
-
-    Strings are matched by their hashes in document order, and every match is
-    then compared byte by byte, neighbouring windows together.
+        value = _leads(data, at[order[tied]] + digit, min(8, length - digit))
+        h = head[tied]
+        fresh = np.ones(len(tied), dtype=bool)
+        fresh[1:] = h[1:] != h[:-1]
+        number = np.cumsum(fresh) - 1
+        differs = np.zeros(number[-1] + 1, dtype=bool)
+        differs[number[1:][(value[1:] != value[:-1]) & ~fresh[1:]]] = True
+        move = np.flatnonzero(differs[number])
+        if not len(move):
+            continue
+        inner = move[np.lexsort((value[move], h[move]))]
+        order[tied[move]] = order[tied[inner]]
+        value[move] = value[inner]
+        fresh[1:] |= value[1:] != value[:-1]
+        head[tied] = tied[np.maximum.accumulate(np.where(fresh, np.arange(len(tied)), 0))]
+        tied = tied[~(fresh & np.append(fresh[1:], True))]
+    return order, head
+
+
+def marked_windows(
+    data: np.ndarray, offsets: np.ndarray, before: np.ndarray, group: np.ndarray, ids: np.ndarray, starts: np.ndarray, length: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Context, first string and one past the last of the strings that occur earlier among the contexts.
+
+    Strings start up to ``length - GRAM`` bytes before their anchor. Equal ones
+    have their anchor at one place, so each distance is a sort of its own, with
+    at most one string of a context.
     """
-    order = np.lexsort((starts, ids))
-    data = np.frombuffer(b"".join(contexts[i] for i in order), dtype=np.uint8)
-    sizes = np.array([len(contexts[i]) for i in order], dtype=np.int64)
-    base = np.cumsum(sizes) - sizes
-    windows = sizes - length + 1
-    owner = np.repeat(np.arange(len(order)), windows)
-    step = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
-    at = base[owner] + step
-    hashes = RollingHash(data, 5).at(at, length)
-    rank = np.argsort(hashes, kind="stable")
-    sorted_hash = hashes[rank]
-    head = np.ones(len(rank), dtype=bool)
-    head[1:] = sorted_hash[1:] != sorted_hash[:-1]
-    first = np.empty(len(rank), dtype=np.int64)
-    first[rank] = rank[np.maximum.accumulate(np.where(head, np.arange(len(rank)), 0))]
-    me_id, me_start = ids[order][owner], starts[order][owner] + step
-    earlier = (me_id[first] < me_id) | (me_id[first] == me_id) & (me_start[first] < me_start)
-    hit = np.flatnonzero((first != np.arange(len(rank))) & earlier)
-    if not len(hit):
-        return
-    run = np.ones(len(hit), dtype=bool)
-    run[1:] = (hit[1:] != hit[:-1] + 1) | (owner[hit[1:]] != owner[hit[:-1]]) | (at[first[hit[1:]]] != at[first[hit[:-1]]] + 1)
-    heads = np.flatnonzero(run)
-    lengths = np.diff(np.concatenate([heads, [len(hit)]]))
-    raw = data.tobytes()
-    for h, n in zip(heads.tolist(), lengths.tolist()):
-        w = int(hit[h])
-        mine, other, size = int(at[w]), int(at[first[w]]), n - 1 + length
-        if raw[mine : mine + size] == raw[other : other + size]:
-            yield int(order[owner[w]]), int(step[w]), int(step[w]) + n
-        else:  # a hash stands for different strings: look at each window by itself
-            known: dict[bytes, int] = {}
-            for x in range(len(at)):
-                known.setdefault(raw[at[x] : at[x] + length], x)
-            for x in hit[h : h + n].tolist():
-                y = known[raw[at[x] : at[x] + length]]
-                if (me_id[y], me_start[y]) < (me_id[x], me_start[x]):
-                    yield int(order[owner[x]]), int(step[x]), int(step[x]) + 1
+    counts = np.diff(offsets) - length + 1
+    hits = []
+    for distance in range(int(before.max(initial=-1)) + 1):
+        step = before - distance
+        own = np.flatnonzero((step >= 0) & (step < counts))
+        order, head = multikey_sort(data, offsets[own] + step[own], group[own], length)
+        tied = np.flatnonzero(np.bincount(head, minlength=len(own))[head] > 1) if len(own) else head
+        if not len(tied):
+            continue
+        c = own[order[tied]]
+        i, at = ids[c], starts[c] + step[c]
+        by_place = np.lexsort((at, i, head[tied]))
+        c, i, at, h = c[by_place], i[by_place], at[by_place], head[tied]
+        first = np.searchsorted(h, h)
+        later = (i[first] < i) | (at[first] < at)  # sorted: a larger id, or the same one and a later start
+        hits.append(c[later] << 8 | step[c[later]])
+    found = np.sort(np.concatenate(hits)) if hits else np.zeros(0, dtype=np.int64)
+    cut = np.ones(len(found), dtype=bool)
+    cut[1:] = np.diff(found) != 1
+    heads, ends = np.flatnonzero(cut), np.flatnonzero(np.append(cut[1:], True)[: len(found)])
+    return found[heads] >> 8, found[heads] & 255, (found[ends] & 255) + 1
 
 
 def _bucket_worker(length: int, held_bytes: int):
-    def compare(rows: pa.Table) -> pa.RecordBatch | None:
-        grams = rows.column("gram").to_pylist()
-        contexts, before = rows.column("context").to_pylist(), rows.column("before").to_pylist()
-        ids, tags, starts = (rows.column(c).to_numpy() for c in ("_id", "_tag", "start"))
-        order = multikey_sort([c[b : b + length] for c, b in zip(contexts, before)])
-        share = np.array([False] + [grams[x] == grams[y] for x, y in zip(order[:-1].tolist(), order[1:].tolist())])
-        near = share.copy()
-        near[:-1] |= share[1:]
-        live = order[near]  # suffixes whose neighbour has the same gram
-        if not len(live):
-            return None
-        found = [(ids[live[c]], tags[live[c]], starts[live[c]] + s, starts[live[c]] + e - 1 + length) for c, s, e in marked_windows([contexts[i] for i in live], ids[live], starts[live], length)]
-        if not found:
-            return None
-        return pa.RecordBatch.from_arrays([pa.array(np.array(x, dtype=np.int64)) for x in zip(*found)], ["_id", "_tag", "start", "end"])
+    names = [*_PLACE[1:], "end", "id", "context"]
 
-    def spans(out: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([*out.columns, pa.nulls(out.num_rows, pa.binary())], ["_id", "_tag", "start", "end", "context"])
+    def spans(row, tag, start, end) -> pa.RecordBatch:
+        n = len(start)
+        columns = [pa.array(np.asarray(x), pa.int64()) for x in (row, tag, start, end)]
+        return pa.RecordBatch.from_arrays([*columns, pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], names)
 
     def whole(rows: pa.RecordBatch) -> pa.RecordBatch:
         """Contexts of a gram that has too many for one task."""
-        return rows.select(["_id", "_tag", "start", "end", "context"])
+        columns = [rows.column(c) for c in (*_PLACE[1:], "end", "_id", "context")]
+        return pa.RecordBatch.from_arrays(columns, names)
+
+    def changes(column: pa.Array) -> np.ndarray:
+        """Which rows differ from the one before; the first does."""
+        out = np.ones(len(column), dtype=bool)
+        out[1:] = pc.not_equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False)
+        return out
+
+    def compare(rows: pa.Table) -> pa.RecordBatch | None:
+        rows = rows.combine_chunks()
+        gram = np.cumsum(changes(rows.column("gram").chunk(0)))
+        alone = np.bincount(gram)[gram] < 2
+        if alone.any():
+            rows, gram = rows.filter(pa.array(~alone)).combine_chunks(), gram[~alone]
+        if not rows.num_rows:
+            return None
+        row, tag, ids, starts = (rows.column(c).to_numpy() for c in ("_row", "_tag", "_id", "start"))
+        data, offsets = flat_bytes(rows.column("context").chunk(0))
+        before = rows.column("before").to_numpy().astype(np.int64)
+        c, first, last = marked_windows(data, offsets, before, gram, ids, starts, length)
+        return spans(row[c], tag[c], starts[c] + first, starts[c] + last - 1 + length) if len(c) else None
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         size = 0
         goes_on = None  # a gram whose contexts are handed on
+        same: tuple | None = None  # the context that came last, and its first place
         for batch in batches:
-            marked = batch.column(batch.schema.get_field_index("end")).is_valid()
+            marked = batch.column("end").is_valid()
             done = batch.filter(marked)
             if done.num_rows:
-                yield spans(done.select(["_id", "_tag", "start", "end"]))
+                yield spans(*(done.column(c) for c in ("_row", "_tag", "start", "end")))
             batch = batch.filter(pc.invert(marked))
+            if not batch.num_rows:
+                continue
+            # equal contexts follow each other, the earliest first
+            ids, starts = batch.column("_id").to_numpy(), batch.column("start").to_numpy()
+            new = changes(batch.column("context")) | changes(batch.column("before"))
+            place = np.maximum.accumulate(np.where(new, np.arange(len(ids)), 0))
+            first_id, first_start = ids[place], starts[place]
+            key = lambda k: (batch.column("context")[k].as_py(), batch.column("before")[k].as_py())
+            if same is not None and same[0] == key(0):
+                first_id, first_start = np.where(place == 0, same[1], first_id), np.where(place == 0, same[2], first_start)
+            same = (key(len(ids) - 1), first_id[-1], first_start[-1])
+            again = (ids > first_id) | (ids == first_id) & (starts > first_start)
+            if again.any():
+                twice = batch.filter(pa.array(again))
+                end = starts[again] + pc.binary_length(twice.column("context")).to_numpy()
+                yield spans(twice.column("_row"), twice.column("_tag"), starts[again], end)
+                batch = batch.filter(pa.array(~again))
             if goes_on is not None and batch.num_rows:
-                more = pc.equal(batch.column(batch.schema.get_field_index("gram")), pa.scalar(goes_on, pa.binary()))
+                more = pc.equal(batch.column("gram"), pa.scalar(goes_on, pa.binary()))
                 if (rest := batch.filter(more)).num_rows:
                     yield whole(rest)
                 batch = batch.filter(pc.invert(more))
@@ -347,33 +381,36 @@ def _bucket_worker(length: int, held_bytes: int):
             if size < held_bytes:
                 continue
             rows = pa.Table.from_batches(held)
-            last = rows.column("gram")[-1].as_py()
-            grams = rows.column("gram").to_pylist()
-            cut = grams.index(last)  # sorted by gram: the last group may go on
+            last = rows.column("gram")[-1]
+            cut = pc.index(rows.column("gram"), last).as_py()  # sorted by gram: the last group may go on
             if cut:
                 if (out := compare(rows.slice(0, cut))) is not None:
-                    yield spans(out)
+                    yield out
                 held = rows.slice(cut).combine_chunks().to_batches()
                 size = sum(b.nbytes for b in held)
             else:
                 for b in held:
                     yield whole(b)
-                held, size, goes_on = [], 0, last
+                held, size, goes_on = [], 0, last.as_py()
         if held and (out := compare(pa.Table.from_batches(held))) is not None:
-            yield spans(out)
+            yield out
 
     return work
 
 
 def _window_rows(length: int):
-    """Of each context every string of ``length`` bytes, and where it stands."""
+    """Of each context the 128-bit digest of every string of ``length`` bytes, and where it stands."""
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in (batch.slice(k, 2000) for k in range(0, batch.num_rows, 2000)):
-                found = [(raw[s : s + length], i, t, at + s) for i, t, at, raw in zip(*(c.to_pylist() for c in part.columns)) for s in range(len(raw) - length + 1)]
-                w, i, t, at = zip(*found)
-                yield pa.RecordBatch.from_arrays([pa.array(w, pa.binary()), *[pa.array(x, pa.int64()) for x in (i, t, at)]], ["w", "_id", "_tag", "start"])
+                raws = part.column(4).to_pylist()
+                counts = np.array([len(raw) - length + 1 for raw in raws])
+                w = [hashlib.blake2b(raw[s : s + length], digest_size=16).digest() for raw, n in zip(raws, counts.tolist()) for s in range(n)]
+                owner = np.repeat(np.arange(len(raws)), counts)
+                step = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+                id_, row, tag, start = (part.column(c).take(pa.array(owner)) for c in range(4))
+                yield pa.RecordBatch.from_arrays([pa.array(w, pa.binary()), id_, row, tag, pc.add(start, pa.array(step))], ["w", *_PLACE])
 
     return windows
 
@@ -405,33 +442,35 @@ def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, held_bytes: int = HELD_BYTES) -> DataFrame:
-    """_id, _tag, start, end of bytes covered by a string of ``length`` that starts earlier; spans may overlap."""
+    """_row, _tag, start, end of bytes covered by a string of ``length`` that starts earlier; spans may overlap."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = _identity(docs)
-    repeated = staged(repeated_anchors(rows.mapInArrow(_anchor_rows, "h long, _id long, packed long")), "anchors")
+    repeated = staged(repeated_anchors(rows.mapInArrow(_anchor_rows, "h long, _row long, packed long")), "anchors")
     release(spark)
     tag_of = F.shiftright("packed", 31 + 2 * _BITS)
-    per_doc = repeated.groupBy("_id", tag_of.alias("_tag")).agg(F.collect_list("packed").alias("_anchors"))  # one document's
+    per_doc = repeated.groupBy("_row", tag_of.alias("_tag")).agg(F.collect_list("packed").alias("_anchors"))  # one document's
     splitters = _splitters(rows, 4 * parts)
-    with_anchors = rows.join(per_doc, ["_id", "_tag"]).select("_id", "_tag", "_t", "_anchors")
+    with_anchors = rows.join(per_doc, ["_row", "_tag"]).select("_id", "_row", "_tag", "_t", "_anchors")
     contexts = with_anchors.mapInArrow(
-        _context_maker(splitters, length), "bucket int, context binary, before int, _id long, _tag long, start long, end long"
+        _context_maker(splitters, length), "bucket int, context binary, before int, _id long, _row long, _tag long, start long, end long"
     )
     gram = F.expr(f"substring(context, before + 1, {GRAM})")
-    dealt = contexts.repartition(parts, "bucket").withColumn("gram", gram).sortWithinPartitions("gram").drop("bucket")
-    out = staged(dealt.mapInArrow(_bucket_worker(length, held_bytes), "_id long, _tag long, start long, end long, context binary"), "repeats")
+    dealt = contexts.repartition(parts, "bucket").withColumn("gram", gram).drop("bucket")
+    dealt = dealt.sortWithinPartitions("gram", "context", "before", "_id", "start")
+    out = staged(dealt.mapInArrow(_bucket_worker(length, held_bytes), _SPAN + ", id long, context binary"), "repeats")
     release(spark)
-    return out.filter("context is null").drop("context").union(_hot_spans(out.filter("context is not null"), length))
+    hot = out.filter("context is not null").select(F.col("id").alias("_id"), "_row", "_tag", "start", "context")
+    return out.filter("context is null").drop("id", "context").union(_hot_spans(hot, length))
 
 
 def _hot_spans(contexts: DataFrame, length: int) -> DataFrame:
-    """The spans of grams with too many contexts: their strings meet by their bytes, and a string's first place is a minimum."""
-    made = contexts.select("_id", "_tag", "start", "context").mapInArrow(_window_rows(length), "w binary, _id long, _tag long, start long")
+    """The spans of grams with too many contexts: their strings meet by their digests, and a string's first place is a minimum."""
+    made = contexts.mapInArrow(_window_rows(length), "w binary, _id long, _row long, _tag long, start long")
     strings = staged(made, "strings")
     first = strings.groupBy("w").agg(F.min(F.struct("_id", "start")).alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
-    later = spread_join(strings, "w", F.struct("_id", "start"), first).filter(F.struct("_id", "start") > F.col("_first"))
-    return later.select("_id", "_tag", "start", (F.col("start") + length).alias("end"))
+    later = spread_join(strings, "w", F.struct("_row", "start"), first).filter(F.struct("_id", "start") > F.col("_first"))
+    return later.select("_row", "_tag", "start", (F.col("start") + length).alias("end"))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, held_bytes: int = HELD_BYTES) -> DataFrame:
@@ -440,13 +479,15 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, held_bytes: int = HELD
     Every byte covered by a string of ``length`` bytes that also starts earlier
     (in a smaller doc_id, or earlier in the document) is removed, judged on the
     input. Null texts are empty. A null doc_id is below all others. Rows that
-    repeat a doc_id stand at one place in the order, so at equal starts neither
-    is earlier. An empty table gives no rows; other columns are ignored.
+    share a doc_id, with equal texts or different ones, stand at one place in
+    the order: at equal starts neither is earlier. A text is held whole by one
+    task, with some 60 bytes for each of its own. An empty table gives no rows;
+    other columns are ignored.
     """
     if not GRAM < length <= GRAM + 127:
         raise ValueError(f"length must lie between {GRAM + 1} and {GRAM + 127}")
-    spans = repeated_spans(docs, length, held_bytes).groupBy("_id", "_tag").agg(F.collect_list(F.struct("start", "end")).alias("_marks"))
-    rows = _identity(docs).join(spans, ["_id", "_tag"], "left").select("_id", "_t", "_marks")
+    spans = repeated_spans(docs, length, held_bytes).groupBy("_row", "_tag").agg(F.collect_list(F.struct("start", "end")).alias("_marks"))
+    rows = _identity(docs).join(spans, ["_row", "_tag"], "left").select("_id", "_t", "_marks")
     out = rows.mapInArrow(_clean, "_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     doc_id: Column = F.when(F.col("_id") != _NO_ID, F.col("_id"))
     return out.select(doc_id.alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")

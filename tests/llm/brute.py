@@ -101,3 +101,23 @@ def repeats(rows, length=100):
         spans = sum(1 for i, g in enumerate(gone) if g and not (i and gone[i - 1]))
         out[d] = (len(b), sum(gone), spans, hashlib.sha256(kept).hexdigest())
     return out
+
+
+def repeats_of_rows(rows, length=100):
+    """rows: (doc_id or None, text), ids may repeat -> sorted (doc_id, n_bytes, n_removed, n_spans, sha)."""
+    texts = [(-(2**63) if d is None else d, (t or "").encode()) for d, t in rows]
+    first = {}
+    for d, b in texts:
+        for i in range(len(b) - length + 1):
+            s = b[i : i + length]
+            first[s] = min(first.get(s, (d, i)), (d, i))
+    out = []
+    for (d, b), (doc_id, _) in zip(texts, rows):
+        gone = bytearray(len(b))
+        for i in range(len(b) - length + 1):
+            if first[b[i : i + length]] < (d, i):
+                gone[i : i + length] = b"\1" * length
+        kept = bytes(x for x, g in zip(b, gone) if not g)
+        spans = sum(1 for i, g in enumerate(gone) if g and not (i and gone[i - 1]))
+        out.append((doc_id, len(b), sum(gone), spans, hashlib.sha256(kept).hexdigest()))
+    return sorted(out, key=str)

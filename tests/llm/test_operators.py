@@ -213,19 +213,46 @@ def test_suffix(docs, rows):
 
 def test_multikey_sort():
     rng = random.Random(5)
-    strings = [bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 40))) for _ in range(500)]
-    order = suffix_dedup.multikey_sort(strings)
-    padded = [strings[i].ljust(40, b"\0") for i in order]
-    assert padded == sorted(s.ljust(40, b"\0") for s in strings)
-
-
-def test_hash_collisions_fall_back_to_bytes(monkeypatch):
-    contexts = [b"a" * 110, b"b" * 110, b"a" * 110]
-    ids, starts = np.array([1, 2, 3]), np.array([0, 0, 0])
-    want = {(c, w) for c, s, e in suffix_dedup.marked_windows(contexts, ids, starts, 100) for w in range(s, e)}
-    monkeypatch.setattr(suffix_dedup.RollingHash, "at", lambda self, at, length: np.zeros(len(at), np.uint64))
-    got = {(c, w) for c, s, e in suffix_dedup.marked_windows(contexts, ids, starts, 100) for w in range(s, e)}
-    assert got == want
+    data = np.frombuffer(bytes(rng.choice(b"ab") for _ in range(4_000)), dtype=np.uint8)
+    raw = data.tobytes()
+    for length in (5, 8, 13, 40):
+        at = np.array([rng.randint(0, 3_900) for _ in range(600)])
+        group = np.sort(np.array([rng.randint(0, 3) for _ in at]))
+        order, head = suffix_dedup.multikey_sort(data, at, group, length)
+        found = [(group[i], raw[at[i] : at[i] + length]) for i in order]
+        assert found == sorted((g, raw[x : x + length]) for g, x in zip(group, at))
+        assert [found.index(f) for f in found] == head.tolist()
+
+
+@pytest.mark.parametrize("partitions", [1, 4])
+def test_suffix_of_rows_that_share_an_id(spark, partitions):
+    """One id, or none, on rows with different texts, wherever the rows lie; equal rows; a repeat within a text."""
+    rng = random.Random(61)
+    shared, other = words(rng, 160), words(rng, 60)
+    rows = [(1, shared), *[(5, shared + words(rng, 40 + k)) for k in range(4)], *[(None, other + words(rng, 30)) for _ in range(3)]]
+    rows += [(7, words(rng, 20) + other + other), (7, words(rng, 20) + other + other[:200]), (7, shared[100:]), (7, shared[100:]), (8, words(rng, 9) + shared[5:])]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        for held_bytes in (1, suffix_dedup.HELD_BYTES):
+            docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(partitions, "text")
+            got = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(docs, held_bytes=held_bytes).collect()]
+            assert sorted(got, key=str) == brute.repeats_of_rows(rows)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_suffix_order_decides():
+    """Equal strings scattered over a group of contexts become neighbours by the sort alone."""
+    rng = random.Random(62)
+    texts = [bytes(rng.choice(b"abc") for _ in range(110)) for _ in range(40)]
+    contexts = [texts[rng.randint(0, 39)] for _ in range(200)]
+    data = np.frombuffer(b"".join(contexts), dtype=np.uint8)
+    offsets, ids = np.arange(201) * 110, np.arange(200)
+    group, starts, before = np.zeros(200, dtype=np.int64), np.zeros(200, dtype=np.int64), np.full(200, 10)
+    c, first, last = suffix_dedup.marked_windows(data, offsets, before, group, ids, starts, 100)
+    assert set(zip(first.tolist(), last.tolist())) == {(0, 11)}
+    assert sorted(c.tolist()) == [k for k in range(200) if contexts[k] in contexts[:k]]
 
 
 def test_passages(docs, rows):
@@ -474,7 +501,7 @@ def test_suffix_of_a_gram_with_many_contexts(spark):
 def test_suffix_hands_on_what_one_task_cannot_hold():
     import pyarrow as pa
 
-    batch = pa.RecordBatch.from_pylist([{"context": bytes([k]) * 120, "before": 0, "_id": k, "_tag": 0, "start": 0, "end": None, "gram": b"g"} for k in range(200)], pa.schema([("context", pa.binary()), ("before", pa.int32()), ("_id", pa.int64()), ("_tag", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("gram", pa.binary())]))
+    batch = pa.RecordBatch.from_pylist([{"context": bytes([k]) * 120, "before": 0, "_id": k, "_row": k, "_tag": 0, "start": 0, "end": None, "gram": b"g"} for k in range(200)], pa.schema([("context", pa.binary()), ("before", pa.int32()), ("_id", pa.int64()), ("_row", pa.int64()), ("_tag", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("gram", pa.binary())]))
     out = list(suffix_dedup._bucket_worker(100, 10_000)(batch.slice(k, 20) for k in range(0, 200, 20)))
     assert sum(b.num_rows for b in out) == 200 and max(b.num_rows for b in out) < 100
 
