@@ -1,10 +1,12 @@
 """Secrets: fixed patterns, and strings that a tokenizer finds hard to spell.
 
 A byte-pair vocabulary spells words, names and paths with several characters a
-token, but random strings with few. A string of enough letters and digits whose
-characters per token stay below a limit is taken for a random secret, unless it
-is a known digest (hexadecimal, of a hash function's length) or an identifier
-(UUID, number, date, address, file name).
+token, but random strings with few. Every run of a key's alphabet is tested once
+what is known has been set aside: UUIDs, digests (hexadecimal, of a hash
+function's length), numbers, and words in one case. What stands between the
+outermost unknown segments of a run is taken for a random secret if its
+characters per token stay below a limit; so is a single segment, or the whole
+run, that does. A path before a key therefore does not hide it.
 """
 
 from __future__ import annotations
@@ -29,13 +31,19 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 MIN_VALUE, MIN_ACCESS = 6, 20
 KEYWORD_STEMS = ("passw", "secret", "token", "api")
 
-#: A candidate: so many characters of a key's alphabet that hold a letter and a digit.
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}(?![A-Za-z0-9+/_=-])")
+#: A candidate: so many characters of a key's alphabet, digits or not.
+MIN_RANDOM = 12
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % MIN_RANDOM)
 CHARS_PER_TOKEN = 2.2
 
+#: Long strings are spelled in blocks of so many characters, as merging takes more than linear time.
+BLOCK = 4096
+
 DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)
 _DIGEST = re.compile(r"[0-9a-f]+|[0-9A-F]+")
-_IDENTIFIER = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[0-9+/_=-]+|([A-Za-z]+|[0-9]+)([_/-]([A-Za-z]+|[0-9]+))*=?")
+_UUID = re.compile(r"(?<![0-9a-fA-F])[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}(?![0-9a-fA-F])")
+_WORD = re.compile(r"[0-9]+|[a-z]+|[A-Z]+|[A-Z][a-z]+")
+_SEGMENT = re.compile(r"[A-Za-z0-9]+")
 
 
 def _vocabulary(path: str):
@@ -48,8 +56,12 @@ def _vocabulary(path: str):
 
 
 def is_known(value: str) -> bool:
-    """A digest or an identifier, which are not secrets however random they look."""
-    return bool(_DIGEST.fullmatch(value) and len(value) in DIGEST_LENGTHS or _IDENTIFIER.fullmatch(value))
+    """UUIDs, digests, and words and numbers between separators: no secrets however random they look."""
+    return all(_known_segment(x) for x in _SEGMENT.findall(_UUID.sub("-", value)))
+
+
+def _known_segment(value: str) -> bool:
+    return bool(_WORD.fullmatch(value) or len(value) in DIGEST_LENGTHS and _DIGEST.fullmatch(value))
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -66,12 +78,29 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def random_spans(text: str, vocabulary, limit: float = CHARS_PER_TOKEN) -> list[tuple[int, int]]:
     """(start, end) of candidates that take more tokens than their length explains."""
+
+    def hard(start: int, end: int) -> bool:
+        if end - start < MIN_RANDOM:
+            return False
+        tokens = sum(len(vocabulary.encode_ordinary(text[k : min(k + BLOCK, end)])) for k in range(start, end, BLOCK))
+        return end - start < limit * tokens
+
     out = []
     for m in CANDIDATE.finditer(text):
-        value = m[0]
-        if any(c.isdigit() for c in value) and any(c.isalpha() for c in value) and not is_known(value):
-            if len(value) < limit * len(vocabulary.encode_ordinary(value)):
-                out.append(m.span())
+        start = m.start()
+        for end, after in [*(u.span() for u in _UUID.finditer(text, *m.span())), (m.end(), m.end())]:
+            unknown = [x.span() for x in _SEGMENT.finditer(text, start, end) if not _known_segment(x[0])]
+            if unknown:
+                last = unknown[-1][1]
+                while last < end and text[last] == "=":  # padding belongs to its key
+                    last += 1
+                if hard(unknown[0][0], last):
+                    out.append((unknown[0][0], last))
+                elif single := [x for x in unknown if hard(*x)]:
+                    out += single
+                elif hard(start, end):
+                    out.append((start, end))
+            start = after
     return out
 
 
@@ -101,7 +130,9 @@ def secret_spans(docs: DataFrame, vocabulary_path: str | None = None, limit: flo
     """One row per row of ``docs``: doc_id, n_assign, n_access, n_hex, base_sha256, spans.
 
     Spans are kind:start:end in code points by start, then kind; ``random`` is
-    the kind of those that only the tokenizer shows. Null texts count as empty
+    the kind of those that the tokenizer shows. They have ``MIN_RANDOM``
+    characters or more; random strings of small letters alone, or of capitals
+    alone, look like words and are left. Null texts count as empty
     and have none; rows that repeat are scanned each; an empty table gives no
     rows; other columns are ignored.
     """

@@ -188,9 +188,30 @@ def test_secrets(docs, rows):
 
 def test_secret_exclusions():
     assert secret_scan.is_known("d41d8cd98f00b204e9800998ecf8427e") and secret_scan.is_known("123e4567-e89b-12d3-a456-426614174000")
+    assert secret_scan.is_known("/services/account/2024-05-17/Settings") and secret_scan.is_known("/x/123e4567-e89b-12d3-a456-426614174000/y")
     assert not secret_scan.is_known("Ab3dE5fG7hJ9kL1mN3pQ5rS7")
 
 
+def test_random_strings_of_any_make(spark):
+    """Short keys, keys of letters alone, keys behind paths; and none where nothing is random."""
+    import string
+
+    rng = random.Random(71)
+    both = string.ascii_letters + string.digits
+    makes = [("", both, 12), ("", both, 16), ("", both, 19), ("", string.ascii_letters, 24), ("/services/account/settings/", both, 24), ("/users/documents/reports/archive/", both, 24)]
+    keys = [(prefix, "".join(rng.choice(letters) for _ in range(n))) for prefix, letters, n in makes for _ in range(200)]
+    lead = "The report is here: "
+    rows = [(i, f"{lead}{prefix}{key} and more") for i, (prefix, key) in enumerate(keys)]
+    plain = ["/usr/local/share/applications/settings", "getElementByIdentifier setAttributeNames", "2024-05-17/2024-05-18", "d41d8cd98f00b204e9800998ecf8427e", "id=123e4567-e89b-12d3-a456-426614174000", "donaudampfschifffahrt INTERNATIONALISATION", words(rng, 400), "----------------====", None, ""]
+    rows += [(10_000 + i, t) for i, t in enumerate(plain)]
+    spans = {r.doc_id: [x for x in r.spans.split(",") if x.startswith("random")] for r in secret_scan.secret_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k in range(len(makes)):
+        mine = range(200 * k, 200 * k + 200)
+        found = [i for i in mine if spans[i] == [f"random:{len(lead) + len(keys[i][0])}:{len(lead) + len(keys[i][0] + keys[i][1])}"]]
+        assert len(found) >= 190, makes[k]
+    assert not any(spans[10_000 + i] for i in range(len(plain)))
+
+
 def test_rules(docs, rows):
     text = dict(rows)
     for r in quality_rules.judged(docs).collect():
