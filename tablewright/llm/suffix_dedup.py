@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewright.llm.common import flat_bytes, mixed, release, slices, spread_join, staged
@@ -441,13 +441,19 @@ def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _release_all(spark: SparkSession) -> None:
+    """Release the shuffles of the job that ran last, too: Spark holds on to its plan until another job has run."""
+    spark.range(1).collect()
+    release(spark)
+
+
 def repeated_spans(docs: DataFrame, length: int = LENGTH, held_bytes: int = HELD_BYTES) -> DataFrame:
     """_row, _tag, start, end of bytes covered by a string of ``length`` that starts earlier; spans may overlap."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = _identity(docs)
     repeated = staged(repeated_anchors(rows.mapInArrow(_anchor_rows, "h long, _row long, packed long")), "anchors")
-    release(spark)
+    _release_all(spark)
     tag_of = F.shiftright("packed", 31 + 2 * _BITS)
     per_doc = repeated.groupBy("_row", tag_of.alias("_tag")).agg(F.collect_list("packed").alias("_anchors"))  # one document's
     splitters = _splitters(rows, 4 * parts)
@@ -459,7 +465,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, held_bytes: int = HELD
     dealt = contexts.repartition(parts, "bucket").withColumn("gram", gram).drop("bucket")
     dealt = dealt.sortWithinPartitions("gram", "context", "before", "_id", "start")
     out = staged(dealt.mapInArrow(_bucket_worker(length, held_bytes), _SPAN + ", id long, context binary"), "repeats")
-    release(spark)
+    _release_all(spark)
     hot = out.filter("context is not null").select(F.col("id").alias("_id"), "_row", "_tag", "start", "context")
     return out.filter("context is null").drop("id", "context").union(_hot_spans(hot, length))
 
