@@ -140,9 +140,9 @@ def _(t: Tables):
 
 @query(
     "chart_density",
-    """with b as (select count(value) as n, stddev_samp(value) as s, min(value) as lo, max(value) as hi from events), c as (select least(floor((value - lo) / ((hi - lo) / 2000)), 1999) as cell, count(*) as c, avg(value) as m from events, b group by 1),
+    """with b as (select count(value) as n, stddev_samp(value) as s, min(value) as lo, max(value) as hi from events),
     g as (select i, lo + (hi - lo) * i / 49 as x, s * n ** -0.2::double as bw, n from b, range(50) r(i))
-    select i::int as i, round(any_value(x), 6) as x, round(sum(c * exp(-0.5::double * power((x - m) / bw, 2))) / (any_value(n) * any_value(bw) * sqrt(2 * pi())), 8) as density from g, c group by i""",
+    select i::int as i, round(any_value(x), 6) as x, round(sum(exp(-0.5::double * power((x - value) / bw, 2))) / (any_value(n) * any_value(bw) * sqrt(2 * pi())), 8) as density from g, events where value is not null group by i""",
 )
 def _(t: Tables):
     out = charts.density(t.events, "value", 50)

@@ -118,3 +118,20 @@ def test_cleaning_pipeline(spark, basic):
 def test_label_encoding_with_missing(spark):
     df = spark.createDataFrame([("b",), (None,), ("a",)], "s string")
     assert sorted(r[0] for r in cleaning.encode_labels(df).collect()) == [0, 1, 2]
+
+
+def test_density_stays_within_its_error(spark):
+    """Against the sum over all rows: two heaps, a far point, nulls; and columns without spread."""
+    rng = np.random.default_rng(3)
+    v = np.concatenate([rng.normal(0, 1, 400), rng.normal(30, 0.2, 300), [500.0]])
+    df = spark.createDataFrame([(float(x),) for x in v] + [(None,)], "v double")
+    bw = v.std(ddof=1) * len(v) ** -0.2
+    for error in (1e-2, 1e-6, 1e-12):
+        got = charts.density(df, "v", 60, error).orderBy("i").toPandas()
+        assert got.i.tolist() == list(range(60))
+        want = np.exp(-0.5 * ((got.x.to_numpy()[:, None] - v) / bw) ** 2).mean(axis=1)
+        assert np.abs(got.density * bw * np.sqrt(2 * np.pi) - want).max() <= error + 1e-14
+    for rows in ([(4.0,)] * 3, [(4.0,)]):
+        flat = charts.density(spark.createDataFrame(rows, "v double"), "v", 5).toPandas()
+        assert len(flat) == 5 and flat.density.isna().all()
+    assert charts.density(df.limit(0), "v", 5).count() == 0
