@@ -5,7 +5,9 @@ it runs dry. A copy's virtual finish time is its source's cumulative words
 divided by the source's target; served in that order, the sources keep their
 weights at every moment, and all reach their targets at virtual time 1. The
 copies are range-sorted by finish time over the whole corpus and cut off at the
-total budget; a copy in service at that moment is taken in part.
+total budget, the sum of the targets in whole words. A long document would let
+its source overshoot, so a copy is served in packets that end with the slices of
+virtual time, and the budget may end inside it.
 """
 
 from __future__ import annotations
@@ -71,7 +73,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     the mix at which the document first comes (null if it never does). Null
     texts have size 0, null sources are a source of their own, and rows that
     repeat a doc_id are documents of their own. The shuffle is by a digest of
-    ``seed`` and doc_id, so reruns agree. Extra columns are ignored.
+    ``seed`` and doc_id, so reruns agree. Extra columns are ignored; an empty
+    table gives an empty mix. A text of any length is one row of numbers.
     """
     sized = staged(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
     key = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
@@ -92,27 +95,33 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
         .drop("_source", "_b", "_start", "_upto", "_key")
     )
     queued = staged(queued, "queues")
-    # Each round through a source is one more copy of its documents; one in service when the budget ends finishes there.
+    # Each round through a source is one more copy of its documents, whole: only the budget cuts.
     rounds = int(-(-limit // 1))
-    served = queued.select("*", F.explode(F.array(*[F.lit(k) for k in range(rounds)])).alias("_round"))
-    start = F.col("_before") + F.col("_round") * F.col("source_size")
-    copies = (
-        served.withColumn("_from", F.floor(F.least(start.cast("double"), F.col("target"))).cast("long"))
-        .withColumn("_to", F.floor(F.least((start + F.col("size")).cast("double"), F.col("target"))).cast("long"))
+    served = queued.filter("size > 0 and target > 0").select("*", F.explode(F.array(*[F.lit(k) for k in range(rounds)])).alias("_round"))
+    slices = F.lit(float(SLICES))
+    slice_of = lambda word: F.least(F.floor(word * slices / F.col("target")), F.lit(2 * SLICES)).cast("int")
+    word_of = lambda k: F.floor(k * F.col("target") / slices).cast("long")
+    # A copy is served in packets that end where a slice of virtual time ends; all past time 2 is one slice.
+    packets = (
+        served.withColumn("_a", F.col("_before") + F.col("_round") * F.col("source_size"))
+        .withColumn("_b", F.col("_a") + F.col("size"))
+        .withColumn("_slice", F.explode(F.sequence(F.greatest(slice_of(F.col("_a")) - 1, F.lit(0)), F.least(slice_of(F.col("_b")) + 1, F.lit(2 * SLICES)))))
+        .withColumn("_from", F.greatest("_a", word_of(F.col("_slice"))))
+        .withColumn("_to", F.when(F.col("_slice") == 2 * SLICES, F.col("_b")).otherwise(F.least("_b", word_of(F.col("_slice") + 1))))
         .filter("_to > _from")
-        .select("source", "_bucket", "_n", "_round", (F.col("_to") - F.col("_from")).alias("_words"), (F.col("_to") / F.col("target")).alias("_finish"))
+        .select("source", "_bucket", "_n", "_round", "_slice", (F.col("_to") - F.col("_from")).alias("_words"), (F.col("_to") / F.col("target")).alias("_finish"))
     )
-    # The global range sort: equal slices of virtual time hold about equal words.
-    sliced = copies.withColumn("_slice", F.least(F.floor(F.col("_finish") * SLICES), F.lit(SLICES - 1)).cast("int"))
-    whole = sliced.groupBy("_slice").agg(F.sum("_words").alias("_w"))
+    # The global range sort: words before each slice, then finish times inside it. Slices past the budget need no order.
+    whole = packets.groupBy("_slice").agg(F.sum("_words").alias("_w"))
     first = whole.select("_slice", F.coalesce(F.sum("_w").over(Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+    budget = targets.agg(F.coalesce(F.sum(F.floor("target")), F.lit(0)).cast("long").alias("b"))
+    within_budget = first.filter(F.col("_base") < budget.select("b").scalar())
     in_slice = Window.partitionBy("_slice").orderBy("_finish", F.col("source").asc_nulls_last(), "_bucket", "_n", "_round")
-    budget = queued.select(F.col("source").alias("s"), "target").distinct().agg(F.coalesce(F.sum("target"), F.lit(0.0)).alias("b"))
     ordered = (
-        sliced.withColumn("_upto", F.sum("_words").over(in_slice.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-        .join(first, "_slice")
+        packets.join(F.broadcast(within_budget), "_slice")  # at most 2 * SLICES + 1 rows
+        .withColumn("_upto", F.sum("_words").over(in_slice.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
         .withColumn("_at", F.col("_base") + F.col("_upto") - F.col("_words"))
-        .withColumn("_left", F.greatest(F.floor(budget.select("b").scalar()).cast("long") - F.col("_at"), F.lit(0)))
+        .withColumn("_left", F.greatest(budget.select("b").scalar() - F.col("_at"), F.lit(0)))
     )
     taken = ordered.groupBy("source", "_bucket", "_n").agg(F.sum(F.least("_words", "_left")).alias("_taken"), F.min(F.when(F.col("_left") > 0, F.col("_at"))).alias("position"))
     taken = taken.select(F.col("source").alias("_s"), F.col("_bucket").alias("_b"), F.col("_n").alias("_m"), "_taken", "position")

@@ -54,9 +54,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     tg as (select source, source_size, least(cap, coalesce((select arg_min(level, rk) from lv where level * weight <= cap) * weight, cap)) as target from lv),
     q as (select k.*, source_size, target, substr(key, 1, 3) as bucket, (sum(size) over (partition by k.source order by key, doc_id, size rows unbounded preceding) - size)::bigint as before,
         row_number() over (partition by k.source, substr(key, 1, 3) order by key, doc_id, size) as n from k join tg on k.source is not distinct from tg.source),
-    c as (select q.*, r, floor(least((before + r * source_size)::double, target))::bigint as f, floor(least((before + r * source_size + size)::double, target))::bigint as t from q, (values (0), (1)) v(r)),
-    p as (select source, bucket, n, t - f as w, (sum(t - f) over (order by t / target, source nulls last, bucket, n, r rows unbounded preceding) - (t - f))::bigint as pos from c where t > f),
-    g as (select source, bucket, n, sum(w)::bigint as taken, min(pos) as "position" from p group by all)
+    c as (select q.*, r, (before + r * source_size)::bigint as a, (before + r * source_size + size)::bigint as b from q, (values (0), (1)) v(r) where size > 0 and target > 0),
+    e as (select *, unnest(range(greatest(least(floor(a * 4096.0::double / target), 8192)::bigint - 1, 0), least(least(floor(b * 4096.0::double / target), 8192)::bigint + 1, 8192) + 1)) as k from c),
+    z as (select *, greatest(a, floor(k * target / 4096.0::double)::bigint) as f, case when k = 8192 then b else least(b, floor((k + 1) * target / 4096.0::double)::bigint) end as t from e),
+    p as (select source, bucket, n, t - f as w, (sum(t - f) over (order by k, t / target, source nulls last, bucket, n, r rows unbounded preceding) - (t - f))::bigint as pos from z where t > f),
+    m as (select sum(floor(target))::bigint as budget from tg),
+    g as (select source, bucket, n, sum(least(w, budget - pos))::bigint as taken, min(pos) as "position" from p, m where pos < budget group by all)
     select q.doc_id, q.source, q.size, q.source_size, q.target, coalesce(g.taken, 0)::bigint as taken, g."position"
     from q left join g on q.source is not distinct from g.source and q.bucket = g.bucket and q.n = g.n
     """,

@@ -1,5 +1,6 @@
 """Every training-data operator against a plain version, on skewed and odd rows."""
 
+import math
 import random
 import zlib
 
@@ -374,6 +375,18 @@ def test_mixing(docs, rows):
     assert sorted((r.doc_id, r.taken, r.position or -1) for r in mixing.mix(docs.repartition(2)).collect()) == sorted((r.doc_id, r.taken, r.position or -1) for r in got)
 
 
+def test_mix_keeps_its_weights_at_every_moment(docs):
+    """A document comes when its source has had the same share of its target as the mix of its budget."""
+    got = [r for r in mixing.mix(docs).collect() if r.position is not None]
+    budget = sum({r.source: math.floor(r.target) for r in got}.values())
+    assert sum(r.taken for r in got) == budget
+    before = {}
+    for r in sorted(got, key=lambda r: r.position):
+        served = before.get(r.source, 0)
+        before[r.source] = served + r.size
+        assert abs(r.position / budget - served / r.target) <= 3 / mixing.SLICES + 2 * len({x.source for x in got}) / min(budget, r.target)
+
+
 def test_crf_gradient_matches_differences():
     rng = np.random.default_rng(9)
     first = np.array([0, 3, 4, 9])
