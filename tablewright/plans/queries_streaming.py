@@ -12,7 +12,7 @@ from tablewright.plans.queries_stats import _column_sql, rounded, summary_sql
 from tablewright.plans.registry import Tables, query
 from tablewright.session import fresh_folder
 from tablewright.sources import sinks
-from tablewright.streaming import chunks, events
+from tablewright.streaming import chunks, events, expiring
 
 # --- batch functions ---------------------------------------------------------------------
 
@@ -136,6 +136,45 @@ def _(t: Tables):
     return _plain(events.drain(events.cooldown_stream(_raised(arriving(t)), 60)))
 
 
+def replayed(t: Tables):
+    """The event table as a stream of six stretches of its time, three hours late at most."""
+    table = t.events
+    folder = expiring.replay(table, "ts", 6)
+    return events.read_stream(t.spark, folder, table.schema, files_per_trigger=1)
+
+
+_CLOSED = "(select max(ts) - interval 3 hours as mark from events)"
+
+
+@query("stream_windows_closed", f"select w.* from ({_TUMBLING}) w, {_CLOSED} where window_end <= mark")
+def _(t: Tables):
+    late = events.late_tolerant(replayed(t), "ts", "3 hours")
+    return _plain(rounded(events.drain(events.window_counts(late, "ts", "value", "6 hours", keys=["event_type"])), 2))
+
+
+@query(
+    "stream_sessions_closed",
+    f"""with g as (select user_id, ts, case when lag(ts) over w is null or ts - lag(ts) over w >= interval 30 minutes then 1 else 0 end as b from events window w as (partition by user_id order by ts)),
+    s as (select user_id, ts, sum(b) over (partition by user_id order by ts) as s from g), e as (select min(ts) as session_start, max(ts) + interval 30 minutes as session_end, user_id, count(*) as n from s group by user_id, s)
+    select e.* from e, {_CLOSED} where session_end <= mark""",
+)
+def _(t: Tables):
+    return _plain(events.drain(events.sessions(events.late_tolerant(replayed(t), "ts", "3 hours"), "ts", "30 minutes", ["user_id"])))
+
+
+@query(
+    "stream_cooldown_expiring",
+    f"""with recursive mark as (select max(ts) - interval 3 hours as mark from events where value > 100),
+    h as (select event_type as rule_id, event_id as alert_id, ts from events, mark where value > 100 and time_bucket(interval 10 minutes, ts, timestamp '2024-01-01 00:00:00') + interval 10 minutes <= mark),
+    o as (select *, row_number() over (partition by rule_id order by ts, alert_id) as i from h),
+    n as (select a.rule_id, a.i, a.ts, a.alert_id, (select min(b.i) from o b where b.rule_id = a.rule_id and b.ts >= a.ts + interval 60 minutes) as nx from o a),
+    w as (select rule_id, i, ts, alert_id, nx from n where i = 1 union all select n.rule_id, n.i, n.ts, n.alert_id, n.nx from w join n on n.rule_id = w.rule_id and n.i = w.nx)
+    select rule_id, ts, alert_id from w""",
+)
+def _(t: Tables):
+    return _plain(events.drain(expiring.cooldown_expiring(_raised(replayed(t)), 60, "3 hours")))
+
+
 @query(
     "stream_quality",
     """with m as (select count(*) as n, 1 - count(*) filter (where value > 150) / (count(*) * 3) as validity from events)

@@ -28,11 +28,12 @@ def read_stream(spark: SparkSession, path: str, schema: T.StructType | str, file
     return raw.withColumns(casts) if casts else raw
 
 
-def drain(stream: DataFrame, mode: str = "append", keys: Sequence[str] = (), folder: str | None = None) -> DataFrame:
+def drain(stream: DataFrame, mode: str = "append", keys: Sequence[str] = (), folder: str | None = None, progress: list | None = None) -> DataFrame:
     """Run a stream over the input there is and return what it wrote.
 
     ``append`` output is final as it comes. ``update`` output repeats a key
-    whenever its value changes, so the last version of each key is kept.
+    whenever its value changes, so the last version of each key is kept. The
+    progress of the micro-batches is added to ``progress``.
     """
     spark = stream.sparkSession
     out = folder or fresh_folder(spark, "stream")
@@ -50,6 +51,8 @@ def drain(stream: DataFrame, mode: str = "append", keys: Sequence[str] = (), fol
         .start()
     )
     query.awaitTermination()
+    if progress is not None:
+        progress.extend(query.recentProgress)
     written = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(out)
     if mode == "append":
         return written.drop("_epoch")
