@@ -222,6 +222,11 @@ def _(t: Tables):
     return anomaly.one_class_svm(vectors(t).drop("label"), "vec_id")
 
 
+@query("anomaly_one_class_boundary")
+def _(t: Tables):
+    return anomaly.one_class_boundary(vectors(t).drop("label"), "vec_id")
+
+
 @query("anomaly_elliptic")
 def _(t: Tables):
     return anomaly.elliptic_envelope(parts(t), "p_partkey", PART)
