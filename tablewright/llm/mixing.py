@@ -114,14 +114,15 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     # The global range sort: words before each slice, then finish times inside it. Slices past the budget need no order.
     whole = packets.groupBy("_slice").agg(F.sum("_words").alias("_w"))
     first = whole.select("_slice", F.coalesce(F.sum("_w").over(Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
-    budget = targets.agg(F.coalesce(F.sum(F.floor("target")), F.lit(0)).cast("long").alias("b"))
-    within_budget = first.filter(F.col("_base") < budget.select("b").scalar())
+    # One number, read from the written queues: as a subquery it would bring the targets' plan along twice.
+    budget = int(queued.select("source", "target").distinct().agg(F.sum(F.floor("target"))).first()[0] or 0)
+    within_budget = first.filter(F.col("_base") < budget)
     in_slice = Window.partitionBy("_slice").orderBy("_finish", F.col("source").asc_nulls_last(), "_bucket", "_n", "_round")
     ordered = (
         packets.join(F.broadcast(within_budget), "_slice")  # at most 2 * SLICES + 1 rows
         .withColumn("_upto", F.sum("_words").over(in_slice.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
         .withColumn("_at", F.col("_base") + F.col("_upto") - F.col("_words"))
-        .withColumn("_left", F.greatest(budget.select("b").scalar() - F.col("_at"), F.lit(0)))
+        .withColumn("_left", F.greatest(F.lit(budget) - F.col("_at"), F.lit(0)))
     )
     taken = ordered.groupBy("source", "_bucket", "_n").agg(F.sum(F.least("_words", "_left")).alias("_taken"), F.min(F.when(F.col("_left") > 0, F.col("_at"))).alias("position"))
     taken = taken.select(F.col("source").alias("_s"), F.col("_bucket").alias("_b"), F.col("_n").alias("_m"), "_taken", "position")
