@@ -3,13 +3,18 @@
 Two clusters that are each other's nearest under Ward's cost are merged in
 Ward's tree sooner or later, whatever else merges meanwhile: the cost of no
 other merge can fall below theirs. So each round merges all such pairs at once,
-and a cluster is its centre and size. Neighbours are looked for tile by tile;
-a tile is visited only if box distance and least sizes allow a lower cost than
-what the own tile has. When few clusters are left, one task finishes the tree.
+and a cluster is its centre and size. First every tile merges on its own as long
+as the boxes and least sizes of the others say that nobody elsewhere is nearer.
+Where that leaves most clusters (boxes of many columns overlap), neighbours are
+looked for tile by tile; a tile is visited only if box distance and least sizes
+allow a lower cost than what the own tile has. When few clusters are left, one
+task finishes the tree.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,10 +23,11 @@ from pyspark.sql import functions as F
 from tablewright.operators.tiles import LEAF, Boxes, box_pairs, boxes, compare, rows_of, tiled
 from tablewright.session import stage
 
-#: Clusters that one task brings to the end.
-FINISH = 2048
+#: Clusters that one task brings to the end, and tiles whose boxes every task may see.
+FINISH, SHOWN = 8192, 20_000
 
 _MERGE = "a long, b long, cost double, size long"
+_COLUMNS = {"a": pa.int64(), "b": pa.int64(), "cost": pa.float64(), "size": pa.int64()}
 _NEXT = "id long, other long, cost double"
 
 
@@ -56,23 +62,94 @@ def nearest(ids: np.ndarray, n: np.ndarray, x: np.ndarray, others: np.ndarray, m
     return best, cost
 
 
-def agglomerate(ids: np.ndarray, n: np.ndarray, x: np.ndarray) -> list[tuple[int, int, float, int]]:
-    """All merges (a, b, cost, size) of some clusters; a merged cluster goes by its least id, a."""
-    n, merges = n.astype(float), []
+def _merged(
+    ids: np.ndarray, n: np.ndarray, x: np.ndarray, least_outside: Callable[[np.ndarray, np.ndarray], np.ndarray]
+) -> tuple[list[tuple[int, int, float, int]], np.ndarray, np.ndarray, np.ndarray]:
+    """All merges (a, b, cost, size) among some clusters that no cluster elsewhere can forestall, and the clusters (ids, n, x) that are left.
+
+    ``least_outside(n, x)`` is below what any merge with a cluster elsewhere
+    costs. No merge brings a cluster nearer to a third one than the nearer of
+    its two parts was, so only clusters that lost their nearest one look again.
+    """
     order = np.argsort(ids)
-    ids, n, x = ids[order], n[order], x[order].astype(float)
+    ids, n, x = ids[order], n[order].astype(float), x[order].astype(float)
+    (other, cost), bound = nearest(ids, n, x, ids, n, x), least_outside(n, x)
+    merges = []
     while len(ids) > 1:
-        other, cost = nearest(ids, n, x, ids, n, x)
         at = np.searchsorted(ids, other)
-        one = np.flatnonzero((other[at] == ids) & (ids < other))
+        sure = (other >= 0) & (cost < bound * (1 - 1e-9))
+        at[~sure] = 0
+        one = np.flatnonzero(sure & sure[at] & (other[at] == ids) & (ids < other))
+        if not len(one):
+            break
         two = at[one]
         merges += [(int(ids[i]), int(ids[j]), float(cost[i]), int(n[i] + n[j])) for i, j in zip(one, two)]
+        stale = np.isin(other, ids[np.concatenate([one, two])])
         x[one] = (x[one] * n[one, None] + x[two] * n[two, None]) / (n[one] + n[two])[:, None]
         n[one] += n[two]
+        bound[one] = least_outside(n[one], x[one])
         left = np.ones(len(ids), bool)
         left[two] = False
-        ids, n, x = ids[left], n[left], x[left]
-    return merges
+        ids, n, x, other, cost, bound, stale = (v[left] for v in (ids, n, x, other, cost, bound, stale))
+        other[stale], cost[stale] = nearest(ids[stale], n[stale], x[stale], ids, n, x)
+    return merges, ids, n, x
+
+
+def agglomerate(ids: np.ndarray, n: np.ndarray, x: np.ndarray) -> list[tuple[int, int, float, int]]:
+    """All merges (a, b, cost, size) of some clusters; a merged cluster goes by its least id, a."""
+    return _merged(ids, n, x, lambda n, x: np.full(len(n), np.inf))[0]
+
+
+def _least_outside(own: int, lo: np.ndarray, hi: np.ndarray, least: np.ndarray, near: int = 64):
+    """What clusters of box ``own`` must pay at least to merge with one of another box, whose sizes start at ``least``.
+
+    The ``near`` boxes are measured from each cluster, the others from the own
+    box. Merging keeps centres in their box and only adds to sizes, so the
+    bound holds while all boxes merge at once.
+    """
+    gap = (np.maximum(0, np.maximum(lo[own] - hi, lo - hi[own])) ** 2).sum(axis=1)
+    gap[own] = np.inf
+    order = np.argsort(gap, kind="stable")[: len(gap) - 1]
+    close, far = order[:near], order[near:]
+
+    def bound(n: np.ndarray, x: np.ndarray) -> np.ndarray:
+        out = np.full(len(n), np.inf)
+        for q in close:
+            out = np.minimum(out, n * least[q] / (n + least[q]) * (np.maximum(0, np.maximum(lo[q] - x, x - hi[q])) ** 2).sum(axis=1))
+        if len(far):
+            m = least[far].min()
+            out = np.minimum(out, n * m / (n + m) * gap[far[0]])
+        return out
+
+    return bound
+
+
+def _within_tiles(clusters: DataFrame, width: int, leaf: int) -> tuple[DataFrame, DataFrame] | None:
+    """Merges that tiles can tell on their own, and the clusters that are left; none where there are too many tiles to show to each."""
+    tiles = tiled(clusters, width, leaf)
+    # One row a tile.
+    around = boxes(tiles).join(tiles.groupBy("tile").agg(F.min("w").alias("least")), "tile").select("tile", "lo", "hi", "least").limit(SHOWN + 1).toArrow()
+    if around.num_rows > SHOWN:
+        return None
+    spark = clusters.sparkSession
+    shared = spark.sparkContext.broadcast((around.column("tile").to_numpy(), rows_of(around.column("lo")), rows_of(around.column("hi")), around.column("least").to_numpy().astype(float)))
+
+    def merge(table: pa.Table) -> pa.Table:
+        names, lo, hi, least = shared.value
+        own = int(np.flatnonzero(names == table.column("tile")[0].as_py())[0])
+        done, ids, n, x = _merged(table.column("id").to_numpy(), table.column("w").to_numpy(), rows_of(table.column("x")), _least_outside(own, lo, hi, least))
+        none, k = [None] * len(done), len(ids)
+        return pa.table(
+            {
+                "id": pa.array([*none, *ids.tolist()], pa.int64()),
+                "w": pa.array([*none, *n.astype(np.int64).tolist()], pa.int64()),
+                "x": pa.array([*none, *x.tolist()], pa.list_(pa.float64())),
+                **{c: pa.array([*(r[i] for r in done), *[None] * k], t) for i, (c, t) in enumerate(_COLUMNS.items())},
+            }
+        )
+
+    out = stage(tiles.groupBy("tile").applyInArrow(merge, f"id long, w long, x array<double>, {_MERGE}"))
+    return out.filter("id is null").select(*_COLUMNS), out.filter("id is not null").select("id", "w", "x")
 
 
 def _own(left: pa.Table) -> pa.Table:
@@ -121,7 +198,17 @@ def merges(points: DataFrame, finish: int = FINISH, leaf: int = LEAF) -> DataFra
     clusters, done = points.select("id", "w", "x"), []
     first = points.select(F.size("x")).first()
     n = points.count()
+    alone = True
     while n > finish:
+        found = _within_tiles(clusters, first[0], leaf) if alone else None
+        if found:
+            before, (rows, clusters) = n, found
+            done.append(rows)
+            n = clusters.count()
+            # Tiles that could do little on their own will do less with larger clusters.
+            alone = n < 0.9 * before
+            if n < 0.6 * before or n <= finish:
+                continue
         near = stage(_neighbours(clusters, first[0], leaf))
         back = near.select(F.col("id").alias("other"), F.col("other").alias("id"))
         pairs = near.join(back, ["id", "other"]).filter("id < other")  # each other's nearest
@@ -136,8 +223,7 @@ def merges(points: DataFrame, finish: int = FINISH, leaf: int = LEAF) -> DataFra
 
     def end(table: pa.Table) -> pa.Table:
         rows = agglomerate(table.column("id").to_numpy(), table.column("w").to_numpy(), rows_of(table.column("x")))
-        names = ("a", "b", "cost", "size")
-        return pa.table({c: pa.array([r[i] for r in rows], t) for i, (c, t) in enumerate(zip(names, (pa.int64(), pa.int64(), pa.float64(), pa.int64())))})
+        return pa.table({c: pa.array([r[i] for r in rows], t) for i, (c, t) in enumerate(_COLUMNS.items())})
 
     # At most ``finish`` clusters.
     out = clusters.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(end, _MERGE)

@@ -88,3 +88,20 @@ def test_one_point_and_none(spark):
     one = spark.createDataFrame([(1, 1.0, 2.0), (2, 1.0, 2.0)], "id long, a double, b double")
     assert {r.cluster for r in clustering.cluster(one, "id", ["a", "b"], "hierarchical", 3).collect()} == {0}
     assert ward.merges(stage(one.limit(0).select("id", F.lit(1).cast("long").alias("w"), F.array("a", "b").alias("x")))).collect() == []
+
+
+def test_tiles_merge_alone_as_far_as_they_can(spark):
+    """Interiors of tiles need no rounds: one pass leaves few clusters, and the tree is the one of all pairs."""
+    rng = np.random.default_rng(7)
+    x, w = rng.uniform(size=(1500, 2)), rng.integers(1, 4, 1500)
+    rows = stage(spark.createDataFrame([(i, int(w[i]), [float(v) for v in x[i]]) for i in range(1500)], "id long, w long, x array<double>"))
+    done, left = ward._within_tiles(rows, 2, 256)
+    done, left = done.collect(), left.collect()
+    assert len(left) < 0.5 * len(x) and len(done) + len(left) == len(x)
+    whole = {(a, b): (c, s) for a, b, c, s in ward.agglomerate(np.arange(1500), w, x)}
+    for r in done:
+        cost, size = whole[r.a, r.b]
+        assert size == r["size"] and abs(cost - r.cost) < 1e-9
+    assert sum(r.w for r in left) == w.sum()
+    costs = sorted(r.cost for r in ward.merges(rows, 100, 64).collect())
+    np.testing.assert_allclose(costs, sorted(c for c, _ in whole.values()), rtol=1e-9)
