@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tablewright.operators.features import arrays, scaled
 from tablewright.operators.tiles import LEAF, Boxes, box_pairs, boxes, compare, joined, rows_of, tiled, within
 from tablewright.operators.ward import FINISH, merges
-from tablewright.session import beside, join_groups, scalars, stage
+from tablewright.session import beside, join_groups, scalars, spread, stage
 
 SEED = 42
 
@@ -28,13 +28,103 @@ def _silhouette(done: DataFrame) -> float | None:
     return float(ClusteringEvaluator(featuresCol="features", predictionCol="prediction").evaluate(done))
 
 
+class KMeansCentres:
+    """Centres of k-means and the pass that gives each row the nearest."""
+
+    def __init__(self, found: np.ndarray) -> None:
+        self.found = found
+
+    def clusterCenters(self) -> list[np.ndarray]:
+        return list(self.found)
+
+    def transform(self, features: DataFrame) -> DataFrame:
+        """``features`` with ``prediction``; of equally near centres the first."""
+        far = [F.aggregate(F.zip_with("_x", F.array(*[F.lit(float(v)) for v in c]), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v) for c in self.found]
+        first = F.array_position(F.array(*far), F.least(*far) if len(far) > 1 else far[0])
+        return features.withColumn("_x", vector_to_array("features")).withColumn("prediction", (first - 1).cast("int")).drop("_x")
+
+
+def _blocks(features: DataFrame, rows: int = 4096) -> DataFrame:
+    """The vectors as the bytes of matrices of up to ``rows`` rows: every pass of k-means reads them again."""
+
+    def pack(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, rows):
+                part = batch.slice(lo, rows)
+                yield pa.RecordBatch.from_pydict({"n": pa.array([part.num_rows]), "x": pa.array([rows_of(part.column(0)).tobytes()], pa.binary())})
+
+    return stage(features.select(vector_to_array("features").alias("x")).mapInArrow(pack, "n long, x binary"))
+
+
+def _lloyd_sums(blocks: DataFrame, held: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, float]]:
+    """One pass for several sets of centres: per set the rows that each centre is nearest to, their sums, and the squared distances."""
+    every, d = np.concatenate(held), held[0].shape[1]
+    ends = np.cumsum([len(c) for c in held])
+    norms = (every**2).sum(axis=1)
+
+    def add(batches):
+        n, total, cost = np.zeros(len(every)), np.zeros((len(every), d)), np.zeros(len(held))
+        for batch in batches:
+            for size, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
+                x = np.frombuffer(raw.as_buffer(), float).reshape(size, d)
+                far, own = norms - 2 * (x @ every.T), (x**2).sum(axis=1)
+                for s, (c, end) in enumerate(zip(held, ends)):
+                    mine = far[:, end - len(c) : end]
+                    at = mine.argmin(axis=1)
+                    cost[s] += np.maximum(mine[np.arange(size), at] + own, 0).sum()
+                    member = (at[:, None] == np.arange(len(c))).astype(float)
+                    n[end - len(c) : end] += member.sum(axis=0)
+                    total[end - len(c) : end] += member.T @ x
+        yield pa.RecordBatch.from_pydict({"i": pa.array(np.arange(len(out := np.concatenate([n, total.ravel(), cost])))), "v": pa.array(out)})
+
+    rows = blocks.mapInArrow(add, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
+    out = np.zeros(len(every) * (1 + d) + len(held))
+    for r in rows:
+        out[r["i"]] = r["v"]
+    n, total, cost = np.split(out, [len(every), len(every) * (1 + d)])
+    total = total.reshape(-1, d)
+    return [(n[end - len(c) : end], total[end - len(c) : end], float(cost[s])) for s, (c, end) in enumerate(zip(held, ends))]
+
+
+def kmeans_fits(features: DataFrame, ks: Sequence[int], max_iter: int = 300, starts: int = 10, tolerance: float = 1e-4) -> dict[int, tuple[np.ndarray, float]]:
+    """Centres and inertia of the best of ``starts`` k-means fits for every k, on staged ``features``.
+
+    The starts are those of k-means|| with their seeds. All fits step together:
+    one pass measures each row against the centres of all that still move by
+    more than ``tolerance``, so the passes are those of the slowest fit. The
+    inertia is that of the last pass, to the centres before their last step.
+    """
+    held = features.persist()
+    try:
+        begun = [(k, np.array(KMeans(featuresCol="features", k=k, seed=SEED + i, maxIter=0).fit(held).clusterCenters())) for k in ks for i in range(starts)]
+    finally:
+        held.unpersist()
+    blocks = _blocks(features)
+    now, cost, moving = [c for _, c in begun], [0.0] * len(begun), list(range(len(begun)))
+    for _ in range(max_iter):
+        still = []
+        for s, (n, total, inertia) in zip(moving, _lloyd_sums(blocks, [now[s] for s in moving])):
+            # A centre without rows stays where it is.
+            after = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], now[s])
+            if (((after - now[s]) ** 2).sum(axis=1) > tolerance**2).any():
+                still.append(s)
+            now[s], cost[s] = after, inertia
+        if not (moving := still):
+            break
+    best = {k: min((s for s, (own, _) in enumerate(begun) if own == k), key=lambda s: cost[s]) for k in ks}
+    return {k: (now[s], cost[s]) for k, s in best.items()}
+
+
+def _kmeans_done(features: DataFrame, k: int, found: np.ndarray, inertia: float):
+    model = KMeansCentres(found)
+    done = model.transform(features)
+    return model, done, {"k": k, "inertia": inertia, "silhouette": _silhouette(done)}
+
+
 def kmeans(features: DataFrame, k: int = 3, max_iter: int = 300, starts: int = 10):
     """Model, labelled rows and metrics of the best of ``starts`` k-means fits on scaled ``features``."""
-    features = stage(features)
-    fits = [KMeans(featuresCol="features", k=k, seed=SEED + i, maxIter=max_iter).fit(features) for i in range(starts)]
-    model = min(fits, key=lambda m: m.summary.trainingCost)
-    done = model.transform(features)
-    return model, done, {"k": k, "inertia": float(model.summary.trainingCost), "silhouette": _silhouette(done)}
+    features = spread(features)
+    return _kmeans_done(features, k, *kmeans_fits(features, [k], max_iter, starts)[k])
 
 
 class WardTree:
@@ -134,9 +224,14 @@ def _metric_rows(spark, rows: Sequence[dict]) -> DataFrame:
 
 def optimal_k(df: DataFrame, columns: Sequence[str] | None = None, method: str = "kmeans", max_k: int = 10) -> DataFrame:
     """Metrics for every k from 2 up; ``best`` marks the highest silhouette."""
-    features = stage(scaled(df, columns).select("features"))
+    features = spread(scaled(df, columns).select("features"))
     top = min(max_k, features.count() - 1)
-    rows = [{"method": method, **METHODS[method](features, k)[2]} for k in range(2, top + 1)]
+    ks = range(2, top + 1)
+    if method == "kmeans":
+        fits = kmeans_fits(features, ks) if ks else {}
+        rows = [{"method": method, **_kmeans_done(features, k, *fits[k])[2]} for k in ks]
+    else:
+        rows = [{"method": method, **METHODS[method](features, k)[2]} for k in ks]
     out = _metric_rows(df.sparkSession, rows)
     scored = [r for r in rows if r["silhouette"] is not None]
     best = max(scored, key=lambda r: r["silhouette"])["k"] if scored else None
@@ -145,7 +240,7 @@ def optimal_k(df: DataFrame, columns: Sequence[str] | None = None, method: str =
 
 def compare_methods(df: DataFrame, columns: Sequence[str] | None = None, k: int = 3, eps: float = 0.5, min_samples: int = 5) -> DataFrame:
     """Metrics of all methods, at one k where a method takes one."""
-    features = stage(scaled(df, columns).select("features"))
+    features = spread(scaled(df, columns).select("features"))
     rows = [{"method": m, **fit(features, k)[2]} for m, fit in METHODS.items()]
     points = features.select(F.monotonically_increasing_id().alias("_id"), vector_to_array("features").alias("x"))
     rows.append({"method": "dbscan", **density_metrics(stage(density_labels(stage(points), "_id", eps, min_samples)))})
