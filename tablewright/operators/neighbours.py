@@ -1,166 +1,184 @@
 """Exact nearest neighbours without comparing all pairs, and what is built on them.
 
-Donors are split among pivots (Voronoi regions). For each region a bound on how
-far its queries' k-th neighbour can lie follows from distances to pivots alone;
-a donor is sent only to the regions whose bound it may beat. Every region is
-then solved on its own. The number of pivots grows with the square root of the
-donors, so regions stay small; equal rows are one weighted donor.
+Queries and donors are cut into tiles of nearby rows. How far a tile's k-th
+neighbour can lie follows from the boxes alone; a donor is sent only to the
+tiles whose bound it may beat, and read there as a stream that leaves the
+nearest so far. Equal rows are one weighted donor.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewright.operators.columns import numeric_columns
-from tablewright.operators.features import arrays, matrix, scaled
+from tablewright.operators.features import arrays, scaled
 from tablewright.operators.tiles import LEAF, Boxes, box_pairs, boxes, compare, rows_of, tiled
 from tablewright.session import attach, stage
 
-MAX_PIVOTS = 20_000
-BLOCK_CELLS = 4_000_000
+#: Rows of a block of queries, at least and at most, and blocks that a search is cut into where the rows allow.
+ASKING, BLOCKS = (512, 16_384), 32
 
 
-def _rows_per_block(b: np.ndarray) -> int:
-    return max(1, BLOCK_CELLS // max(1, b.size))
+def _reached(wanted: int):
+    """Donor tiles that may hold one of the ``wanted`` nearest donors of some row of a tile, by the boxes."""
 
+    def choose(q: Boxes, d: Boxes) -> tuple[np.ndarray, np.ndarray]:
+        found = []
+        for i in range(len(q.tile)):
+            spans = q.spans(i, d).sum(axis=1)
+            order = np.argsort(spans, kind="stable")
+            enough = np.searchsorted(np.cumsum(d.w[order]), wanted)
+            limit = spans[order[enough]] if enough < len(order) else np.inf
+            found.append(np.flatnonzero(q.gaps(i, d).sum(axis=1) <= limit * (1 + 1e-9)))
+        return np.repeat(np.arange(len(found)), [len(f) for f in found]), np.concatenate(found)
+
+    return choose
 
-def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Distances of all rows of ``a`` to all of ``b``, in blocks of bounded memory."""
-    out = np.empty((len(a), len(b)))
-    step = _rows_per_block(b)
-    for lo in range(0, len(a), step):
-        part = a[lo : lo + step]
-        out[lo : lo + step] = np.sqrt(((part[:, None, :] - b[None, :, :]) ** 2).sum(axis=2))
-    return out
+
+class _Nearest:
+    """The ``wanted`` nearest donors so far of a block of queries, whose donors come a batch at a time."""
+
+    def __init__(self, wanted: int) -> None:
+        self.wanted, self.ids, self.x = wanted, np.zeros(0, np.int64), None
+        self.waiting: list[pa.RecordBatch] = []
+
+    def ask(self, batch: pa.RecordBatch) -> None:
+        self.waiting.append(batch)
+
+    def _begin(self) -> None:
+        self.ids = np.concatenate([b.column("id").to_numpy() for b in self.waiting])
+        self.x = np.concatenate([rows_of(b.column("x")) for b in self.waiting])
+        shape = (len(self.ids), self.wanted)
+        self.far, self.did, self.w = np.full(shape, np.inf), np.full(shape, -1, np.int64), np.zeros(shape, np.int64)
+
+    def meet(self, batch: pa.RecordBatch, block: int = 128) -> None:
+        if self.x is None:
+            self._begin()
+        ids, w, y = batch.column("id").to_numpy(), batch.column("w").to_numpy(), rows_of(batch.column("x"))
+        gap = (np.maximum(0, np.maximum(y.min(axis=0) - self.x, self.x - y.max(axis=0))) ** 2).sum(axis=1)
+        able = np.flatnonzero(gap <= self.far[:, -1] ** 2 * (1 + 1e-9))
+        middle = y.mean(axis=0)
+        v = y - middle
+        double, b = -2 * v, (v * v).sum(axis=1)
+        for lo in range(0, len(able), block):
+            rows = able[lo : lo + block]
+            u = self.x[rows] - middle
+            a = (u * u).sum(axis=1)
+            loose = 1e-12 * (a + b.max())
+            # Squared distances less the row's own part.
+            near = u @ double.T
+            near += b
+            top = self.far[rows, -1] ** 2 * (1 + 1e-9)
+            if len(ids) > self.wanted and not np.isfinite(top).all():
+                top = np.minimum(top, np.partition(near, self.wanted - 1, axis=1)[:, self.wanted - 1] + a + loose)
+            # Products tell who may be near; the differences of those decide.
+            i, j = np.divmod(np.flatnonzero(near <= (top - a + loose)[:, None]), len(ids))
+            if len(i):
+                self._take(rows, i, ids[j], w[j], np.sqrt(((self.x[rows[i]] - y[j]) ** 2).sum(axis=1)))
+
+    def _take(self, rows: np.ndarray, i: np.ndarray, did: np.ndarray, w: np.ndarray, far: np.ndarray) -> None:
+        hit, i = np.unique(i, return_inverse=True)
+        rows = rows[hit]
+        i = np.concatenate([np.repeat(np.arange(len(rows)), self.wanted), i])
+        far, did, w = (np.concatenate([old[rows].ravel(), new]) for old, new in ((self.far, far), (self.did, did), (self.w, w)))
+        order = np.lexsort((did, far, i))
+        i = i[order]
+        place = np.arange(len(i)) - np.searchsorted(i, i)
+        keep = place < self.wanted
+        at = rows[i[keep]], place[keep]
+        self.far[at], self.did[at], self.w[at] = far[order][keep], did[order][keep], w[order][keep]
+
+    def found(self, k: int, same: bool) -> pa.RecordBatch:
+        if self.x is None:
+            self._begin()
+        size = self.w - (self.did == self.ids[:, None]) if same else self.w
+        used = np.clip(k - (np.cumsum(size, axis=1) - size), 0, size)
+        i, j = np.nonzero(used)
+        return pa.RecordBatch.from_pydict({"qid": self.ids[i], "did": self.did[i, j], "distance": self.far[i, j], "weight": used[i, j]})
+
+
+def _numbered(rows: DataFrame, name: str) -> DataFrame:
+    return stage(rows.withColumnRenamed(name, f"_{name}").withColumn(name, F.monotonically_increasing_id()))
 
 
 def knn(queries: DataFrame, donors: DataFrame, k: int, same: bool = False) -> DataFrame:
+    """``(qid, did, distance, weight)`` as :func:`nearest_rows` finds them, for ids of any type; with ``same`` the qid are the did."""
+    donors = _numbered(donors.select("did", "x", "w"), "did")
+    names = donors.select("did", "_did")
+    if same:
+        asked = queries.withColumnRenamed("qid", "_did").join(names, "_did").select(F.col("did").alias("qid"), F.col("_did").alias("_qid"), "x")
+        queries = stage(asked)
+    else:
+        queries = _numbered(queries.select("qid", "x"), "qid")
+    found = nearest_rows(queries.select("qid", "x"), donors.select("did", "x", "w"), k, same)
+    named = found.join(names, "did").join(queries.select("qid", "_qid"), "qid")
+    return named.select(F.col("_qid").alias("qid"), F.col("_did").alias("did"), "distance", "weight")
+
+
+def nearest_rows(queries: DataFrame, donors: DataFrame, k: int, same: bool = False, leaf: int = LEAF) -> DataFrame:
     """``(qid, did, distance, weight)``: the k nearest donor rows of each query.
 
-    queries(qid, x), donors(did, x, w) with ``w`` equal rows each. With ``same``
-    both are the same points and a row is not its own neighbour (its copies are).
-    ``weight`` is how many of the k neighbours the donor stands for.
+    Staged queries(qid, x), donors(did, x, w) with ``w`` equal rows each; ids are
+    long. With ``same`` both are the same points and a row is not its own
+    neighbour (its copies are). ``weight`` is how many of the k neighbours the
+    donor stands for; of donors at the last distance the least ids count.
+
+    Queries are cut into blocks of nearby rows, donors into tiles. A block gets
+    the tiles that its box does not rule out, a batch at a time, and keeps the
+    nearest donors so far: a task holds one block and one batch. Where boxes
+    rule out nothing, all pairs are compared and every block reads all donors.
     """
-    donors = stage(donors.select("did", "x", "w"))
-    n = donors.count()
-    if n == 0:
-        raise ValueError("no donors")
     wanted = k + 1 if same else k
-    p = min(MAX_PIVOTS, max(1, math.isqrt(n)))
-    pivots = matrix(pd.Series([r["x"] for r in donors.orderBy(F.xxhash64("did"), "did").limit(p).select("x").collect()]))
-    shared = queries.sparkSession.sparkContext.broadcast(pivots)
-
-    def place(frames):
-        for frame in frames:
-            if len(frame):
-                d = _distances(matrix(frame["x"]), shared.value)
-                region = d.argmin(axis=1)
-                yield frame.assign(region=region.astype("int32"), far=d[np.arange(len(d)), region])
-
-    q = stage(queries.select("qid", "x").mapInPandas(place, "qid string, x array<double>, region int, far double"))
-    s = stage(donors.mapInPandas(place, "did string, x array<double>, w long, region int, far double"))
-
-    # One row per region comes to the driver.
-    radius = np.full(p, -1.0)
-    for r in q.groupBy("region").agg(F.max("far").alias("u")).collect():
-        radius[r["region"]] = r["u"]
-    weight, reach, near = np.zeros(p), np.full(p, -np.inf), np.full(p, np.inf)
-    place_in = F.row_number().over(Window.partitionBy("region").orderBy("far"))
-    for r in s.groupBy("region").agg(F.sum("w").alias("w"), F.max("far").alias("u")).collect():
-        weight[r["region"]], reach[r["region"]] = r["w"], r["u"]
-    first = s.select("region", "far", place_in.alias("place")).filter(F.col("place") <= wanted)
-    for r in first.groupBy("region").agg(F.max("far").alias("u"), F.count(F.lit(1)).alias("c")).collect():
-        if r["c"] >= wanted:
-            near[r["region"]] = r["u"]
-        elif weight[r["region"]] >= wanted:
-            near[r["region"]] = reach[r["region"]]
-    bound = np.full(p, -1.0)
-    for i in np.flatnonzero(radius >= 0):
-        limit = near[i]
-        if not np.isfinite(limit):
-            outer = _distances(pivots[i : i + 1], pivots)[0] + reach
-            order = np.argsort(outer)
-            order = order[np.isfinite(outer[order])]
-            enough = np.searchsorted(np.cumsum(weight[order]), wanted)
-            limit = outer[order[enough]] if enough < len(order) else np.inf
-        bound[i] = radius[i] + limit
-    limits = queries.sparkSession.sparkContext.broadcast((radius, bound))
-
-    def send(frames):
-        for frame in frames:
-            if not len(frame):
-                continue
-            r, b = limits.value
-            d = _distances(matrix(frame["x"]), shared.value)
-            slack = 1e-9 * (1 + d)
-            # Ball bound, and distance to the plane halfway between the two pivots.
-            ok = (r[None, :] >= 0) & (d - r[None, :] <= b[None, :] + slack)
-            own = frame["region"].to_numpy()
-            between = _distances(shared.value[own], shared.value)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                plane = (d**2 - frame["far"].to_numpy()[:, None] ** 2) / (2 * between)
-            ok &= ~(plane > b[None, :] + slack)
-            rows, regions = np.nonzero(ok)
-            yield pd.DataFrame(
-                {
-                    "region": regions.astype("int32"),
-                    "id": frame["did"].to_numpy()[rows],
-                    "x": frame["x"].to_numpy()[rows],
-                    "w": frame["w"].to_numpy()[rows],
-                }
-            )
-
-    sent = s.mapInPandas(send, "region int, id string, x array<double>, w long")
-    asked = q.select("region", F.col("qid").alias("id"), "x")
-
-    def solve(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(left) and len(right):
-            b, w, ids = matrix(right["x"]), right["w"].to_numpy(), right["id"].to_numpy()
-            take = min(len(b), wanted)
-            qids = left["id"].to_numpy()
-            a = matrix(left["x"])
-            step = _rows_per_block(b)
-            for lo in range(0, len(a), step):
-                d = _distances(a[lo : lo + step], b)
-                part = np.argpartition(d, take - 1, axis=1)[:, :take]
-                dist = np.take_along_axis(d, part, axis=1)
-                order = np.argsort(dist, axis=1, kind="stable")
-                part, dist = np.take_along_axis(part, order, axis=1), np.take_along_axis(dist, order, axis=1)
-                size = w[part]
-                if same:
-                    size = size - (ids[part] == qids[lo : lo + step, None])
-                before = np.cumsum(size, axis=1) - size
-                used = np.clip(k - before, 0, size)
-                i, j = np.nonzero(used)
-                out.append(pd.DataFrame({"qid": qids[lo + i], "did": ids[part[i, j]], "distance": dist[i, j], "weight": used[i, j]}))
-        return pd.concat(out) if out else pd.DataFrame({"qid": [], "did": [], "distance": [], "weight": []})
-
-    return (
-        asked.groupBy("region")
-        .cogroup(sent.groupBy("region"))
-        .applyInPandas(solve, "qid string, did string, distance double, weight long")
-    )
+    donors = donors.select(F.col("did").alias("id"), "w", "x")
+    first, n = donors.select(F.size("x")).first(), queries.count()
+    if first is None:
+        raise ValueError("no donors")
+    size = min(max(ASKING[0], n // BLOCKS), ASKING[1])
+    asking = tiled(queries.select(F.col("qid").alias("id"), F.lit(1).cast("long").alias("w"), "x"), first[0], size)
+    tiles = tiled(donors, first[0], leaf)
+    here, there = boxes(asking), boxes(tiles)
+    blocks = here.count()
+    pairs = box_pairs(here, there, (blocks, there.count()), _reached(wanted))
+    asked = asking.select(F.col("tile").alias("a"), F.lit(0).alias("side"), "tile", "id", "w", "x")
+    sent = tiles.join(pairs, F.col("tile") == F.col("b")).select("a", F.lit(1).alias("side"), "tile", "id", "w", "x")
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, now = None, None
+        for batch in batches:
+            key, side = batch.column("a").to_numpy(), batch.column("side").to_numpy()
+            ends = [0, *(np.flatnonzero((np.diff(key) != 0) | (np.diff(side) != 0)) + 1).tolist(), len(key)]
+            for lo, hi in zip(ends, ends[1:]):
+                if hi == lo:
+                    continue
+                if now is None or key[lo] != block:
+                    if now is not None:
+                        yield now.found(k, same)
+                    block, now = key[lo], _Nearest(wanted)
+                part = batch.slice(lo, hi - lo)
+                now.ask(part) if side[lo] == 0 else now.meet(part)
+        if now is not None:
+            yield now.found(k, same)
+
+    met = asked.unionByName(sent).repartition(2 * blocks, "a").sortWithinPartitions("a", "side", "tile")
+    return met.mapInArrow(solve, "qid long, did long, distance double, weight long")
 
 
-def _unique_points(points: DataFrame, key: str) -> DataFrame:
-    return points.groupBy("x").agg(F.min(F.col(key).cast("string")).alias("did"), F.count(F.lit(1)).alias("w"))
+def _unique_points(points: DataFrame) -> DataFrame:
+    return points.groupBy("x").agg(F.count(F.lit(1)).alias("w")).withColumn("did", F.monotonically_increasing_id())
 
 
 def local_outlier_factor(df: DataFrame, key: str, columns: Sequence[str] | None = None, k: int = 20) -> DataFrame:
     """``(key, score)``: how much sparser a row's surroundings are than its neighbours'."""
     points = arrays(scaled(df, columns, [key], fill="mean"), [key])
-    unique = stage(_unique_points(points, key))
+    unique = stage(_unique_points(points))
     total = unique.agg(F.sum("w")).first()[0]
     k = min(k, max(1, total - 1))
-    pairs = stage(knn(unique.select(F.col("did").alias("qid"), "x"), unique, k, same=True))
+    pairs = stage(nearest_rows(unique.select(F.col("did").alias("qid"), "x"), unique, k, same=True))
     kdist = pairs.groupBy(F.col("qid").alias("did")).agg(F.max("distance").alias("kd"))
     reach = F.greatest("distance", "kd")
     density = stage(

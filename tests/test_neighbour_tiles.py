@@ -148,3 +148,20 @@ def test_groups_of_links():
         for i, j in zip(a, b):
             want[i] = want[j] = min(want[i], want[j])
     assert label.tolist() == want.tolist()
+
+
+def test_nearest_rows_read_their_donors_as_a_stream(spark, monkeypatch):
+    """Many columns, where boxes rule out nothing: blocks of few queries, donors a batch at a time, no group of all donors in a task."""
+    monkeypatch.setattr(neighbours, "ASKING", (32, 64))
+    rng = np.random.default_rng(5)
+    x, w = rng.normal(size=(500, 12)), rng.integers(1, 4, 500)
+    rows = spark.createDataFrame([(i, [float(v) for v in x[i]], int(w[i])) for i in range(500)], "did long, x array<double>, w long").checkpoint()
+    found = neighbours.nearest_rows(rows.select(F.col("did").alias("qid"), "x"), rows, 6, same=True, leaf=50)
+    assert "FlatMapCoGroups" not in found._jdf.queryExecution().toString()
+    d = np.sqrt(((x[:, None] - x) ** 2).sum(axis=2))
+    got = {}
+    for r in found.collect():
+        assert abs(r.distance - d[r.qid, r.did]) < 1e-12
+        got.setdefault(r.qid, []).extend([r.distance] * r.weight)
+    for i in range(500):
+        np.testing.assert_allclose(sorted(got[i]), np.sort(np.delete(np.repeat(d[i], w), w[:i].sum()))[:6], atol=1e-9)
