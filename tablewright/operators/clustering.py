@@ -290,6 +290,10 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     )
 
 
+#: Tiles that a tile meets on average, and tiles at least, before tiles grow; rows of the largest.
+CROWDED, LARGE_LEAF = 16, 32_768
+
+
 def _near(radius: float):
     """Ordered pairs of tiles with points within ``radius``, but not only such."""
 
@@ -313,16 +317,17 @@ def _inside(radius: float):
     return choose
 
 
-def _neighbour_weight(radius: float, block: int = 512):
+def _neighbour_weight(radius: float, cells: int = 2**21):
     def count(left: pa.Table, right: pa.Table) -> pa.Table:
         x, y, w = rows_of(left.column("x")), rows_of(right.column("x")), right.column("w").to_numpy()
+        block = max(1, cells // max(1, len(y)))
         n = np.concatenate([within(x[lo : lo + block], y, radius) @ w for lo in range(0, len(x), block)])
         return pa.table({"id": left.column("id"), "n": pa.array(n)}).filter(pa.array(n > 0))
 
     return count
 
 
-def _contacts(radius: float, block: int = 512):
+def _contacts(radius: float, cells: int = 2**21):
     """Of a pair of tiles: core points to the least one of their group (``core``), and other points to the core points near them."""
 
     def link(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -333,6 +338,7 @@ def _contacts(radius: float, block: int = 512):
         place[order] = np.arange(len(ids))  # so that the least place is the least id
         mine, theirs = (t.column("core").to_numpy(zero_copy_only=False) for t in (left, right))
         label, u, v = np.arange(len(ids)), [], []
+        block = max(1, cells // max(1, len(y)))
         for lo in range(0, len(x), block):
             i, j = np.nonzero(within(x[lo : lo + block], y, radius) & theirs)
             i += lo
@@ -348,6 +354,13 @@ def _contacts(radius: float, block: int = 512):
     return link
 
 
+def _met_tiles(unique: DataFrame, width: int, eps: float, leaf: int) -> tuple[DataFrame, DataFrame, int, DataFrame]:
+    tiles = tiled(unique, width, leaf)
+    around = boxes(tiles)
+    n = around.count()
+    return tiles, around, n, box_pairs(around, around, (n, n), _near(eps))
+
+
 def density_labels(points: DataFrame, key: str, eps: float, min_samples: int, leaf: int = LEAF) -> DataFrame:
     """``(key, x, cluster, is_core)`` of ``points`` (key, x) by DBSCAN, in any number of columns.
 
@@ -362,10 +375,11 @@ def density_labels(points: DataFrame, key: str, eps: float, min_samples: int, le
     head = unique.select(F.size("x")).first()
     if head is None:
         return points.select(key, "x", F.lit(-1).cast("long").alias("cluster"), F.lit(False).alias("is_core"))
-    tiles = tiled(unique, head[0], leaf)
-    around = boxes(tiles)
-    n = around.count()
-    near = box_pairs(around, around, (n, n), _near(eps))
+    tiles, around, n, near = _met_tiles(unique, head[0], eps, leaf)
+    total = unique.count()
+    if near.count() > CROWDED * n and total > CROWDED * leaf:
+        # Boxes rule out little, so rows are sent once for every other tile: fewer, larger tiles.
+        tiles, around, n, near = _met_tiles(unique, head[0], eps, max(leaf, min(LARGE_LEAF, total // CROWDED)))
     inside = box_pairs(around, around, (n, n), _inside(eps))
 
     whole = inside.join(around.select(F.col("tile").alias("b"), "w"), "b").groupBy(F.col("a").alias("tile")).agg(F.sum("w").alias("all"))

@@ -80,7 +80,9 @@ def tiled(points: DataFrame, width: int, leaf: int = LEAF) -> DataFrame:
             own = table.take(pa.array(rows)).combine_chunks()
             yield from own.add_column(0, "tile", pa.array(np.full(len(rows), part + k, np.int64))).to_batches()
 
-    near = points.select("id", "w", "x").repartitionByRange(max(1, -(-n // (CUT * leaf))), pattern, F.col("x")[widest], "id")
+    # Large tiles are cut by two: a task holds what it cuts.
+    held = min(CUT * leaf, max(CUT * LEAF, 2 * leaf))
+    near = points.select("id", "w", "x").repartitionByRange(max(1, -(-n // held)), pattern, F.col("x")[widest], "id")
     return stage(near.mapInArrow(cut, f"tile long, {_ROW}"))
 
 
@@ -160,10 +162,13 @@ def within(x: np.ndarray, y: np.ndarray, radius: float) -> np.ndarray:
     """
     middle = y.mean(axis=0)
     u, v = x - middle, y - middle
-    a, b = (u * u).sum(axis=1)[:, None], (v * v).sum(axis=1)
-    over = a + b - 2 * (u @ v.T) - radius * radius
-    near = over <= 0
-    i, j = np.nonzero(np.abs(over) <= 1e-12 * (a + b))
+    a, b = (u * u).sum(axis=1), (v * v).sum(axis=1)
+    loose = 1e-12 * (a + b.max())
+    # Squared distances less the left row's own part.
+    part = u @ (-2 * v).T
+    part += b
+    near = part <= (radius * radius - a - loose)[:, None]
+    i, j = np.divmod(np.flatnonzero((part <= (radius * radius - a + loose)[:, None]) ^ near), len(y))
     near[i, j] = ((x[i] - y[j]) ** 2).sum(axis=1) <= radius * radius
     return near
 

@@ -165,3 +165,17 @@ def test_nearest_rows_read_their_donors_as_a_stream(spark, monkeypatch):
         got.setdefault(r.qid, []).extend([r.distance] * r.weight)
     for i in range(500):
         np.testing.assert_allclose(sorted(got[i]), np.sort(np.delete(np.repeat(d[i], w), w[:i].sum()))[:6], atol=1e-9)
+
+
+def test_density_in_many_columns_takes_larger_tiles(spark, monkeypatch):
+    """Where every tile meets every other, tiles grow, and the clusters stay."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(240, 10)) + rng.integers(0, 2, (240, 1)) * 4
+    rows = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, x array<double>")
+    used, cut = [], clustering.tiled
+    monkeypatch.setattr(clustering, "tiled", lambda points, width, leaf: used.append(leaf) or cut(points, width, leaf))
+    got = []
+    for crowded in (10**9, 4):
+        monkeypatch.setattr(clustering, "CROWDED", crowded)
+        got.append(sorted((r.id, r.cluster, r.is_core) for r in clustering.density_labels(rows, "id", 4.0, 5, leaf=12).collect()))
+    assert got[0] == got[1] and used == [12, 12, 60] and len({c for _, c, _ in got[0]}) > 1
