@@ -21,7 +21,7 @@ from tablewright.operators.columns import numeric_columns
 from tablewright.operators.features import arrays, batch_sums, covariance, matrix, scaled, width
 from tablewright.operators.outliers import anomaly_stats, compare_methods, row_zscore, vote, vote_summary
 from tablewright.operators.quantiles import with_quantiles
-from tablewright.session import attach, stage
+from tablewright.session import attach, spread, stage
 
 SEED = 42
 TREES = 100
@@ -80,7 +80,7 @@ def isolation_forest(df: DataFrame, key: str, columns: Sequence[str] | None = No
     with the smallest numbers. Numbers above twice the expected cut never leave
     the scan, so about two samples a tree are shuffled however long the table is.
     """
-    points = stage(_points(df, key, columns))
+    points = spread(_points(df, key, columns))
     n = points.count()
     share = 1.0 if n <= 2 * sample else 2.0 * sample / n
     below = F.lit(int(share * 2**62))
@@ -213,7 +213,7 @@ def elliptic_envelope(df: DataFrame, key: str, columns: Sequence[str] | None = N
     but 2.5 % of a normal one); the ellipse of those rows measures all. With no
     ``steps`` it is the ellipse of all rows.
     """
-    points = stage(_points(df, key, columns))
+    points = spread(_points(df, key, columns))
     d = width(points)
 
     def distances(mean: np.ndarray, cov: np.ndarray) -> DataFrame:
@@ -247,7 +247,7 @@ def one_class_svm(df: DataFrame, key: str, columns: Sequence[str] | None = None,
 
     Every step is one pass that sums a vector of ``features`` numbers.
     """
-    points = stage(_points(df, key, columns))
+    points = spread(_points(df, key, columns))
     d = width(points)
     rng = np.random.default_rng(SEED)
     gamma = 1.0 / d
@@ -357,7 +357,7 @@ def one_class_boundary(df: DataFrame, key: str, columns: Sequence[str] | None =
     group of ``nu`` of all rows may lie inside it. Equal rows are drawn together by their hash; a row's score does not depend
     on its key or the partitions.
     """
-    points = stage(_points(df, key, columns))
+    points = spread(_points(df, key, columns))
     d = width(points)
     rows, weight, _ = one_class_fit(points.select("x"), d, nu, error)
     return cut(stage(points.select(key, (-_similarity(rows, weight, 1.0 / d)("x")).alias("score"))), key, nu)
