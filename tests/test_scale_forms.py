@@ -151,3 +151,25 @@ def test_ica_recovers_sources(spark):
     out = reduction.ica(ingest(spark, frame), "id", components=2).orderBy("id").toPandas()
     c = np.abs(np.corrcoef(np.c_[out[["component_1", "component_2"]], src].T)[:2, 2:])
     assert c.max(axis=1).min() > 0.95
+
+
+def test_kmeans_starts_share_their_passes(spark, monkeypatch):
+    """All starts step in the same passes, over spread rows, and end where Spark's own fits end."""
+    from pyspark.ml.clustering import KMeans
+
+    from tablewright import session
+    from tablewright.operators.features import scaled
+
+    monkeypatch.setattr(session, "PASS_ROWS", 100)
+    x = _points(300, 11)
+    frame = pd.DataFrame({"a": x[:, 0], "b": x[:, 1]})
+    features = session.spread(scaled(ingest(spark, frame).coalesce(1)).select("features"))
+    assert features.rdd.getNumPartitions() == 4
+    passes, sums = [], clustering._lloyd_sums
+    monkeypatch.setattr(clustering, "_lloyd_sums", lambda blocks, held: passes.append(len(held)) or sums(blocks, held))
+    found, inertia = clustering.kmeans_fits(features, [3], starts=3)[3]
+    fits = [KMeans(featuresCol="features", k=3, seed=clustering.SEED + i, maxIter=300).fit(features) for i in range(3)]
+    best = min(fits, key=lambda m: m.summary.trainingCost)
+    np.testing.assert_allclose(inertia, best.summary.trainingCost, rtol=1e-6)
+    np.testing.assert_allclose(found, best.clusterCenters(), atol=1e-6)
+    assert passes[0] == 3 and len(passes) == max(m.summary.numIter for m in fits)
