@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from functools import reduce
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tablewright.operators.features import arrays, scaled
 from tablewright.operators.tiles import LEAF, Boxes, box_pairs, boxes, compare, joined, rows_of, tiled, within
 from tablewright.operators.ward import FINISH, merges
-from tablewright.session import beside, join_groups, scalars, spread, stage
+from tablewright.session import beside, join_groups, scalars, spread, stage, together
 
 SEED = 42
 
@@ -95,8 +95,12 @@ def kmeans_fits(features: DataFrame, ks: Sequence[int], max_iter: int = 300, sta
     inertia is that of the last pass, to the centres before their last step.
     """
     held = features.persist()
+
+    def begin(k: int, i: int) -> tuple[int, np.ndarray]:
+        return k, np.array(KMeans(featuresCol="features", k=k, seed=SEED + i, maxIter=0).fit(held).clusterCenters())
+
     try:
-        begun = [(k, np.array(KMeans(featuresCol="features", k=k, seed=SEED + i, maxIter=0).fit(held).clusterCenters())) for k in ks for i in range(starts)]
+        begun = together(features.sparkSession, [partial(begin, k, i) for k in ks for i in range(starts)])
     finally:
         held.unpersist()
     blocks = _blocks(features)
@@ -239,12 +243,17 @@ def optimal_k(df: DataFrame, columns: Sequence[str] | None = None, method: str =
 
 
 def compare_methods(df: DataFrame, columns: Sequence[str] | None = None, k: int = 3, eps: float = 0.5, min_samples: int = 5) -> DataFrame:
-    """Metrics of all methods, at one k where a method takes one."""
+    """Metrics of all methods, at one k where a method takes one; the methods run side by side."""
     features = spread(scaled(df, columns).select("features"))
-    rows = [{"method": m, **fit(features, k)[2]} for m, fit in METHODS.items()]
-    points = features.select(F.monotonically_increasing_id().alias("_id"), vector_to_array("features").alias("x"))
-    rows.append({"method": "dbscan", **density_metrics(stage(density_labels(stage(points), "_id", eps, min_samples)))})
-    return _metric_rows(df.sparkSession, rows)
+
+    def fitted(method: str) -> dict:
+        return {"method": method, **METHODS[method](features, k)[2]}
+
+    def dense() -> dict:
+        points = features.select(F.monotonically_increasing_id().alias("_id"), vector_to_array("features").alias("x"))
+        return {"method": "dbscan", **density_metrics(stage(density_labels(stage(points), "_id", eps, min_samples)))}
+
+    return _metric_rows(df.sparkSession, together(df.sparkSession, [*[partial(fitted, m) for m in METHODS], dense]))
 
 
 def cluster_stats(labelled: DataFrame, columns: Sequence[str], label: str = "cluster") -> DataFrame:

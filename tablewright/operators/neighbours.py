@@ -355,7 +355,7 @@ def gap_neighbours(points: DataFrame, k: int, leaf: int = LEAF) -> DataFrame:
     asking = stage(asking.join(by_row, "id", "left").select("tile", "id", "w", "x", asked.alias("limits")))
     whole = asking.select("tile", F.posexplode("limits").alias("c", "far")).groupBy("tile", "c").agg(F.max("far").alias("far"))
     whole = whole.groupBy("tile").agg(F.transform(F.array_sort(F.collect_list(F.struct("c", "far"))), lambda p: p["far"]).alias("limits"))
-    rest = box_pairs(here.join(whole, "tile"), there, counts, _visits(width)).join(homes, ["a", "b"], "left_anti")
+    rest = stage(box_pairs(here.join(whole, "tile"), there, counts, _visits(width)).join(homes, ["a", "b"], "left_anti"))
     found = first.unionByName(compare(asking, donors, rest, _donors(k, width), _FOUND))
     value = F.sum(F.col("used") * F.col("total") / F.col("n")) / F.sum("used")
     return _places(found, k).groupBy("id", "c").agg(value.alias("value"))

@@ -22,6 +22,9 @@ from tablewright.session import stage
 #: Rows of a tile, tiles that one task cuts, tiles whose boxes one task compares with as many others.
 LEAF, CUT, BOXES = 4096, 16, 1024
 
+#: Tasks that pairs of tiles are dealt over where there are as many pairs; more if the session has more shuffle partitions.
+TASKS = 256
+
 _ROW = "id long, w long, x array<double>"
 
 
@@ -142,7 +145,12 @@ def box_pairs(left: DataFrame, right: DataFrame, counts: tuple[int, int], choose
 
 
 def compare(left: DataFrame, right: DataFrame, pairs: DataFrame, fn: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
-    """``fn`` of the rows of tile ``a`` of ``left`` and of tile ``b`` of ``right``, for each pair of tiles."""
+    """``fn`` of the rows of tile ``a`` of ``left`` and of tile ``b`` of ``right``, for each of the staged pairs of tiles.
+
+    A pair is few bytes but much work: the number of tasks follows the pairs,
+    which Spark would else put into as few tasks as their bytes fill.
+    """
+    tasks = max(1, min(pairs.count(), max(TASKS, int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
     met = [
         rows.join(pairs.select("a", "b"), F.col("tile") == F.col(at)).withColumn("side", F.lit(side))
         for side, (rows, at) in enumerate(((left, "a"), (right, "b")))
@@ -152,7 +160,8 @@ def compare(left: DataFrame, right: DataFrame, pairs: DataFrame, fn: Callable[[p
         side = table.column("side").to_numpy()
         return fn(table.filter(pa.array(side == 0)), table.filter(pa.array(side == 1)))
 
-    return met[0].unionByName(met[1], allowMissingColumns=True).groupBy("a", "b").applyInArrow(both, schema)
+    dealt = met[0].unionByName(met[1], allowMissingColumns=True).repartition(tasks, "a", "b")
+    return dealt.groupBy("a", "b").applyInArrow(both, schema)
 
 
 def within(x: np.ndarray, y: np.ndarray, radius: float) -> np.ndarray:
