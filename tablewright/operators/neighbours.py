@@ -263,52 +263,170 @@ _NAN = "double('NaN')"
 _FOUND = "id long, c int, far double, n long, total double"
 
 
-def _donors(k: int, width: int, block: int = 256):
+#: Pairs of gap patterns, of some rows and some donors, that are measured one by one.
+PATTERNS = 16
+
+_Hits = tuple[np.ndarray, ...]
+
+
+def _trimmed(hits: list[_Hits], k: int) -> _Hits:
+    """Of (row, column, distance, donors, sum of their values): one line a distance, as far as the nearest ``k`` donors of a row and column reach; and how many are before."""
+    i, c, far, n, total = (np.concatenate(x) for x in zip(*hits))
+    order = np.lexsort((far, c, i))
+    i, c, far, n, total = (x[order] for x in (i, c, far, n, total))
+    fresh = np.ones(len(i), bool)
+    fresh[1:] = (i[1:] != i[:-1]) | (c[1:] != c[:-1])
+    heads = fresh.copy()
+    heads[1:] |= far[1:] != far[:-1]
+    heads = np.flatnonzero(heads)
+    if not len(heads):
+        return i, c, far, n, total, n
+    n, total = np.add.reduceat(n, heads), np.add.reduceat(total, heads)
+    i, c, far, first = i[heads], c[heads], far[heads], np.flatnonzero(fresh[heads])
+    before = np.cumsum(n) - n
+    before -= np.repeat(before[first], np.diff(np.concatenate([first, [len(i)]])))
+    keep = before < k
+    return tuple(x[keep] for x in (i, c, far, n, total, before))
+
+
+def _patterns(have: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The gap patterns of some rows, each with its rows."""
+    if (have == have[:1]).all():
+        return [(have[0], np.arange(len(have)))] if len(have) else []
+    kinds, of = np.unique(have, axis=0, return_inverse=True)
+    return [(kind, np.flatnonzero(of.ravel() == m)) for m, kind in enumerate(kinds)]
+
+
+def _alike(q: np.ndarray, limits: np.ndarray, mine: tuple, y: np.ndarray, w: np.ndarray, theirs: tuple, k: int, width: int, block: int = 128) -> Iterator[_Hits]:
+    """:func:`_hits` of rows of one gap pattern among donors of one."""
+    (have, rows), (there, donors) = mine, theirs
+    both, wanted = np.flatnonzero(have & there), np.flatnonzero(~have & there)
+    if not len(both) or not len(wanted):
+        return
+    scale = len(both) / width
+    held = y[np.ix_(donors, both)]
+    own = q[np.ix_(rows, both)]
+    reach = limits[np.ix_(rows, wanted)].max(axis=1) * (1 + 1e-9) * scale
+    able = np.flatnonzero((np.maximum(0, np.maximum(held.min(axis=0) - own, own - held.max(axis=0))) ** 2).sum(axis=1) <= reach * (1 + 1e-9))
+    middle = held.mean(axis=0)
+    v = held - middle
+    double, b = (-2 * v).T, (v * v).sum(axis=1)
+    for lo in range(0, len(able), block):
+        at = able[lo : lo + block]
+        u = own[at] - middle
+        a = (u * u).sum(axis=1)
+        loose = 1e-12 * (a + b.max())
+        # Squared differences less the row's own part: products tell who is near, the differences of those decide.
+        near = u @ double
+        near += b
+        top = reach[at]
+        if len(donors) > k and not np.isfinite(top).all():
+            top = np.minimum(top, np.partition(near, k - 1, axis=1)[:, k - 1] + a + loose)
+        i, j = np.divmod(np.flatnonzero(near <= (top - a + loose)[:, None]), len(donors))
+        if not len(i):
+            continue
+        i, j = rows[at[i]], donors[j]
+        shared = have & there
+        far = width * (np.where(shared, q[i] - y[j], 0) ** 2).sum(axis=1) / len(both)
+        for c in wanted:
+            on = far <= limits[i, c]
+            yield i[on], np.full(int(on.sum()), c, np.int32), far[on], w[j[on]], w[j[on]] * y[j[on], c]
+
+
+def _mixed(q: np.ndarray, limits: np.ndarray, y: np.ndarray, w: np.ndarray, k: int, width: int, block: int = 256) -> Iterator[_Hits]:
+    """:func:`_hits` of rows and donors of any gap patterns."""
+    middle = np.nan_to_num(np.nanmean(np.concatenate([y, q]), axis=0))
+    have, there = ~np.isnan(q), ~np.isnan(y)
+    u, v = np.where(have, q - middle, 0), np.where(there, y - middle, 0)
+    for lo in range(0, len(q), block):
+        own = slice(lo, lo + block)
+        shared = have[own].astype(float) @ there.T
+        size = (u[own] ** 2) @ there.T + have[own] @ (v**2).T
+        with np.errstate(divide="ignore", invalid="ignore"):
+            # Products tell who is near; the differences of those decide.
+            near = np.where(shared > 0, width * np.maximum(size - 2 * u[own] @ v.T, 0) / shared, np.inf)
+            slack = np.where(shared > 0, width * 1e-12 * size / shared, 0)
+        for c in np.flatnonzero(~have[own].all(axis=0)):
+            mine, donors = np.flatnonzero(~have[own][:, c]), np.flatnonzero(there[:, c])
+            if not len(donors):
+                continue
+            d, loose = near[np.ix_(mine, donors)], slack[np.ix_(mine, donors)]
+            top = np.minimum(np.partition(d + loose, k - 1, axis=1)[:, k - 1] if len(donors) >= k else np.inf, limits[own][mine, c] * (1 + 1e-9))
+            i, j = np.nonzero((d - loose <= top[:, None]) & np.isfinite(d))
+            if not len(i):
+                continue
+            i, j = mine[i] + lo, donors[j]
+            both = have[i] & there[j]
+            far = width * (np.where(both, q[i] - y[j], 0) ** 2).sum(axis=1) / both.sum(axis=1)
+            on = far <= limits[i, c]
+            yield i[on], np.full(int(on.sum()), c, np.int32), far[on], w[j[on]], w[j[on]] * y[j[on], c]
+
+
+def _hits(q: np.ndarray, limits: np.ndarray, y: np.ndarray, w: np.ndarray, k: int, width: int) -> list[_Hits]:
+    """(row, column, distance, donors, sum of their values) of donors ``y`` for the gaps of the rows ``q``.
+
+    The nearest ``k`` donors of each gap are among them, others may be, and none
+    is beyond the gap's limit.
+    """
+    mine, theirs = _patterns(~np.isnan(q)), _patterns(~np.isnan(y))
+    if len(mine) * len(theirs) > PATTERNS:
+        found = _mixed(q, limits, y, w, k, width)
+    else:
+        found = (h for a in mine for b in theirs for h in _alike(q, limits, a, y, w, b, k, width))
+    none = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0), np.zeros(0, np.int64), np.zeros(0)
+    return [none, *found]
+
+
+def _found(ids: np.ndarray, hits: _Hits) -> dict[str, pa.Array]:
+    i, *rest = hits[:5]
+    return dict(zip(("id", "c", "far", "n", "total"), map(pa.array, (ids[i], *rest))))
+
+
+def _donors(k: int, width: int):
     """For rows with gaps and a tile of donors: per row, missing column and distance, how many donors and the sum of their values.
 
-    Only the distances that the nearest ``k`` donors of the tile have, and none
-    beyond the row's limit where it has one.
+    Only the distances that the nearest ``k`` donors of the tile have.
     """
 
     def find(rows: pa.Table, held: pa.Table) -> pa.Table:
-        ids, q, y, w = rows.column("id").to_numpy(), rows_of(rows.column("x")), rows_of(held.column("x")), held.column("w").to_numpy()
-        limits = rows_of(rows.column("limits")) if "limits" in rows.column_names else np.full(q.shape, np.inf)
-        middle = np.nan_to_num(np.nanmean(np.concatenate([y, q]), axis=0)) if len(y) else 0
-        have, there = ~np.isnan(q), ~np.isnan(y)
-        u, v = np.where(have, q - middle, 0), np.where(there, y - middle, 0)
-        out = []
-        for lo in range(0, len(q), block):
-            own = slice(lo, lo + block)
-            shared = have[own].astype(float) @ there.T
-            size = (u[own] ** 2) @ there.T + have[own] @ (v**2).T
-            with np.errstate(divide="ignore", invalid="ignore"):
-                # Products tell who is near; the differences of those decide.
-                near = np.where(shared > 0, width * np.maximum(size - 2 * u[own] @ v.T, 0) / shared, np.inf)
-                slack = np.where(shared > 0, width * 1e-12 * size / shared, 0)
-            for c in np.flatnonzero(~have[own].all(axis=0)):
-                mine, donors = np.flatnonzero(~have[own][:, c]), np.flatnonzero(there[:, c])
-                if not len(donors):
+        q, y = rows_of(rows.column("x")), rows_of(held.column("x"))
+        hits = _hits(q, np.full(q.shape, np.inf), y, held.column("w").to_numpy(), k, width)
+        return pa.table(_found(rows.column("id").to_numpy(), _trimmed(hits, k)))
+
+    return find
+
+
+def _streamed(k: int, width: int):
+    """As :func:`_donors` for blocks of rows that come before their donors: each batch of donors lowers the block's limits."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, waiting, ids, q, limits, best = None, [], None, None, None, []
+        for batch in batches:
+            key, side = batch.column("a").to_numpy(), batch.column("side").to_numpy()
+            ends = [0, *(np.flatnonzero((np.diff(key) != 0) | (np.diff(side) != 0)) + 1).tolist(), len(key)]
+            for lo, hi in zip(ends, ends[1:]):
+                if hi == lo:
                     continue
-                d, loose = near[np.ix_(mine, donors)], slack[np.ix_(mine, donors)]
-                top = np.minimum(np.partition(d + loose, k - 1, axis=1)[:, k - 1] if len(donors) >= k else np.inf, limits[own][mine, c] * (1 + 1e-9))
-                i, j = np.nonzero((d - loose <= top[:, None]) & np.isfinite(d))
-                if not len(i):
+                part = batch.slice(lo, hi - lo)
+                if key[lo] != block:
+                    if best:
+                        yield pa.RecordBatch.from_pydict(_found(ids, best[0]))
+                    block, waiting, q, best = key[lo], [], None, []
+                if side[lo] == 0:
+                    waiting.append(part)
                     continue
-                i, j = mine[i] + lo, donors[j]
-                both = have[i] & there[j]
-                far = width * (np.where(both, q[i] - y[j], 0) ** 2).sum(axis=1) / both.sum(axis=1)
-                order = np.lexsort((far, i))
-                i, j, far = i[order], j[order], far[order]
-                heads = np.flatnonzero(np.concatenate([[True], (i[1:] != i[:-1]) | (far[1:] != far[:-1])]))
-                n, total = np.add.reduceat(w[j], heads), np.add.reduceat(w[j] * y[j, c], heads)
-                i, far = i[heads], far[heads]
-                before = np.cumsum(n) - n
-                first = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]]))
-                before -= np.repeat(before[first], np.diff(np.concatenate([first, [len(i)]])))
-                keep = (before < k) & (far <= limits[i, c])
-                out.append((ids[i[keep]], np.full(keep.sum(), c, np.int32), far[keep], n[keep], total[keep]))
-        cols = [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, t) for t in (np.int64, np.int32, float, np.int64, float)]
-        return pa.table(dict(zip(("id", "c", "far", "n", "total"), map(pa.array, cols))))
+                if q is None:
+                    ids = np.concatenate([b.column("id").to_numpy() for b in waiting])
+                    q, limits = (np.concatenate([rows_of(b.column(c)) for b in waiting]) for c in ("x", "limits"))
+                hits = _hits(q, limits, rows_of(part.column("x")), part.column("w").to_numpy(), k, width)
+                if sum(len(h[0]) for h in hits):
+                    *kept, before = _trimmed([*best, *hits], k)
+                    best = [tuple(kept)]
+                    full = before + kept[3] >= k
+                    i, c = kept[0][full], kept[1][full]
+                    limits[i, c] = np.minimum(limits[i, c], kept[2][full])
+        if best:
+            yield pa.RecordBatch.from_pydict(_found(ids, best[0]))
 
     return find
 
@@ -332,14 +450,19 @@ def gap_neighbours(points: DataFrame, k: int, leaf: int = LEAF) -> DataFrame:
     Rows with gaps ask tiles of donors. What a tile can hold at best follows from
     its box and from the columns all or some of its rows have, so any mix of gap
     patterns is one search. A first round visits near tiles with ``k`` donors and
-    gives each gap a limit, a second one every other tile that may beat it.
+    gives each gap a limit. In a second one a block of rows reads every other
+    tile that may beat it, a batch at a time, and its limits fall as it reads: a
+    task holds one block and one batch. Where boxes rule out nothing, all pairs
+    are compared and every block reads all donors.
     """
-    first = points.select(F.size("x")).first()
+    gappy = stage(points.filter(F.exists("x", lambda v: F.isnan(v))))
+    first, n = gappy.select(F.size("x")).first(), gappy.count()
     if first is None:
-        return points.select("id", F.lit(0).alias("c"), F.lit(0.0).alias("value"))
+        return gappy.select("id", F.lit(0).alias("c"), F.lit(0.0).alias("value"))
     width = first[0]
     donors = tiled(points, width, leaf)
-    asking = donors.filter(F.exists("x", lambda v: F.isnan(v)))
+    size = min(max(ASKING[0], n // BLOCKS), ASKING[1])
+    asking = tiled(gappy, width, size)
     there, here = boxes(donors), boxes(asking)
     counts = here.count(), there.count()
     homes = box_pairs(here, there, counts, _homes(k))
@@ -356,7 +479,10 @@ def gap_neighbours(points: DataFrame, k: int, leaf: int = LEAF) -> DataFrame:
     whole = asking.select("tile", F.posexplode("limits").alias("c", "far")).groupBy("tile", "c").agg(F.max("far").alias("far"))
     whole = whole.groupBy("tile").agg(F.transform(F.array_sort(F.collect_list(F.struct("c", "far"))), lambda p: p["far"]).alias("limits"))
     rest = stage(box_pairs(here.join(whole, "tile"), there, counts, _visits(width)).join(homes, ["a", "b"], "left_anti"))
-    found = first.unionByName(compare(asking, donors, rest, _donors(k, width), _FOUND))
+    blocks = asking.select(F.col("tile").alias("a"), F.lit(0).alias("side"), "tile", "id", "w", "x", "limits")
+    sent = donors.join(rest, F.col("tile") == F.col("b")).select("a", F.lit(1).alias("side"), "tile", "id", "w", "x", F.lit(None).cast("array<double>").alias("limits"))
+    met = blocks.unionByName(sent).repartition(2 * max(1, counts[0]), "a").sortWithinPartitions("a", "side", "tile")
+    found = first.unionByName(met.mapInArrow(_streamed(k, width), _FOUND))
     value = F.sum(F.col("used") * F.col("total") / F.col("n")) / F.sum("used")
     return _places(found, k).groupBy("id", "c").agg(value.alias("value"))
 
