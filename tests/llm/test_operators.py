@@ -495,6 +495,70 @@ def test_all_classes_of_a_hash_are_linked(monkeypatch, held):
     assert own >= {(k, d) for k, v in docs.items() for d in v if d != first[k]}
 
 
+def test_repeating_texts_have_few_windows():
+    """Of the windows of a text that repeats itself, one inside the next, the widest stays; no set of tokens is lost."""
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghijk") for _ in range(7))
+    texts = [" ".join([word() for _ in range(30)] + [word() for _ in range(period)] * (120 // period) + [word() for _ in range(30)]) for period in (1, 7)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2)), pa.array([0] * 2), pa.array([t.encode() for t in texts])], ["_id", "_tag", "_t"])
+    length = 46
+    out = pa.Table.from_batches(list(substring_windows._window_maker(length)(iter([batch]))))
+    before = 0
+    for d, text in enumerate(texts):
+        token, first = substring_windows.tokens(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]))
+        for f in range(substring_windows.FUNCTIONS):
+            value = substring_windows.mixed(token, f + 1)
+            rows = [(q >> 3 & 2**31 - 1, p >> 31, p & 2**31 - 1) for i, p, q in zip(*(out.column(k).to_pylist() for k in ("_id", "p", "q"))) if i == d and q & 7 == f]
+            sets = {frozenset(token[s : e + 1].tolist()) for right, node, left in rows for s in range(node - left, node + 1) for e in range(max(node, s + length - 1), node + right + 1)}
+            whole = list(zip(*(x.tolist() for x in substring_windows.compact_windows(value, first, length)[1:])))
+            before += len(whole)
+            assert all(frozenset(token[s : e + 1].tolist()) in sets for left, node, right in whole for s in range(left, node + 1) for e in range(max(node, s + length - 1), right + 1))
+    assert out.num_rows < before / 4
+
+
+@pytest.mark.parametrize("block", [8, 1024])
+def test_versions_of_a_common_phrase(spark, monkeypatch, block):
+    """Many holders of one phrase, some of which hold a whole passage around it, as it is or edited: brute force over all pairs."""
+    monkeypatch.setattr(substring_windows, "BLOCK", block)
+    rng = random.Random(31)
+    word = lambda: "".join(rng.choice("abcdefghijk") for _ in range(7))
+    phrase, family = [word() for _ in range(14)], [[word() for _ in range(60)] for _ in range(3)]
+    rows = []
+    for k in range(160):
+        body = [word() for _ in range(30)] + phrase + [word() for _ in range(30)]
+        if k % 4 == 0:
+            body = family[k // 4 % 3][:30] + phrase + family[k // 4 % 3][30:]
+            if k % 8:
+                body[rng.choice((5, 60))] = word()
+        rows.append((k, " ".join([word() for _ in range(40)] + body + [word() for _ in range(40)])))
+    got = substring_windows.near_passages(frame(spark, rows)).collect()
+    root = {k: k for k, _ in rows}
+
+    def top(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for r in got:
+        root[max(top(r.doc_id), top(r.match_doc_id))] = min(top(r.doc_id), top(r.match_doc_id))
+    want = {k: 4 * (k // 4 % 3) if k % 4 == 0 else k for k, _ in rows}
+    assert {k: top(k) for k, _ in rows} == want
+
+
+def test_links_of_many_surroundings():
+    """A passage in many surroundings takes one link for each, not one for every two; holders of a phrase take none."""
+    rng = np.random.default_rng(8)
+    fresh = lambda n: rng.integers(0, 2**32, n, dtype=np.uint32)
+    passage, phrase = fresh(60), fresh(20)
+    codes = [np.concatenate([fresh(15), passage, fresh(16)]) for _ in range(200)] + [np.concatenate([fresh(45), phrase, fresh(26)]) for _ in range(200)]
+    everyone = np.arange(400)
+    x, y = substring_windows._joining(codes, np.full(400, 45), everyone, everyone, ~np.eye(400, dtype=bool), 46, 0.8)
+    assert len(x) < 400 and max(x.max(), y.max()) < 200
+    assert (substring_windows.components(200, x, y) == 0).all()
+
+
 def marked_terms(spark, rows):
     text = dict(rows)
     return {r.doc_id: [text[r.doc_id][int(s):int(e)] for k, s, e in (x.split(":") for x in r.spans.split(",") if x) if k == "term"] for r in pii.private_spans(frame(spark, rows)).collect()}
