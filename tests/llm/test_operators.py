@@ -559,6 +559,71 @@ def test_links_of_many_surroundings():
     assert (substring_windows.components(200, x, y) == 0).all()
 
 
+def test_every_two_surroundings_are_linked(spark):
+    """A passage in more surroundings than a hash may have unseen classes: every two documents that hold it are met."""
+    rng = random.Random(77)
+    word = lambda: "".join(rng.choice("abcdefghijk") for _ in range(7))
+    passage = [word() for _ in range(60)]
+    assert (holders := 3 * substring_windows.MANY) > 40
+    rows = [(k, " ".join([word() for _ in range(40)] + (passage if k % 2 else passage[:14]) + [word() for _ in range(40)])) for k in range(2 * holders)]
+    met = {(r.doc_id, r.match_doc_id) for r in substring_windows.near_passages(frame(spark, rows)).collect()}
+    assert met == {(x, y) for x in range(1, 2 * holders, 2) for y in range(1, x, 2)}
+
+
+@pytest.mark.parametrize("rare, tile, block, tokens", [(1, 4, 8, 1), (1, 1024, 1024, 1 << 20), (32, 1024, 1024, 1), (32, 4, 8, 1 << 20)])
+def test_no_link_that_passes_is_left_out(monkeypatch, rare, tile, block, tokens):
+    """Every two classes of a hash of which a passage passes the exact test are linked, however they are tiled and counted; of few, the others vote."""
+    import pyarrow as pa
+
+    for name, value in (("RARE", rare), ("TILE", tile), ("BLOCK", block), ("TOKENS", tokens)):
+        monkeypatch.setattr(substring_windows, name, value)
+    rng, length = np.random.default_rng(5), 46
+    fresh = lambda n: rng.integers(0, 2**32, n, dtype=np.uint32)
+    many, rows, windows = substring_windows.MANY, [], {}
+    for h, holders in enumerate((3, 5, many, many + 1, 40, 2, 7)):
+        passage = fresh(rng.integers(30, 120))
+        middle = len(passage) // 2
+        for k in range(holders):
+            own = passage.copy()
+            own[rng.choice(len(own), rng.integers(0, len(own) // 5), replace=False)] = fresh(1)
+            own[middle] = passage[middle]
+            if k % 3 == 2:  # only the phrase around the node
+                own[: middle - 6], own[middle + 7 :] = fresh(middle - 6), fresh(len(own) - middle - 7)
+            before, after = fresh(rng.integers(0, 60)), fresh(rng.integers(0, 60))
+            if k % 5 == 4:
+                after = np.concatenate([after, own[:20], own[:20]])
+            window = np.concatenate([before, own, after])
+            node = len(before) + middle
+            windows[h, k] = window, node
+            rows.append([h, 0, 0, k // block, h * 100 + k, k, node << 31 | node, (len(window) - 1 - node) << 3, -1, -1, -1, (window >> 16).astype("<u2").tobytes()])
+    met = []
+    for r in rows:
+        for x in range(1 + max(s[3] for s in rows if s[0] == r[0])):
+            met.append([r[0], min(x, r[3]), max(x, r[3]), *r[3:]])
+    met.sort(key=lambda r: r[:6])
+    columns = list(zip(*met))
+    batch = pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in columns[:11]], pa.array(columns[11], pa.binary())], [str(k) for k in range(12)])
+    links = pa.Table.from_batches(list(substring_windows._block_links(iter([batch.slice(k, 9) for k in range(0, batch.num_rows, 9)]), length))).to_pylist()
+    at = {(h, w[1] << 31 | w[1], k): (h, k) for (h, k), w in windows.items()}
+    sizes = {h: sum(x == h for x, _ in windows) for h, _ in windows}
+    ends = {k: len(w) - 1 - n for k, (w, n) in windows.items()}
+    got, votes = set(), set()
+    for r in links:
+        found = [(h, r["a"], r["b"]) for h in sizes if (h, r["ap"], r["a"]) in at and (h, r["bp"], r["b"]) in at and (ends[h, r["a"]] << 3, ends[h, r["b"]] << 3) == (r["aq"], r["bq"])]
+        assert len(found) == 1 and found[0] not in got | votes
+        (got if r["kind"] else votes).add(found[0])
+    passing = set()
+    for (h, x), (one, n) in windows.items():
+        for y in range(x):
+            two, m = windows[h, y]
+            match = np.array([[0, n, len(one) - 1, 0, m, len(two) - 1]])
+            if substring_windows.verified_passages(match, [(0, one)], [(0, two)], length, 0.8):
+                passing.add((h, x, y))
+    assert passing and passing <= got
+    assert got | votes >= {(h, x, y) for h, n in sizes.items() if n <= min(many, block - 1, tile) for x in range(n) for y in range(x)}
+    assert len(got) < len(passing) + sum(n * (n - 1) // 2 for n in sizes.values()) / 4
+
+
 def marked_terms(spark, rows):
     text = dict(rows)
     return {r.doc_id: [text[r.doc_id][int(s):int(e)] for k, s, e in (x.split(":") for x in r.spans.split(",") if x) if k == "term"] for r in pii.private_spans(frame(spark, rows)).collect()}
