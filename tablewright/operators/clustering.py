@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.operators.features import arrays, scaled
-from tablewright.operators.tiles import LEAF, Boxes, box_pairs, boxes, compare, joined, rows_of, tiled, within
+from tablewright.operators.tiles import LEAF, Boxes, box_pairs, boxes, compare, joined, rows_of, tiled, tiled_against, within
 from tablewright.operators.ward import FINISH, merges
 from tablewright.session import beside, join_groups, scalars, spread, stage, together
 
@@ -326,43 +326,110 @@ def _inside(radius: float):
     return choose
 
 
+def _weights(near: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The summed weights of each row's neighbours."""
+    if (w == w[0]).all():
+        return np.count_nonzero(near, axis=1) * int(w[0])
+    return near @ w
+
+
 def _neighbour_weight(radius: float, cells: int = 2**21):
+    """Of a pair of tiles: the weight that each point of either has near it in the other; within one tile, in it.
+
+    Where rows have ``few``, only points with it are told of.
+    """
+
     def count(left: pa.Table, right: pa.Table) -> pa.Table:
-        x, y, w = rows_of(left.column("x")), rows_of(right.column("x")), right.column("w").to_numpy()
+        x, y = rows_of(left.column("x")), rows_of(right.column("x"))
+        v, w = left.column("w").to_numpy(), right.column("w").to_numpy()
+        same = left.column("tile")[0] == right.column("tile")[0]
+        some = "few" in left.column_names
+        p, q = ((t.column("few").to_numpy(zero_copy_only=False) if some else np.ones(len(t), dtype=bool)) for t in (left, right))
+        n, m = np.zeros(len(x), dtype=np.int64), np.zeros(len(y), dtype=np.int64)
+        both = some and p.sum() * len(y) + len(x) * q.sum() < len(x) * len(y)
+        # Few points on either side are compared with all of the other's; else all with all, once.
+        mine = np.flatnonzero(p) if both else np.arange(len(x))
         block = max(1, cells // max(1, len(y)))
-        n = np.concatenate([within(x[lo : lo + block], y, radius) @ w for lo in range(0, len(x), block)])
-        return pa.table({"id": left.column("id"), "n": pa.array(n)}).filter(pa.array(n > 0))
+        for lo in range(0, len(mine), block):
+            at = mine[lo : lo + block]
+            near = within(x[at], y, radius)
+            n[at] = _weights(near, w)
+            if not same and not both:
+                m += _weights(near.T, v[at])
+        if both and not same:
+            theirs = np.flatnonzero(q)
+            block = max(1, cells // max(1, len(x)))
+            for lo in range(0, len(theirs), block):
+                at = theirs[lo : lo + block]
+                m[at] = _weights(within(y[at], x, radius), v)
+        found = pa.table({"id": left.column("id"), "n": n}).filter(pa.array(p & (n > 0)))
+        return found if same else pa.concat_tables([found, pa.table({"id": right.column("id"), "n": m}).filter(pa.array(q & (m > 0)))])
 
     return count
 
 
 def _contacts(radius: float, cells: int = 2**21):
-    """Of a pair of tiles: core points to the least one of their group (``core``), and other points to the core points near them."""
+    """Of the core points of a pair of tiles: links to the least one of their group.
+
+    Where rows have a ``component``, points that are of the other tile's only one need no link.
+    """
 
     def link(left: pa.Table, right: pa.Table) -> pa.Table:
+        none = pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64())})
+        if not len(left) or not len(right):
+            return none
+        if "component" in left.column_names and left.column("tile")[0] != right.column("tile")[0]:
+            p, q = left.column("component").to_numpy(), right.column("component").to_numpy()
+            left, right = (t.filter(pa.array((own != other[0]) | (other != other[0]).any())) for t, own, other in ((left, p, q), (right, q, p)))
+        if not len(left) or not len(right):
+            return none
         x, y = rows_of(left.column("x")), rows_of(right.column("x"))
         ids = np.concatenate([left.column("id").to_numpy(), right.column("id").to_numpy()])
         order = np.argsort(ids, kind="stable")
         place = np.empty_like(order)
         place[order] = np.arange(len(ids))  # so that the least place is the least id
-        mine, theirs = (t.column("core").to_numpy(zero_copy_only=False) for t in (left, right))
-        label, u, v = np.arange(len(ids)), [], []
+        label = np.arange(len(ids))
         block = max(1, cells // max(1, len(y)))
         for lo in range(0, len(x), block):
-            i, j = np.nonzero(within(x[lo : lo + block], y, radius) & theirs)
-            i += lo
-            both = mine[i]
-            label = joined(label, place[i[both]], place[j[both] + len(x)])
-            u.append(ids[i[~both]])
-            v.append(ids[j[~both] + len(x)])
+            i, j = np.divmod(np.flatnonzero(within(x[lo : lo + block], y, radius)), len(y))
+            label = joined(label, place[i + lo], place[j + len(x)])
         ids = ids[order]
         moved = np.flatnonzero((label != np.arange(len(ids))) & (ids[label] != ids))
-        core = [True] * len(moved) + [False] * sum(map(len, u))
-        return pa.table({"core": pa.array(core, pa.bool_()), "u": np.concatenate([ids[moved], *u]), "v": np.concatenate([ids[label[moved]], *v])})
+        return pa.table({"u": ids[moved], "v": ids[label[moved]]})
 
     return link
 
 
+def _touches(radius: float, cells: int = 2**21):
+    """Of a tile of other points and one of core points: which clusters those lie near."""
+
+    def touch(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not len(right):
+            return pa.table({"id": pa.array([], pa.int64()), "cluster": pa.array([], pa.int64())})
+        x, y = rows_of(left.column("x")), rows_of(right.column("x"))
+        cluster = right.column("cluster").to_numpy()
+        order = np.argsort(cluster, kind="stable")
+        y, cluster = y[order], cluster[order]
+        first = np.full(len(x), -1, dtype=np.int64)
+        block = max(1, cells // max(1, len(y)))
+        for lo in range(0, len(x), block):
+            near = within(x[lo : lo + block], y, radius)
+            first[lo : lo + block] = np.where(near.any(axis=1), cluster[near.argmax(axis=1)], -1)
+        return pa.table({"id": left.column("id"), "cluster": first}).filter(pa.array(first >= 0))
+
+    return touch
+
+
+def _reachable(radius: float):
+    """Pairs of tiles with points within ``radius``."""
+
+    def choose(p: Boxes, q: Boxes) -> tuple[np.ndarray, np.ndarray]:
+        found = [np.flatnonzero(p.gaps(i, q).sum(axis=1) <= radius * radius * (1 + 1e-12)) for i in range(len(p.tile))]
+        return np.repeat(np.arange(len(found)), [len(f) for f in found]), np.concatenate(found)
+
+    return choose
+
+
 def _met_tiles(unique: DataFrame, width: int, eps: float, leaf: int) -> tuple[DataFrame, DataFrame, int, DataFrame]:
     tiles = tiled(unique, width, leaf)
     around = boxes(tiles)
@@ -390,34 +457,56 @@ def density_labels(points: DataFrame, key: str, eps: float, min_samples: int, le
         # Boxes rule out little, so rows are sent once for every other tile: fewer, larger tiles.
         tiles, around, n, near = _met_tiles(unique, head[0], eps, max(leaf, min(LARGE_LEAF, total // CROWDED)))
     inside = box_pairs(around, around, (n, n), _inside(eps))
+    own, cross = near.filter("a = b"), near.filter("a < b")  # a pair of tiles tells of both
 
     whole = inside.join(around.select(F.col("tile").alias("b"), "w"), "b").groupBy(F.col("a").alias("tile")).agg(F.sum("w").alias("all"))
-    some = compare(tiles, tiles, near, _neighbour_weight(eps), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    some = compare(tiles, tiles, own, _neighbour_weight(eps), "id long, n long")
     size = F.coalesce("all", F.lit(0)) + F.coalesce("n", F.lit(0))
-    tiles = stage(tiles.join(whole, "tile", "left").join(some, "id", "left").select("tile", "id", "w", "x", (size >= min_samples).alias("core")))
-
-    met = stage(compare(tiles, tiles, near, _contacts(eps), "core boolean, u long, v long"))
-    core = tiles.filter("core")
+    counted = tiles.join(whole, "tile", "left").join(some, "id", "left").select("tile", "id", "w", "x", size.alias("size"))
+    # What is core by its own tile and those wholly within reach is counted no further.
+    counted = stage(counted.withColumn("few", F.col("size") < min_samples))
+    asking = counted.filter("few").select("tile").distinct()
+    asked = stage(cross.join(asking.withColumnRenamed("tile", "a"), "a", "left_semi").unionByName(cross.join(asking.withColumnRenamed("tile", "b"), "b", "left_semi").select("a", "b")).distinct())
+    rows = counted.select("tile", "id", "w", "x", "few")
+    some = compare(rows, rows, asked, _neighbour_weight(eps), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    tiles = stage(counted.join(some, "id", "left").select("tile", "id", "w", "x", (F.col("size") + F.coalesce("n", F.lit(0)) >= min_samples).alias("core")))
+
+    core = tiles.filter("core").drop("core")
+    # Each tile meets itself and one other; then only pairs of tiles that are not of one component as a whole.
+    chain = stage(cross.groupBy("a").agg(F.min("b").alias("b")))
+    met = stage(compare(core, core, stage(own.unionByName(chain)), _contacts(eps), "u long, v long"))
     reps = core.groupBy("tile").agg(F.min("id").alias("rep"))
     # Of boxes wholly within reach: every core point is near all of the other tile's.
     reached = stage(inside.join(reps.select(F.col("tile").alias("b"), "rep"), "b").select("a", "b", "rep"))
     least = reached.groupBy(F.col("a").alias("tile")).agg(F.min("rep").alias("v"))
     edges = (
-        met.filter("core").select("u", "v")
+        met.select("u", "v")
         .unionByName(core.join(least, "tile").select(F.col("id").alias("u"), "v"))
         .unionByName(reached.join(reps.select(F.col("tile").alias("a"), F.col("rep").alias("u")), "a").select("u", F.col("rep").alias("v")))
     )
-    groups = components(edges, core.select(F.col("id").alias("node")))
+    groups = stage(components(edges, core.select(F.col("id").alias("node"))))
+    held = core.join(groups.withColumnRenamed("node", "id"), "id").select("tile", "id", "w", "x", "component")
+    ends = stage(held.groupBy("tile").agg(F.min("component").alias("lo"), F.max("component").alias("hi")))
+    of = lambda k: ends.select(F.col("tile").alias(k), F.col("lo").alias(f"{k}_lo"), F.col("hi").alias(f"{k}_hi"))
+    rest = cross.join(chain, ["a", "b"], "left_anti").join(of("a"), "a").join(of("b"), "b")
+    rest = stage(rest.filter("NOT (a_lo = a_hi AND b_lo = b_hi AND a_lo = b_lo)").select("a", "b"))
+    if not rest.isEmpty():
+        met = compare(held, held, rest, _contacts(eps), "u long, v long")
+        part = lambda k: groups.select(F.col("node").alias(k), F.col("component").alias(f"_{k}"))
+        met = met.join(part("u"), "u").join(part("v"), "v").select(F.col("_u").alias("u"), F.col("_v").alias("v")).distinct()
+        wider = components(met, groups.select(F.col("component").alias("node")).distinct()).select(F.col("node").alias("component"), F.col("component").alias("_c"))
+        groups = stage(groups.join(wider, "component").select("node", F.col("_c").alias("component")))
     named = groups.join(unique.select(F.col("id").alias("node"), "first"), "node")
     from tablewright.operators.ranks import row_index
 
     numbers = row_index(named.groupBy("component").agg(F.min("first").alias("_least")), ["_least", "component"], name="cluster").select("component", "cluster")
     of_core = stage(groups.join(numbers, "component").select(F.col("node").alias("id"), "cluster"))
-    # A border point has fewer than min_samples neighbours, so these pairs are few.
-    alone = tiles.filter("NOT core").select(F.col("tile").alias("a"), F.col("id").alias("u"))
-    beside_ = alone.join(reached.select("a", "b"), "a").join(core.select(F.col("tile").alias("b"), F.col("id").alias("v")), "b").select("u", "v")
-    touch = met.filter("NOT core").select("u", "v").unionByName(beside_)
-    border = touch.join(of_core.select(F.col("id").alias("v"), "cluster"), "v").groupBy(F.col("u").alias("id")).agg(F.min("cluster").alias("cluster"))
+    # Other points are cut into tiles of their own, so that core points are sent once for as many as fill one.
+    others = stage(tiles.filter("NOT core").select("id", "w", "x"))
+    border = of_core.limit(0)
+    if not others.isEmpty() and not of_core.isEmpty():
+        alone, pairs = tiled_against(others, head[0], leaf, around, n, _reachable(eps))
+        border = compare(alone, core.join(of_core, "id"), pairs, _touches(eps), "id long, cluster long").groupBy("id").agg(F.min("cluster").alias("cluster"))
     labelled = of_core.select("id", "cluster", F.lit(True).alias("is_core")).unionByName(border.select("id", "cluster", F.lit(False).alias("is_core")))
     of_point = unique.select("x", "id").join(labelled, "id", "left").select("x", F.coalesce("cluster", F.lit(-1)).alias("cluster"), F.coalesce("is_core", F.lit(False)).alias("is_core"))
     return points.join(of_point, "x").select(key, "x", "cluster", "is_core")

@@ -22,6 +22,9 @@ from tablewright.session import stage
 #: Rows of a tile, tiles that one task cuts, tiles whose boxes one task compares with as many others.
 LEAF, CUT, BOXES = 4096, 16, 1024
 
+#: Columns from which on products are of single precision.
+SINGLE = 16
+
 #: Tasks that pairs of tiles are dealt over where there are as many pairs; more if the session has more shuffle partitions.
 TASKS = 256
 
@@ -144,6 +147,13 @@ def box_pairs(left: DataFrame, right: DataFrame, counts: tuple[int, int], choose
     return stage(both.groupBy("left", "right").applyInArrow(meet, "a long, b long"))
 
 
+def tiled_against(points: DataFrame, width: int, leaf: int, right: DataFrame, count: int, choose: Callable[[Boxes, Boxes], tuple[np.ndarray, ...]]) -> tuple[DataFrame, DataFrame]:
+    """Tiles of ``points``, and their pairs with the ``count`` boxes of ``right`` that ``choose`` gives."""
+    tiles = tiled(points, width, leaf)
+    left = boxes(tiles)
+    return tiles, box_pairs(left, right, (left.count(), count), choose)
+
+
 def compare(left: DataFrame, right: DataFrame, pairs: DataFrame, fn: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
     """``fn`` of the rows of tile ``a`` of ``left`` and of tile ``b`` of ``right``, for each of the staged pairs of tiles.
 
@@ -168,17 +178,26 @@ def within(x: np.ndarray, y: np.ndarray, radius: float) -> np.ndarray:
     """Which rows of ``y`` lie within ``radius`` of which rows of ``x``.
 
     Products decide all but the pairs that rounding may put on either side; those are measured directly.
+    Of many columns the products are of single precision where few pairs lie that near the radius.
     """
     middle = y.mean(axis=0)
     u, v = x - middle, y - middle
     a, b = (u * u).sum(axis=1), (v * v).sum(axis=1)
-    loose = 1e-12 * (a + b.max())
+    most = float(a.max(initial=0) + b.max(initial=0))
+    # A product of d columns is off by (d + 2) roundings of |u| |v| at most, and the sums by a few of all parts.
+    single = x.shape[1] >= SINGLE and radius * radius > most * 1e-3 and most < 1e30
+    loose = (x.shape[1] + 8) * 2.0**-23 * (a + b.max()) if single else 1e-12 * (a + b.max())
+    kind = np.float32 if single else np.float64
     # Squared distances less the left row's own part.
-    part = u @ (-2 * v).T
-    part += b
-    near = part <= (radius * radius - a - loose)[:, None]
-    i, j = np.divmod(np.flatnonzero((part <= (radius * radius - a + loose)[:, None]) ^ near), len(y))
-    near[i, j] = ((x[i] - y[j]) ** 2).sum(axis=1) <= radius * radius
+    part = u.astype(kind) @ (-2 * v).astype(kind).T
+    part += b.astype(kind)
+    low, high = ((radius * radius - a + s * loose).astype(kind)[:, None] for s in (-1, 1))
+    near = part <= low
+    i, j = np.divmod(np.flatnonzero((part <= high) ^ near), len(y))
+    step = max(1, 2**22 // max(1, x.shape[1]))
+    for lo in range(0, len(i), step):
+        p, q = i[lo : lo + step], j[lo : lo + step]
+        near[p, q] = ((x[p] - y[q]) ** 2).sum(axis=1) <= radius * radius
     return near
 
 

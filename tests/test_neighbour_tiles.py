@@ -179,3 +179,27 @@ def test_density_in_many_columns_takes_larger_tiles(spark, monkeypatch):
         monkeypatch.setattr(clustering, "CROWDED", crowded)
         got.append(sorted((r.id, r.cluster, r.is_core) for r in clustering.density_labels(rows, "id", 4.0, 5, leaf=12).collect()))
     assert got[0] == got[1] and used == [12, 12, 60] and len({c for _, c, _ in got[0]}) > 1
+
+
+def test_density_of_one_crowd_compares_few_tiles(spark, monkeypatch):
+    """Where boxes rule out nothing but all is one cluster, each tile meets itself and one other, not all others; few points are asked for further."""
+    rng = np.random.default_rng(19)
+    x = np.r_[rng.normal(size=(300, 20)), rng.normal(size=(4, 20)) * 0.2 + 6]
+    rows = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, x array<double>")
+    met, run = [], clustering.compare
+    monkeypatch.setattr(clustering, "compare", lambda left, right, pairs, fn, schema: met.append((left.count() / left.select("tile").distinct().count(), pairs.count())) or run(left, right, pairs, fn, schema))
+    want, core = density(x, 6.5, 8)
+    got = sorted((r.id, r.cluster, r.is_core) for r in clustering.density_labels(rows, "id", 6.5, 8, leaf=4).collect())
+    assert [g[1] for g in got] == want.tolist() and [g[2] for g in got] == core.tolist()
+    tiles = rows.count() / 4
+    assert len(met) >= 3 and sum(pairs for _, pairs in met) < 12 * tiles < tiles * tiles / 4
+
+
+def test_within_of_many_columns_decides_ties_exactly():
+    """Single products are trusted only where rounding cannot decide."""
+    rng = np.random.default_rng(21)
+    x, y = rng.normal(size=(60, 64)), rng.normal(size=(80, 64)) + 1
+    far = np.sqrt(((x[:, None] - y) ** 2).sum(axis=2))
+    for radius in [*far.ravel()[:40], 11.0, 0.01]:
+        want = np.array([((a - y) ** 2).sum(axis=1) <= radius * radius for a in x])
+        np.testing.assert_array_equal(tiles.within(x, y, radius), want)
